@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import encode_digests
+from .covertree import embedding_links
+from .ordermin import fingerprint_edits
 from .packing import pack_documents
 from .simhash import simhash_components
 from .store import fresh_path
+from .toxicity import learn, score_documents
 from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +63,34 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def toxic_rejects(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without those that score as toxic; rows without doc_id stay."""
+    set_batches(spark)
+    scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op6_order_minhash": op6_order_minhash,
+    "op7_cover_tree": op7_cover_tree,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -92,4 +118,25 @@ ORACLES: dict[str, str] = {
                case when page_id <> holder then holder end as refers_to
         from g
     """,
+    "op7_cover_tree": """
+        with recursive v as (
+            select vec_id, label, cast(embedding as double[]) as e from embeddings
+            where label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links as (
+            select a.vec_id as u, b.vec_id as w from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+            where list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach(u, w) as (
+            select vec_id, vec_id from embeddings
+            union
+            select r.u, l.w from reach r join links l on l.u = r.w
+        ), n as (
+            select u, count(*) as n_links from links group by u
+        ), c as (
+            select u, min(w) as component_id from reach group by u
+        )
+        select c.u as vec_id, coalesce(n.n_links, 0) as n_links, c.component_id, c.u = c.component_id as kept
+        from c left join n on n.u = c.u
+    """,
 }
