@@ -12,6 +12,8 @@ from .ordermin import fingerprint_edits
 from .packing import pack_documents
 from .simhash import simhash_components
 from .store import fresh_path
+from .suffixes import remove_repeats
+from .tokencount import count_tokens
 from .toxicity import learn, score_documents
 from .warc import warc_round_trip
 
@@ -83,6 +85,14 @@ def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -91,6 +101,8 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_order_minhash": op6_order_minhash,
     "op7_cover_tree": op7_cover_tree,
+    "op9_token_counts": op9_token_counts,
+    "op10_suffix_arrays": op10_suffix_arrays,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,9 @@ def discard(*tables: DataFrame) -> None:
         for parent in {f.rpartition("/")[0] for f in table.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of finished steps, which it does when it collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
