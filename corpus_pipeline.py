@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm.packing import pack_documents
-from spanforge.llm.queries import near_copies, set_batches, tokenizer_file
+from spanforge.llm.queries import near_copies, set_batches, shared_passages, tokenizer_file, toxic_rejects
 from spanforge.llm.store import save
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,7 +19,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic_rejects),
     ("simhash", near_copies),
+    ("substrings", shared_passages),
     ("packing", packing),
 ]
 

@@ -10,11 +10,12 @@ from .bytebpe import encode_digests
 from .covertree import embedding_links
 from .ordermin import fingerprint_edits
 from .packing import pack_documents
+from .passages import find_passages, remove_passages
 from .simhash import simhash_components
 from .store import fresh_path
 from .suffixes import remove_repeats
 from .tokencount import count_tokens
-from .toxicity import learn, score_documents
+from .toxicity import learn, reject_toxic, score_documents
 from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,10 +72,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxic_rejects(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without those that score as toxic; rows without doc_id stay."""
+    """``docs`` without those that score as toxic."""
     set_batches(spark)
-    scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti")
+    return reject_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,16 @@ def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents"))
+
+
+def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without the passages that a document of smaller id has too."""
+    set_batches(spark)
+    return remove_passages(docs)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -101,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_order_minhash": op6_order_minhash,
     "op7_cover_tree": op7_cover_tree,
+    "op8_passages": op8_passages,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_arrays": op10_suffix_arrays,
 }

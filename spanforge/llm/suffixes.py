@@ -17,7 +17,8 @@ from .store import discard, release, save
 ANCHOR = 32
 #: Bytes of text that are sorted in one suffix array, but for a group that has more by itself.
 SHARD = 2 << 20
-#: Alphabets up to this size are induced bucket by bucket, larger ones (names of substrings) suffix by suffix.
+#: A string of names is sorted by induction again if it has this many kinds or fewer: buckets are then long
+#: enough to be filled as arrays. With more kinds, names are paired and named anew until all differ.
 FEW_SYMBOLS = 1024
 
 
@@ -71,30 +72,38 @@ def _induce_buckets(s: np.ndarray, small: np.ndarray, heads: np.ndarray, tails:
     return sa
 
 
-def _induce_suffixes(s: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The same, a suffix at a time, for alphabets whose buckets hold few suffixes each."""
-    text, kind, n = s.tolist(), small.tolist(), len(s)
-    sa = [-1] * n
-    ends = tails.tolist()
-    for i in reversed(lms.tolist()):
-        c = text[i]
-        ends[c] -= 1
-        sa[ends[c]] = i
-    ends = heads.tolist()
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not kind[j]:
-            c = text[j]
-            sa[ends[c]] = j
-            ends[c] += 1
-    ends = tails.tolist()
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and kind[j]:
-            c = text[j]
-            ends[c] -= 1
-            sa[ends[c]] = j
-    return np.array(sa, np.int64)
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names, whose last one is the least and unique.
+
+    As many names as 62 bits hold are sorted as one; then the ranks that these
+    suffixes have so far are the names of twice the length, until all differ.
+    Only suffixes that are still tied are sorted again.
+    """
+    m = len(names)
+    bits = int(names.max()).bit_length()
+    span = max(1, 62 // max(1, bits))
+    key = np.zeros(m, np.int64)
+    for k in range(span):
+        key <<= bits
+        if k < m:
+            key[:m - k] |= names[k:]
+    order = np.argsort(key)
+    fresh = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    rank = np.zeros(m, np.int64)
+    while True:
+        first = np.maximum.accumulate(np.where(fresh, np.arange(m), 0))
+        rank[order] = first
+        tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if not len(tied):
+            return order
+        items = order[tied]
+        after = items + span
+        key = first[tied] * (m + 1) + np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
+        moved = np.argsort(key)
+        order[tied] = items[moved]
+        key = key[moved]
+        fresh[tied[1:]] |= key[1:] != key[:-1]
+        span *= 2
 
 
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
@@ -118,9 +127,8 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     counts = np.bincount(s, minlength=symbols)
     heads = _starts(counts)
     tails = heads + counts
-    induce = _induce_buckets if symbols <= FEW_SYMBOLS else _induce_suffixes
     if len(lms) > 1:
-        sa = induce(s, small, heads, tails, lms)
+        sa = _induce_buckets(s, small, heads, tails, lms)
         order = sa[is_lms[sa]]
         lengths = np.zeros(n, np.int64)
         lengths[lms] = np.diff(np.append(lms, n - 1)) + 1
@@ -138,8 +146,11 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
         names[order] = np.concatenate([[0], np.cumsum(~equal)])
         reduced = names[lms]
         kinds = int(reduced.max()) + 1
-        lms = lms[np.argsort(reduced, kind="stable")] if kinds == len(lms) else lms[suffix_array(reduced, kinds)]
-    return induce(s, small, heads, tails, lms)
+        if kinds == len(lms):
+            lms = lms[np.argsort(reduced)]
+        else:
+            lms = lms[suffix_array(reduced, kinds) if kinds <= FEW_SYMBOLS else _order_of_names(reduced)]
+    return _induce_buckets(s, small, heads, tails, lms)
 
 
 def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
@@ -219,7 +230,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return up(base), up(inverse)
 
 
-def _slide(values: np.ndarray, width: int) -> np.ndarray:
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours: blocks are scanned from both sides."""
     n = len(values)
     padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -249,9 +260,9 @@ def anchors(data: bytes, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray,
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     width = length - anchor + 1
-    least = _slide(h, width)
+    least = sliding_least(h, width)
     # the last place of the least hash in each window: places of the least of some window, searched backwards
-    spread = ~_slide(~np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width)
+    spread = ~sliding_least(~np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width)
     places = np.flatnonzero(spread == h)
     pick = np.searchsorted(places, np.arange(width - 1, width - 1 + len(least)), "right") - 1
     open_ = np.flatnonzero(h[places[pick]] != least)

@@ -225,3 +225,14 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, i
         run, "doc_id long, score double"
     )
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, in one pass without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([score(t.as_py(), lexicon) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

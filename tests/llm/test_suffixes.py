@@ -10,7 +10,7 @@ from spanforge.llm.suffixes import anchors, remove_repeats, repeated_starts, suf
 SCHEMA = "doc_id long, text string, n_bytes string"
 
 
-@pytest.mark.parametrize("few", [1024, 1])
+@pytest.mark.parametrize("few", [1024, 0])
 def test_suffix_array_is_the_sorted_order(monkeypatch, few):
     monkeypatch.setattr(suffixes, "FEW_SYMBOLS", few)
     rng = random.Random(3)
