@@ -153,14 +153,18 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     records = chunks.join(known, ["file", "at"])
     cut = save(records.where("sha is null and length is not null").select(
         "file", F.col("at").alias("start"), after.alias("end"), "block_at", "length"), "warc-cut")
-    pieces = chunks.select("file", "at", "part").join(cut, "file").where("at >= start and at < end")
-    texts = scan.select("part", "value").join(pieces, "part").groupBy("file", "start", "block_at", "length").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value), MAGIC).alias("value")
-    )
     block = F.expr("substring(cast(value as binary), cast(block_at + 1 as int), cast(length as int))")
-    joined = texts.select("file", F.col("start").alias("at"), block.alias("joined"))
-    out = records.join(joined.select("file", "at", "joined"), ["file", "at"], "left")
-    out = out.withColumn("sha", F.coalesce("sha", F.sha1("joined")))
+    if cut.isEmpty():
+        out = records.withColumn("joined", F.lit(None).cast("binary"))
+    else:
+        # written first: the texts are shuffled only if the list of pieces is over the broadcast limit
+        pieces = save(chunks.select("file", "at", "part").join(cut, "file").where("at >= start and at < end"), "warc-pieces")
+        texts = scan.select("part", "value").join(pieces, "part").groupBy("file", "start", "block_at", "length").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value), MAGIC).alias("value")
+        )
+        joined = texts.select("file", F.col("start").alias("at"), block.alias("joined"))
+        out = records.join(joined, ["file", "at"], "left")
+        out = out.withColumn("sha", F.coalesce("sha", F.sha1("joined")))
     if payloads:
         out = out.join(scan.select("part", "value"), "part").withColumn("payload", F.coalesce("joined", block)).drop("value")
     return out.drop("joined", "part", "split", "size", "block_at")
