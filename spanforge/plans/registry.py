@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ranking  # noqa: F401  (registers its queries)
+from . import ranking, tables  # noqa: F401  (they register their queries)
 from .evaluation import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
