@@ -11,7 +11,7 @@ from .covertree import embedding_links
 from .ordermin import fingerprint_edits
 from .packing import pack_documents
 from .passages import find_passages, remove_passages
-from .simhash import simhash_components
+from .simhash import similar_components, simhash_components
 from .store import fresh_path
 from .suffixes import remove_repeats
 from .tokencount import count_tokens
@@ -44,10 +44,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without those that are near copies of one with a smaller doc_id."""
+    """``docs`` without those that are near copies of one with a smaller doc_id: one of each group stays."""
     set_batches(spark)
-    firsts = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi")
+    others = similar_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

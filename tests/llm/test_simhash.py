@@ -1,7 +1,7 @@
 from itertools import combinations
 
 import xxhash
-from spanforge.llm.simhash import fingerprint, simhash_components
+from spanforge.llm.simhash import fingerprint, similar_components, simhash_components
 
 SCHEMA = "doc_id long, text string, fp string, component_id long"
 
@@ -60,3 +60,31 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     got = simhash_components(docs).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in got) == [(False, 1), (False, 1), (True, 1)]
     assert simhash_components(docs.limit(0)).count() == 0
+
+
+def test_similar_components_match_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    rows = []
+    for g in range(12):
+        base = [word() for _ in range(rng.choice([30, 200, 600]))]
+        for v in range(8):
+            text = base[:]
+            for _ in range(rng.choice([0, 1, 2, 6, 20]) * len(base) // 200):
+                text[rng.randrange(len(text))] = word()
+            rows.append((g * 10 + v, " ".join(text)))
+    rows += [(500, None), (501, " "), (502, "two words"), (503, "Two words")]
+    sets = {d: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for d, t in rows}
+    comp = {d: d for d, _ in rows}
+    for _ in range(10):
+        for a, b in combinations(sets, 2):
+            either = len(sets[a] | sets[b])
+            if (len(sets[a] & sets[b]) / either >= 0.8) if either else True:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    df = spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA)
+    for size in (4096, 4):
+        got = {r.doc_id: r.component_id for r in similar_components(df, shard_size=size).collect()}
+        assert got == comp
+    assert similar_components(df.limit(0)).count() == 0
