@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import judging, ranking, selection, tables  # noqa: F401  (they register their queries)
+from . import judging, learning, ranking, selection, tables  # noqa: F401  (they register their queries)
 from .evaluation import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
