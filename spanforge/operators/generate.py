@@ -78,3 +78,21 @@ def first_windows(windows: DataFrame, key: str, start: str, end: str, order: str
 def top_k(rows: DataFrame, key: str, k: int, *order) -> DataFrame:  # noqa: ANN002
     """The first ``k`` rows of each key by ``order``, numbered."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= k)
+
+
+def boundary_windows(sources: DataFrame, scenes: DataFrame, durations_ms: Sequence[int], min_ms: int, key: str = "longform_id", id_col: str = "source_id") -> DataFrame:
+    """Windows of each duration forward and backward from every distinct scene boundary within a source, cut to it, ``min_ms`` long or longer.
+
+    Columns: the key, the source's id, start_ms, end_ms; equal windows come once.
+    """
+    from .joins import interval_join
+
+    pairs = interval_join(sources, scenes, key)
+    marks = pairs.select(
+        F.col(f"l.{key}").alias(key), F.col(f"l.{id_col}").alias(id_col), F.col("l.start_ms").alias("s"), F.col("l.end_ms").alias("e"),
+        F.explode(F.array("r.start_ms", "r.end_ms")).alias("at")).where("at >= s and at <= e").distinct()
+    sized = marks.withColumn("d", F.explode(F.array(*(F.lit(d) for d in durations_ms))))
+    both = sized.select(key, id_col, "s", "e", F.inline(F.array(
+        F.struct(F.col("at").alias("a"), (F.col("at") + F.col("d")).alias("b")), F.struct((F.col("at") - F.col("d")).alias("a"), F.col("at").alias("b")))))
+    cut = both.select(key, id_col, F.greatest("a", "s").alias("start_ms"), F.least("b", "e").alias("end_ms"))
+    return cut.where(F.col("end_ms") - F.col("start_ms") >= min_ms).distinct()

@@ -255,3 +255,13 @@ def g14_rank_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{with_views('pool')} select pool_id, candidate_id, cast(place as integer) as place from (select *, row_number() over (partition by pool_id order by score desc, candidate_id) as place from pool) where place <= 3""")
 def g16_score_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.top_k(pools(spark, sf_dir), "pool_id", 3, F.desc("score"), "candidate_id").select("pool_id", "candidate_id", "place")
+
+
+@query(f"""{with_views('gold')}, w as (select longform_id, scene_id as source_id, start_ms - 30000 as s, end_ms + 30000 as e from gold),
+    m as (select distinct w.*, b.at_ms from (select w.longform_id, w.source_id, w.s, w.e, unnest([t.start_ms, t.end_ms]) as at_ms from w join timeline t on t.longform_id = w.longform_id and t.start_ms < w.e and w.s < t.end_ms and t.end_ms > t.start_ms) b
+          join w on w.source_id = b.source_id and w.longform_id = b.longform_id where b.at_ms >= w.s and b.at_ms <= w.e),
+    d as (select unnest([8000, 20000]) as d), x as (select longform_id, source_id, greatest(at_ms, s) as start_ms, least(at_ms + d, e) as end_ms from m, d union select longform_id, source_id, greatest(at_ms - d, s), least(at_ms, e) from m, d)
+    select longform_id, source_id, start_ms, end_ms from x where end_ms - start_ms >= 5000""")
+def e6_boundary_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = gold(spark, sf_dir).select("longform_id", F.col("scene_id").alias("source_id"), (F.col("start_ms") - 30000).alias("start_ms"), (F.col("end_ms") + 30000).alias("end_ms"))
+    return generate.boundary_windows(sources, timeline(spark, sf_dir), [8000, 20000], 5000)
