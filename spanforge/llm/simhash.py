@@ -225,8 +225,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _dealt(keyed: DataFrame, keys: list[str], shard_size: int) -> DataFrame:
-    """Rows of shards of two or more, each once for every pair (i, j) of the parts of ``shard_size`` that its shard is dealt to."""
-    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    """Rows of shards of two or more, each once for every pair (i, j) of the parts of ``shard_size`` that its shard is dealt to.
+
+    Of shards with the same members (the number of them and two 64-bit hashes
+    are equal) one is kept: a group of copies shares most of its keys.
+    """
+    members = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n"), *members).where("n > 1")
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min(F.struct(*keys)).alias("s")).select("s.*", "n")
     parts = F.ceil(F.col("n") / F.lit(shard_size)).cast("int")
     return (
         keyed.join(sizes, keys)
