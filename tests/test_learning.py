@@ -47,6 +47,28 @@ def test_exact_position_tail(spark):
     assert abs(learning.exact_position_tail(df, "n", "g", "hit", 1).first().p_value - (1 - 0.5 * 0.75)) < 1e-12
 
 
+def test_exact_position_tail_of_more_pools_than_one_fold_and_of_none(spark):
+    import math
+    import random
+
+    kinds = [(20, 1, 15_000, 700), (10, 1, 9_000, 930), (3, 3, 4, 4), (5, 0, 7, 0)]
+    rows = [(n, g, int(i < hits)) for n, g, pools, hits in kinds for i in range(pools)]
+    random.Random(2).shuffle(rows)
+    got = learning.exact_position_tail(spark.createDataFrame(rows, "n long, g long, hit int"), "n", "g", "hit", 1).first()
+
+    def term(n, p, x):
+        return math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p))
+
+    above = [0.0]
+    for x in range(2_000, -1, -1):
+        above.append(above[-1] + term(9_000, 0.1, x))
+    above.reverse()
+    want = sum(term(15_000, 0.05, x) * (above[max(0, 1_630 - x)] if 1_630 - x < len(above) else 0.0) for x in range(2_000))
+    assert (got.pools, got.hits) == (24_011, 1_634) and 0.2 < want < 0.8 and abs(got.p_value - want) < 1e-8
+    none = learning.exact_position_tail(spark.createDataFrame([], "n long, g long, hit int"), "n", "g", "hit", 1).collect()
+    assert [tuple(r) for r in none] == [(0, None, None)]
+
+
 def test_shortcut_and_gates(spark):
     df = spark.createDataFrame([("a", "x", "dev"), ("a", "y", "dev"), ("a", "y", "dev"), ("b", "x", "locked"), ("a", "x", "locked")], "s string, y string, role string")
     assert sorted((r.s, r.predicted) for r in audit.source_shortcut(df, "s", "y", "role").collect()) == [("a", "y"), ("b", "y")]
