@@ -280,8 +280,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
                        id_col: str = "doc_id", text_col: str = "text", shard_size: int = 4096) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of word shingles have a Jaccard index of ``similarity`` or more.
 
-    At 0.8 two SimHashes differ in about ten of 64 bits, too many for blocks of
-    equal bits. The shards of the BK-trees are here the texts that share one of
+    At 0.8 two SimHashes, here of the sets as repeats don't count, differ in about
+    ten of 64 bits, too many for blocks of equal bits. The shards of the BK-trees are here the texts that share one of
     ``n_keys`` least shingle hashes, each under its own permutation: similar
     texts share none with a chance of (1 - similarity) ** n_keys, 0.16 %. The
     tree gives the shard's pairs within ``radius`` bits, and their sets decide.
@@ -298,7 +298,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
             fps, keys = [], []
             for t in batch.column(2):
                 h = shingle_hashes(t.as_py(), shingle)
-                fps.append(majority_bits(h))
+                fps.append(majority_bits(np.unique(h)))
                 if len(h):
                     mixed = [h * m for m in mixers]
                     keys.append([int((x ^ (x >> np.uint64(32))).min().view(np.int64)) for x in mixed])

@@ -88,3 +88,16 @@ def test_similar_components_match_brute_force(spark):
         got = {r.doc_id: r.component_id for r in similar_components(df, shard_size=size).collect()}
         assert got == comp
     assert similar_components(df.limit(0)).count() == 0
+
+
+def test_similar_components_dont_count_repeated_lines(spark):
+    import random
+
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for g in range(24):
+        body, line = words(100), words(18)
+        rows += [(2 * g, " ".join(body + line), "", 0), (2 * g + 1, " ".join(body + line * 30), "", 0)]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {d: d - d % 2 for d, *_ in rows}
