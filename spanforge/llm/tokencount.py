@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack, unpack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: What an unknown character costs beyond the worst piece (a fixed value of the tokenizer).
+#: Fixed values of the tokenizer: what an unknown character costs beyond the worst piece, and the score
+#: from which on it counts scores from zero again.
 UNKNOWN_PENALTY = 10.0
+RESTART = -100_000.0
+
+
+def single(x: float) -> float:
+    """``x`` in single precision."""
+    return unpack("f", pack("f", x))[0]
 
 
 class Counter:
@@ -21,36 +30,54 @@ class Counter:
     The vocabulary's normalisation is the identity with a space before the text;
     spaces are written as U+2581. No piece has that character after another one, so the
     best path of a text is made of the best paths of its runs (spaces, then the
-    characters up to the next space), and a bounded memo holds the runs seen.
+    characters up to the next space), each from the score that the one before has left.
 
     Tie rules of the tokenizer: at each end the path whose last piece starts
     first wins, a later one must score more; an unknown character is tried, after
     all pieces, only where no piece is that character alone; it counts as its
-    UTF-8 bytes. Scores are added in double precision, where whole numbers are exact.
+    UTF-8 bytes. A path's score is kept in single precision and compared
+    with a new one in double precision. Where the best score at a position is below
+    RESTART, it is taken off all scores that are open there.
+
+    What a run adds depends on the score before it only by the size of its last
+    binary digit and by whether that digit is even, as long as the size stays
+    the same: a bounded memo holds the short runs seen, by both.
     """
 
     MEMO = 300_000
+    #: Longer runs are worked out anew each time, so the memo holds no more than MEMO times this many characters.
+    MEMO_CHARS = 64
+    #: Least score that a run of the memo may reach within it, and the score up to which the memo is used.
+    LOWEST, UPTO = -10_000.0, RESTART + 10_000.0
 
     def __init__(self, pieces: list[tuple[str, float]]) -> None:
         import ahocorasick
 
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces):
             raise ValueError("a piece goes on after a space; runs can't be counted on their own")
-        self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        if any(s > 0 for _, s in pieces):
+            raise ValueError("scores must not be positive")
+        self.unknown = single(min((single(s) for _, s in pieces), default=0.0) - UNKNOWN_PENALTY)
         self.found = ahocorasick.Automaton()
         for piece, score in pieces:
-            self.found.add_word(piece, (len(piece), score))
+            self.found.add_word(piece, (len(piece), single(score)))
         if pieces:
             self.found.make_automaton()
-        self.memo: dict[str, tuple[float, int]] = {}
+        self.memo: dict[int, tuple[dict, dict]] = {}
+        self.held = 0
         self.runs = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 
-    def run(self, text: str) -> tuple[float, int]:
-        """(score, pieces) of the best path over one run."""
+    def _matches(self, text: str) -> dict[int, list[tuple[int, float]]]:
+        """For each last character, (length, score) of the pieces that end there, from the longest to the shortest."""
         ends: dict[int, list[tuple[int, float]]] = {}
         if len(self.found):
             for last, hit in self.found.iter(text):
-                ends.setdefault(last, []).append(hit)  # from the longest to the shortest
+                ends.setdefault(last, []).append(hit)
+        return ends
+
+    def _relative(self, text: str, before: float, step: float) -> tuple[float, int] | None:
+        """(what the run adds to ``before``, pieces), where all scores are multiples of ``step``; None if one is below LOWEST."""
+        ends = self._matches(text)
         scores, counts = [0.0], [0]
         for last, char in enumerate(text):
             best = None
@@ -61,36 +88,96 @@ class Counter:
                 total = scores[at] + score
                 alone = length == 1
                 if best is None or total > best:
-                    best, n = total, counts[at] + 1
+                    best, n = round((before + total) / step) * step - before, counts[at] + 1
             if not alone:
-                total = scores[last] + self.unknown
+                total = round((before + scores[last] + self.unknown) / step) * step - before
                 if best is None or total > best:
                     best, n = total, counts[last] + len(char.encode())
+            if best < self.LOWEST:
+                return None
             scores.append(best)
             counts.append(n)
         return scores[-1], counts[-1]
 
+    def _absolute(self, text: str, before: float) -> tuple[float, int, float]:
+        """(score after the run, pieces, what was taken off), each position's pieces tried in turn as the tokenizer does."""
+        starts: dict[int, list[tuple[int, float]]] = {}
+        for last, hits in self._matches(text).items():
+            for length, score in hits:
+                starts.setdefault(last + 1 - length, []).append((length, score))
+        scores: list[float | None] = [before] + [None] * len(text)
+        counts, off, far = [0] * (len(text) + 1), 0.0, 0
+        for at, char in enumerate(text):
+            here = scores[at]
+            if here < RESTART:
+                for i in range(at, far + 1):
+                    if scores[i] is not None:
+                        scores[i] = single(scores[i] - here)
+                off, here = off + here, 0.0
+            alone = False
+            for length, score in sorted(starts.get(at, ())):
+                alone |= length == 1
+                far = max(far, at + length)
+                if scores[at + length] is None or here + score > scores[at + length]:
+                    scores[at + length], counts[at + length] = single(here + score), counts[at] + 1
+            if not alone:
+                total = single(here + self.unknown)
+                far = max(far, at + 1)
+                if scores[at + 1] is None or total > scores[at + 1]:
+                    scores[at + 1], counts[at + 1] = total, counts[at] + len(char.encode())
+        return scores[-1], counts[-1], off
+
     def count(self, text: str | None) -> tuple[float, int]:
         """(score, pieces) of the best path over ``text``; empty texts have neither."""
         if not text:
             return 0.0, 0
-        memo, total, pieces = self.memo, 0.0, 0
-        runs = self.runs(SPACE + text.replace(" ", SPACE))
-        new = set(runs).difference(memo)
-        if len(memo) + len(new) > self.MEMO:
-            memo.clear()
-            new = set(runs)
-        for r in new:
-            memo[r] = self.run(r)
-        for score, n in map(memo.__getitem__, runs):
-            total += score
+        score, pieces, off = 0.0, 0, 0.0
+        floor, per_step, tables = 0.0, 0.0, ({}, {})  # the memo's part for scores from the one at hand down to the floor
+        for run in self.runs(SPACE + text.replace(" ", SPACE)):
+            if score <= floor:
+                floor = 0.0  # no memo for the run at hand
+                if self.UPTO < score < 0:
+                    exponent = math.frexp(score)[1]
+                    floor, per_step = max(self.UPTO, -math.ldexp(1.0, exponent)), math.ldexp(1.0, 24 - exponent)
+                    if self.held > self.MEMO:
+                        self.memo.clear()
+                        self.held = 0
+                    tables = self.memo.setdefault(exponent, ({}, {}))
+            if floor < score < 0:
+                odd = int(score * per_step) & 1
+                found = tables[odd].get(run)
+                if found is None and len(run) <= self.MEMO_CHARS:
+                    start = -math.ldexp(1.0, exponent - 1) - odd / per_step
+                    found = self._relative(run, start, 1 / per_step)
+                    if found:
+                        tables[odd][run] = found
+                        self.held += 1
+                if found and score + found[0] > floor:
+                    score += found[0]
+                    pieces += found[1]
+                    continue
+            score, n, gone = self._absolute(run, score)
             pieces += n
-        return total, pieces
+            off += gone
+        return score + off, pieces
+
+
+def rank_scores(pieces: int) -> list[float]:
+    """Log-probabilities by Zipf's law for pieces in order of rank: the chance of one is in inverse proportion to its place."""
+    whole = math.log(sum(1 / i for i in range(1, pieces + 1)))
+    return [-math.log(i) - whole for i in range(1, pieces + 1)]
 
 
 @lru_cache(maxsize=2)
 def counter(model_path: str) -> Counter:
-    """The ordinary pieces of a sentencepiece file, with their scores, as a unigram vocabulary."""
+    """The ordinary pieces of a sentencepiece file as a unigram vocabulary.
+
+    A file of merges has ranks in place of log-probabilities; its pieces get the scores of :func:`rank_scores` by their order.
+    """
+    return Counter(vocabulary(model_path))
+
+
+def vocabulary(model_path: str) -> list[tuple[str, float]]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -98,13 +185,19 @@ def counter(model_path: str) -> Counter:
         i for i in range(model.get_piece_size())
         if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
     ]
-    return Counter([(model.id_to_piece(i), model.get_score(i)) for i in plain])
+    scores = [model.get_score(i) for i in plain]
+    if all(s.is_integer() for s in scores):
+        scores = rank_scores(len(plain))
+    return [(model.id_to_piece(i), s) for i, s in zip(plain, scores)]
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, n_tokens, score) for every row, by the best path over its whole text.
 
-    Null and empty texts have 0 tokens and score 0; repeated rows stay as many;
+    The pieces and scores of the file are read as a unigram vocabulary: counts
+    are those of the tokenizer's unigram model over it, not of the merges that
+    the same file may also stand for. Time and memory grow in proportion to a
+    text's length, however long it is. Null and empty texts have 0 tokens and score 0; repeated rows stay as many;
     other columns are ignored; an empty table gives no rows. No shuffle.
     """
 
