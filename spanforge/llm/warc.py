@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .store import discard, save
 
-MAGIC = "WARC/1.1\r\n"
+#: What each record begins with; one digit of the version and a line end follow.
+MAGIC = "WARC/1."
 CRLF = "\r\n"
 
 
@@ -47,7 +48,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0,
     field = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(CRLF))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     head = F.concat(
-        F.lit(MAGIC),
+        F.lit(MAGIC + "1" + CRLF),
         field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         F.coalesce(field("WARC-Record-ID", urn(F.col("page_id"))), F.lit("")),
         F.when(F.col("url") != "", field("WARC-Target-URI", F.col("url"))).otherwise(""),
@@ -67,7 +68,10 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0,
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """The text between occurrences of the magic line, in the order of the file split that holds it."""
+    """The text between occurrences of the magic, with its place among those of its file split.
+
+    Splits and tasks may differ from one scan to the next, so ``part`` orders the rows of a single scan alone.
+    """
     return spark.read.option("lineSep", MAGIC).text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
@@ -76,28 +80,35 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _chunks(scan: DataFrame) -> DataFrame:
-    """A thin row per chunk: what its header says, were it a record, and the digest of its block."""
-    head = F.substring_index("value", CRLF * 2, 1)
-    has = F.locate(CRLF * 2, F.col("value")) > 0
+def _marks() -> list[Column]:
+    """128 bits by which a chunk's text is found again in another scan of its file."""
+    return [F.xxhash64("value").alias("x"), F.xxhash64("value", F.lit(1)).alias("y")]
+
+
+def _chunks(scan: DataFrame, keep: bool) -> DataFrame:
+    """A row per chunk: what its header says, were it a record, and the digest of its block.
+
+    The text itself is kept only where the chunk isn't a whole record, or of all chunks with ``keep``.
+    """
+    begins = F.col("value").rlike("^[01]\r\n") & (F.locate(CRLF * 2, F.col("value")) > 0)
     rows = scan.select(
-        "file", "split", "part",
+        "file", "split", "part", "value", *_marks(),
         F.octet_length("value").cast("long").alias("size"),
-        F.when(has, head).alias("head"),
-        F.col("value"),
+        F.when(begins, F.substring_index("value", CRLF * 2, 1)).alias("head"),
     )
     say = lambda name: F.nullif(F.trim(F.regexp_extract(
-        "head", rf"(?:^|\r\n)(?i:{name}):[ \t]*([^\r\n]*)", 1)), F.lit(""))
+        "head", rf"\r\n(?i:{name}):[ \t]*([^\r\n]*)", 1)), F.lit(""))
     rows = rows.withColumns({
         "block_at": F.octet_length("head").cast("long") + 4,
-        "length": F.expr("try_cast(nullif(regexp_extract(head, '(?:^|\\\\r\\\\n)(?i:Content-Length):[ \\\\t]*(\\\\d+)', 1), '') as bigint)"),
+        "length": F.regexp_extract("head", r"\r\n(?i:Content-Length):[ \t]*(\d+)", 1).try_cast("long"),
         "type": say("WARC-Type"), "record_id": say("WARC-Record-ID"), "refers": say("WARC-Refers-To"),
         "digest": say("WARC-Payload-Digest"), "url": say("WARC-Target-URI"),
     })
-    whole = F.col("block_at") + F.col("length") <= F.col("size")
-    return rows.withColumn(
-        "sha", F.when(whole, F.sha1(F.expr("substring(cast(value as binary), cast(block_at + 1 as int), cast(length as int))")))
-    ).drop("value", "head")
+    whole = F.coalesce(F.col("block_at") + F.col("length") <= F.col("size"), F.lit(False))
+    rows = rows.withColumns({
+        "sha": F.when(whole, F.sha1(F.expr("substring(cast(value as binary), cast(block_at + 1 as int), cast(length as int))"))),
+        "text": F.col("value") if keep else F.when(~whole, F.col("value"))})
+    return rows.drop("value", "head")
 
 
 def _placed(chunks: DataFrame) -> DataFrame:
@@ -136,38 +147,50 @@ def _reachable(candidates: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """A row per record of the archives in ``path``.
+    """A row per record of the archives (WARC/1.0 or 1.1) in ``path``.
 
     Columns: file, at, type, record_id, refers, digest, url, length (of its
     block), sha (hexadecimal SHA-1 of its block), and payload (binary) where
-    ``payloads`` is set. Files are split like any text; every magic line is a
+    ``payloads`` is set. Files are split like any text; every magic is a
     candidate with the offset of its successor, and only candidates on the chain
-    from the start of the file are records. A magic line inside a payload is not
-    on the chain: the pieces that it cuts a block into are joined again. A chain
-    that breaks (a cut or damaged record) ends there. No files: no rows.
+    from the start of the file are records. A magic inside a payload is not
+    on the chain: the pieces that it cuts a block into are joined again, and each
+    of them is found by its place after the record's start in one order of offsets a file.
+    Pieces that look like whole records themselves are read a second time. A chain
+    that breaks (a cut or damaged record) ends there. No files: no rows. The table
+    is written to the shared folder, so later readers see the same rows.
     """
     scan = _scan(spark, path)
-    chunks = save(_placed(_chunks(scan)), "warc-chunks")
+    chunks = save(_placed(_chunks(scan, payloads)), "warc-chunks")
     after = F.col("at") + len(MAGIC) + F.col("block_at") + F.col("length") + 4
     known = _reachable(chunks.where("length is not null and type is not null").select("file", "at", after.alias("to")))
     records = chunks.join(known, ["file", "at"])
-    cut = save(records.where("sha is null and length is not null").select(
-        "file", F.col("at").alias("start"), after.alias("end"), "block_at", "length"), "warc-cut")
-    block = F.expr("substring(cast(value as binary), cast(block_at + 1 as int), cast(length as int))")
+    made = [chunks, known]
+    block = lambda c: F.expr(f"substring(cast({c} as binary), cast(block_at + 1 as int), cast(length as int))")
+    cut = records.where("sha is null and length is not null")
     if cut.isEmpty():
         out = records.withColumn("joined", F.lit(None).cast("binary"))
     else:
-        # written first: the texts are shuffled only if the list of pieces is over the broadcast limit
-        pieces = save(chunks.select("file", "at", "part").join(cut, "file").where("at >= start and at < end"), "warc-pieces")
-        texts = scan.select("part", "value").join(pieces, "part").groupBy("file", "start", "block_at", "length").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value), MAGIC).alias("value")
-        )
-        joined = texts.select("file", F.col("start").alias("at"), block.alias("joined"))
-        out = records.join(joined, ["file", "at"], "left")
+        starts = cut.select("file", "at", F.struct(F.col("at").alias("start"), after.alias("end"), "block_at", "length").alias("record"))
+        upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        placed = chunks.select("file", "at", "x", "y", "text").join(starts, ["file", "at"], "left").withColumn("record", F.last("record", ignorenulls=True).over(upto))
+        pieces = save(placed.where("at < record.end").select("file", "at", "x", "y", "text", "record.*"), "warc-pieces")
+        made.append(pieces)
+        again = pieces.where("text is null").select("file", "x", "y").distinct()
+        if not again.isEmpty():
+            found = scan.select("file", "value", *_marks()).join(again, ["file", "x", "y"]).groupBy("file", "x", "y").agg(F.first("value").alias("value"))
+            found = save(found, "warc-found")
+            made.append(found)
+            pieces = pieces.join(found, ["file", "x", "y"], "left").withColumn("text", F.coalesce("text", "value"))
+        whole = pieces.groupBy("file", "start", "block_at", "length").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("at", "text"))), lambda p: p.text), MAGIC).alias("value"))
+        out = records.join(whole.select("file", F.col("start").alias("at"), block("value").alias("joined")), ["file", "at"], "left")
         out = out.withColumn("sha", F.coalesce("sha", F.sha1("joined")))
     if payloads:
-        out = out.join(scan.select("part", "value"), "part").withColumn("payload", F.coalesce("joined", block)).drop("value")
-    return out.drop("joined", "part", "split", "size", "block_at")
+        out = out.withColumn("payload", F.coalesce("joined", block("text")))
+    out = save(out.drop("joined", "part", "split", "size", "block_at", "x", "y", "text"), "warc-records")
+    discard(*made)
+    return out
 
 
 def warc_round_trip(pages: DataFrame, path: str, min_revisit_bytes: int = 0, compression: str | None = None) -> DataFrame:
@@ -179,10 +202,10 @@ def warc_round_trip(pages: DataFrame, path: str, min_revisit_bytes: int = 0, com
     """
     write_warc(pages, path, min_revisit_bytes, compression=compression)
     page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, 'page:(-?[0-9]+)>', 1), '') as bigint)")
-    records = save(read_warc(pages.sparkSession, path).select(
+    records = read_warc(pages.sparkSession, path).select(
         page("record_id").alias("page_id"), F.col("length").alias("payload_bytes"),
         F.concat(F.lit("sha1:"), base32(F.col("sha"))).alias("own"), "digest", F.col("type").alias("record_type"), page("refers").alias("refers_to"),
-    ), "warc-records")
+    )
     full = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(
         F.first("own").alias("full"), F.first("payload_bytes").alias("full_bytes"))
     revisits = records.where("record_type = 'revisit'").join(full, ["refers_to", "digest"], "left")

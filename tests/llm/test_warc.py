@@ -1,8 +1,9 @@
 import base64
 import hashlib
 
-from spanforge.llm.warc import MAGIC, read_warc, warc_round_trip, write_warc
+from spanforge.llm.warc import read_warc, warc_round_trip, write_warc
 
+MAGIC = "WARC/1.1\r\n"
 SCHEMA = "page_id long, url string, html string, type string"
 
 
@@ -49,3 +50,25 @@ def test_payloads_come_back_whole_and_compressed_files_are_read(spark, tmp_path)
 def test_no_pages(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     assert warc_round_trip(df, str(tmp_path / "none")).count() == 0
+
+
+def test_archives_of_version_1_0_and_broken_chains(spark, tmp_path):
+    record = lambda i, body, n=None, v="1.0": (
+        f"WARC/{v}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body) if n is None else n}\r\n\r\n{body}\r\n\r\n")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "old.warc").write_bytes((record(1, "one WARC/1.2 and WARC/1.0\r\nx") + record(2, "two", v="1.1") + record(3, "")).encode())
+    (tmp_path / "a" / "broken.warc").write_bytes((record(4, "four") + record(5, "five", n=99) + record(6, "six")).encode())
+    (tmp_path / "a" / "other.txt").write_bytes(b"no archive, WARC/1.0\r\nContent-Length: 0\r\n\r\n")
+    got = {r.record_id: bytes(r.payload) for r in read_warc(spark, str(tmp_path / "a"), payloads=True).collect() if r.payload is not None}
+    assert {k: v for k, v in got.items() if k[-2] in "1234"} == {
+        "<urn:page:1>": b"one WARC/1.2 and WARC/1.0\r\nx", "<urn:page:2>": b"two", "<urn:page:3>": b"", "<urn:page:4>": b"four"}
+    assert "<urn:page:6>" not in got
+
+
+def test_clashing_columns_repeated_rows_and_very_long_pages(spark, tmp_path):
+    long = ("<p>text " + MAGIC) * 40_000
+    rows = [(1, "u", long, "a", 1), (1, "u", long, "b", 2), (2, "u", long[:-1], "c", 3), (3, "u", None, "d", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, value string, size int")
+    got = sorted(tuple(r)[:5] for r in warc_round_trip(df, str(tmp_path / "c")).collect())
+    assert [(r[0], r[1], r[3]) for r in got] == [(1, len(long), "response"), (1, len(long), "response"), (2, len(long) - 1, "response"), (3, 0, "response")]
+    assert got[0][2] == base64.b32encode(hashlib.sha1(long.encode()).digest()).decode()
