@@ -11,6 +11,10 @@ POSITION = 30
 BIN_BITS = 6
 #: Elements that a component is made of.
 TUPLE = 2
+#: Longest run without white space that counts as one word; longer ones count by their overlapping character runs.
+WORD = 24
+#: Characters of such a run.
+GRAM = 4
 #: Steps of the search for a k-mer's occurrence number, longest first.
 _STEPS = "transform(sequence(29, 0, -1), s -> shiftleft(1, s))"
 
@@ -29,10 +33,25 @@ def _occurrence(kmers: Column, x: Column, i: Column) -> Column:
     return F.when(~same(F.lit(1)), 0).when(~same(F.lit(2)), 1).otherwise(run)
 
 
+def _words(text: Column) -> Column:
+    """Runs without white space; in place of one of more than WORD characters, as in scripts without blanks, its character runs.
+
+    What a word turns into depends on that word alone, so an edit elsewhere doesn't change it.
+    """
+    def grams(w: Column) -> Column:
+        # a lambda's own argument is worked out once, an expression inside of it for each element
+        return F.flatten(F.transform(F.array(F.split(w, "")), lambda letters: F.transform(
+            letters, lambda c, i: F.concat(c, *(F.coalesce(F.get(letters, i + k), F.lit("")) for k in range(1, GRAM))))))
+
+    words = F.split(text, r"(?U)\s+")
+    long = lambda w: F.char_length(w) > WORD
+    return F.when(F.exists(words, long), F.flatten(F.transform(words, lambda w: F.when(long(w), grams(w)).otherwise(F.array(w))))).otherwise(words)
+
+
 def _with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``, the signature of the column ``text`` as an array of longs, one for each bin that isn't empty.
 
-    The elements are pairs of neighbouring words, the last word alone counting
+    The elements are pairs of neighbouring words (see :func:`_words`), the last word alone counting
     as one, each with its occurrence number. Bins are cut from an element's
     hash; in each the two smallest hashes are selected, put in text order and
     hashed together. Each step is a column of its own, so that it is evaluated once.
@@ -40,7 +59,7 @@ def _with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     words, kmers, elements, chosen = (f"_{out}_{x}" for x in ("words", "kmers", "elements", "chosen"))
     low = F.lit((1 << POSITION) - 1)
     bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
-    df = df.withColumn(words, F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " "))
+    df = df.withColumn(words, _words(F.col(text)))
     df = df.withColumn(kmers, F.sort_array(F.transform(
         words, lambda w, i: F.shiftleft(F.xxhash64(w, F.get(F.col(words), i + 1)), POSITION).bitwiseOR(i.cast("long"))
     ))).drop(words)
@@ -99,29 +118,33 @@ def _in_buckets(rows: DataFrame, bucket_rows: int, most_buckets: int) -> DataFra
     bounds: list[int] = []
     if want:
         shares = [i / (want + 1) for i in range(1, want + 1)]
-        found = rows.agg(F.percentile_approx("doc_id", shares, 4 * most_buckets)).first()[0] or []
+        found = rows.agg(F.percentile_approx("doc_id", shares, 4 * want)).first()[0] or []
         bounds = sorted(set(found), reverse=True)
+    listed = lambda xs: F.expr(f"cast(split('{','.join(map(str, xs))}', ',') as array<bigint>)")
     if bounds:
         steps = ",".join(str(1 << s) for s in range(len(bounds).bit_length() - 1, -1, -1))
-        listed = F.expr(f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)")
         bucket = F.aggregate(
             F.expr(f"array({steps})"), F.lit(0),
-            lambda acc, s: F.when(F.coalesce(F.get(listed, acc + s - 1) > F.col("order"), F.lit(False)), acc + s).otherwise(acc),
+            lambda acc, s: F.when(F.coalesce(F.get(listed(bounds), acc + s - 1) > F.col("order"), F.lit(False)), acc + s).otherwise(acc),
         )
     else:
         bucket = F.lit(0)
     rows = rows.withColumn("order", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("bucket", bucket)
-    heads = sorted((r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.max("order").alias("head")).collect())
-    host = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    guests = rows.withColumn(
-        "bucket", F.element_at(F.expr(f"str_to_map('{','.join(f'{h}:{b}' for h, b in host.items())}')"), F.col("order").cast("string")).cast("int")
-        if host else F.lit(None).cast("int")
-    ).where("bucket is not null").withColumn("guest", F.lit(True))
-    return rows.withColumn("guest", F.lit(False)).unionByName(guests)
+    heads = dict(rows.groupBy("bucket").agg(F.max("order")).collect())
+    rows = rows.withColumn("guest", F.lit(False))
+    if not heads:
+        return rows
+    # by bucket: the id at its head, and the bucket before it that isn't empty (for the first: the last)
+    filled = sorted(heads)
+    before = {b: filled[i - 1] for i, b in enumerate(filled)}
+    head = F.get(listed([heads.get(b, 0) for b in range(len(bounds) + 1)]), F.col("bucket"))
+    host = F.get(listed([before.get(b, 0) for b in range(len(bounds) + 1)]), F.col("bucket"))
+    guests = rows.where(F.col("order") == head).withColumns({"bucket": host.cast("int"), "guest": F.lit(True)})
+    return rows.unionByName(guests)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      bucket_rows: int = 512, most_buckets: int = 8192) -> DataFrame:
+                      bucket_rows: int = 512, most_buckets: int = 1 << 16) -> DataFrame:
     """Fingerprints of every text and of an edit of it, and their likeness.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the
@@ -129,7 +152,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shorter); after the last comes the first. Columns: doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The texts are shuffled once, by ranges of ids. Null texts count as empty,
+    The texts are shuffled once, by ranges of ids: ``bucket_rows`` rows a range, or
+    more of them where there would be over ``most_buckets`` ranges, which bound what the
+    driver holds; Spark's window keeps the rows of a larger range on disk. Null texts count as empty,
     which have a fingerprint of their own; rows of equal id follow each other by
     text, those without id come last; a single row is its own next. Other columns are
     ignored and an empty table gives no rows.

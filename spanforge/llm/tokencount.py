@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack, unpack
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +40,15 @@ class Counter:
     with a new one in double precision. Where the best score at a position is below
     RESTART, it is taken off all scores that are open there.
 
-    What a run adds depends on the score before it only by the size of its last
-    binary digit and by whether that digit is even, as long as the size stays
-    the same: a bounded memo holds the short runs seen, by both.
+    A bounded memo holds, for the short runs seen, the scores along their best
+    path as exact sums give it, and by how much other paths lose at its
+    positions. Where that is more than rounding could make up for, the path is the same
+    from any score before; elsewhere the run is worked out from the score at hand.
     """
 
     MEMO = 300_000
     #: Longer runs are worked out anew each time, so the memo holds no more than MEMO times this many characters.
     MEMO_CHARS = 64
-    #: Least score that a run of the memo may reach within it, and the score up to which the memo is used.
-    LOWEST, UPTO = -10_000.0, RESTART + 10_000.0
 
     def __init__(self, pieces: list[tuple[str, float]]) -> None:
         import ahocorasick
@@ -63,8 +63,7 @@ class Counter:
             self.found.add_word(piece, (len(piece), single(score)))
         if pieces:
             self.found.make_automaton()
-        self.memo: dict[int, tuple[dict, dict]] = {}
-        self.held = 0
+        self.memo: dict[str, tuple[bytes, int, float, float]] = {}
         self.runs = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 
     def _matches(self, text: str) -> dict[int, list[tuple[int, float]]]:
@@ -75,29 +74,31 @@ class Counter:
                 ends.setdefault(last, []).append(hit)
         return ends
 
-    def _relative(self, text: str, before: float, step: float) -> tuple[float, int] | None:
-        """(what the run adds to ``before``, pieces), where all scores are multiples of ``step``; None if one is below LOWEST."""
+    def _path(self, text: str) -> tuple[bytes, int, float, float]:
+        """(scores along the best path, pieces, least lead a character, lowest score of a position) in exact sums."""
         ends = self._matches(text)
-        scores, counts = [0.0], [0]
+        scores, counts, leads, steps = [0.0], [0], [math.inf], [(0, 0.0)]
         for last, char in enumerate(text):
-            best = None
-            alone = False
-            n = 0
-            for length, score in ends.get(last, ()):
-                at = last + 1 - length
-                total = scores[at] + score
-                alone = length == 1
-                if best is None or total > best:
-                    best, n = round((before + total) / step) * step - before, counts[at] + 1
+            best, lead, n, step, alone = -math.inf, math.inf, 0, (0, 0.0), False
+            tried = [(scores[last + 1 - length] + score, last + 1 - length, score, 1) for length, score in ends.get(last, ())]
+            alone = bool(tried) and tried[-1][1] == last
             if not alone:
-                total = round((before + scores[last] + self.unknown) / step) * step - before
-                if best is None or total > best:
-                    best, n = total, counts[last] + len(char.encode())
-            if best < self.LOWEST:
-                return None
+                tried.append((scores[last] + self.unknown, last, self.unknown, len(char.encode())))
+            for total, at, score, pieces in tried:
+                if total > best:
+                    best, lead, n, step = total, total - best, counts[at] + pieces, (at, score)
+                else:
+                    lead = min(lead, best - total)
             scores.append(best)
             counts.append(n)
-        return scores[-1], counts[-1]
+            leads.append(lead)
+            steps.append(step)
+        path, lead, at = [], math.inf, len(text)
+        while at:
+            lead = min(lead, leads[at])
+            at, score = steps[at]
+            path.append(score)
+        return pack(f"<{len(path)}f", *reversed(path)), counts[-1], lead / len(text), min(scores)
 
     def _absolute(self, text: str, before: float) -> tuple[float, int, float]:
         """(score after the run, pieces, what was taken off), each position's pieces tried in turn as the tokenizer does."""
@@ -131,37 +132,61 @@ class Counter:
         """(score, pieces) of the best path over ``text``; empty texts have neither."""
         if not text:
             return 0.0, 0
+        memo, runs = self.memo, self.runs(SPACE + text.replace(" ", SPACE))
+        new = {r: self._path(r) for r in set(runs).difference(memo)}
+        if new:
+            short = {r: f for r, f in new.items() if len(r) <= self.MEMO_CHARS}
+            if len(memo) + len(short) > self.MEMO:
+                memo.clear()
+            memo.update(short)
+            found = [memo.get(r) or new.get(r) or self._path(r) for r in runs]
+        else:
+            found = list(map(memo.__getitem__, runs))
+        packed, pieces, leads, lows = zip(*found)
+        score = self._along(packed, 0.0)
+        if score + min(lows) > RESTART and min(leads) > digit(score):
+            return score, sum(pieces)
+        return self._walk(runs, found, digit(max(score, RESTART)))
+
+    @staticmethod
+    def _along(packed: tuple[bytes, ...] | list[bytes], before: float) -> float:
+        """``before`` and the scores, added one by one in single precision."""
+        return float(np.add.accumulate(np.frombuffer(pack("<f", before) + b"".join(packed), "<f4"))[-1])
+
+    def _walk(self, runs: list[str], found: list[tuple], step: float) -> tuple[float, int]:
+        """As :meth:`count`, where a run may depend on the score before it: those runs are worked out one by one."""
         score, pieces, off = 0.0, 0, 0.0
-        floor, per_step, tables = 0.0, 0.0, ({}, {})  # the memo's part for scores from the one at hand down to the floor
-        for run in self.runs(SPACE + text.replace(" ", SPACE)):
-            if score <= floor:
-                floor = 0.0  # no memo for the run at hand
-                if self.UPTO < score < 0:
-                    exponent = math.frexp(score)[1]
-                    floor, per_step = max(self.UPTO, -math.ldexp(1.0, exponent)), math.ldexp(1.0, 24 - exponent)
-                    if self.held > self.MEMO:
-                        self.memo.clear()
-                        self.held = 0
-                    tables = self.memo.setdefault(exponent, ({}, {}))
-            if floor < score < 0:
-                odd = int(score * per_step) & 1
-                found = tables[odd].get(run)
-                if found is None and len(run) <= self.MEMO_CHARS:
-                    start = -math.ldexp(1.0, exponent - 1) - odd / per_step
-                    found = self._relative(run, start, 1 / per_step)
-                    if found:
-                        tables[odd][run] = found
-                        self.held += 1
-                if found and score + found[0] > floor:
-                    score += found[0]
-                    pieces += found[1]
-                    continue
-            score, n, gone = self._absolute(run, score)
-            pieces += n
-            off += gone
+        near = [i for i, f in enumerate(found) if f[2] <= step or f[3] < -5000.0]
+        done = 0
+        for i in [*near, len(runs)]:
+            part = found[done:i]
+            after = self._along([f[0] for f in part], score)
+            if after > RESTART + 5000.0:
+                score = after
+                pieces += sum(f[1] for f in part)
+            else:
+                for run, (packed, n, _, low) in zip(runs[done:i], part):
+                    if score < RESTART:
+                        off, score = off + score, 0.0
+                    if score + low > RESTART:
+                        score = self._along([packed], score)
+                    else:
+                        score, n, gone = self._absolute(run, score)
+                        off += gone
+                    pieces += n
+            if i < len(runs):
+                score, n, gone = self._absolute(runs[i], score)
+                pieces += n
+                off += gone
+            done = i + 1
         return score + off, pieces
 
 
+def digit(score: float) -> float:
+    """Value of the last binary digit of ``score`` in single precision, times two."""
+    return math.ldexp(1.0, math.frexp(score)[1] - 23)
+
+
 def rank_scores(pieces: int) -> list[float]:
     """Log-probabilities by Zipf's law for pieces in order of rank: the chance of one is in inverse proportion to its place."""
     whole = math.log(sum(1 / i for i in range(1, pieces + 1)))

@@ -72,7 +72,16 @@ def hits(words: list[str], lexicon: Lexicon) -> list[tuple[int, float]]:
             safe.append((start, last))
         else:
             best[start] = max(weight, best.get(start, 0.0))
-    return [(s, w) for s, w in sorted(best.items()) if not any(a <= s < b for a, b in safe)]
+    # exceptions in order of their start: a hit is inside one if the furthest end so far is beyond it
+    safe.sort()
+    out, i, end = [], 0, -1
+    for s, w in sorted(best.items()):
+        while i < len(safe) and safe[i][0] <= s:
+            end = max(end, safe[i][1])
+            i += 1
+        if s >= end:
+            out.append((s, w))
+    return out
 
 
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
@@ -143,8 +152,8 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, min_docs: int) -> tuple[str
 
     found = sample.select("text", "toxic").mapInArrow(run, "phrase string, label int").groupBy("phrase").agg(
         F.count("*").alias("n"), F.max("label").alias("toxic"))
-    rows = found.where((F.col("toxic") == 0) & (F.col("n") >= min_docs)).orderBy(F.desc("n"), "phrase").limit(2000).collect()
-    return tuple(r.phrase for r in rows)
+    rows = found.where((F.col("toxic") == 0) & (F.col("n") >= min_docs)).select("phrase").collect()
+    return tuple(sorted(r.phrase for r in rows))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, ...]:
@@ -162,13 +171,13 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, ...]
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          most_rows: int = 20_000, most_terms: int = 2000, min_docs: int = 5, odds: float = 20.0) -> Lexicon:
+          most_rows: int = 20_000, min_docs: int = 5, odds: float = 20.0) -> Lexicon:
     """A lexicon from the labelled rows that aren't held out.
 
     ``most_rows`` bounds the sample of labelled rows (chosen by a hash of the
     id, so about that many), and so all that is broadcast or reaches the driver:
-    the ids of the sample, at most ``most_terms`` terms, and three numbers a row.
-    A term must be in ``min_docs`` toxic documents and be ``odds`` times as
+    the ids of the sample, the terms and exception phrases that occur in ``min_docs`` and
+    in three of its rows or more, and three numbers a row. A term must be in ``min_docs`` toxic documents and be ``odds`` times as
     frequent in them as in clean ones; the start of a word replaces longer terms
     that begin with it. Rows with a null id or label are not learnt from; with
     no toxic rows the lexicon is empty.
@@ -187,13 +196,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Lexicon()
     rate = ((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1))
     rows = _count_terms(sample, range(3, 9)).where(F.col("pos") >= min_docs).withColumn("odds", rate).where(
-        F.col("odds") >= odds).orderBy(F.desc("odds"), "term").limit(4 * most_terms).collect()
+        F.col("odds") >= odds).select("term", "odds").collect()
     kept: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.term), r.term)):
         covered = any(kept.get(r.term[:k], 0.0) >= math.log(r.odds) - 0.7 for k in range(2, len(r.term)))
         if not covered:
             kept[r.term] = math.log(r.odds)
-    terms = tuple(sorted(kept.items(), key=lambda t: (-t[1], t[0]))[:most_terms])
+    terms = tuple(sorted(kept.items(), key=lambda t: (-t[1], t[0])))
     lexicon = Lexicon(terms)
     lexicon = Lexicon(terms, _exceptions(sample, lexicon, 3))
 

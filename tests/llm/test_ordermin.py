@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import struct
 from collections import Counter
 
@@ -17,8 +18,15 @@ def longs(*values):
     return seed
 
 
+def words_of(text):
+    out = []
+    for w in re.split(r"\s+", text):
+        out += [w] if len(w) <= 24 else [w[i:i + 4] for i in range(len(w))]
+    return out
+
+
 def signature(text):
-    words = text.replace("\n", " ").split(" ")
+    words = words_of(text)
     seen, elements = Counter(), []
     kmers = []
     for i, w in enumerate(words):
@@ -66,6 +74,7 @@ def sample():
     vocab = ["".join(rng.choice("abcdeéßñ") for _ in range(rng.randrange(1, 6))) for _ in range(300)]
     rows = [(0, None), (1, ""), (2, " "), (3, "one"), (4, "same same " * 3000), (5, "a\nb c"), (6, "a b\nc")]
     rows += [(i * i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 900)))) for i in range(10, 70)]
+    rows += [(200, "x" * 24), (201, "x" * 25), (202, "tab\tand\u2003wide  blank "), (203, "".join(rng.choice("漢字仮名交文") for _ in range(300)) + " 😀" * 30)]
     rows += [(9000, rows[-1][1]), (9001, rows[-1][1]), (9001, "twice"), (9001, "twice")]
     return rows
 
@@ -90,3 +99,21 @@ def test_no_python_runs(spark):
     df = spark.createDataFrame([(1, "a b", 0, "")], SCHEMA)
     plan = fingerprint_edits(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_likeness_follows_edits_in_texts_without_blanks_and_with_other_white_space(spark):
+    rng = random.Random(4)
+    solid = "".join(rng.choice("漢字仮名交文日本語東京都") for _ in range(2000))
+    tabs = "\t".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(300))
+    latin = "".join(rng.choice("abcdefghij") for _ in range(2000))
+    rows = []
+    for i, (text, edit) in enumerate(((solid, solid[:-10] + "い" * 10), (tabs, tabs[:-5] + "zzzzz"), (latin, latin[:1000] + "-" + latin[1000:]), (latin, latin[::-1]))):
+        rows += [(10 * i + 1, text), (10 * i, edit)]  # in descending order the edit follows its text
+    near = {r.doc_id: r.near_next for r in fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near[1] > 0.9 and near[11] > 0.9 and near[21] > 0.9 and near[31] < 0.1
+
+
+def test_very_long_runs_take_time_in_proportion(spark):
+    text = "ab" * 400_000
+    r = fingerprint_edits(spark.createDataFrame([(2, text), (1, text + "c")], "doc_id long, text string")).collect()
+    assert len(r) == 2
