@@ -46,8 +46,8 @@ class Counter:
     from any score before; elsewhere the run is worked out from the score at hand.
     """
 
-    MEMO = 300_000
-    #: Longer runs are worked out anew each time, so the memo holds no more than MEMO times this many characters.
+    #: Runs in each of the memo's halves. Longer ones than MEMO_CHARS are worked out anew each time, so the memo is bounded in bytes too.
+    MEMO = 200_000
     MEMO_CHARS = 64
 
     def __init__(self, pieces: list[tuple[str, float]]) -> None:
@@ -64,34 +64,40 @@ class Counter:
         if pieces:
             self.found.make_automaton()
         self.memo: dict[str, tuple[bytes, int, float, float]] = {}
+        self.older: dict[str, tuple[bytes, int, float, float]] = {}
         self.runs = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 
-    def _matches(self, text: str) -> dict[int, list[tuple[int, float]]]:
+    def _matches(self, text: str) -> list[list[tuple[int, float]]]:
         """For each last character, (length, score) of the pieces that end there, from the longest to the shortest."""
-        ends: dict[int, list[tuple[int, float]]] = {}
+        ends: list[list[tuple[int, float]]] = [[] for _ in text]
         if len(self.found):
             for last, hit in self.found.iter(text):
-                ends.setdefault(last, []).append(hit)
+                ends[last].append(hit)
         return ends
 
     def _path(self, text: str) -> tuple[bytes, int, float, float]:
         """(scores along the best path, pieces, least lead a character, lowest score of a position) in exact sums."""
-        ends = self._matches(text)
         scores, counts, leads, steps = [0.0], [0], [math.inf], [(0, 0.0)]
-        for last, char in enumerate(text):
-            best, lead, n, step, alone = -math.inf, math.inf, 0, (0, 0.0), False
-            tried = [(scores[last + 1 - length] + score, last + 1 - length, score, 1) for length, score in ends.get(last, ())]
-            alone = bool(tried) and tried[-1][1] == last
-            if not alone:
-                tried.append((scores[last] + self.unknown, last, self.unknown, len(char.encode())))
-            for total, at, score, pieces in tried:
+        for last, hits in enumerate(self._matches(text)):
+            best = second = -math.inf
+            length = 0
+            for length, score in hits:
+                total = scores[last + 1 - length] + score
+                if total > best:
+                    best, second, step = total, best, (last + 1 - length, score)
+                elif total > second:
+                    second = total
+            n = counts[step[0]] + 1 if hits else 0
+            if length != 1:
+                total = scores[last] + self.unknown
                 if total > best:
-                    best, lead, n, step = total, total - best, counts[at] + pieces, (at, score)
-                else:
-                    lead = min(lead, best - total)
+                    best, second, step = total, best, (last, self.unknown)
+                    n = counts[last] + len(text[last].encode())
+                elif total > second:
+                    second = total
             scores.append(best)
             counts.append(n)
-            leads.append(lead)
+            leads.append(best - second)
             steps.append(step)
         path, lead, at = [], math.inf, len(text)
         while at:
@@ -103,7 +109,7 @@ class Counter:
     def _absolute(self, text: str, before: float) -> tuple[float, int, float]:
         """(score after the run, pieces, what was taken off), each position's pieces tried in turn as the tokenizer does."""
         starts: dict[int, list[tuple[int, float]]] = {}
-        for last, hits in self._matches(text).items():
+        for last, hits in enumerate(self._matches(text)):
             for length, score in hits:
                 starts.setdefault(last + 1 - length, []).append((length, score))
         scores: list[float | None] = [before] + [None] * len(text)
@@ -133,13 +139,15 @@ class Counter:
         if not text:
             return 0.0, 0
         memo, runs = self.memo, self.runs(SPACE + text.replace(" ", SPACE))
-        new = {r: self._path(r) for r in set(runs).difference(memo)}
+        new = set(runs).difference(memo)
         if new:
-            short = {r: f for r, f in new.items() if len(r) <= self.MEMO_CHARS}
-            if len(memo) + len(short) > self.MEMO:
-                memo.clear()
-            memo.update(short)
-            found = [memo.get(r) or new.get(r) or self._path(r) for r in runs]
+            older = self.older
+            fresh = {r: older.get(r) or self._path(r) for r in new}
+            memo.update((r, f) for r, f in fresh.items() if len(r) <= self.MEMO_CHARS)
+            found = [fresh.get(r) or memo[r] for r in runs]
+            if len(memo) > self.MEMO:
+                # what is still in use comes over from the older half
+                self.memo, self.older = {}, memo
         else:
             found = list(map(memo.__getitem__, runs))
         packed, pieces, leads, lows = zip(*found)
