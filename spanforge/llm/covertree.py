@@ -15,48 +15,68 @@ from .graph import connected_components
 from .simhash import groups
 from .store import save
 
-#: Nodes of this many points or fewer, and those that halving the radius doesn't group, are compared as blocks.
+#: Nodes of this many points or fewer aren't split further and are compared as blocks.
 LEAF = 64
-#: A node has this many children at most; points that no child takes form one more block.
-FAN = 64
+#: Points that look for their neighbours at once while a net is laid.
+BLOCK = 64
 #: Slack of the bounds against rounding; links themselves are decided by the cosine alone.
 SLACK = 1e-9
+#: The same for distances that come from products, whose roots are less exact.
+WIDE_SLACK = 1e-6
+#: Bytes of all pivots together, as they go to every task.
+PIVOT_BYTES = 64 << 20
+#: Vectors whose distances to the pivots are worked out at once.
+ROWS = 256
 
 
 @dataclass
 class Node:
+    """A ball around a point; its children are balls of half its radius or less around points that lie further apart than that.
+
+    ``points`` are all points below it, ``singles`` those of its children that hold one point alone.
+    """
+
     center: np.ndarray
     radius: float
     points: np.ndarray
     children: list[Node] = field(default_factory=list)
-
-
-def _node(units: np.ndarray, points: np.ndarray, center: np.ndarray) -> Node:
-    gaps = np.linalg.norm(units[points] - center, axis=1)
-    node = Node(center, float(gaps.max()), points)
-    if len(points) <= LEAF or node.radius < 1e-6:
-        return node
-    left, singles = points, []
-    while len(left) and len(node.children) + len(singles) < FAN:
-        near = np.linalg.norm(units[left] - units[left[0]], axis=1) <= node.radius / 2
-        taken = left[near]
-        if len(taken) > 1:
-            node.children.append(_node(units, taken, units[left[0]]))
-        else:
-            singles.append(left[0])
-        left = left[~near]
-    rest = np.concatenate([np.array(singles, np.int64), left])
-    if len(rest):
-        gaps = np.linalg.norm(units[rest] - center, axis=1)
-        node.children.append(Node(center, float(gaps.max()), rest))
-    if len(node.children) == 1:
-        node.children = []
-    return node
+    singles: np.ndarray | None = None
+
+    @property
+    def leaf(self) -> bool:
+        return self.singles is None
+
+
+def _net(units: np.ndarray, points: np.ndarray, radius: float) -> list[np.ndarray]:
+    """``points`` by their centers, first: points over ``radius`` apart that cover the others; each goes to the first that covers it."""
+    out, left = [], points
+    while len(left):
+        block = left[:BLOCK]
+        near = 2 - 2 * (units[block] @ units[left].T) <= radius * radius
+        near[np.arange(len(block)), np.arange(len(block))] = True
+        taken = np.zeros(len(left), bool)
+        for i in range(len(block)):
+            if not taken[i]:
+                own = near[i] & ~taken
+                taken |= own
+                own[i] = False
+                out.append(np.concatenate([left[i:i + 1], left[own]]))
+        left = left[~taken]
+    return out
 
 
 def cover_tree(units: np.ndarray, points: np.ndarray) -> Node:
-    """Nested nodes over ``points``: each level halves the radius and keeps the true covering radius of a node."""
-    return _node(units, points, units[points[0]])
+    """Nested nodes over ``points``: each level halves the radius, is separated by it, and keeps a node's true covering radius.
+
+    A node's center is the center of its first child too, so the levels are nested.
+    """
+    center = units[points[0]]
+    node = Node(center, float(np.linalg.norm(units[points] - center, axis=1).max()), points)
+    if len(points) > LEAF and node.radius > WIDE_SLACK:
+        groups_ = _net(units, points, node.radius / 2)
+        node.singles = np.array([g[0] for g in groups_ if len(g) == 1], np.int64)
+        node.children = [cover_tree(units, g) for g in groups_ if len(g) > 1]
+    return node
 
 
 class Links:
@@ -107,89 +127,138 @@ def traverse(units: np.ndarray, left: Node, right: Node, links: Links, cosine: f
     """Links between the points of two trees, or within one tree where both are the same node.
 
     A pair of nodes is left out if even their nearest points could not be
-    linked, and counted whole if even their farthest points must be.
+    linked, and counted whole if even their farthest points must be; otherwise
+    the wider one gives way to its children. Points that are children alone go down the other tree together.
     """
     reach = math.sqrt(2 - 2 * cosine)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        if len(a) and len(b):
+            links.add(a, b, units[a] @ units[b].T >= cosine)
+
+    def within(a: np.ndarray) -> None:
+        if len(a) > 1:
+            links.add(a, a, np.triu(units[a] @ units[a].T >= cosine, 1))
+
+    def whole(a: np.ndarray, b: np.ndarray) -> None:
+        links.counts[a] += links.weights[b].sum()
+        links.counts[b] += links.weights[a].sum()
+        links.join(a, np.full(len(a), b[0]))
+        links.join(b, np.full(len(b), a[0]))
+
+    def descend(singles: np.ndarray, node: Node) -> None:
+        if not len(singles):
+            return
+        gaps = np.linalg.norm(units[singles] - node.center, axis=1)
+        inside = gaps + node.radius < reach - SLACK
+        if inside.any():
+            whole(singles[inside], node.points)
+        singles = singles[(gaps <= node.radius + reach + SLACK) & ~inside]
+        if node.leaf:
+            compare(singles, node.points)
+        else:
+            compare(singles, node.singles)
+            for child in node.children:
+                descend(singles, child)
+
     stack = [(left, right)]
     while stack:
         a, b = stack.pop()
         if a is b:
-            if a.children:
-                stack += [(x, y) for i, x in enumerate(a.children) for y in a.children[i:]]
+            if a.leaf:
+                within(a.points)
             else:
-                links.add(a.points, a.points, np.triu(units[a.points] @ units[a.points].T >= cosine, 1))
+                within(a.singles)
+                for child in a.children:
+                    descend(a.singles, child)
+                stack += [(x, y) for i, x in enumerate(a.children) for y in a.children[i:]]
             continue
         gap = float(np.linalg.norm(a.center - b.center))
         if gap > a.radius + b.radius + reach + SLACK:
             continue
         if gap + a.radius + b.radius < reach - SLACK:
-            links.counts[a.points] += links.weights[b.points].sum()
-            links.counts[b.points] += links.weights[a.points].sum()
-            links.join(a.points, np.full(len(a.points), b.points[0]))
-            links.join(b.points, np.full(len(b.points), a.points[0]))
-        elif a.children and (a.radius >= b.radius or not b.children):
+            whole(a.points, b.points)
+        elif a.leaf and b.leaf:
+            compare(a.points, b.points)
+        elif b.leaf or not a.leaf and a.radius >= b.radius:
+            descend(a.singles, b)
             stack += [(x, b) for x in a.children]
-        elif b.children:
-            stack += [(a, y) for y in b.children]
         else:
-            links.add(a.points, b.points, units[a.points] @ units[b.points].T >= cosine)
+            descend(b.singles, a)
+            stack += [(a, y) for y in b.children]
 
 
 def _units(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _class_links(classes: DataFrame, cosine: float, cells: int, shard_size: int) -> DataFrame:
+def _class_links(classes: DataFrame, cosine: float, cells: int | None, shard_size: int) -> DataFrame:
     """(rep, links, root): partial counts of linked vectors, and spanning links, for distinct vectors.
 
     ``classes`` has (rep, n, label, unit). The top of the trees is spread over
-    the cluster: at most ``cells`` vectors, a bounded sample, are the pivots. A
-    vector belongs to its label's nearest pivot; it also meets another cell of
-    the label if the covering radius of that cell leaves a link possible. Cells
+    the cluster: the pivots are a sample of one in ``shard_size`` vectors, 256 at
+    least and no more than PIVOT_BYTES hold. A vector belongs to its label's
+    nearest pivot. It also meets another cell of the label, unless it is farther
+    from that cell than its covering radius and a link, or farther from its pivot
+    than from its own by twice a link. Cells
     of more than ``shard_size`` vectors are dealt over several trees, and each
     two of them are compared in a task.
     """
     reach = math.sqrt(2 - 2 * cosine)
+    if cells is None:
+        shape = classes.agg(F.count("*"), F.max(F.size("unit"))).first()
+        cells = max(1, min(max(256, shape[0] // shard_size), PIVOT_BYTES // (8 * (shape[1] or 1))))
     picked = classes.orderBy(F.xxhash64("rep"), "rep").limit(cells).select("label", "unit").collect()
     pivots: dict[tuple[str, int], list[tuple[int, list[float]]]] = {}
     for i, p in enumerate(picked):
         pivots.setdefault((p.label, len(p.unit)), []).append((i, p.unit))
     table = {k: (np.array([i for i, _ in v]), np.array([u for _, u in v])) for k, v in pivots.items()}
 
-    def gaps(row_label: str, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, centers = table.get((row_label, len(unit)), (np.array([-1]), None))
-        return ids, np.zeros(1) if centers is None else np.linalg.norm(centers - unit, axis=1)
+    def by_label(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, ids of their label's pivots, distances) for the rows of each label and width."""
+        units = batch.column("unit")
+        widths = np.diff(units.offsets.to_numpy())
+        keys = list(zip(batch.column("label").to_pylist(), widths.tolist()))
+        rows: dict[tuple[str, int], list[int]] = {}
+        for i, key in enumerate(keys):
+            rows.setdefault(key, []).append(i)
+        for (label, width), found in rows.items():
+            ids, centers = table.get((label, width), (np.array([-1]), None))
+            if centers is None:
+                yield np.array(found), ids, np.zeros((len(found), 1))
+            else:
+                own = _units(units.take(pa.array(found)), width)
+                for at in range(0, len(found), ROWS):
+                    gaps = np.sqrt(np.maximum(0.0, 2 - 2 * (own[at:at + ROWS] @ centers.T)))
+                    yield np.array(found[at:at + ROWS]), ids, gaps
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, gap = [], []
-            for label, unit in zip(batch.column("label").to_pylist(), batch.column("unit")):
-                ids, d = gaps(label, unit.values.to_numpy())
-                k = int(d.argmin())
-                cell.append(int(ids[k]))
-                gap.append(float(d[k]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell, pa.int32()), pa.array(gap, pa.float64())], [*batch.schema.names, "cell", "gap"])
+            cell, gap = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for rows, ids, gaps in by_label(batch):
+                near = gaps.argmin(axis=1)
+                cell[rows], gap[rows] = ids[near], gaps[np.arange(len(rows)), near]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], [*batch.schema.names, "cell", "gap"])
 
     kinds = "rep long, n long, label string, unit array<double>"
     placed = save(classes.select("rep", "n", "label", "unit").mapInArrow(assign, kinds + ", cell int, gap double"), "vectors-placed")
     radii = {r.cell: r.radius for r in placed.where("cell >= 0").groupBy("cell").agg(F.max("gap").alias("radius")).collect()}
+    most = np.array([radii.get(i, -3.0) for i in range(len(picked))] + [-3.0])  # the last one is that of cell -1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, cells_met = [], []
-            for k, (label, unit, cell) in enumerate(zip(
-                    batch.column("label").to_pylist(), batch.column("unit"), batch.column("cell").to_pylist())):
-                ids, d = gaps(label, unit.values.to_numpy())
-                for i, gap in zip(ids.tolist(), d.tolist()):
-                    if i == cell or gap <= radii.get(i, -3.0) + reach + SLACK:
-                        rows.append(k)
-                        cells_met.append(i)
-            out = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells_met, pa.int32())], [*out.schema.names, "other"])
+            cell, gap = np.asarray(batch.column("cell")), np.asarray(batch.column("gap"))
+            rest = batch.select([c for c in batch.schema.names if c != "gap"])
+            for rows, ids, gaps in by_label(batch):
+                met = (gaps <= most[ids] + reach + WIDE_SLACK) & (gaps <= gap[rows][:, None] + 2 * reach + WIDE_SLACK)
+                i, j = np.nonzero(met | (ids == cell[rows][:, None]))
+                for at in range(0, len(i), 16 * ROWS):
+                    out = rest.take(pa.array(rows[i[at:at + 16 * ROWS]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*out.columns, pa.array(ids[j[at:at + 16 * ROWS]].astype(np.int32))], [*out.schema.names, "other"])
 
     wide = F.size("unit")
-    met = placed.drop("gap").mapInArrow(meet, kinds + ", cell int, other int").withColumn("width", wide)
+    met = placed.mapInArrow(meet, kinds + ", cell int, other int").withColumn("width", wide)
     shards = F.ceil(F.count("*") / F.lit(shard_size)).cast("int")
     sizes = placed.groupBy("label", "cell", wide.alias("width")).agg(shards.alias("shards"))
     dealt = (
@@ -232,7 +301,7 @@ def _class_links(classes: DataFrame, cosine: float, cells: int, shard_size: int)
 
 
 def embedding_links(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
-                    label_col: str = "label", cells: int = 256, shard_size: int = 2048) -> DataFrame:
+                    label_col: str = "label", cells: int | None = None, shard_size: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
     Rows of the same label and width are linked if the cosine, in double
@@ -240,7 +309,9 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     counted by its size. A vector that is null, empty, zero, or has a null or
     non-finite component, and a row with a null label or id, links with nothing
     and is its own component. Repeated rows count as other vectors. Columns
-    besides the three are ignored; an empty table gives no rows.
+    besides the three are ignored; an empty table gives no rows. A label is
+    compared as a whole, so one that holds most vectors is spread by its cells; what is
+    close to all pairs of a dense cell that isn't within one link's reach costs as many comparisons.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"),

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from spanforge.llm.covertree import embedding_links
+from spanforge.llm.covertree import LEAF, Links, cover_tree, embedding_links, traverse
 
 SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
 
@@ -38,7 +38,7 @@ def sample(n, rng):
     return rows
 
 
-@pytest.mark.parametrize(("cells", "shard"), [(256, 2048), (3, 2048), (4, 20), (1, 17)])
+@pytest.mark.parametrize(("cells", "shard"), [(None, 2048), (3, 2048), (4, 20), (40, 5), (1, 17)])
 def test_links_match_brute_force(spark, cells, shard):
     rng = np.random.default_rng(2)
     rows = sample(260, rng)
@@ -61,3 +61,39 @@ def test_no_rows_and_null_ids(spark):
     assert embedding_links(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, [1.0], 1, ""), (5, [1.0], 1, ""), (5, [1.0], 1, "")], SCHEMA)
     assert sorted((r.vec_id is None, r.n_links, r.kept) for r in embedding_links(df).collect()) == [(False, 1, True), (False, 1, True), (True, 0, True)]
+
+
+def test_trees_are_nested_separated_and_covering():
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(300, 6)), rng.normal(size=(1, 6)) + 0.05 * rng.normal(size=(700, 6)), np.repeat(rng.normal(size=(1, 6)), 100, axis=0)])
+    units = v / np.linalg.norm(v, axis=1)[:, None]
+    stack, seen = [cover_tree(units, np.arange(len(units)))], 0
+    while stack:
+        node = stack.pop()
+        gaps = np.linalg.norm(units[node.points] - node.center, axis=1)
+        assert gaps.max() <= node.radius + 1e-12
+        if node.leaf:
+            assert len(node.points) <= LEAF or node.radius < 1e-5
+            seen += len(node.points)
+            continue
+        seen += len(node.singles)
+        below = np.concatenate([node.singles, *(c.points for c in node.children)])
+        assert sorted(below) == sorted(node.points)
+        assert any((c.center == node.center).all() for c in node.children) or (units[node.singles] == node.center).all(axis=1).any()
+        centers = np.concatenate([units[node.singles], *(c.center[None] for c in node.children)])
+        apart = np.linalg.norm(centers[:, None] - centers[None], axis=2) + 9 * np.eye(len(centers))
+        assert apart.min() > node.radius / 2 - 1e-6 and all(c.radius <= node.radius / 2 + 1e-6 for c in node.children)
+        stack += node.children
+    assert seen == len(units)
+
+
+def test_dual_traversal_finds_the_pairs_of_two_trees():
+    rng = np.random.default_rng(5)
+    center = rng.normal(size=8)
+    for spread in (0.02, 0.08, 0.2, 2.0):
+        v = center + spread * rng.normal(size=(900, 8))
+        units = v / np.linalg.norm(v, axis=1)[:, None]
+        links = Links(np.ones(900, np.int64))
+        traverse(units, cover_tree(units, np.arange(400)), cover_tree(units, np.arange(400, 900)), links, 0.98)
+        want = units[:400] @ units[400:].T >= 0.98
+        assert (links.counts == np.concatenate([want.sum(axis=1), want.sum(axis=0)])).all()
