@@ -31,7 +31,8 @@ class Counter:
     The vocabulary's normalisation is the identity with a space before the text;
     spaces are written as U+2581. No piece has that character after another one, so the
     best path of a text is made of the best paths of its runs (spaces, then the
-    characters up to the next space), each from the score that the one before has left.
+    characters up to the next space), each from the score that the one before has left. If no piece
+    goes on from a letter to another kind of character or back, runs end there too.
 
     Tie rules of the tokenizer: at each end the path whose last piece starts
     first wins, a later one must score more; an unknown character is tried, after
@@ -65,7 +66,13 @@ class Counter:
             self.found.make_automaton()
         self.memo: dict[str, tuple[bytes, int, float, float]] = {}
         self.older: dict[str, tuple[bytes, int, float, float]] = {}
-        self.runs = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        letters = {c for p, _ in pieces if len(p) > 1 for c in p if c.isalpha()}
+        kinds = "".join(map(re.escape, sorted(letters)))
+        if letters and not any(a != SPACE and (a in letters) != (b in letters) for p, _ in pieces for a, b in zip(p, p[1:])):
+            parts = f"{SPACE}+(?:[{kinds}]+|[^{SPACE}{kinds}]+)?|[{kinds}]+|[^{SPACE}{kinds}]+"
+        else:
+            parts = f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        self.runs = re.compile(parts).findall
 
     def _matches(self, text: str) -> list[list[tuple[int, float]]]:
         """For each last character, (length, score) of the pieces that end there, from the longest to the shortest."""
@@ -77,34 +84,37 @@ class Counter:
 
     def _path(self, text: str) -> tuple[bytes, int, float, float]:
         """(scores along the best path, pieces, least lead a character, lowest score of a position) in exact sums."""
-        scores, counts, leads, steps = [0.0], [0], [math.inf], [(0, 0.0)]
-        for last, hits in enumerate(self._matches(text)):
-            best = second = -math.inf
-            length = 0
-            for length, score in hits:
+        ends, unknown = self._matches(text), self.unknown
+        scores, steps = [0.0], [(0, 0.0)]
+        for last, hits in enumerate(ends):
+            best, step, length = -math.inf, (1, unknown), 0
+            for hit in hits:
+                length, score = hit
                 total = scores[last + 1 - length] + score
                 if total > best:
-                    best, second, step = total, best, (last + 1 - length, score)
-                elif total > second:
-                    second = total
-            n = counts[step[0]] + 1 if hits else 0
-            if length != 1:
-                total = scores[last] + self.unknown
-                if total > best:
-                    best, second, step = total, best, (last, self.unknown)
-                    n = counts[last] + len(text[last].encode())
-                elif total > second:
-                    second = total
+                    best, step = total, hit
+            if length != 1 and scores[last] + unknown > best:
+                best, step = scores[last] + unknown, (1, unknown)
             scores.append(best)
-            counts.append(n)
-            leads.append(best - second)
             steps.append(step)
-        path, lead, at = [], math.inf, len(text)
+        path, pieces, lead, at = [], 0, math.inf, len(text)
         while at:
-            lead = min(lead, leads[at])
-            at, score = steps[at]
+            length, score = step = steps[at]
+            best, alone = scores[at], False
+            for hit in ends[at - 1]:
+                alone = hit[0] == 1
+                if hit is not step:
+                    lead = min(lead, best - scores[at - hit[0]] - hit[1])
+            if alone or length != 1:
+                pieces += 1
+                if not alone:
+                    lead = min(lead, best - scores[at - 1] - unknown)
+            else:
+                pieces += len(text[at - 1].encode())
             path.append(score)
-        return pack(f"<{len(path)}f", *reversed(path)), counts[-1], lead / len(text), min(scores)
+            at -= length
+        path.reverse()
+        return pack(f"<{len(path)}f", *path), pieces, lead / len(text), min(scores)
 
     def _absolute(self, text: str, before: float) -> tuple[float, int, float]:
         """(score after the run, pieces, what was taken off), each position's pieces tried in turn as the tokenizer does."""
@@ -191,8 +201,8 @@ class Counter:
 
 
 def digit(score: float) -> float:
-    """Value of the last binary digit of ``score`` in single precision, times two."""
-    return math.ldexp(1.0, math.frexp(score)[1] - 23)
+    """Value of the last binary digit of scores down to a little below ``score`` in single precision."""
+    return math.ldexp(1.0, math.frexp(score - 1.0)[1] - 24)
 
 
 def rank_scores(pieces: int) -> list[float]:
