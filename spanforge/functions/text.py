@@ -77,6 +77,11 @@ def class_share(text: C, characters: str) -> Column:
     return F.when(solid > 0, count_class(text, characters) / solid).otherwise(0.0)
 
 
+def garbled_share(text: C) -> Column:
+    """Share of replacement characters, question marks and CJK ideographs among the characters that aren't white space."""
+    return class_share(text, "\ufffd?\u3400-\u4dbf\u4e00-\u9fff")
+
+
 def detect_language(text: C, scripts: Sequence[tuple[str, str, int, float]], default: str) -> Column:
     """The first (language, class, least count, least share) that the first 20 000 characters satisfy, or ``default``."""
     head = F.substring(col(text), 1, 20_000)
@@ -131,6 +136,47 @@ def text_statistics(text: C) -> dict[str, Column]:
     }
 
 
+#: A line's time stamp and a line's speaker, as transcripts have them.
+STAMP, SPEAKER = r"\[\s*\d+:\d+(?::\d+)?\s*-\s*\d+:\d+(?::\d+)?\s*\]", r"(?i)\bS[\w?]*\s*:"
+
+
+def transcript_statistics(text: C) -> dict[str, Column]:
+    """Characters, lines, lines with a time stamp, distinct speakers, changes of speaker, and question and exclamation marks of a transcript."""
+    t = F.coalesce(col(text), F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
+    speakers = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"\bS([\w?]+)\s*:", 1)), lambda s: s != "")
+    return {
+        "chars": F.char_length(t), "lines": F.size(lines), "timed_lines": F.size(F.filter(lines, lambda x: x.rlike(STAMP))),
+        "speakers": F.size(F.array_distinct(speakers)), "turns": speaker_turns(speakers), "questions": count_class(t, "?"), "exclamations": count_class(t, "!"),
+    }
+
+
+def title_features(short: C, long: C) -> dict[str, Column]:
+    """Characters, question and exclamation marks of both titles and whether either has a digit."""
+    out: dict[str, Column] = {}
+    for name, title in (("short", short), ("long", long)):
+        t = F.coalesce(col(title), F.lit(""))
+        out |= {f"{name}_chars": F.char_length(t), f"{name}_questions": count_class(t, "?"), f"{name}_exclamations": count_class(t, "!"), f"{name}_digit": t.rlike("[0-9]")}
+    return out
+
+
+def structure_features(transcript: C, description: C, seconds: C, script: str = "A-Za-z") -> dict[str, Column]:
+    """Seventeen numbers on the shape of a candidate's transcript and description, its duration counted as a second at least."""
+    t, d = (F.coalesce(col(c), F.lit("")) for c in (transcript, description))
+    length = F.greatest(F.lit(1.0), F.coalesce(col(seconds), F.lit(0.0)))
+    log = lambda c: F.log1p(c.cast("double"))
+    stats = transcript_statistics(t)
+    return {
+        "transcript_log_chars": log(F.char_length(t)), "description_log_chars": log(F.char_length(d)), "log_seconds": log(length),
+        "timed_lines": log(stats["timed_lines"]), "lines": log(stats["lines"]), "speaker_marks": log(F.regexp_count(t, F.lit(SPEAKER))),
+        "questions": log(count_class(t, "?")), "exclamations": log(count_class(t, "!")), "brackets": log(count_class(t, r"\[\]()")),
+        "description_questions": log(count_class(d, "?")), "description_exclamations": log(count_class(d, "!")),
+        "transcript_script": class_share(t, script), "description_script": class_share(d, script),
+        "chars_per_second": F.char_length(t) / length, "lines_per_second": stats["lines"] / length,
+        "description_missing": (F.char_length(F.trim(d)) < 8).cast("double"), "transcript_missing": (F.char_length(F.trim(t)) < 20).cast("double"),
+    }
+
+
 def speaker_turns(speakers: C) -> Column:
     """Changes between neighbours in an array of speakers."""
     s = col(speakers)
@@ -144,6 +190,11 @@ def normalize_text(text: C) -> Column:
     return F.trim(F.regexp_replace(t, SPACE + "+", " "))
 
 
+def solid_length(text: C) -> Column:
+    """Characters that aren't white space."""
+    return F.char_length(F.regexp_replace(F.coalesce(col(text), F.lit("")), SPACE, ""))
+
+
 def compact(text: C) -> Column:
     """White space as single blanks, trimmed."""
     return F.trim(F.regexp_replace(col(text), SPACE + "+", " "))
@@ -161,18 +212,57 @@ def tagged(sections: Mapping[str, C]) -> Column:
         F.when(F.coalesce(F.trim(col(c)), F.lit("")) != "", F.concat(F.lit(f"[{name}]\n"), F.trim(col(c)))) for name, c in sections.items()))
 
 
+def spoken_lines(text: C, sounds: Sequence[str] = ("[music]", "[applause]")) -> Column:
+    """The lines of a transcript without time stamp and speaker; blank ones and those of a sound alone are left out."""
+    bare = F.transform(F.split(F.coalesce(col(text), F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"^\[[^\]]+\]\s*S[^:]*:\s*", "")))
+    return F.filter(bare, lambda x: (x != "") & ~x.isin(*sounds))
+
+
 def pick_line(text: C, keywords: Sequence[str]) -> Column:
     """The first line that holds a keyword, else an empty text."""
     lines = F.filter(F.split(col(text), "\n"), lambda line: F.exists(F.array(*(F.lit(k) for k in keywords)), lambda k: F.contains(line, k)))
     return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
 
 
+def quotes(lines: C, keywords: Mapping[str, Sequence[str]], most: int = 180) -> dict[str, Column]:
+    """First, last and longest line (of equal ones the first), and the first with one of the keywords for each name; empty where there is none."""
+    x = col(lines)
+    cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, most)
+    longest = F.array_max(F.transform(x, lambda s, i: F.struct(F.char_length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
+    out = {"first": cut(F.get(x, F.lit(0))), "last": cut(F.try_element_at(x, F.lit(-1))), "longest": cut(longest)}
+    holds = lambda words: F.filter(x, lambda s: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(s, w)))
+    return out | {name: cut(F.get(holds(words), F.lit(0))) for name, words in keywords.items()}
+
+
+def json_object(text: C) -> Column:
+    """The JSON object in a model's answer, as text: one in a fenced block, else in what follows a closed think tag, else in the whole; null for none.
+
+    Of each, the text from the first brace to the last one that makes a
+    well-formed object counts; objects inside other text are found, lists are not objects.
+    """
+    t = col(text)
+    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    after = F.regexp_extract(t, r"(?s)</think>(.*)$", 1)
+    span = lambda c: F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    first = lambda c: F.regexp_extract(c, r"(\{[^{}]*\})", 1)
+    good = lambda c: F.when(F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull() & F.startswith(F.trim(c), F.lit("{")), F.trim(c))
+    return F.coalesce(*(good(c) for part in (fenced, after, t) for c in (span(part), first(part))))
+
+
 def band(score: C) -> Column:
     """strong from 75, adequate from 50, else weak; null stays null."""
     s = col(score)
     return F.when(s >= 75, "strong").when(s >= 50, "adequate").when(s.isNotNull(), "weak")
 
 
+def alignment_case(tier: C, quality: C) -> Column:
+    """How a tier of performance in its channel (relative_high, relative_low or other) and a quality band go together."""
+    high, low = col(tier) == "relative_high", col(tier) == "relative_low"
+    strong, weak = col(quality) == "strong", col(quality) == "weak"
+    return (F.when(high & strong, "aligned_high_quality").when(low & weak, "aligned_low_quality").when(low & strong, "high_quality_relative_underperformer")
+            .when(high & weak, "low_quality_relative_outperformer").otherwise("mixed_or_nondiagnostic"))
+
+
 def percentile_label(percentile: C, low: float = 20, high: float = 80) -> Column:
     p = col(percentile)
     return F.when(p <= low, "neg").when(p >= high, "pos").when(p.isNotNull(), "mid")
@@ -195,12 +285,31 @@ def reliability(confidence: C, other: C | None = None) -> Column:
 
 
 def interactions(dimensions: Sequence[C]) -> dict[str, Column]:
-    """Mean, least, greatest, spread and product terms of scores scaled to 0 to 1 from 0 to 4."""
+    """Ten terms of seven scores from 0 to 4, scaled to 0 to 1: moments, the means of the first three and of the rest, and joint terms of pairs."""
+    if len(dimensions) != 7:
+        raise ValueError("seven dimensions are needed")
     d = [col(c) / 4.0 for c in dimensions]
-    mean = sum(d, F.lit(0.0)) / len(d)
+    mean_of = lambda xs: sum(xs, F.lit(0.0)) / len(xs)
+    mean = mean_of(d)
+    return {
+        "mean": mean, "least": F.least(*d), "spread": F.sqrt(sum(((x - mean) * (x - mean) for x in d), F.lit(0.0)) / len(d)),
+        "head_mean": mean_of(d[:3]), "rest_mean": mean_of(d[3:]), "least_3_1": F.least(d[3], d[1]),
+        "product_3_1": d[3] * d[1], "product_0_2": d[0] * d[2], "product_4_5": d[4] * d[5], "product_5_6": d[5] * d[6],
+    }
+
+
+def merged_transcript(scene: C, captions: C, primary: C) -> dict[str, Column]:
+    """The transcripts of the scenes and of captions as one text under their labels, and where it comes from.
+
+    ``primary`` says whether the scenes are those of the first provider.
+    """
+    s, c = (F.coalesce(col(x), F.lit("")) for x in (scene, captions))
+    label = F.when(col(primary), "SCENE_ASR").otherwise("SUBTITLE_FALLBACK")
+    source = F.when(col(primary), "scene_asr").otherwise("full_longform_captions")
+    both = F.concat(F.lit("["), label, F.lit("]\n"), s, F.lit("\n\n[CAPTIONS]\n"), c)
     return {
-        "mean": mean, "least": F.least(*d), "greatest": F.greatest(*d),
-        "spread": F.sqrt(sum(((x - mean) * (x - mean) for x in d), F.lit(0.0)) / len(d)), "first_last": d[0] * d[-1],
+        "text": F.when((s != "") & (c != ""), both).when(s != "", s).otherwise(c),
+        "source": F.when((s != "") & (c != ""), F.concat(source, F.lit("+candidate_captions"))).when(s != "", source).otherwise("candidate_captions"),
     }
 
 

@@ -46,9 +46,12 @@ def channel_validity(rows: DataFrame, channel: str, label: str, score: str, leas
 
 
 def human_alignment(judge: DataFrame, humans: DataFrame, id_col: str, dimensions: Sequence[str]) -> DataFrame:
-    """One row: Spearman correlation of the judge's score with the mean human axis score, 25 times the mean of complete dimensions."""
+    """One row: Spearman correlation of the judge's score with the mean human axis score, 25 times the mean of complete dimensions.
+
+    Means are rounded to nine decimals, so that those that are equal but for the order of addition tie.
+    """
     axis = 25 * sum((F.col(d) for d in dimensions), F.lit(0.0)) / len(dimensions)
-    means = humans.select(id_col, axis.alias("axis")).groupBy(id_col).agg(F.avg("axis").alias("human"))
+    means = humans.select(id_col, axis.alias("axis")).groupBy(id_col).agg(F.round(F.avg("axis"), 9).alias("human"))
     both = judge.join(means, id_col).where("human is not null and score is not null")
     return spearman(both, "score", "human").select("n", "spearman")
 

@@ -115,11 +115,11 @@ def interval_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turn_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speeches(spark, sf_dir).where("speech_id % 2 = 1").select(
+    return speeches(spark, sf_dir).select(
         F.concat_ws("-", "longform_id", "speech_id").alias("candidate_id"), "longform_id", "start_ms", "end_ms")
 
 
-@query(f"""{with_views('speech')}, c as (select longform_id || '-' || speech_id as candidate_id, longform_id, start_ms as s, end_ms as e from speech where speech_id % 2 = 1),
+@query(f"""{with_views('speech')}, c as (select longform_id || '-' || speech_id as candidate_id, longform_id, start_ms as s, end_ms as e from speech),
     j as (select c.*, r.start_ms, r.end_ms, r.speech_id, r.text from c left join speech r on r.longform_id = c.longform_id and r.end_ms > r.start_ms and c.e > c.s
           and r.start_ms < c.e + 20000 and r.end_ms > greatest(0, c.s - 20000))
     select candidate_id,

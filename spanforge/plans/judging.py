@@ -19,10 +19,10 @@ def m1_task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.select("doc_id", "repeat", "payload", "tokens")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def m2_requests_to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("request_key"))
-    stored = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("request_key"))
+    stored = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("request_key"))
     return judge.cache_lookup(tasks, stored)[1].select("c_custkey")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import judging, learning, ranking, rollups, selection, tables  # noqa: F401  (they register their queries)
+from . import judging, learning, nested, ranking, rollups, scenes, selection, slates, tables  # noqa: F401  (they register their queries)
 from .evaluation import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -34,7 +34,7 @@ def h15_channel_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rollups.channel_validity(x, "source", "quality", "s"))
 
 
-@query(f"""{with_views('judge', 'pool')}, h as (select candidate_id, avg(case when score is null or second is null then null else 25 * (score / 25 + second / 25) / 2 end) as human from judge group by candidate_id),
+@query(f"""{with_views('judge', 'pool')}, h as (select candidate_id, round(avg(case when score is null or second is null then null else 25 * (score / 25 + second / 25) / 2 end), 9) as human from judge group by candidate_id),
     b as (select p.score, h.human from pool p join h using (candidate_id) where h.human is not null and p.score is not null),
     r as (select rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as a, rank() over (order by human) + (count(*) over (partition by human) - 1) / 2.0 as b from b)
     select count(*) as n, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) as spearman from r""")

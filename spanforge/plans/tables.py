@@ -113,13 +113,13 @@ def s1_key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.key_audit(load(spark, sf_dir, "orders"), "o_custkey")
 
 
-@query("""with l as (select distinct c_custkey as k from customer), r as (select distinct o_custkey as k from orders),
+@query("""with l as (select distinct c_custkey as k from customer), r as (select distinct o_custkey + 5 as k from orders where o_orderstatus = 'P'),
     x as (select k, 'left_only' as side from l where k not in (select k from r) union all select k, 'right_only' from r where k not in (select k from l)),
     n as (select *, row_number() over (partition by side order by k) as n from x)
     select side, count(*) as n, string_agg(cast(k as varchar), ',' order by k) filter (n <= 5) as examples from n group by side""")
 def s2_id_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return audit.id_difference(left, load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return audit.id_difference(left, load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") + 5).alias("k")), "k")
 
 
 @query("""select doc_id, unnest(list_filter([case when lang = 'fr' then 'forbidden hint' end, case when trim(coalesce(text, '')) = '' then 'blank text' end, case when not coalesce(n_chars between 100 and 5000, false) then 'range n_chars' end], lambda x: x is not null)) as reason from documents""")
@@ -152,14 +152,14 @@ def l6_source_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DRAWS = """n as (select count(*) as n from s), k as (select source, row_number() over (order by source) - 1 as number from s),
-    d as (select r, ('0x' || substr(md5('11|' || r || '|' || t), 1, 8))::bigint % n.n as number from n, range(200) a(r), range(n.n) b(t)),
+    d as (select r, ('0x' || substr(md5('11|' || r || '|' || t), 1, 8))::bigint % n.n as number from n, range(2000) a(r), range(n.n) b(t)),
     m as (select r, sum(k2.v) / sum(k2.c) as m from d join k using (number) join s k2 using (source) group by r)"""
 
 
 @query(f"""with s as (select source, sum(n_chars) as v, count(n_chars) as c from documents group by source), {_DRAWS}
     select round((select sum(v) / sum(c) from s), 6) as mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.5), 6) as median, round(quantile_cont(m, 0.975), 6) as high, count(m) as valid from m""")
 def l1_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(audit.bootstrap_mean(load(spark, sf_dir, "documents"), "source", "n_chars", 200, 11))
+    return rounded(audit.bootstrap_mean(load(spark, sf_dir, "documents"), "source", "n_chars", 2000, 11))
 
 
 @query(f"""{with_views('judge')}, m as (select 'mean' as metric, avg(score) as value from judge union all select 'scored', count(score) from judge),
