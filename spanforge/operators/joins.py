@@ -81,16 +81,31 @@ def nearest_boundaries(candidates: DataFrame, scenes: DataFrame, key: str = "lon
 
 
 def away_from(windows: DataFrame, known: DataFrame, key: str = "longform_id", guard_ms: int = 0) -> DataFrame:
-    """The windows that overlap no known interval widened by ``guard_ms``, its start at 0 at the earliest."""
-    wide = known.select(key, F.greatest(F.lit(0), F.col("start_ms") - guard_ms).alias("start_ms"), (F.col("end_ms") + guard_ms).alias("end_ms"))
-    return interval_join(windows, wide, key, how="left_anti")
+    """The windows that overlap no known interval widened by ``guard_ms``, its start at 0 at the earliest.
+
+    Ends of windows and starts of known intervals are put in one order of time
+    per recording: a window overlaps one of those that start before its end if the latest end among them is
+    beyond its start. So there is one shuffle, and no pairs are made. Windows without a key or bounds, and empty ones, overlap nothing.
+    """
+    wide = known.select(key, F.greatest(F.lit(0), F.col("start_ms") - guard_ms).alias("_s"), (F.col("end_ms") + guard_ms).alias("_e")).where("_s < _e")
+    row = F.struct(*windows.columns)
+    ours = windows.select(F.col(key), row.alias("_row"), F.col("end_ms").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_end"))
+    theirs = wide.select(F.col(key), F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"), F.col("_s").alias("_at"), F.lit(1).alias("_kind"), F.col("_e").cast("long").alias("_end"))
+    reach = F.max("_end").over(Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ours.union(theirs).withColumn("_reach", reach).where("_kind = 0")
+    hit = F.col(key).isNotNull() & (F.col("_reach") > F.col("_row.start_ms")) & (F.col("_row.start_ms") < F.col("_row.end_ms"))
+    return placed.where(~F.coalesce(hit, F.lit(False))).select("_row.*")
 
 
-def score_against_gold(predictions: DataFrame, gold: DataFrame, key: str = "longform_id", unit: float = 1000.0) -> DataFrame:
-    """Each prediction with each gold interval of its recording and the measures of the pair.
+def score_against_gold(predictions: DataFrame, gold: DataFrame, key: str = "longform_id", unit: float = 1000.0, overlapping: bool = False) -> DataFrame:
+    """Each prediction with each gold interval of its recording, or those alone that it overlaps, and the measures of the pair.
 
     Columns: the key, scene_id (of the prediction), rank, gold_id and those of :func:`prediction_scores`.
     """
+    if overlapping:
+        pairs = interval_join(predictions.select(key, "scene_id", "rank", "start_ms", "end_ms"), gold.select(key, "scene_id", "start_ms", "end_ms"), key)
+        met = prediction_scores("l.start_ms", "l.end_ms", "r.start_ms", "r.end_ms", unit)
+        return pairs.select(F.col(f"l.{key}").alias(key), "l.scene_id", "l.rank", F.col("r.scene_id").alias("gold_id"), *(c.alias(n) for n, c in met.items()))
     g = gold.select(key, F.col("scene_id").alias("gold_id"), F.col("start_ms").alias("gold_start"), F.col("end_ms").alias("gold_end"))
     measures = prediction_scores("start_ms", "end_ms", "gold_start", "gold_end", unit)
     return predictions.join(g, key).select(key, "scene_id", "rank", "gold_id", *(c.alias(n) for n, c in measures.items()))

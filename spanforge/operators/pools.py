@@ -89,7 +89,8 @@ def resolve_evidence(scene_based: DataFrame, captions: DataFrame, mode: str, id_
 def require_uniform(rows: DataFrame, column: str, expected: str | None = None) -> DataFrame:
     """``rows``; more than one value of the column (or another one than expected, or none) is an error when a row is read."""
     w = Window.partitionBy()
-    low, high = F.min(F.coalesce(F.col(column), F.lit(""))).over(w), F.max(F.coalesce(F.col(column), F.lit(""))).over(w)
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    low, high = F.min(text).over(w), F.max(text).over(w)
     good = (low == high) & (low != "") & (F.lit(True) if expected is None else low == F.lit(expected))
     bad = F.raise_error(F.concat(F.lit(f"{column} isn't uniform: "), low, F.lit(", "), high)).cast("boolean")
     return rows.withColumn("_good", F.when(good, True).otherwise(bad)).where("_good").drop("_good")
@@ -122,7 +123,7 @@ def lookup_by_two_keys(rows: DataFrame, table: DataFrame, first: str, second: st
 def cross_group_pairs(rows: DataFrame, same: DataFrame, group: str, id_col: str, value: str, min_gap: float, max_gap: float, share: float) -> DataFrame:
     """Pairs of rows of different groups, ``min_gap`` to ``max_gap`` apart, weighted by region and scaled to ``share`` of the weight of ``same``.
 
-    ``same`` has the weights of the pairs within groups. Values are dealt to bins of the upper
+    ``same`` has the weights of the pairs within groups; if it has none, pairs keep their own weights. Values are dealt to bins of the upper
     gap, so a row meets its own bin and its neighbours alone. Columns: a_id, b_id, gap, weight.
     """
     slot = F.floor(F.col(value) / max_gap)
@@ -131,7 +132,8 @@ def cross_group_pairs(rows: DataFrame, same: DataFrame, group: str, id_col: str,
     pairs = a.join(b, "slot").where("a_id < b_id and a_group <> b_group").withColumn("gap", F.abs(F.col("a_value") - F.col("b_value"))).where(
         (F.col("gap") >= min_gap) & (F.col("gap") <= max_gap)).withColumn("_w", region_weight("a_value", "b_value", "gap"))
     own, other = pairs.agg(F.sum("_w").alias("_cross")), same.agg(F.sum("weight").alias("_same"))
-    return pairs.join(F.broadcast(own)).join(F.broadcast(other)).select("a_id", "b_id", "gap", (F.col("_w") * share * F.col("_same") / F.col("_cross")).alias("weight"))
+    scale = F.when((F.col("_same") > 0) & (F.col("_cross") > 0), share * F.col("_same") / F.col("_cross")).otherwise(1.0)
+    return pairs.join(F.broadcast(own)).join(F.broadcast(other)).select("a_id", "b_id", "gap", (F.col("_w") * scale).alias("weight"))
 
 
 def compile_sheet(sheet: DataFrame, reasons: DataFrame, id_col: str, dimensions: Sequence[str], weights: Mapping[str, float]) -> DataFrame:

@@ -6,7 +6,7 @@ defined winner. The fold runs in the JVM; its state is the chosen items alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,23 +65,24 @@ def relevance_and_diversity(rows: DataFrame, k: int, max_overlap: float, diversi
 
     Spread is the distance of centres to the nearest chosen one over 13 % of the
     timeline, at most 1; candidates over the overlap cap are out. The first round takes the best score with full spread.
+    Each row carries its nearest distance and greatest overlap so far, so a round is one window over the recording; all
+    windows share one shuffle, and a recording of any length may spill.
     """
-    items = _items(rows, key, id_col, score, start, end).withColumn("length", F.greatest(F.lit(1), F.array_max(F.transform("items", lambda x: x["e"]))))
-
-    def value(acc: Column, x: Column) -> Column:
-        near = F.array_min(F.transform(acc, lambda y: F.abs((x["s"] + x["e"]) - (y["s"] + y["e"])) / 2.0))
-        spread = F.coalesce(F.least(F.lit(1.0), near / F.col("length") / 0.13), F.lit(1.0))
-        most = F.coalesce(F.array_max(F.transform(acc, lambda y: _ratio(x, y))), F.lit(0.0))
-        return F.round(-x["cost"] + diversity * spread - penalty * most, 9)
-
-    def step(acc: Column, _: Column) -> Column:
-        open_ = F.filter("items", lambda x: ~F.exists(acc, lambda y: (y["id"] == x["id"]) | (_ratio(x, y) > max_overlap)))
-        ranked = F.transform(open_, lambda x: F.struct((-value(acc, x)).alias("v"), x.alias("x")))
-        best = F.array_min(ranked)
-        return F.when(best.isNotNull(), F.concat(acc, F.array(best["x"]))).otherwise(acc)
-
-    chosen = items.select(key, F.aggregate(F.sequence(F.lit(1), F.lit(k)), _none(F.col("items")), step).alias("chosen"))
-    return _numbered(chosen, key, id_col)
+    w = Window.partitionBy(key)
+    item = F.struct((-F.col(score)).alias("cost"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("id"))
+    state = rows.select(F.col(key), item.alias("x"), F.greatest(F.lit(1), F.max(end).over(w)).alias("length"), F.lit(None).cast("double").alias("near"),
+                        F.lit(0.0).alias("most"), F.lit(True).alias("open"), F.lit(None).cast("int").alias("place"))
+    x, best = F.col("x"), F.col("best.x")
+    for n in range(1, k + 1):
+        spread = F.coalesce(F.least(F.lit(1.0), F.col("near") / F.col("length") / 0.13), F.lit(1.0))
+        value = F.round(-x["cost"] + diversity * spread - penalty * F.col("most"), 9)
+        state = state.withColumn("best", F.min(F.when(F.col("open"), F.struct((-value).alias("v"), x.alias("x")))).over(w))
+        shared, apart = _ratio(x, best), F.abs((x["s"] + x["e"]) - (best["s"] + best["e"])) / 2.0
+        chosen = F.coalesce(F.col("open") & (x == best), F.lit(False))
+        state = state.select(
+            key, "x", "length", F.coalesce(F.least("near", apart), F.col("near")).alias("near"), F.greatest(F.col("most"), F.coalesce(shared, F.lit(0.0))).alias("most"),
+            (F.col("open") & ~chosen & ~F.coalesce((shared > max_overlap) | (x["id"] == best["id"]), F.lit(False))).alias("open"), F.when(chosen, n).otherwise(F.col("place")).alias("place"))
+    return state.where("place is not null").select(key, "place", F.col("x.id").alias(id_col), (-F.col("x.cost")).alias("score")).dropDuplicates([key, "place"])
 
 
 def source_bands(rows: DataFrame, k: int, bands: int, max_overlap: float, source_rank: str, key: str = "longform_id", id_col: str = "scene_id",

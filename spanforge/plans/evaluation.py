@@ -83,7 +83,10 @@ def h1_hit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from best group by k""")
 def h2_recall_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     golds = gold(spark, sf_dir).withColumnRenamed("scene_id", "gold_id")
-    return rounded(evaluation.recall_table(_scored(spark, sf_dir, None), golds, ["longform_id", "gold_id"]))
+    # a prediction without overlap scores 0 for every measure, and ranks beyond the last k count nowhere
+    p = predictions(spark, sf_dir).where("rank <= 120")
+    scored = joins.score_against_gold(p, gold(spark, sf_dir), overlapping=True)
+    return rounded(evaluation.recall_table(scored, golds, ["longform_id", "gold_id"]))
 
 
 @query(f"""{with_views('timeline')}, t as (select *, lead(start_ms) over w as s2, lead(end_ms) over w as e2 from timeline window w as (partition by longform_id order by start_ms, scene_id))

@@ -46,7 +46,7 @@ def s11_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_ROWS}, o as (select sum(y) as s, count(y) as n from fr), f as (select fold, sum(y) as s, count(y) as n from fr group by fold), p as (select source, sum(y) as s, count(y) as n from fr group by source), q as (select fold, source, sum(y) as s, count(y) as n from fr group by all)
-    select id, round((o.s - f.s) / (o.n - f.n), 5) as constant, round(coalesce((p.s - q.s) / nullif(p.n - q.n, 0), (o.s - f.s) / (o.n - f.n)), 5) as by_source from fr, o join f using (fold) join p using (source) join q using (fold, source)""")
+    select id, round((o.s - f.s) / (o.n - f.n), 5) as constant, round(coalesce((p.s - q.s) / nullif(p.n - q.n, 0), (o.s - f.s) / (o.n - f.n)), 5) as by_source from fr join f using (fold) join p using (source) join q using (fold, source), o""")
 def k8_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grouped_folds(price_rows(spark, sf_dir), "grp", 5, 3)
     a = nested.control_predictions(rows, "constant", "fold", "y", "source", "id").select("id", F.col("prediction").alias("constant"))
@@ -94,18 +94,18 @@ def k7_rank_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select o_orderkey as id, o_orderkey % 2 as repeat, o_orderkey % 3 as fold, m as model, cast(o_totalprice as double) * length(m) as prediction from orders, (select unnest(['ab', 'c', 'def']) as m)),
-    l as (select repeat, fold, model, round(avg(prediction) / length(model), 2) as score from p group by all), b as (select repeat, fold, first(model order by score desc, model) as model from l group by all)
+    l as (select repeat, fold, model, round(avg(prediction / length(model)), 2) as score from p group by all), b as (select repeat, fold, first(model order by score desc, model) as model from l group by all)
     select id, repeat, model, round(prediction, 4) as prediction from p join b using (repeat, fold, model)""")
 def k11_selected_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").withColumn("model", F.explode(F.array(F.lit("ab"), F.lit("c"), F.lit("def"))))
     p = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2).alias("repeat"), (F.col("o_orderkey") % 3).alias("fold"), "model", (F.col("o_totalprice").cast("double") * F.char_length("model")).alias("prediction"))
-    log = p.groupBy("repeat", "fold", "model").agg(F.round(F.avg("prediction") / F.char_length("model"), 2).alias("score"))
+    log = p.groupBy("repeat", "fold", "model").agg(F.round(F.avg(F.col("prediction") / F.char_length("model")), 2).alias("score"))
     return rounded(nested.select_models(log, p, "id"), 4)
 
 
 @query(f"""with {_ROWS}, t as (select 10.0 as al, {_SUMS} from rows), {_SOLVE}, p as (select id, round(my - ca * ma - cb * mb + ca * rows.a + cb * rows.b, 7) as p from rows, f),
     q as (select id, p, (count(*) over (order by p range unbounded preceding) + 0.5) / (count(*) over () + 1) as e from p)
-    select id, round(100 * e, 4) as percentile, cast(row_number() over (order by round(100 * e, 6) desc, id) as integer) as batch_rank, 'accepted' as status from q""")
+    select id, round(round(100 * e, 6), 4) as percentile, cast(row_number() over (order by round(100 * e, 6) desc, id) as integer) as batch_rank, 'accepted' as status from q""")
 def k12_final_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = price_rows(spark, sf_dir)
     fit, reference = nested.final_fit(rows, "y", FEATURES, 10.0)

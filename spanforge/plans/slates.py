@@ -81,7 +81,7 @@ def g15_slates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RUNS = """s as (select *, row_number() over (partition by longform_id order by start_ms, end_ms, scene_id) as i from timeline),
-    c as (select longform_id, a.scene_id || 'w' || w as candidate_id, a.i, a.i + w - 1 as j, a.start_ms, b.end_ms, (a.scene_id * 7 + w) % 101 as score from s a, (select unnest([1, 2, 3]) as w) join s b using (longform_id)
+    c as (select longform_id, a.scene_id || 'w' || w as candidate_id, a.i, a.i + w - 1 as j, a.start_ms, b.end_ms, (a.scene_id * 7 + w) % 101 as score from s a join s b using (longform_id), (select unnest([1, 2, 3]) as w)
         where b.i = a.i + w - 1 and b.end_ms - a.start_ms between 15000 and 90000),
     sel as (select *, row_number() over (partition by longform_id order by score desc, candidate_id) as place from c qualify row_number() over (partition by longform_id order by score desc, candidate_id) <= 4)"""
 
@@ -109,7 +109,7 @@ def g6_left_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slates.left_bridges(chosen, c)
 
 
-@query(f"""{with_views('timeline')} select longform_id, cast(row_number() over w as integer) as place, scene_id from timeline qualify row_number() over w <= 7 window w as (partition by longform_id order by value desc, start_ms, scene_id)""")
+@query(f"""{with_views('timeline')} select longform_id, cast(row_number() over w as integer) as place, scene_id from timeline window w as (partition by longform_id order by value desc, start_ms, scene_id) qualify row_number() over w <= 7""")
 def g8_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slates.select_by(timeline(spark, sf_dir), "rank", 7)
 
@@ -163,21 +163,22 @@ def d12_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pl.lookup_by_two_keys(o, t, "a", "b", ["v"]).select("o_orderkey", "v", "matched_by")
 
 
-@query(f"""{with_views('texts')}, same as (select a.candidate_id from texts a join texts b on a.channel = b.channel and a.candidate_id < b.candidate_id where abs(a.target - b.target) between 0.002 and 0.01),
-    x as (select a.candidate_id as a_id, b.candidate_id as b_id, abs(a.target - b.target) as gap from texts a join texts b on a.channel <> b.channel and a.candidate_id < b.candidate_id where abs(a.target - b.target) between 0.002 and 0.01)
-    select a_id, count(*) as pairs, round(count(*) * 0.25 * (select count(*) from same) / (select count(*) from x), 4) as weight from x group by a_id""")
+@query(f"""{with_views('texts')}, same as (select a.candidate_id from texts a join texts b on a.channel = b.channel and a.candidate_id < b.candidate_id where abs(a.target - b.target) between 0.05 and 0.15),
+    x as (select a.candidate_id as a_id, b.candidate_id as b_id, abs(a.target - b.target) as gap from texts a join texts b on a.channel <> b.channel and a.candidate_id < b.candidate_id where abs(a.target - b.target) between 0.05 and 0.15)
+    select a_id, count(*) as pairs, round(count(*) * case when (select count(*) from same) > 0 then 0.25 * (select count(*) from same) / (select count(*) from x) else 1 end, 4) as weight from x group by a_id""")
 def d16_cross_channel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = texts(spark, sf_dir).select("candidate_id", "channel", "target")
-    same = pair_weights(group_pairs(t, "channel", "candidate_id", "target", 0.002, 0.01), "channel", "target")
-    pairs = pl.cross_group_pairs(t, same, "channel", "candidate_id", "target", 0.002, 0.01, 0.25)
+    same = pair_weights(group_pairs(t, "channel", "candidate_id", "target", 0.05, 0.15), "channel", "target")
+    pairs = pl.cross_group_pairs(t, same, "channel", "candidate_id", "target", 0.05, 0.15, 0.25)
     return pairs.groupBy("a_id").agg(F.count("*").alias("pairs"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("""with d as (select l_orderkey, l_linenumber, l_quantity::integer % 6 as hook, l_partkey % 5 as clarity from lineitem)
-    select l_orderkey, l_linenumber, case when hook < 5 then round(25 * (0.6 * hook + 0.4 * clarity), 4) end as score, hook < 5 as complete, case when hook < 5 then 'hook is ' || hook end as hook_reason from d""")
+@query("""with d as (select o_orderkey, o_custkey % 6 as hook, o_orderkey % 5 as clarity from orders)
+    select o_orderkey, case when hook < 5 then round(25 * (0.6 * hook + 0.4 * clarity), 4) end as score, hook < 5 as complete, case when hook < 5 then 'hook is ' || hook end as hook_reason from d""")
 def m4_score_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sheet = load(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("id"), (F.col("l_quantity").cast("int") % 6).alias("hook"), (F.col("l_partkey") % 5).alias("clarity"))
-    reasons = sheet.select(F.explode(F.array(F.struct(F.lit("hook").alias("dimension"), F.col("hook").cast("int").alias("score")), F.struct(F.lit("clarity"), F.col("clarity").cast("int")))).alias("x")).select("x.*").distinct()
-    reasons = reasons.where("score < 5").withColumn("reason", F.concat_ws(" ", "dimension", F.lit("is"), F.col("score").cast("string")))
-    out = pl.compile_sheet(sheet, reasons, "id", ["hook", "clarity"], {"hook": 0.6, "clarity": 0.4})
-    return out.select("id.*", "score", "complete", F.col("judgment")["hook"]["reason"].alias("hook_reason"))
+    sheet = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 6).cast("int").alias("hook"), (F.col("o_orderkey") % 5).cast("int").alias("clarity"))
+    cell = lambda d: F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score"))
+    reasons = sheet.select(F.explode(F.array(cell("hook"), cell("clarity"))).alias("x")).select("x.*").distinct().where("score < 5")
+    reasons = reasons.withColumn("reason", F.concat_ws(" ", "dimension", F.lit("is"), F.col("score").cast("string")))
+    out = pl.compile_sheet(sheet, reasons, "o_orderkey", ["hook", "clarity"], {"hook": 0.6, "clarity": 0.4})
+    return out.select("o_orderkey", "score", "complete", F.col("judgment")["hook"]["reason"].alias("hook_reason"))
