@@ -76,6 +76,35 @@ def metric_bundle(rows: DataFrame, target: str, score: str, channel: str) -> Dat
         F.count_distinct(score).alias("unique_scores"), F.count_if(F.col("_same") > 1).alias("tied_rows"))
 
 
+def performance_metrics(rows: DataFrame, target: str, score: str, channel: str, source: str, id_col: str, min_gap: float = 0.01, local: tuple[float, float] = (0.10, 0.40)) -> DataFrame:
+    """One row of an evaluation's figures: pooled, channel-centred, source-residual and macro Spearman correlations, pair accuracies over all and over
+    local gaps, top-fifth precision, NDCG, and two means of the robust ones: plain, and weighted for selection. A mean with an undefined part is null.
+
+    The pairs over all gaps are those of a channel, so channels are to be of an evaluation's size.
+    """
+    from .joins import group_pairs
+    from .ranks import macro_ndcg, macro_spearman, pair_accuracy, top_share_precision
+
+    known = rows.where(F.col(target).isNotNull() & F.col(score).isNotNull()).select(id_col, channel, source, target, score)
+    by, second = Window.partitionBy(channel), Window.partitionBy(source)
+    centred = known.withColumns({f"_c{c}": F.round(F.col(c) - F.avg(c).over(by), 12) for c in (target, score)})
+    centred = centred.withColumns({f"_s{c}": F.round(F.col(f"_c{c}") - F.avg(f"_c{c}").over(second), 12) for c in (target, score)})
+    kinds = {"pooled": (target, score), "centred": (f"_c{target}", f"_c{score}"), "source_residual": (f"_s{target}", f"_s{score}")}
+    ranked = centred.withColumns({f"_{k}_{i}": average_rank(c) for k, pair in kinds.items() for i, c in enumerate(pair)})
+    out = ranked.agg(F.count("*").alias("n"), *(pearson(f"_{k}_0", f"_{k}_1").alias(k) for k in kinds))
+    pairs = lambda low, high, name: pair_accuracy(group_pairs(known, channel, id_col, target, low, high), target, score).select(
+        F.col("pairs").alias(f"{name}_count"), F.col("accuracy").alias(name))
+    parts = [
+        macro_spearman(known, target, score, channel).select("macro_spearman"), pairs(min_gap, None, "pair_accuracy"), pairs(*local, "local_pair_accuracy"),
+        top_share_precision(known, target, score, channel, id_col).select(F.col("precision").alias("top_fifth")), macro_ndcg(known, target, score, channel).select("ndcg")]
+    for part in parts:
+        out = out.join(F.broadcast(part))
+    skill, local_skill = 2 * F.col("pair_accuracy") - 1, 2 * F.col("local_pair_accuracy") - 1
+    return out.withColumns({
+        "robust": (F.col("centred") + F.col("macro_spearman") + skill + local_skill) / 4.0,
+        "selection": 0.4 * F.col("centred") + 0.3 * F.col("macro_spearman") + 0.15 * skill + 0.15 * local_skill})
+
+
 def hash_scores(rows: DataFrame, id_col: str, simulations: int, seed: int) -> DataFrame:
     """``rows`` once per simulation with a uniform ``random_score`` that MD5 of (seed, simulation, id) gives."""
     text = F.concat_ws("|", F.lit(str(seed)), F.col("simulation").cast("string"), F.col(id_col).cast("string"))
@@ -89,6 +118,22 @@ def null_control(rows: DataFrame, id_col: str, label: str, simulations: int, see
     return aucs.agg(F.avg("auc").alias("mean"), F.percentile("auc", [0.025, 0.975]).alias("q"), F.count("auc").alias("valid")).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "valid")
 
 
+def control_distribution(rows: DataFrame, id_col: str, label: str, target: str, kind: str, simulations: int, seed: int, duration: str | None = None) -> DataFrame:
+    """One row: mean and 2.5 and 97.5 % quantiles of the Spearman correlation of a control's scores with the target.
+
+    ``kind`` is random; oracle (the class of neg, mid, pos plus a uniform number); polar (neg in 0 to 1, pos in 2 to 3, mid anywhere); or
+    duration, which is the same in every simulation.
+    """
+    drawn = hash_scores(rows, id_col, 1 if kind == "duration" else simulations, seed)
+    u, c = F.col("random_score"), F.col(label)
+    value = {
+        "random": u, "oracle": F.when(c == "neg", 0.0).when(c == "mid", 1.0).when(c == "pos", 2.0) + u,
+        "polar": F.when(c == "neg", u).when(c == "pos", 2.0 + u).when(c == "mid", 3.0 * u), "duration": F.col(duration).cast("double") if duration else F.lit(None).cast("double")}[kind]
+    found = spearman(drawn.withColumn("_v", value), "_v", target, ["simulation"])
+    return found.agg(F.avg("spearman").alias("mean"), F.percentile("spearman", [0.025, 0.975]).alias("q"), F.count("spearman").alias("valid")).select(
+        "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "valid")
+
+
 def dataset_audit(rows: DataFrame, key: str, channel: str, allowed: DataFrame, label: str) -> DataFrame:
     """(check, detail, n): rows and repeated keys, rows of channels that aren't allowed, and the label balance."""
     n = rows.groupBy(key).agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import audit, generate, rollups
 
-from .evaluation import query, rounded
+from .evaluation import ORACLES, query, rounded
 from .views import judgments, load, pools, texts, timeline, with_views
 
 
@@ -59,6 +59,35 @@ def h14_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rollups.metric_bundle(texts(spark, sf_dir).select("channel", "target", "score"), "target", "score", "channel"), 4)
 
 
+_CENTRED = f"""{with_views('texts')}, c as (select *, round(target - avg(target) over (partition by channel), 12) as ct, round(score - avg(score) over (partition by channel), 12) as cs from texts where score is not null and target is not null),
+    d as (select *, round(ct - avg(ct) over (partition by lang), 12) as st, round(cs - avg(cs) over (partition by lang), 12) as ss from c)"""
+_RHO = lambda a, b: f"(select covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) from (select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1) / 2.0 as x, rank() over (order by {b}) + (count(*) over (partition by {b}) - 1) / 2.0 as y from d))"
+_ALL_PAIRS = f"{with_views('texts')} select avg(case when sign(a.score - b.score) = 0 then 0.5 when sign(a.score - b.score) = sign(a.target - b.target) then 1.0 else 0 end) as accuracy from texts a join texts b on a.channel = b.channel and a.candidate_id < b.candidate_id where abs(a.target - b.target) >= "
+
+
+@query(f"""with m as ({_CENTRED} select {_RHO('target', 'score')} as pooled, {_RHO('ct', 'cs')} as centred, {_RHO('st', 'ss')} as residual), pa as ({_ALL_PAIRS} 0.01), la as ({_ALL_PAIRS} 0.1 and abs(a.target - b.target) <= 0.4), h9 as ({ORACLES['h9_macro_spearman']}), h12 as ({ORACLES['h12_top_quintile']}), h13 as ({ORACLES['h13_macro_ndcg']})
+    select round(pooled, 4) as pooled, round(centred, 4) as centred, round(residual, 4) as source_residual, round(macro_spearman, 4) as macro_spearman, round(pa.accuracy, 4) as pair_accuracy, round(la.accuracy, 4) as local_pair_accuracy, round(precision, 4) as top_fifth, round(ndcg, 4) as ndcg,
+        round((centred + macro_spearman + 2 * pa.accuracy - 1 + 2 * la.accuracy - 1) / 4, 3) as robust, round(0.4 * centred + 0.3 * macro_spearman + 0.15 * (2 * pa.accuracy - 1) + 0.15 * (2 * la.accuracy - 1), 3) as selection from m, pa, la, h9, h12, h13""")
+def h14_performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = rollups.performance_metrics(texts(spark, sf_dir), "target", "score", "channel", "lang", "candidate_id").drop("n", "pair_accuracy_count", "local_pair_accuracy_count")
+    return m.select(*(F.round(c, 3 if c in ("robust", "selection") else 4).alias(c) for c in m.columns))
+
+
+_LABELS = """x as (select o_orderkey as id, o_custkey as dur, cast(o_totalprice as double) as y, case when o_orderpriority = '1-URGENT' then 'neg' when o_orderpriority = '5-LOW' then 'pos' else 'mid' end as label from orders),
+    s as (select x.*, sim, ('0x' || substr(md5('9|' || sim || '|' || id), 1, 8))::bigint / 4294967296.0 as u from x, range(100) r(sim))"""
+_SPREAD = lambda value: f"""v as (select sim, y, {value} as v from s), k as (select sim, rank() over (partition by sim order by v) + (count(*) over (partition by sim, v) - 1) / 2.0 as a, rank() over (partition by sim order by y) + (count(*) over (partition by sim, y) - 1) / 2.0 as b from v),
+    q as (select covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) as r from k group by sim)"""
+
+
+@query(f"""select 'polar' as kind, * from (with {_LABELS}, {_SPREAD("case label when 'neg' then u when 'pos' then 2 + u else 3 * u end")} select round(avg(r), 5) as mean, round(quantile_cont(r, 0.025), 5) as low, round(quantile_cont(r, 0.975), 5) as high, count(r) as valid from q)
+    union all select 'oracle', * from (with {_LABELS}, {_SPREAD("case label when 'neg' then 0 when 'pos' then 2 else 1 end + u")} select round(avg(r), 5), round(quantile_cont(r, 0.025), 5), round(quantile_cont(r, 0.975), 5), count(r) from q)""")
+def l5_label_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("y"), F.when(p == "1-URGENT", "neg").when(p == "5-LOW", "pos").otherwise("mid").alias("label"))
+    one = lambda kind: rollups.control_distribution(rows, "id", "label", "y", kind, 100, 9).select(F.lit(kind).alias("kind"), "*")
+    return rounded(one("polar").union(one("oracle")), 5)
+
+
 @query("""with x as (select l.doc_id, l.quality as y, sim, ('0x' || substr(md5('9|' || sim || '|' || l.doc_id), 1, 8))::bigint / 4294967296.0 as s from labels l, range(50) r(sim)),
     r as (select *, rank() over (partition by sim order by s) + (count(*) over (partition by sim, s) - 1) / 2.0 as r from x),
     a as (select sim, (sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as auc from r group by sim)

@@ -43,8 +43,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Candidates from a JSON object, an array, ``{"candidates": [...]}`` or JSON lines, a row each."""
+    """Candidates from a JSON object, an array, ``{"candidates": [...]}`` or JSON lines, a row each.
+
+    Files named .jsonl or .ndjson are read line by line and split like any text; others are documents of one row each.
+    """
     item = T.StructType.fromDDL(schema)
+    if path.endswith((".jsonl", ".ndjson")):
+        return spark.read.schema(item).json(path)
     wrapped = T.StructType([*item.fields, T.StructField("candidates", T.ArrayType(item))])
     whole = spark.read.text(path, wholetext=True)
     text = F.trim(F.col("value"))
@@ -105,6 +110,21 @@ def named_sources(sources: Mapping[str, DataFrame], key: str, k: int) -> DataFra
     return first.withColumn("place", F.row_number().over(Window.partitionBy(key, "source").orderBy("rank", "start_sec", "end_sec"))).where(F.col("place") <= k)
 
 
+def read_assets(spark: SparkSession, path: str, key: str = "longform_id") -> DataFrame:
+    """(key, duration_ms, resolution, person_count, fallback_count) from a JSON object per recording in files named ``<key>_asset.json``."""
+    schema = "duration_ms double, resolution double, fallback_count double, persons array<struct<person_id:string>>"
+    named = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_asset\.json$", 1)
+    rows = spark.read.schema(schema).json(path, multiLine=True).select("*", named.alias(key)).where(F.col(key) != "")
+    return rows.select(key, "duration_ms", "resolution", F.greatest(F.lit(0), F.coalesce(F.size("persons"), F.lit(0))).alias("person_count"), F.coalesce("fallback_count", F.lit(0.0)).alias("fallback_count"))
+
+
+def ready_accounts(spark: SparkSession, path: str, key: str = "longform_id") -> DataFrame:
+    """(key, accounts): for each recording the sorted accounts whose inventory, ``<account>/inventory.csv``, has it with the status READY."""
+    rows = spark.read.csv(path, header=True, schema=f"{key} string, status string")
+    placed = rows.select(key, "status", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\.csv$", 1).alias("account"))
+    return placed.where("status = 'READY'").groupBy(key).agg(F.array_sort(F.collect_set("account")).alias("accounts"))
+
+
 def write_sparse(parts: Sequence[DataFrame], path: str, kind: str = "json") -> None:
     """Write tables with different columns as one; columns that a row lacks are null (left out in JSON)."""
     rows = parts[0]

@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Parts of the table by a hash of the key, of which a batch reads those that its own keys fall in.
+PARTS = 64
+
 
 def ingest_responses(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, keys: tuple[str, ...] = ("candidate_id", "version"),
                      time_col: str = "ingest_ts", delay: str = "1 day") -> StreamingQuery:
     """Read appended JSON lines once each and append the responses with new keys to the Parquet table.
 
     Repeats within ``delay`` are dropped by the stream's own state, which the
-    watermark bounds; older ones by an anti-join with the table. Batch ids make a
+    watermark bounds; older ones by an anti-join with the table's parts that the batch's keys fall in. Batch ids make a
     repeated batch write its folder anew. The query handles all that is there and stops.
     """
     rows = spark.readStream.schema(schema).json(source).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(list(keys))
+    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+    # the table is there before the first batch, without rows
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{table}/batch=-1/part=0")
 
     def append(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        target = f"{table}/batch={number}"
-        try:
-            known = session.read.parquet(table).where(f"batch <> {number}").select(*keys).distinct()
-            batch = batch.join(known, list(keys), "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        batch.write.mode("overwrite").parquet(target)
+        batch = batch.withColumn("part", part)
+        parts = [r.part for r in batch.select("part").distinct().collect()]
+        known = batch.sparkSession.read.parquet(table).where((F.col("batch") != number) & F.col("part").isin(parts)).select(*keys).distinct()
+        batch.join(known, list(keys), "left_anti").write.mode("overwrite").partitionBy("part").parquet(f"{table}/batch={number}")
 
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

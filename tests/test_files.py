@@ -95,3 +95,18 @@ def test_stream_takes_each_key_once_over_restarts(spark, tmp_path):
     run()
     got = sorted((r.candidate_id, r.version) for r in spark.read.parquet(str(tmp_path / "table")).collect())
     assert got == [("a", 1), ("b", 1), ("b", 2)]
+
+
+def test_assets_accounts_and_line_files(spark, tmp_path):
+    from spanforge.sources import files
+
+    (tmp_path / "v1_asset.json").write_text('{"duration_ms": 5000, "resolution": 720, "persons": [{"person_id": "a"}, {"person_id": "b"}]}')
+    (tmp_path / "v2_asset.json").write_text('{"duration_ms": 7000, "fallback_count": 2}')
+    got = {r.longform_id: (r.duration_ms, r.person_count, r.fallback_count) for r in files.read_assets(spark, str(tmp_path)).collect()}
+    assert got == {"v1": (5000.0, 2, 0.0), "v2": (7000.0, 0, 2.0)}
+    for account, rows in (("x", "v1,READY\nv2,FAILED\n"), ("y", "v1,READY\n")):
+        (tmp_path / "acc" / account).mkdir(parents=True)
+        (tmp_path / "acc" / account / "inventory.csv").write_text("longform_id,status\n" + rows)
+    assert {r.longform_id: r.accounts for r in files.ready_accounts(spark, str(tmp_path / "acc" / "*" / "inventory.csv")).collect()} == {"v1": ["x", "y"]}
+    (tmp_path / "c.jsonl").write_text('{"id": 1}\n{"id": 2}\n')
+    assert sorted(r.id for r in files.read_candidates(spark, str(tmp_path / "c.jsonl"), "id int").collect()) == [1, 2]
