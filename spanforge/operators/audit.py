@@ -67,18 +67,28 @@ def grouped_folds(rows: DataFrame, group: str, folds: int, seed: int) -> DataFra
     return rows.join(ordered, group)
 
 
-def group_split(rows: DataFrame, group: str, label: str, dev_fraction: float, seed: int) -> DataFrame:
+def group_split(rows: DataFrame, group: str, label: str, dev_fraction: float, seed: int, existing: str | None = None) -> DataFrame:
     """(group, rows, role): dev or locked for whole groups, about ``dev_fraction`` of the rows of each label mix.
 
     Groups of one label signature are put in an order of hashes, and those whose
     rows before them fill less than the share are dev; so no group crosses roles and both keep the label balance.
+    Roles in the column ``existing`` stay and count toward the share; a group that has both is an error when it is read.
     """
-    g = rows.groupBy(group).agg(F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_set(F.col(label).cast("string"))), "+").alias("signature"))
+    have = F.collect_set(existing) if existing else F.array().cast("array<string>")
+    g = rows.groupBy(group).agg(F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_set(F.col(label).cast("string"))), "+").alias("signature"), have.alias("_roles"))
+    if existing:
+        bad = F.raise_error(F.concat(F.lit(f"{group} has two roles: "), F.coalesce(F.col(group).cast("string"), F.lit("null")))).cast("string")
+        g = g.withColumn("_role", F.when(F.size("_roles") > 1, bad).otherwise(F.get("_roles", F.lit(0))))
+        taken = F.coalesce(F.sum(F.when(F.col("_role") == "dev", F.col("rows"))).over(Window.partitionBy("signature")), F.lit(0))
+        g = g.withColumn("_taken", taken)
+    else:
+        g = g.withColumns({"_role": F.lit(None).cast("string"), "_taken": F.lit(0)})
     position = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string"))), 1, 16)
     w = Window.partitionBy("signature").orderBy("position", group)
-    before = F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    free = F.when(F.col("_role").isNull(), F.col("rows")).otherwise(0)
+    before = F.coalesce(F.sum(free).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_taken")
     total = F.sum("rows").over(Window.partitionBy("signature"))
-    placed = g.withColumn("position", position).withColumn("role", F.when(before < total * dev_fraction, "dev").otherwise("locked"))
+    placed = g.withColumn("position", position).withColumn("role", F.coalesce("_role", F.when(before < total * dev_fraction, "dev").otherwise("locked")))
     return placed.select(group, "rows", "signature", "role")
 
 
@@ -89,6 +99,15 @@ def blind_and_private(rows: DataFrame, id_col: str, private: Sequence[str], seed
     return blind, rows.select(key.alias("blind_key"), id_col, *(F.col(c).alias(f"{c}_PRIVATE") for c in private))
 
 
+def blind_failures(rows: DataFrame, id_col: str, required: Sequence[str], private: Sequence[str]) -> DataFrame:
+    """(id, reason): rows that can't be in a blind table: a repeated or missing id, a blank required text, or no private value to keep apart."""
+    n = F.count("*").over(Window.partitionBy(id_col))
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    reasons = [F.when(F.col(id_col).isNull(), "missing id"), F.when(F.col(id_col).isNotNull() & (F.col("_n") > 1), "repeated id"),
+               *(F.when(blank(c), f"blank {c}") for c in required), *(F.when(F.col(c).isNull(), f"missing {c}") for c in private)]
+    return rows.withColumn("_n", n).select(id_col, F.explode(F.array_compact(F.array(*reasons))).alias("reason"))
+
+
 def drop_features(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """``rows`` without the named columns; a name that isn't there is an error."""
     if missing := set(names) - set(rows.columns):

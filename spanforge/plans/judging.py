@@ -11,12 +11,10 @@ from .evaluation import query, rounded
 from .views import judgments, load, timeline, with_views
 
 
-@query("""select doc_id, cast(r as integer) as repeat, to_json({'doc_id': cast(doc_id as varchar), 'lang': left(lang, 8), 'source': left(source, 4)}) as payload,
-    greatest(1, cast(ceil(length(to_json({'doc_id': cast(doc_id as varchar), 'lang': left(lang, 8), 'source': left(source, 4)})) / 4.0) as bigint)) as tokens
-    from documents cross join (select unnest([1, 2]) as r)""")
+@query("""with t as (select doc_id, cast(r as integer) as repeat, to_json({'doc_id': cast(doc_id as varchar), 'lang': left(lang, 8), 'source': left(source, 4)}) as payload from documents cross join (select unnest([1, 2]) as r))
+    select doc_id, repeat, cast(payload as varchar) as payload, sha256(cast(to_json({'payload': cast(payload as varchar), 'prompt': 'prompt', 'repeat': repeat, 'run_id': 'run'}) as varchar)) as request_key, greatest(1, cast(ceil(length(payload) / 4.0) as bigint)) as tokens from t""")
 def m1_task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = judge.task_table(load(spark, sf_dir, "documents"), "doc_id", {"lang": 8, "source": 4}, "run", "prompt", 2)
-    return tasks.select("doc_id", "repeat", "payload", "tokens")
+    return judge.task_table(load(spark, sf_dir, "documents"), "doc_id", {"lang": 8, "source": 4}, "run", "prompt", 2).select("doc_id", "repeat", "payload", "request_key", "tokens")
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")

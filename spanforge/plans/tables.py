@@ -171,3 +171,41 @@ def l7_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("mean").alias("metric"), F.col("mean").alias("value")), F.struct(F.lit("scored").alias("metric"), F.col("scored").alias("value")))))
     gates = spark.createDataFrame([("mean", "observed", 40.0), ("scored", "lower_bound", 1e9), ("absent", "observed", 0.0)], "metric string, kind string, minimum double")
     return rounded(audit.gate_report(metrics, gates))
+
+
+@query("""select event_id, case when value > 8 then null else round(value, 6) end as known from events""")
+def b14_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.when(F.col("value") > 9, F.lit(float("nan"))).when(F.col("value") > 8, F.lit(float("-inf"))).otherwise(F.col("value"))
+    return rounded(load(spark, sf_dir, "events").select("event_id", tx.finite(odd).alias("known")))
+
+
+@query("""select doc_id, case when lang = 'en' and source in ('src0', 'src1') then 'talk-en' when lang = 'en' then 'any-en' when lang = 'de' and source = 'src2' then 'talk-de' else 'any' end as prompt from documents""")
+def c10_prompt_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = {"en": {"default": "any-en", "src0": "talk-en", "src1": "talk-en"}, "de": {"src2": "talk-de"}}
+    return load(spark, sf_dir, "documents").select("doc_id", tx.lookup(table, "lang", "source", "any").alias("prompt"))
+
+
+@query("select doc_id, text from documents")
+def s12_without_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.drop_features(load(spark, sf_dir, "documents"), ["n_chars", "source", "lang"])
+
+
+@query("""with x as (select l_orderkey as id, case when l_linenumber = 3 then ' ' else l_returnflag end as t, l_partkey as p from lineitem),
+    n as (select id, count(*) as n from x group by id) select id, 'repeated id' as reason from x join n using (id) where n > 1 union all select id, 'blank t' from x where trim(t) = '' union all select id, 'missing p' from x where p is null""")
+def s8_blind_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") == 3, " ").otherwise(F.col("l_returnflag")).alias("t"), F.col("l_partkey").alias("p"))
+    return audit.blind_failures(rows, "id", ["t"], ["p"])
+
+
+@query("""with b as (select doc_id, lang, sha256('5|' || doc_id) as blind_key from documents) select blind_key, lang from b""")
+def s8_blind_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return audit.blind_and_private(d, "doc_id", ["doc_id", "source"], 5)[0].select("blind_key", "lang")
+
+
+@query("""with g as (select source, count(*) as rows, string_agg(distinct lang, '+' order by lang) as signature, case when source in ('src1', 'src4') then 'dev' when source = 'src2' then 'locked' end as had from documents group by source),
+    p as (select *, substr(md5('5|' || source), 1, 16) as position, coalesce(sum(rows) filter (had = 'dev') over (partition by signature), 0) as taken from g)
+    select source, rows, signature, coalesce(had, case when taken + coalesce(sum(case when had is null then rows else 0 end) over (partition by signature order by position, source rows between unbounded preceding and 1 preceding), 0) < sum(rows) over (partition by signature) * 0.4 then 'dev' else 'locked' end) as role from p""")
+def s7_split_with_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").withColumn("had", F.when(F.col("source").isin("src1", "src4"), "dev").when(F.col("source") == "src2", "locked"))
+    return audit.group_split(d, "source", "lang", 0.4, 5, existing="had")
