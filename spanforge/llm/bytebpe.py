@@ -67,6 +67,8 @@ class ByteBPE:
     """Encodes text as the rank file's own library would, and decodes ids by the inverse mapping."""
 
     MEMO = 300_000
+    #: Characters of the matches that the memo keeps from one text to the next.
+    MEMO_CHARS = 64
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
@@ -105,7 +107,11 @@ class ByteBPE:
                 self.memo.clear()
                 new = set(parts)
             self._learn(list(new))
-        return " ".join(map(self.memo.__getitem__, parts))
+        found = " ".join(map(self.memo.__getitem__, parts))
+        for part in new:
+            if len(part) > self.MEMO_CHARS:
+                del self.memo[part]
+        return found
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split()))

@@ -38,6 +38,8 @@ class WordBPE:
     """
 
     MEMO = 300_000
+    #: Bytes of the runs that the memo keeps from one text to the next.
+    MEMO_BYTES = 64
     END = "\x01"
     BEYOND = "\u0250"
     #: The split of the vocabulary's own file (a fixed value).
@@ -102,7 +104,11 @@ class WordBPE:
                 self.memo.clear()
                 new = set(runs)
             self._learn(list(new))
-        return b"".join(map(self.memo.__getitem__, runs))
+        found = b"".join(map(self.memo.__getitem__, runs))
+        for run in new:
+            if len(run) > self.MEMO_BYTES:
+                del self.memo[run]
+        return found
 
 
 @lru_cache(maxsize=2)

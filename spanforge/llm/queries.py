@@ -20,8 +20,8 @@ from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Rows sent to a Python worker at once: texts are long, so the library's default of 10 000 would need hundreds of MB.
-BATCH_ROWS = 1000
+#: Rows and bytes sent to a Python worker at once: texts are long, so the library's default of 10 000 rows would need hundreds of MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,6 +32,7 @@ def tokenizer_file(name: str) -> str:
 
 def set_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +45,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without those that are near copies of one with a smaller doc_id: one of each group stays."""
+    """``docs`` without those that are near copies of one with a smaller doc_id: one of each group stays.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard index
+    of 0.8 or more, directly or through others. Texts without words (null, empty, white space) are one
+    group. Of rows with equal doc_id and text one stays; rows of one doc_id with different texts are judged by
+    the id, and rows without an id always stay. Other columns, of whatever names, are kept as they are; an empty table stays empty.
+    """
     set_batches(spark)
     others = similar_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    kept = docs.join(others, "doc_id", "left_anti")
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +84,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxic_rejects(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without those that score as toxic."""
+    """``docs`` without those that score as toxic; rows and columns stay as they are.
+
+    Null, empty and very long texts are scored like any other, whole; repeated
+    rows and rows without id stay or go by their text alone; columns may have any names; an empty
+    table stays empty. Labels of held-out rows are not learnt from.
+    """
     set_batches(spark)
     return reject_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
 
@@ -90,7 +107,12 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the passages that a document of smaller id has too."""
+    """``docs`` without the passages that a document of smaller id has too (see :func:`remove_passages`).
+
+    All rows and columns stay, whatever the columns' names; texts without such
+    passages are unchanged, null and empty ones included. Repeated rows of a doc_id are cut alike; rows without id are
+    unchanged; an empty table stays empty.
+    """
     set_batches(spark)
     return remove_passages(docs)
 

@@ -101,17 +101,31 @@ class BKTree:
                     stack.append(child)
 
 
-def _shard_links(fps: list[int], nodes: list[int], left: list[bool] | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning star per local component of the links within a shard, or between two."""
-    root = list(range(len(fps)))
+class Joined:
+    """Components of a shard's members, as a forest."""
+
+    def __init__(self, n: int) -> None:
+        self.root = list(range(n))
 
-    def find(i: int) -> int:
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    tree = BKTree()
+    def join(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+
+    def star(self, nodes: list[int]) -> list[tuple[int, int]]:
+        """An edge to its component's root for each other member."""
+        return [(nodes[i], nodes[r]) for i in range(len(nodes)) if (r := self.find(i)) != i]
+
+
+def _shard_links(fps: list[int], nodes: list[int], left: list[bool] | None, radius: int) -> list[tuple[int, int]]:
+    """A spanning star per local component of the links within a shard, or between two."""
+    joined, tree = Joined(len(fps)), BKTree()
     if left is not None:
         for i, is_left in enumerate(left):
             if is_left:
@@ -119,12 +133,10 @@ def _shard_links(fps: list[int], nodes: list[int], left: list[bool] | None, radi
     for i, value in enumerate(fps):
         if left is None or not left[i]:
             for j in tree.within(value, radius):
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
+                joined.join(i, j)
         if left is None:
             tree.add(value, i)
-    return [(nodes[i], nodes[r]) for i in range(len(fps)) if (r := find(i)) != i]
+    return joined.star(nodes)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -249,31 +261,40 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _similar_links(fps: list[int], sets: list[np.ndarray], nodes: list[int], left: list[bool] | None,
-                   radius: int, similarity: float) -> list[tuple[int, int]]:
-    """As :func:`_shard_links`, for pairs within the radius whose shingle sets are similar; pairs already joined aren't compared."""
-    root = list(range(len(fps)))
+def _similar_links(fps: list[int], sets: list[np.ndarray], nodes: list[int], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """As :func:`_shard_links`, for pairs within the radius whose shingle sets are similar.
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    tree = BKTree()
-    if left is not None:
-        for i, is_left in enumerate(left):
-            if is_left:
-                tree.add(fps[i], i)
+    The tree holds leaders, which are not similar to each other; any other
+    member follows the first leader that it is similar to. A new member meets the leaders within
+    the radius, and the followers of those that it is less similar to, but not so far from that a follower couldn't
+    be similar to it: the Jaccard distance is a metric, so that is up to twice the distance of similar sets.
+    Followers of its own component are passed over. So a group of like texts costs a comparison for each member and not each pair.
+    """
+    joined, tree = Joined(len(fps)), BKTree()
+    followers: dict[int, list[int]] = {}
+    least = 1 - 2 * (1 - similarity)
+    wide = radius + radius // 2
     for i, value in enumerate(fps):
-        if left is None or not left[i]:
-            for j in tree.within(value, radius):
-                a, b = find(i), find(j)
-                if a != b and _jaccard(sets[i], sets[j]) >= similarity:
-                    root[max(a, b)] = min(a, b)
-        if left is None:
+        leader, ring = None, []
+        for j in tree.within(value, wide):
+            near = (value ^ fps[j]).bit_count() <= radius
+            if near or followers[j]:
+                alike = _jaccard(sets[i], sets[j])
+                if near and alike >= similarity:
+                    joined.join(i, j)
+                    leader = j if leader is None else leader
+                if alike >= least and followers[j]:
+                    ring.append(j)
+        for j in ring:
+            for k in followers[j]:
+                if joined.find(i) != joined.find(k) and (value ^ fps[k]).bit_count() <= radius and _jaccard(sets[i], sets[k]) >= similarity:
+                    joined.join(i, k)
+        if leader is None:
             tree.add(value, i)
-    return [(nodes[i], nodes[r]) for i in range(len(fps)) if (r := find(i)) != i]
+            followers[i] = []
+        else:
+            followers[leader].append(i)
+    return joined.star(nodes)
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 18, n_keys: int = 4,
@@ -284,9 +305,9 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     ten of 64 bits, too many for blocks of equal bits. The shards of the BK-trees are here the texts that share one of
     ``n_keys`` least shingle hashes, each under its own permutation: similar
     texts share none with a chance of (1 - similarity) ** n_keys, 0.16 %. The
-    tree gives the shard's pairs within ``radius`` bits, and their sets decide.
-    A text is compared only with members of other components, so a
-    group of copies costs a comparison for each member and not each pair.
+    tree gives the shard's pairs within ``radius`` bits, and their sets decide (see :func:`_similar_links`).
+    What a pair of sets at the threshold is lost by: no key in common, (1 - similarity) ** n_keys, and over ``radius`` bits,
+    .2 % for long texts and 2 % for those of five shingles.
 
     Equal texts are one class. Texts without words form one group too; null texts
     count as such. Rows without id get their class's component; no rows give none.
@@ -333,11 +354,9 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
         u: list[int] = []
         v: list[int] = []
         for table in groups(batches, keys):
-            i, j = table["i"][0].as_py(), table["j"][0].as_py()
             fps = table["fp"].to_numpy().view(np.uint64).tolist()
             sets = [np.asarray(x.values).view(np.uint32) for x in table["own"]]
-            left = None if i == j else (table["shard"].to_numpy() == i).tolist()
-            for a, b in _similar_links(fps, sets, table["rep"].to_pylist(), left, radius, similarity):
+            for a, b in _similar_links(fps, sets, table["rep"].to_pylist(), radius, similarity):
                 u.append(a)
                 v.append(b)
         yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import discard, release, save
@@ -17,6 +17,10 @@ from .store import discard, release, save
 ANCHOR = 32
 #: Bytes of text that are sorted in one suffix array, but for a group that has more by itself.
 SHARD = 2 << 20
+#: Bytes of distinct regions of one anchor that a task sorts; the windows of an anchor with more are compared by their hashes, each as a row.
+MOST = 32 << 20
+#: Rows of one anchor from which on its equal regions are brought together in parts first.
+HOT = 20_000
 #: A string of names is sorted by induction again if it has this many kinds or fewer: buckets are then long
 #: enough to be filled as arrays. With more kinds, names are paired and named anew until all differ.
 FEW_SYMBOLS = 1024
@@ -274,48 +278,81 @@ def anchors(data: bytes, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray,
     return h[places[pick[first]]], first, last
 
 
-def _mark(rows: Iterator[tuple], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(doc, text hash, first, last) of repeated windows, from region rows in order of (hash, region).
+#: What :func:`_mark` gives for a row: repeated windows, a region that is to be compared further, or a window by its hash.
+SPAN, REGION, WINDOW = 0, 1, 2
+
+
+def _mark(rows: Iterator[tuple], length: int, most: int) -> Iterator[tuple]:
+    """(kind, doc, mark, first, last, alone, h, x, y, region) from rows (k, h, doc, mark, first, last, parts, alone, region) in order of (k, h, region).
 
     Windows of a region that occurs twice or more are repeated as they stand, so
-    only its first copy is kept for the others; suffix arrays over the distinct regions find the rest.
+    only its first copy is kept for the others, as not alone any more; suffix arrays over the distinct regions of
+    an anchor find the rest. In a part of a hot anchor each distinct region goes on. If those of an anchor are over ``most``
+    bytes, each window goes on by 128 bits of its hash.
     """
-    shard: list[tuple] = []
+    from xxhash import xxh3_128_intdigest
+
+    shard: list[list] = []
     size = 0
 
-    def flush() -> Iterator[tuple[int, int, int, int]]:
-        for (doc, text, first, _, alone), hits in zip(shard, repeated_starts([r[3] for r in shard], length)):
-            if alone[0] and len(hits):
+    def flush() -> Iterator[tuple]:
+        for (_, doc, mark, first, alone, region), hits in zip(shard, repeated_starts([r[5] for r in shard], length)):
+            if alone and len(hits):
                 cut = np.flatnonzero(np.diff(hits) > 1)
                 for lo, hi in zip(np.append(hits[0], hits[cut + 1]), np.append(hits[cut], hits[-1])):
-                    yield doc, text, first + int(lo), first + int(hi)
-
-    group: list[tuple] = []
-    now = None
-    for h, doc, text, first, last, region in rows:
-        if h != now:
-            if len(group) > 1:
-                shard += group
-                size += sum(len(r[3]) for r in group)
-                if size >= SHARD:
-                    yield from flush()
-                    shard, size = [], 0
-            group, now = [], h
-        if group and group[-1][3] == region:
-            if group[-1][4][0]:
-                group[-1][4][0] = False
-                before = group[-1]
-                yield before[0], before[1], before[2], before[2] + len(region) - length
-            yield doc, text, first, last
+                    yield SPAN, doc, mark, first + int(lo), first + int(hi), True, None, None, None, None
+
+    def onward(whole: bool) -> Iterator[tuple]:
+        for h, doc, mark, first, alone, region in group:
+            if whole:
+                yield REGION, doc, mark, first, first + len(region) - length, alone, h, None, None, region
+            else:
+                for i in range(len(region) - length + 1):
+                    x, y = divmod(xxh3_128_intdigest(region[i:i + length]), 1 << 64)
+                    yield WINDOW, doc, mark, first + i, first + i, alone, None, x - (1 << 63), y - (1 << 63), None
+
+    group: list[list] = []
+    now, held, parted, spilt = None, 0, False, False
+
+    def close() -> Iterator[tuple]:
+        nonlocal shard, size
+        if parted or spilt:
+            yield from onward(parted)
+        elif len(group) > 1:
+            shard += group
+            size += held
+            if size >= SHARD:
+                yield from flush()
+                shard, size = [], 0
+
+    for k, h, doc, mark, first, last, parts, alone, region in rows:
+        if (k, h) != now:
+            yield from close()
+            group, now, held, parted, spilt = [], (k, h), 0, parts > 0, False
+        if group and group[-1][5] == region:
+            before = group[-1]
+            if before[4]:
+                before[4] = False
+                yield SPAN, before[1], before[2], before[3], before[3] + len(region) - length, True, None, None, None, None
+            if alone:
+                yield SPAN, doc, mark, first, last, True, None, None, None, None
         else:
-            group.append((doc, text, first, region, [True]))
-    if len(group) > 1:
-        shard += group
+            if parted or held > most:
+                spilt = True
+                yield from onward(parted)
+                group = []
+            group.append([h, doc, mark, first, alone, region])
+            held += len(region)
+    yield from close()
     if shard:
         yield from flush()
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+#: The rows of :func:`_mark`.
+MARKS = "kind int, doc long, mark long, first int, last int, alone boolean, h long, x long, y long, region binary"
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT, most: int = MOST) -> DataFrame:
     """(doc, mark, first, last): windows ``first`` to ``last`` of a text also start elsewhere.
 
     ``docs`` has (doc, mark, text), where doc and mark (a hash of the text) tell
@@ -323,6 +360,11 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     that occur once are dropped before any text is shuffled; the windows of each
     other anchor go, as one region of text, to the task of its hash. Each window
     is in one region, and equal windows are in regions of one group, so shards of whole groups lose no repeat.
+
+    The regions of an anchor with over ``hot`` rows go to the tasks by their own content and a part of the
+    documents, so that equal ones, as copies make them, are told in many tasks; what is left, a few of each
+    distinct region, goes to the anchor's task. If the distinct ones are over ``most`` bytes, their windows are compared
+    as rows, by 128 bits of their hashes. So no task holds more than that.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,26 +379,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 [pa.array(h.view(np.int64)), *keys.columns, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
                 ["h", "doc", "mark", "first", "last"])
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of hashes that occur twice or more, from rows in order of the hash; one row is held back."""
-        held: pa.RecordBatch | None = None
-        before = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = np.asarray(batch.column(0))
-            like = h[1:] == h[:-1]
-            keep = np.concatenate([[before is not None and h[0] == before], like]) | np.concatenate([like, [False]])
-            if held is not None and h[0] == before:
-                yield held
-            yield batch.filter(pa.array(keep))
-            held = None if keep[-1] else batch.slice(batch.num_rows - 1)
-            before = h[-1]
-
+    found = docs.mapInArrow(scan, "h long, doc long, mark long, first int, last int").repartition("h").withColumn("n", F.count("*").over(Window.partitionBy("h")))
+    parts = F.when(F.col("n") > hot, F.ceil(F.col("n") / F.lit(hot))).otherwise(0).cast("int").alias("parts")
     places = save(
-        docs.mapInArrow(scan, "h long, doc long, mark long, first int, last int").repartition("h").sortWithinPartitions("h")
-        .mapInArrow(shared, "h long, doc long, mark long, first int, last int")
-        .groupBy("doc", "mark").agg(F.array_distinct(F.collect_list(F.struct("h", "first", "last"))).alias("places")),
+        found.where("n > 1").groupBy("doc", "mark").agg(F.array_distinct(F.collect_list(F.struct("h", "first", "last", parts))).alias("places")),
         "anchors",
     )
     release(docs.sparkSession)
@@ -366,37 +392,46 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             for doc, mark, text, found in zip(*(batch.column(i) for i in range(4))):
                 data = text.as_py().encode()
                 own = found.values
-                h, first, last = (own.field(i) for i in range(3))
+                h, first, last, parts = (own.field(i) for i in range(4))
                 n = len(h)
                 yield pa.RecordBatch.from_arrays(
-                    [h, pa.repeat(doc, n), pa.repeat(mark, n), first, last,
+                    [h, pa.repeat(doc, n), pa.repeat(mark, n), first, last, parts,
                      pa.array([data[a:b + length] for a, b in zip(first.to_pylist(), last.to_pylist())], pa.binary())],
-                    ["h", "doc", "mark", "first", "last", "region"])
+                    ["h", "doc", "mark", "first", "last", "parts", "region"])
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = [c.split(" ")[0] for c in MARKS.split(", ")]
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
         out: list[tuple] = []
-        for row in _mark(rows(), length):
+        for row in _mark(rows, length, most):
             out.append(row)
             if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "mark", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "mark", "first", "last"])
-
-    found = save(
-        docs.join(places, ["doc", "mark"]).select("doc", "mark", "text", "places")
-        .mapInArrow(regions, "h long, doc long, mark long, first int, last int, region binary")
-        .repartition("h").sortWithinPartitions("h", "region")
-        .mapInArrow(mark, "doc long, mark long, first int, last int"),
-        "repeats",
-    )
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    def compared(regions: DataFrame) -> DataFrame:
+        placed = regions.select("k", "h", "doc", "mark", "first", "last", "parts", "alone", "region")
+        return save(placed.repartition("k").sortWithinPartitions("k", "h", "region").mapInArrow(marked, MARKS), "repeats")
+
+    cut = docs.join(places, ["doc", "mark"]).select("doc", "mark", "text", "places").mapInArrow(
+        regions, "h long, doc long, mark long, first int, last int, parts int, region binary")
+    key = F.when(F.col("parts") > 0, F.xxhash64("h", "region", F.pmod(F.xxhash64("doc"), F.col("parts")))).otherwise(F.col("h"))
+    found = compared(cut.withColumns({"k": key, "alone": F.lit(True)}))
     discard(places)
     release(docs.sparkSession)
-    return found
+    further = found.where(f"kind = {REGION}")
+    if not further.isEmpty():
+        found = found.union(compared(further.withColumns({"k": F.col("h"), "parts": F.lit(0)})))
+    spans = found.where(f"kind = {SPAN}").select("doc", "mark", "first", "last")
+    windows = found.where(f"kind = {WINDOW}").select("doc", "mark", "first", "last", "alone", "x", "y")
+    if not windows.isEmpty():
+        twice = windows.withColumn("n", F.count("*").over(Window.partitionBy("x", "y"))).where("n > 1 and alone")
+        spans = spans.union(twice.select("doc", "mark", "first", "last"))
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,8 +445,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    spans = repeated_spans(rows.select("doc", "mark", "text"), length).groupBy("doc", "mark").agg(
-        F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    found = repeated_spans(rows.select("doc", "mark", "text"), length)
+    spans = found.groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

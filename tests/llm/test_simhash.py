@@ -101,3 +101,35 @@ def test_similar_components_dont_count_repeated_lines(spark):
         rows += [(2 * g, " ".join(body + line), "", 0), (2 * g + 1, " ".join(body + line * 30), "", 0)]
     got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {d: d - d % 2 for d, *_ in rows}
+
+
+def test_leaders_find_the_links_that_all_pairs_have():
+    import random
+
+    import numpy as np
+    from spanforge.llm.simhash import _jaccard, _similar_links
+
+    rng = random.Random(8)
+    for _ in range(20):
+        sets, fps = [], []
+        base = np.array(sorted(rng.sample(range(10 ** 6), 60)))
+        for _ in range(50):
+            kept = [x for x in base.tolist() if rng.random() < 0.93]
+            base = np.array(kept + rng.sample(range(10 ** 6), 60 - len(kept))) if rng.random() < 0.3 else base  # drifts, so groups are chains
+            sets.append(np.unique(np.array(kept)))
+            fps.append(rng.getrandbits(2))
+        comp = list(range(50))
+        for _ in range(50):
+            for a, b in combinations(range(50), 2):
+                if _jaccard(sets[a], sets[b]) >= 0.8:
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+        got = dict(_similar_links(fps, sets, list(range(50)), 18, 0.8))
+        assert [got.get(i, i) for i in range(50)] == comp
+
+
+def test_very_long_texts_and_a_large_group_of_like_texts(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words), "", 0), (2, " ".join(words[:-3]), "", 0)]
+    rows += [(10 + i, " ".join([*words[:200], f"end{i}"]), "", 0) for i in range(300)]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, SCHEMA), shard_size=100).collect()}
+    assert got == {1: 1, 2: 1} | {10 + i: 10 for i in range(300)}

@@ -76,9 +76,11 @@ def sample():
     return rows
 
 
-@pytest.mark.parametrize("shard", [2 << 20, 3000])
-def test_removal_matches_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "hot", "most"), [(2 << 20, 20_000, 1 << 25), (3000, 20_000, 1 << 25), (2 << 20, 2, 1 << 25), (2 << 20, 20_000, 300), (3000, 3, 700)])
+def test_removal_matches_brute_force(spark, monkeypatch, shard, hot, most):
     monkeypatch.setattr(suffixes, "SHARD", shard)
+    plain = suffixes.repeated_spans
+    monkeypatch.setattr(suffixes, "repeated_spans", lambda docs, length: plain(docs, length, hot, most))
     rows = sample()
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(3)
     assert sorted((tuple(r) for r in remove_repeats(df).collect()), key=str) == brute(rows, 200)
@@ -88,3 +90,11 @@ def test_no_rows_and_nothing_repeated(spark):
     df = spark.createDataFrame([(1, "alone " + "x" * 150, "")], SCHEMA)
     assert remove_repeats(df).first().n_removed == 0
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40_000))
+    df = spark.createDataFrame([(1, long, ""), (2, long[1000:2000], "")], SCHEMA)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(df).collect()}
+    assert got == {1: (1000, 1), 2: (1000, 1)}
