@@ -14,6 +14,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document in a sequence of at most 4096 tokens (see :func:`pack_documents`).
+
+    Null and empty texts are an end token alone; repeated rows and rows without
+    id are packed like any other; columns besides doc_id and text are ignored; an empty table gives no rows.
+    """
     set_batches(spark)
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
