@@ -360,6 +360,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT, most: int
     that occur once are dropped before any text is shuffled; the windows of each
     other anchor go, as one region of text, to the task of its hash. Each window
     is in one region, and equal windows are in regions of one group, so shards of whole groups lose no repeat.
+    All windows of equal texts (128 bits of hash and the size) are repeated, and only the text of the smallest doc is compared with others.
 
     The regions of an anchor with over ``hot`` rows go to the tasks by their own content and a part of the
     documents, so that equal ones, as copies make them, are told in many tasks; what is left, a few of each
@@ -379,10 +380,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT, most: int
                 [pa.array(h.view(np.int64)), *keys.columns, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
                 ["h", "doc", "mark", "first", "last"])
 
+    thin = docs.select("doc", "mark", F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").alias("size")).where(F.col("size") >= length)
+    classes = save(thin.groupBy("mark", "check", "size").agg(F.min("doc").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    members = thin.join(classes, ["mark", "check", "size"])
+    copies = save(members.select("doc", "mark", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"), (F.col("doc") != F.col("keep")).alias("other")).distinct(), "copies")
     found = docs.mapInArrow(scan, "h long, doc long, mark long, first int, last int").repartition("h").withColumn("n", F.count("*").over(Window.partitionBy("h")))
     parts = F.when(F.col("n") > hot, F.ceil(F.col("n") / F.lit(hot))).otherwise(0).cast("int").alias("parts")
     places = save(
-        found.where("n > 1").groupBy("doc", "mark").agg(F.array_distinct(F.collect_list(F.struct("h", "first", "last", parts))).alias("places")),
+        found.where("n > 1").groupBy("doc", "mark").agg(F.array_distinct(F.collect_list(F.struct("h", "first", "last", parts))).alias("places"))
+        .join(copies.where("other").select("doc", "mark"), ["doc", "mark"], "left_anti"),
         "anchors",
     )
     release(docs.sparkSession)
@@ -431,7 +437,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT, most: int
     if not windows.isEmpty():
         twice = windows.withColumn("n", F.count("*").over(Window.partitionBy("x", "y"))).where("n > 1 and alone")
         spans = spans.union(twice.select("doc", "mark", "first", "last"))
-    return spans
+    return spans.union(copies.select("doc", "mark", "first", "last"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
