@@ -48,6 +48,23 @@ def failure_flags(dimensions: dict[str, str], intelligibility: str) -> Column:
     return F.array_distinct(F.array_compact(F.array(*flags, F.when(F.col(intelligibility) <= 2, "degraded"))))
 
 
+def mapped_flags(flags: str | Column, names: dict[str, str], allowed: Sequence[str]) -> Column:
+    """The flags under their mapped names, those that are allowed, each once and in order."""
+    f = F.coalesce(F.col(flags) if isinstance(flags, str) else flags, F.array().cast("array<string>"))
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) if names else None
+    renamed = F.transform(f, lambda x: F.coalesce(F.try_element_at(table, x), x)) if names else f
+    return F.array_distinct(F.filter(renamed, lambda x: x.isin(*allowed)))
+
+
+def group_payload(candidates: DataFrame, key: str, id_col: str, fields: dict[str, int], order: Sequence[str]) -> DataFrame:
+    """(key, candidates, payload, tokens): one JSON request per recording, its candidates in ``order`` with their text fields cut to the caps."""
+    part = F.struct(F.col(id_col).cast("string").alias(id_col), *(F.substring(c, 1, n).alias(c) for c, n in sorted(fields.items())))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, part.alias("_part")))), lambda x: x["_part"])
+    rows = candidates.groupBy(key).agg(F.count("*").alias("candidates"), listed.alias("_list"))
+    rows = rows.select(key, "candidates", F.to_json(F.struct("_list")).alias("_json")).withColumn("payload", F.expr("substring(_json, 10, length(_json) - 10)"))
+    return rows.select(key, "candidates", "payload", F.greatest(F.lit(1), F.ceil(F.char_length("payload") / 4)).cast("long").alias("tokens"))
+
+
 def choices(rows: DataFrame, valid: DataFrame, key: str, k: int) -> DataFrame:
     """(key, place, id): the ids of the array ``choices`` of (id, rank) that are valid for the key, each once, by rank, up to ``k``."""
     from pyspark.sql import Window

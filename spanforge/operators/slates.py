@@ -7,17 +7,19 @@ first in order of (score descending, start, end, id).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.intervals import interval_key
-from spanforge.functions.text import seconds_to_clock
+from spanforge.functions.scores import trim_components, trim_score
+from spanforge.functions.text import detect_language, genre, seconds_to_clock
 
 from .generate import top_k
 from .joins import evidence
-from .select import _ratio, bins_then_fill, relevance_and_diversity, suppress_overlaps
+from .select import _ratio, bins_then_fill, relevance_and_diversity, source_bands, suppress_overlaps
+from .windows import unique_candidates
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -254,3 +256,22 @@ def slate(rows: DataFrame, speeches: DataFrame, k: int, select: Callable[[DataFr
     return named.join(told, "candidate_id").select(
         key, "candidate_id", "place", id_col, "start_ms", "end_ms", clock(F.col("start_ms")).alias("start_time"), clock(F.col("end_ms")).alias("end_time"),
         clock(F.greatest(F.lit(0), F.col("start_ms") - pad_ms)).alias("context_start_time"), clock(F.col("end_ms") + pad_ms).alias("context_end_time"), "before", "core", "after")
+
+
+def trim_rerank(rows: DataFrame, speeches: DataFrame, k: int, max_overlap: float, bands: int, lexicons: Mapping[str, Mapping[str, float]], titles: Sequence[str], scripts: Sequence[tuple[str, str, int, float]] = (("ko", "\uac00-\ud7a3", 20, 0.25), ("en", "A-Za-z", 40, 0.0)),
+                key: str = "longform_id", id_col: str = "scene_id", pad_ms: int = 0) -> DataFrame:
+    """(key, place, id, score): trim windows reranked by what is said in them, the best of each band of source ranks first.
+
+    A recording's language and genre come from the texts of its windows;
+    repeated intervals count once. ``rows`` has rank, source_rank, window_rank and kind; ``lexicons`` weights for lecture, variety and filler.
+    """
+    unique = unique_candidates(rows, ["rank", "start_ms", id_col], key, "start_ms", "end_ms")
+    named = unique.withColumn("candidate_id", F.concat_ws(":", key, id_col))
+    told = evidence(named.select("candidate_id", key, "start_ms", "end_ms"), speeches, key, pad_ms=pad_ms, caps=(0, 6000, 0)).select("candidate_id", "core")
+    texts = named.join(told, "candidate_id")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "start_ms", id_col, F.col("core").alias("_t")))), lambda x: x["_t"])
+    about = texts.groupBy(key).agg(F.array_join(lines, "\n").alias("_all")).select(
+        key, detect_language("_all", scripts, "other").alias("language"), genre("_all", lexicons["lecture"], lexicons["variety"]).alias("genre"))
+    parts = trim_components("core", F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0, "kind", "source_rank", "rank", "window_rank", "genre", lexicons["lecture"], lexicons["variety"], lexicons["filler"], titles)
+    scored = texts.join(about, key).withColumn("score", F.round(trim_score(parts, "language"), 9))
+    return source_bands(scored, k, bands, max_overlap, "source_rank", key, id_col, "score")

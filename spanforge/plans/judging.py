@@ -63,3 +63,18 @@ def m5_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("run"), (F.col("o_orderkey") % 3 == 0).alias("cached"), F.col("o_totalprice").cast("double").alias("elapsed"), F.to_json(F.struct(F.col("o_custkey").alias("total_tokens"))).alias("usage"))
     return rounded(judge.usage_summary(rows, "usage", "run"), 2)
+
+
+@query(f"""{with_views('judge')} select candidate_id, repeat, array_to_string(list_distinct_in_order, ',') as flags from (select *, list_filter([case when second <= 20 then 'hook' end, case when score >= 60 then 'end' end, case when score >= 90 then 'end' end], lambda x: x is not null) as f,
+    case when second <= 20 and score >= 60 then ['weak_hook', 'end'] when second <= 20 then ['weak_hook'] when score >= 60 then ['end'] else []::varchar[] end as list_distinct_in_order from judge)""")
+def f9_mapped_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.array_compact(F.array(F.when(F.col("second") <= 20, "hook"), F.when(F.col("score") >= 60, "end"), F.when(F.col("score") >= 90, "finish"), F.when(F.col("score") >= 95, "unheard")))
+    mapped = judge.mapped_flags(flags, {"hook": "weak_hook", "finish": "end"}, ["weak_hook", "end"])
+    return judgments(spark, sf_dir).select("candidate_id", "repeat", F.array_join(mapped, ",").alias("flags"))
+
+
+@query("""select conv_id, count(*) as candidates, cast(to_json(list({'turn': cast(turn as varchar), 'role': role, 'text': left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 30)} order by turn)) as varchar) as payload,
+    greatest(1, cast(ceil(length(to_json(list({'turn': cast(turn as varchar), 'role': role, 'text': left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 30)} order by turn))) / 4.0) as bigint)) as tokens from conversations group by conv_id""")
+def f19_group_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "conversations").withColumns({"at": F.col("turn"), "text": F.regexp_replace("text", "[^a-zA-Z ]", "")})
+    return judge.group_payload(c, "conv_id", "turn", {"role": 100, "text": 30}, ["at"])

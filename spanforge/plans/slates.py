@@ -80,6 +80,24 @@ def g15_slates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("longform_id", "candidate_id", "place", "scene_id", "core", "start_time", "context_start_time")
 
 
+@query(f"""{with_views('speech').replace('with ', 'with recursive ', 1)}, x as (select longform_id, speech_id as scene_id, start_ms as s, end_ms as e, text as t, speech_id + 1 as rank, 1 + speech_id // 6 as source_rank from speech),
+    lang as (select longform_id, left(string_agg(left(t, 6000), chr(10) order by rank, s, scene_id), 20000) as a from x group by longform_id),
+    g as (select longform_id, case when length(regexp_replace(a, '[^A-Za-z]', '', 'g')) >= 40 then 0.0 else 0.2 end as off from lang),
+    c as (select x.*, off, case when least(8.0, (length(lower(t)) - length(replace(lower(t), 'un', ''))) / 2.0 * 1.5) >= 0 then least(8.0, (length(lower(t)) - length(replace(lower(t), 'un', ''))) / 2.0 * 1.5) / 8.0 end as signal from x join g using (longform_id)),
+    o as (select *, round(0.5 * signal + 1.7 * greatest(0.0, 1 - abs((e - s) / 1000.0 - 45.0) / 45.0) + 1.8 * least(10.0, length(regexp_replace(t, '[^\n]', '', 'g'))) / 10.0 + 0.4 * least(5.0, length(regexp_replace(t, '[^?]', '', 'g'))) / 5.0
+            + 0.5 * greatest(0.0, 1 - (source_rank - 1) / 20.0) - 2.5 * least(5.0, (length(lower(t)) - length(replace(lower(t), 'er', ''))) / 2.0) / 5.0 - off, 9) as v from c),
+    r as (select *, least(2, floor((source_rank - 1) * 3 / greatest(1, max(source_rank) over (partition by longform_id)))) as band, row_number() over (partition by longform_id order by v desc, s, e, scene_id) as n from o where e > s),
+    f as (select *, row_number() over (partition by longform_id, band order by n) as bn from r)
+    select longform_id, cast(row_number() over (partition by longform_id order by case when bn = 1 then 0 else 1 end, case when bn = 1 then band else 0 end, n) as integer) as place, scene_id, round(v, 6) as score from f
+        qualify row_number() over (partition by longform_id order by case when bn = 1 then 0 else 1 end, case when bn = 1 then band else 0 end, n) <= 5""")
+def g19_trim_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation, which don't overlap, reranked by what is said in them."""
+    s = speeches(spark, sf_dir).withColumnRenamed("speech_id", "scene_id").where("end_ms > start_ms").withColumns({
+        "rank": F.col("scene_id") + 1, "source_rank": F.expr("1 + scene_id div 6"), "window_rank": F.lit(1), "kind": F.lit("spaced")})
+    lexicons = {"lecture": {"zzzz": 1.0}, "variety": {"un": 1.5}, "filler": {"er": 1.0}}
+    return rounded(slates.trim_rerank(s, speeches(spark, sf_dir), 5, 0.45, 3, lexicons, ["?"]))
+
+
 _RUNS = """s as (select *, row_number() over (partition by longform_id order by start_ms, end_ms, scene_id) as i from timeline),
     c as (select longform_id, a.scene_id || 'w' || w as candidate_id, a.i, a.i + w - 1 as j, a.start_ms, b.end_ms, (a.scene_id * 7 + w) % 101 as score from s a join s b using (longform_id), (select unnest([1, 2, 3]) as w)
         where b.i = a.i + w - 1 and b.end_ms - a.start_ms between 15000 and 90000),
