@@ -134,7 +134,7 @@ def i11_ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STRATA = """x as (select l.doc_id as id, source as ch, toxic as y, length(regexp_replace(text, '[^aeiou]', '', 'g')) / greatest(1, n_chars) as s from labels l join documents d on d.doc_id = l.doc_id where text is not null and n_chars is not null),
     k as (select *, row_number() over (partition by ch, y order by id) - 1 as i, count(*) over (partition by ch, y) as n, count(*) filter (y = 1) over (partition by ch) as pos, count(*) filter (y = 0) over (partition by ch) as neg from x where y in (0, 1)),
     t as (select * from k where pos >= 3 and neg >= 3),
-    dr as (select r, t.ch, t.y, u.s from t, range(200) q(r) join t u on u.ch = t.ch and u.y = t.y and u.i = ('0x' || substr(md5('7|' || r || '|' || t.ch || '|' || t.y || '|' || t.i), 1, 8))::bigint % t.n)"""
+    dr as (select r, t.ch, t.y, u.s from t, range(2000) q(r) join t u on u.ch = t.ch and u.y = t.y and u.i = ('0x' || substr(md5('7|' || r || '|' || t.ch || '|' || t.y || '|' || t.i), 1, 8))::bigint % t.n)"""
 _AUC = lambda src, by: f"(select {by} ch, sum((rk - (p + 1) / 2.0)) filter (y = 1) / any_value(p * q) as auc from (select {by} ch, y, rank() over (partition by {by} ch order by s) + (count(*) over (partition by {by} ch, s) - 1) / 2.0 as rk, count(*) filter (y = 1) over (partition by {by} ch) as p, count(*) filter (y = 0) over (partition by {by} ch) as q from {src}) group by {by} ch)"
 
 
@@ -143,4 +143,4 @@ _AUC = lambda src, by: f"(select {by} ch, sum((rk - (p + 1) / 2.0)) filter (y =
 def l3_stratified_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").where("text is not null and n_chars is not null").select("doc_id", "source", (F.char_length(F.regexp_replace("text", "[^aeiou]", "")) / F.greatest(F.lit(1), F.col("n_chars"))).alias("s"))
     rows = load(spark, sf_dir, "labels").join(d, "doc_id")
-    return rounded(nested.stratified_bootstrap(rows, "source", "toxic", "s", "doc_id", 200, 7), 5)
+    return rounded(nested.stratified_bootstrap(rows, "source", "toxic", "s", "doc_id", 2000, 7), 5)

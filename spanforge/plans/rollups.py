@@ -88,21 +88,21 @@ def l5_label_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(one("polar").union(one("oracle")), 5)
 
 
-@query("""with x as (select l.doc_id, l.quality as y, sim, ('0x' || substr(md5('9|' || sim || '|' || l.doc_id), 1, 8))::bigint / 4294967296.0 as s from labels l, range(50) r(sim)),
+@query("""with x as (select l.doc_id, l.quality as y, sim, ('0x' || substr(md5('9|' || sim || '|' || l.doc_id), 1, 8))::bigint / 4294967296.0 as s from labels l, range(500) r(sim)),
     r as (select *, rank() over (partition by sim order by s) + (count(*) over (partition by sim, s) - 1) / 2.0 as r from x),
     a as (select sim, (sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as auc from r group by sim)
     select round(avg(auc), 6) as mean, round(quantile_cont(auc, 0.025), 6) as low, round(quantile_cont(auc, 0.975), 6) as high, count(auc) as valid from a""")
 def l5_null_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rollups.null_control(load(spark, sf_dir, "labels"), "doc_id", "quality", 50, 9))
+    return rounded(rollups.null_control(load(spark, sf_dir, "labels"), "doc_id", "quality", 500, 9))
 
 
 @query("""with s as (select s_suppkey as source, cast(s_acctbal as double) as v, 1 as c from supplier), n as (select count(*) as n from s), k as (select source, row_number() over (order by source) - 1 as number from s),
-    d as (select r, ('0x' || substr(md5('13|' || r || '|' || t), 1, 8))::bigint % n.n as number from n, range(100) a(r), range(n.n) b(t)),
+    d as (select r, ('0x' || substr(md5('13|' || r || '|' || t), 1, 8))::bigint % n.n as number from n, range(2000) a(r), range(n.n) b(t)),
     m as (select r, sum(s.v) / sum(s.c) as m from d join k using (number) join s using (source) group by r)
     select round((select avg(v) from s), 6) as mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.5), 6) as median, round(quantile_cont(m, 0.975), 6) as high, count(m) as valid from m""")
 def l2_row_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("v"))
-    return rounded(audit.bootstrap_mean(rows, "s_suppkey", "v", 100, 13))
+    return rounded(audit.bootstrap_mean(rows, "s_suppkey", "v", 2000, 13))
 
 
 @query("""select 'rows' as check, null::varchar as detail, (select count(*) from documents) as n union all select 'repeated keys', null, (select count(*) from (select doc_id from documents group by doc_id having count(*) > 1))

@@ -62,11 +62,12 @@ def c7_c9_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select doc_id, length(t) as chars, case when t = '' then 0 else length(regexp_replace(t, '[^\\n]', '', 'g')) + 1 end as lines, length(regexp_replace(t, '[^?]', '', 'g')) as questions,
-    length(regexp_replace(t, '[^!]', '', 'g')) as exclamations, regexp_matches(t, '[0-9]') as has_digit, length(regexp_replace(t, '[^\\[\\]()]', '', 'g')) as brackets, round(ln(1 + length(t)), 6) as log_chars
+    length(regexp_replace(t, '[^!]', '', 'g')) as exclamations, regexp_matches(t, '[0-9]') as has_digit, length(regexp_replace(t, '[^\\[\\]()]', '', 'g')) as brackets, round(ln(1 + length(t)), 6) as log_chars,
+    len(list_filter(regexp_split_to_array(t, '\\s+'), lambda q: q <> '')) as words, length(trim(t)) < 8 as too_short
     from (select doc_id, coalesce(text, '') as t from documents)""")
 def c11_c13_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tx.text_statistics("text")
-    return rounded(load(spark, sf_dir, "documents").select("doc_id", *(s[c].alias(c) for c in ("chars", "lines", "questions", "exclamations", "has_digit", "brackets", "log_chars"))))
+    return rounded(load(spark, sf_dir, "documents").select("doc_id", *(s[c].alias(c) for c in ("chars", "lines", "questions", "exclamations", "has_digit", "brackets", "log_chars", "too_short")), s["words"].cast("long").alias("words")))
 
 
 @query("""select conv_id, count(*) filter (role <> before) as turns from (select *, lag(role) over (partition by conv_id order by turn) as before from conversations) group by conv_id""")
