@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hot import hot_hashes
 from .store import discard, release, save
 
 #: Bytes of an anchor, by which windows that may be equal are brought together.
@@ -368,6 +369,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT, most: int
     as rows, by 128 bits of their hashes. So no task holds more than that.
     """
 
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(anchors(t.as_py().encode(), length)[0] for t in batch.column(2))]).view(np.int64)
+
+    often = hot_hashes(docs, hashes, hot)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [anchors(t.as_py().encode(), length) for t in batch.column(2)]
@@ -375,19 +381,24 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT, most: int
             if not len(rows):
                 continue
             h, first, last = (np.concatenate([f[i] for f in found]) for i in range(3))
+            h = h.view(np.int64)
             keys = batch.select([0, 1]).take(pa.array(rows))
+            part = often.part(h, np.asarray(batch.column(0))[rows])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), *keys.columns, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                ["h", "doc", "mark", "first", "last"])
+                [pa.array(h), pa.array(part), *keys.columns, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
+                ["h", "part", "doc", "mark", "first", "last"])
 
     thin = docs.select("doc", "mark", F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").alias("size")).where(F.col("size") >= length)
     classes = save(thin.groupBy("mark", "check", "size").agg(F.min("doc").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
     members = thin.join(classes, ["mark", "check", "size"])
     copies = save(members.select("doc", "mark", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"), (F.col("doc") != F.col("keep")).alias("other")).distinct(), "copies")
-    found = docs.mapInArrow(scan, "h long, doc long, mark long, first int, last int").repartition("h").withColumn("n", F.count("*").over(Window.partitionBy("h")))
-    parts = F.when(F.col("n") > hot, F.ceil(F.col("n") / F.lit(hot))).otherwise(0).cast("int").alias("parts")
+    found = docs.mapInArrow(scan, "h long, part int, doc long, mark long, first int, last int").repartition("h", "part").withColumn(
+        "n", F.count("*").over(Window.partitionBy("h", "part")))
+    # all hot hashes have as many parts as the most frequent one of the sample, others that turn out to be hot what their rows ask for
+    most_parts = F.lit(int(often.parts.max()) if often else 0)
+    parts = F.when(F.col("part") > 0, most_parts).when(F.col("n") > hot, F.ceil(F.col("n") / F.lit(hot))).otherwise(0).cast("int").alias("parts")
     places = save(
-        found.where("n > 1").groupBy("doc", "mark").agg(F.array_distinct(F.collect_list(F.struct("h", "first", "last", parts))).alias("places"))
+        found.where("n > 1 or part > 0").groupBy("doc", "mark").agg(F.array_distinct(F.collect_list(F.struct("h", "first", "last", parts))).alias("places"))
         .join(copies.where("other").select("doc", "mark"), ["doc", "mark"], "left_anti"),
         "anchors",
     )
