@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Documents, about, in the sample that hot hashes are told by, and how many of those there are at most.
@@ -31,6 +31,16 @@ class HotHashes:
         return np.where(self.hashes[i] == h, 1 + doc % self.parts[i], 0).astype(np.int32)
 
 
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        return np.isin(h, self.hashes)
+
+    def dealt(self, h: str, doc: str) -> Column:
+        """As :meth:`part`, as an expression to deal rows by; all hot hashes have as many parts as the most frequent one."""
+        if not self:
+            return F.lit(0)
+        return F.when(F.col(h).isin(self.hashes.tolist()), 1 + F.pmod(F.col(doc), F.lit(int(self.parts.max())))).otherwise(0)
+
+
 def hot_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], hot_rows: int, doc: str = "doc") -> HotHashes:
     """The hot ones among the ``hashes`` of the rows of ``docs``, from a bounded sample of documents.
 
