@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import encode_digests
 from .covertree import embedding_links
+from .linededup import line_digests
 from .ordermin import fingerprint_edits
 from .packing import pack_documents
 from .passages import find_passages, remove_passages
@@ -125,6 +126,10 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -136,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op8_passages": op8_passages,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_arrays": op10_suffix_arrays,
+    "op12_line_dedup": op12_line_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -184,4 +190,18 @@ ORACLES: dict[str, str] = {
         select c.u as vec_id, coalesce(n.n_links, 0) as n_links, c.component_id, c.u = c.component_id as kept
         from c left join n on n.u = c.u
     """,
+    "op12_line_dedup": """
+        with k as (
+            select doc_id, string_split(coalesce(text, ''), chr(10)) as lines,
+                   list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as keys from documents
+        ), often as (
+            select key from (select distinct doc_id, unnest(keys) as key from k) where length(key) >= 1 group by key having count(*) >= 10
+        ), l as (
+            select doc_id, unnest(lines) as line, unnest(keys) as key, unnest(range(len(lines))) as place from k
+        )
+        select doc_id, count(*) as n_lines, count(o.key) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by place) filter (o.key is null), '')) as kept_sha256
+        from l left join often o on o.key = l.key group by doc_id
+    """,
 }
