@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bytebpe import encode_digests
 from .covertree import embedding_links
 from .linededup import line_digests
+from .negatives import mine_negatives, quantised
 from .ordermin import fingerprint_edits
 from .packing import pack_documents
 from .passages import find_passages, remove_passages
@@ -130,6 +131,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_negatives(quantised(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -142,6 +147,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_arrays": op10_suffix_arrays,
     "op12_line_dedup": op12_line_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -204,4 +210,20 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) order by place) filter (o.key is null), '')) as kept_sha256
         from l left join often o on o.key = l.key group by doc_id
     """,
+    "op13_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+            where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select a.vec_id as a, b.vec_id as b, a.label = b.label as alike, cast(list_dot_product(a.e, b.e) as bigint) as score
+            from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+        ), p as (
+            select a, b, score from s where alike qualify row_number() over (partition by a order by score desc, b) <= 5
+        )
+        select p.a as anchor_id, p.b as positive_id, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank,
+               s.b as negative_id, p.score as positive_score, s.score as negative_score
+        from p join s on s.a = p.a and not s.alike and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+        qualify rank <= 10
+    """,
 }
