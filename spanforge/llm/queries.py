@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import encode_digests
 from .covertree import embedding_links
+from .lexical import search
 from .linededup import line_digests
 from .negatives import mine_negatives, quantised
 from .ordermin import fingerprint_edits
@@ -127,6 +128,10 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(table(spark, sf_dir, "documents"))
 
@@ -146,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "op8_passages": op8_passages,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_arrays": op10_suffix_arrays,
+    "op11_lexical_search": op11_lexical_search,
     "op12_line_dedup": op12_line_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -196,6 +202,26 @@ ORACLES: dict[str, str] = {
         select c.u as vec_id, coalesce(n.n_links, 0) as n_links, c.component_id, c.u = c.component_id as kept
         from c left join n on n.u = c.u
     """,
+    "op11_lexical_search": """
+        with d as (
+            select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as t from documents
+        ), q as (
+            select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as t from benchmark
+        ), n as (
+            select doc_id, count(*) as n from d group by all
+        ), z as (
+            select count(*) as docs, cast(sum(n) as bigint) as l from n
+        ), tf as (
+            select doc_id, t, count(*) as tf from d where t in (select t from q) group by all
+        ), w as (
+            select t, cast(floor(1000 * ln((2.0::double * docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, z group by t, docs
+        ), s as (
+            select q.item_id, tf.doc_id, cast(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + ((25 * n.n * z.docs) // z.l))))) as bigint) as score
+            from q join w on w.t = q.t join tf on tf.t = q.t join n on n.doc_id = tf.doc_id, z group by all
+        )
+        select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+        from s where score > 0 qualify rank <= 20
+    """,
     "op12_line_dedup": """
         with k as (
             select doc_id, string_split(coalesce(text, ''), chr(10)) as lines,
