@@ -261,23 +261,29 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+#: Sets of fewer shingles than FEW have SimHashes that tell little: their similar pairs are taken within FEW_RADIUS bits.
+FEW, FEW_RADIUS = 40, 40
+
+
 def _similar_links(fps: list[int], sets: list[np.ndarray], nodes: list[int], radius: int, similarity: float) -> list[tuple[int, int]]:
     """As :func:`_shard_links`, for pairs within the radius whose shingle sets are similar.
 
     The tree holds leaders, which are not similar to each other; any other
     member follows the first leader that it is similar to. A new member meets the leaders within
-    the radius, and the followers of those that it is less similar to, but not so far from that a follower couldn't
-    be similar to it: the Jaccard distance is a metric, so that is up to twice the distance of similar sets.
+    twice the radius, as a link to the leader's follower and one from there on are of one radius each, and the followers of those leaders that it is
+    less similar to, but not so far from that a follower couldn't
+    be similar to it: the Jaccard distance is a metric, so that is up to twice the distance of similar sets (and a hair, as that is a sum of doubles).
     Followers of its own component are passed over. So a group of like texts costs a comparison for each member and not each pair.
+    For a set that may be similar to one of under FEW shingles, the radius is FEW_RADIUS or more.
     """
     joined, tree = Joined(len(fps)), BKTree()
     followers: dict[int, list[int]] = {}
-    least = 1 - 2 * (1 - similarity)
-    wide = radius + radius // 2
+    least = 1 - 2 * (1 - similarity) - 1e-9
     for i, value in enumerate(fps):
         leader, ring = None, []
-        for j in tree.within(value, wide):
-            near = (value ^ fps[j]).bit_count() <= radius
+        reach = max(radius, FEW_RADIUS) if len(sets[i]) * similarity < FEW else radius
+        for j in tree.within(value, 2 * reach):
+            near = (value ^ fps[j]).bit_count() <= reach
             if near or followers[j]:
                 alike = _jaccard(sets[i], sets[j])
                 if near and alike >= similarity:
@@ -287,7 +293,7 @@ def _similar_links(fps: list[int], sets: list[np.ndarray], nodes: list[int], rad
                     ring.append(j)
         for j in ring:
             for k in followers[j]:
-                if joined.find(i) != joined.find(k) and (value ^ fps[k]).bit_count() <= radius and _jaccard(sets[i], sets[k]) >= similarity:
+                if joined.find(i) != joined.find(k) and (value ^ fps[k]).bit_count() <= reach and _jaccard(sets[i], sets[k]) >= similarity:
                     joined.join(i, k)
         if leader is None:
             tree.add(value, i)
@@ -307,7 +313,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     texts share none with a chance of (1 - similarity) ** n_keys, 0.16 %. The
     tree gives the shard's pairs within ``radius`` bits, and their sets decide (see :func:`_similar_links`).
     What a pair of sets at the threshold is lost by: no key in common, (1 - similarity) ** n_keys, and over ``radius`` bits,
-    .2 % for long texts and 2 % for those of five shingles.
+    .2 % (sets of under 40 shingles are taken within 40 bits).
 
     Equal texts are one class. Texts without words form one group too; null texts
     count as such. Rows without id get their class's component; no rows give none.

@@ -133,3 +133,42 @@ def test_very_long_texts_and_a_large_group_of_like_texts(spark):
     rows += [(10 + i, " ".join([*words[:200], f"end{i}"]), "", 0) for i in range(300)]
     got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, SCHEMA), shard_size=100).collect()}
     assert got == {1: 1, 2: 1} | {10 + i: 10 for i in range(300)}
+
+
+def short_sets(rng, kind):
+    """Two or three sets of 4 to 10 hashes, neighbours of which have a Jaccard index of exactly 0.8 or a little more."""
+    import numpy as np
+
+    pool = rng.sample(range(1, 1 << 60), 16)
+    cut = [(1, 9), (0, 9), (0, 8)] if kind == 0 else [(0, 8), (0, 10), (2, 10)] if kind == 1 else [(0, 4), (0, 5), (1, 5)]
+    return [np.array(sorted(pool[a:b]), np.uint64) for a, b in cut]
+
+
+def test_chains_of_short_texts_at_the_threshold_in_all_orders():
+    import random
+    from itertools import permutations
+
+    from spanforge.llm.simhash import _jaccard, _similar_links, majority_bits
+
+    rng = random.Random(14)
+    whole = total = 0
+    for n in range(120):
+        sets = short_sets(rng, n % 3)
+        assert _jaccard(sets[0], sets[1]) >= 0.8 and _jaccard(sets[1], sets[2]) >= 0.8
+        fps = [int(majority_bits(s)) for s in sets]
+        for order in permutations(range(3)):
+            got = _similar_links([fps[i] for i in order], [sets[i] for i in order], [0, 1, 2], 18, 0.8)
+            total += 1
+            whole += len(got) == 2
+    assert whole >= 0.99 * total
+
+
+def test_triples_of_short_texts_are_joined_whole(spark):
+    rng = __import__("random").Random(15)
+    rows = []
+    for g in range(200):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(9)]
+        for at, text in enumerate((w[1:], w, w[:8])):
+            rows.append((3 * g + at, " ".join(text), "", 0))
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[3 * g] == got[3 * g + 1] == got[3 * g + 2] for g in range(200)) >= 197
