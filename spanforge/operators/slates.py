@@ -250,7 +250,8 @@ def slate(rows: DataFrame, speeches: DataFrame, k: int, select: Callable[[DataFr
     """
     unique = rows.withColumn("_n", F.row_number().over(Window.partitionBy(interval_key(key, F.col("start_ms") / 1000.0, F.col("end_ms") / 1000.0)).orderBy(*order))).where("_n = 1").drop("_n")
     chosen = select(unique, k).join(unique.select(key, id_col, "start_ms", "end_ms"), [key, id_col])
-    named = chosen.withColumn("candidate_id", F.concat(F.col(key).cast("string"), F.lit("_cand_"), F.lpad(F.col("place").cast("string"), 2, "0")))
+    number = F.col("place").cast("string")
+    named = chosen.withColumn("candidate_id", F.concat(F.col(key).cast("string"), F.lit("_cand_"), F.when(F.col("place") < 10, F.concat(F.lit("0"), number)).otherwise(number)))
     told = evidence(named.select("candidate_id", key, "start_ms", "end_ms"), speeches, key, pad_ms=pad_ms)
     clock = lambda c: seconds_to_clock(c / 1000.0)
     return named.join(told, "candidate_id").select(

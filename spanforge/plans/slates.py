@@ -69,7 +69,7 @@ def g13_late_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{with_views('speech')}, u as (select longform_id, speech_id as scene_id, start_ms, end_ms, length(text) as value from speech), r as (select *, row_number() over (partition by longform_id order by value desc, start_ms, scene_id) as n from u),
-    c as (select *, longform_id || '_cand_' || lpad(n::varchar, 2, '0') as candidate_id from r where n <= 5),
+    c as (select *, longform_id || '_cand_' || lpad(n::varchar, greatest(2, length(n::varchar))::integer, '0') as candidate_id from r where n <= 5),
     j as (select c.candidate_id, c.start_ms as s, c.end_ms as e, x.start_ms, x.end_ms, x.speech_id, x.text from c left join speech x on x.longform_id = c.longform_id and x.end_ms > x.start_ms and c.end_ms > c.start_ms and x.start_ms < c.end_ms + 20000 and x.end_ms > greatest(0, c.start_ms - 20000)),
     t as (select candidate_id, left(coalesce(string_agg(text, chr(10) order by start_ms, end_ms, speech_id) filter (least(e, end_ms) > greatest(s, start_ms)), ''), 5000) as core from j group by candidate_id)
     select longform_id, candidate_id, cast(n as integer) as place, scene_id, core, (start_ms // 1000 // 60) || ':' || lpad((start_ms // 1000 % 60)::varchar, 2, '0') as start_time,

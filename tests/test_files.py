@@ -97,6 +97,31 @@ def test_stream_takes_each_key_once_over_restarts(spark, tmp_path):
     assert got == [("a", 1), ("b", 1), ("b", 2)]
 
 
+def test_stream_keeps_late_new_keys_and_repeats_a_batch(spark, tmp_path):
+    schema = "candidate_id string, version int, score double, ingest_ts timestamp"
+    src, table, cp = tmp_path / "in", tmp_path / "table", tmp_path / "cp"
+    src.mkdir()
+
+    def put(name, rows):
+        (src / name).write_text("\n".join(json.dumps({"candidate_id": c, "version": 1, "score": s, "ingest_ts": f"2024-01-{day:02d}T00:00:00"}) for c, s, day in rows))
+
+    def run():
+        ingest_responses(spark, str(src), schema, str(table), str(cp)).awaitTermination()
+
+    def found():
+        return sorted(((r.candidate_id or ""), r.score) for r in spark.read.parquet(str(table)).collect())
+
+    put("1.json", [("1", 1.0, 10), (None, 1.0, 10)])
+    run()
+    put("2.json", [("2", 5.0, 3), ("2", 4.0, 1), ("3", 3.0, 11), ("1", 9.0, 1), (None, 2.0, 1)])
+    run()
+    assert found() == [("", 1.0), ("1", 1.0), ("2", 4.0), ("3", 3.0)]
+    for name in ("1", ".1.crc"):  # as if it had stopped after writing the batch
+        (cp / "commits" / name).unlink()
+    run()
+    assert found() == [("", 1.0), ("1", 1.0), ("2", 4.0), ("3", 3.0)]
+
+
 def test_assets_accounts_and_line_files(spark, tmp_path):
     from spanforge.sources import files
 
