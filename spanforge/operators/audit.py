@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import dense_numbers
+
 
 def key_audit(rows: DataFrame, key: str) -> DataFrame:
     """One row: rows, distinct keys, blank keys and keys that repeat."""
@@ -61,9 +63,15 @@ def normalize_names(rows: DataFrame, names: DataFrame, column: str, raw: str, ca
 
 
 def grouped_folds(rows: DataFrame, group: str, folds: int, seed: int) -> DataFrame:
-    """``rows`` with ``fold`` 1 to ``folds``: whole groups, in an order shuffled by a hash of the seed, in folds of nearly equal numbers of groups."""
+    """``rows`` with ``fold`` 1 to ``folds``: whole groups, in an order shuffled by a hash of the seed, in folds of nearly equal numbers of groups. Fewer than two groups are an error when a row is read."""
     position = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")), 256)
-    ordered = rows.select(group).distinct().withColumn("fold", F.ntile(folds).over(Window.orderBy(position, group)))
+    placed = dense_numbers(rows.select(group).distinct().withColumn("_position", position), ["_position", group], "_place")
+    total = placed.agg(F.count("*").alias("_n"))
+    short, longer = F.expr(f"_n div {folds}"), F.expr(f"_n % {folds}")
+    # the first folds have a group more, as ntile has it
+    fold = F.when(F.col("_place") <= longer * (short + 1), F.ceil(F.col("_place") / (short + 1))).otherwise(longer + F.ceil((F.col("_place") - longer * (short + 1)) / F.nullif(short, F.lit(0))))
+    few = F.raise_error(F.lit(f"fewer than two values of {group}")).cast("int")
+    ordered = placed.join(F.broadcast(total)).select(group, F.when(F.col("_n") < 2, few).otherwise(fold.cast("int")).alias("fold"))
     return rows.join(ordered, group)
 
 
@@ -139,7 +147,7 @@ def bootstrap_draws(groups: DataFrame, group: str, replicates: int, seed: int) -
     Groups get dense numbers from 0 in their order; draw (replicate, slot) takes
     the number that 32 bits of its MD5 leave when divided by the number of groups.
     """
-    numbered = groups.select(group).distinct().withColumn("number", F.row_number().over(Window.orderBy(group)) - 1)
+    numbered = dense_numbers(groups.select(group).distinct(), [group], "number").withColumn("number", (F.col("number") - 1).cast("int"))
     n = numbered.count()
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long")
     slots = groups.sparkSession.range(replicates * n).select((F.col("id") / F.lit(max(n, 1))).cast("int").alias("replicate"), (F.col("id") % F.lit(max(n, 1))).cast("int").alias("slot"))

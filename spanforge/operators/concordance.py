@@ -6,9 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.sources.shared import once
+
+from .order import steps_below
+
 #: Distinct (target, score) rows of a group that are counted in one task, about.
 BLOCK_ROWS = 1 << 18
 #: Lower and upper gap of a band of pairs, both within it; no upper gap is None.
@@ -16,7 +20,7 @@ Band = tuple[float, float | None]
 
 
 class CountTree:
-    """Weights of the rows of a prefix whose score rank is below a given one, for many queries at once.
+    """Weights of the rows from one place to another whose score rank is below a given one, for many queries at once.
 
     One level for each bit of the rank, highest first: the rows are parted by that bit, order kept, and running
     sums tell how many rows, and how much weight, of a prefix have it unset.
@@ -25,16 +29,15 @@ class CountTree:
     def __init__(self, ranks: np.ndarray, weights: np.ndarray) -> None:
         self.bits = int(ranks.max(initial=0) + 1).bit_length()
         self.levels = []
+        running = lambda x: np.concatenate([[0], np.cumsum(x)])
         for b in range(self.bits - 1, -1, -1):
             unset = (ranks >> b) & 1 == 0
-            running = lambda x: np.concatenate([[0], np.cumsum(x)])
             self.levels.append((running(unset.astype(np.int64)), running(np.where(unset, weights, 0)), int(unset.sum())))
             order = np.concatenate([np.flatnonzero(unset), np.flatnonzero(~unset)])
             ranks, weights = ranks[order], weights[order]
 
-    def below(self, prefix: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        start, end = np.zeros_like(prefix), prefix
-        total = np.zeros(len(prefix), np.int64)
+    def below(self, start: np.ndarray, end: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(end), np.int64)
         for level, (unset, weight, zeros) in enumerate(self.levels):
             up = (rank >> (self.bits - 1 - level)) & 1 == 1
             total += np.where(up, weight[end] - weight[start], 0)
@@ -55,75 +58,73 @@ def _prefix(t: np.ndarray, own: np.ndarray, edge: float, strict: bool) -> np.nda
         n = n + more - less
 
 
-def _sums(tree: CountTree, distinct: np.ndarray, held: np.ndarray, prefix: np.ndarray, s: np.ndarray, w: np.ndarray) -> list[int]:
-    """Weight of pairs of a query with the rows of its prefix: all, those of lower score, those of equal score."""
-    low, high = np.searchsorted(distinct, s), np.searchsorted(distinct, s, side="right")
-    below = tree.below(prefix, low)
-    return [int((w * held[prefix]).sum()), int((w * below).sum()), int((w * (tree.below(prefix, high) - below)).sum())]
-
-
-def _by_group(keys: Sequence[str], count: Callable[[pa.Table, Iterator[pa.Table]], dict[int, list[int]]]):
-    """Streams tables sorted by ``keys`` and kind: rows of kind 0 are held for each key, those of kind 1 pass by in batches."""
+#: Columns of the streamed rows besides their keys: place in the order of targets, score, weight; of queries (kind 1) also the edge.
+FIELDS = ("t", "s", "w", "edge")
+#: Where the prefix of a query ends: from the distinct, ascending places that are held, those of the queries, and their edge.
+PrefixOf = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def _counted(held: list[tuple], asked: list[tuple], prefix_of: PrefixOf) -> pa.RecordBatch:
+    """Sums for the queries of several groups at once, each against the held rows of its own group: (number, g, t, s, w, edge) for both."""
+    own, _, t, s, w, _ = (np.concatenate(x) for x in zip(*held))
+    group, g, qt, qs, qw, edges = (np.concatenate(x) for x in zip(*asked))
+    places, at = np.unique(t, return_inverse=True)
+    width = len(places) + 1
+    key = own * width + at
+    order = np.argsort(key, kind="stable")
+    key, distinct, ranks = key[order], *np.unique(s[order], return_inverse=True)
+    tree, running = CountTree(ranks, w[order]), np.concatenate([[0], np.cumsum(w[order])])
+    out = []
+    for edge in np.unique(edges):
+        mine = edges == edge
+        base = group[mine] * width
+        start, end = np.searchsorted(key, base), np.searchsorted(key, base + prefix_of(places, qt[mine], int(edge)))
+        below = tree.below(start, end, np.searchsorted(distinct, qs[mine]))
+        upto = tree.below(start, end, np.searchsorted(distinct, qs[mine], side="right"))
+        names, which = np.unique(g[mine], return_inverse=True)
+        sums = np.zeros((3, len(names)), np.int64)
+        for i, v in enumerate((running[end] - running[start], below, upto - below)):
+            np.add.at(sums[i], which, qw[mine] * v)
+        out.append((names, np.full(len(names), edge, np.int64), *sums))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], ["g", "edge", "pairs", "right", "tied"])
+
+
+def _by_group(keys: Sequence[str], prefix_of: PrefixOf, at_once: int = BLOCK_ROWS):
+    """Streams rows sorted by ``keys`` and kind: those of kind 0 are held for their key, those of kind 1 are its queries. Small groups are counted together, the queries of a large one in pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ready = None, [], None
-        totals: dict[int, list[int]] = {}
-        group = None
-
-        def out() -> pa.RecordBatch:
-            rows = [(group, edge, *v) for edge, v in totals.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["g", "edge", "pairs", "right", "tied"])
-
+        held: list[tuple] = []
+        asked: list[tuple] = []
+        now, number, size = None, 0, 0
         for batch in batches:
-            cols = [batch[k].to_numpy(zero_copy_only=False) for k in (*keys, "kind")]
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if batch.num_rows else []
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if a == b:
-                    continue
-                part = pa.Table.from_batches([batch.slice(a, b - a)])
-                key, kind = tuple(int(c[a]) for c in cols[:-1]), int(cols[-1][a])
+            if not batch.num_rows:
+                continue
+            named = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+            kind = batch["kind"].to_numpy(zero_copy_only=False)
+            fields = [(batch[f].fill_null(0) if f == "edge" else batch[f]).to_numpy(zero_copy_only=False) for f in FIELDS]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in (*named, kind)], axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                key = tuple(int(c[a]) for c in named)
                 if key != now:
-                    if totals:
-                        yield out()
-                    now, held, ready, totals, group = key, [], None, {}, key[0]
-                if kind == 0:
-                    held.append(part)
-                elif held:
-                    ready = ready or count(pa.concat_tables(held))
-                    for edge, v in ready(part).items():
-                        totals[edge] = [x + y for x, y in zip(totals.get(edge, [0, 0, 0]), v)]
-        if totals:
-            yield out()
+                    if size > at_once:
+                        if asked:
+                            yield _counted(held, asked, prefix_of)
+                        held, asked, size = [], [], 0
+                    now, number = key, number + 1
+                rows = (np.full(b - a, number), np.full(b - a, key[0]), *(f[a:b] for f in fields))
+                if kind[a] == 0:
+                    held.append(rows)
+                elif held and held[-1][0][0] == number:
+                    asked.append(rows)
+                    if size > 4 * at_once:
+                        yield _counted(held, asked, prefix_of)
+                        held, asked, size = [h for h in held if h[0][0] == number], [], 0
+                size += b - a
+        if asked:
+            yield _counted(held, asked, prefix_of)
 
     return run
 
 
-def _counter(coordinate: str, prefix_of: Callable[[np.ndarray, pa.Table, int], np.ndarray]):
-    def count(held: pa.Table):
-        at, s, w = (held[c].to_numpy() for c in (coordinate, "s", "w"))
-        order = np.argsort(at, kind="stable")
-        at, s, w = at[order], s[order], w[order]
-        distinct, ranks = np.unique(s, return_inverse=True)
-        tree, running = CountTree(ranks, w), np.concatenate([[0], np.cumsum(w)])
-
-        def query(asked: pa.Table) -> dict[int, list[int]]:
-            found = {}
-            edges = asked["edge"].to_numpy()
-            for edge in np.unique(edges):
-                own = asked.filter(pa.array(edges == edge))
-                found[int(edge)] = _sums(tree, distinct, running, prefix_of(at, own, int(edge)), own["s"].to_numpy(), own["w"].to_numpy())
-            return found
-
-        return query
-
-    return count
-
-
-def _steps_below(bounds: Column, below: Callable[[Column], Column]) -> Column:
-    """How many of the sorted ``bounds`` are ``below``, by halving."""
-    return F.aggregate(F.expr("array(" + ",".join(str(1 << b) for b in range(24, -1, -1)) + ")"), F.lit(0),
-                       lambda acc, step: F.when(F.coalesce(below(F.get(bounds, acc + step - 1)), F.lit(False)), acc + step).otherwise(acc))
-
-
 def concordance(rows: DataFrame, groups: Sequence[str], target: str, score: str, bands: Sequence[Band], weight: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(groups, band, pairs, right, tied) for each group: pairs of its rows whose targets are within a band apart, those in the same order by score, those of equal score.
 
@@ -143,6 +144,7 @@ def concordance(rows: DataFrame, groups: Sequence[str], target: str, score: str,
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     known = rows.where(F.col(target).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(target).cast("double")) & ~F.isnan(F.col(score).cast("double")))
     flat = known.select(group.alias("g"), (F.col(target).cast("double") + 0.0).alias("t"), (F.col(score).cast("double") + 0.0).alias("s"), w.alias("w")).groupBy("g", "t", "s").agg(F.sum("w").alias("w")).where("w > 0")
+    flat = once(flat, "concordance")
 
     # quantiles of a group, as many as it has blocks
     sizes = flat.groupBy("g").agg(F.count("*").alias("n"))
@@ -156,26 +158,26 @@ def concordance(rows: DataFrame, groups: Sequence[str], target: str, score: str,
         big = flat.join(F.broadcast(many.select("g")) if many.count() <= 10_000 else many.select("g"), "g")
         bounds = big.groupBy("g").agg(*(F.array_sort(F.array_distinct(F.percentile_approx(c, cuts, 100 * most))).alias(f"{c}_cuts") for c in ("t", "s")))
         both = flat.join(bounds, "g", "left")
-        block = lambda c: F.coalesce(2 * _steps_below(F.col(f"{c}_cuts"), lambda x: x < F.col(c)) + F.array_contains(f"{c}_cuts", F.col(c)).cast("int"), F.lit(0))
+        block = lambda c: F.coalesce(2 * steps_below(F.col(f"{c}_cuts"), lambda x: x < F.col(c)) + F.array_contains(f"{c}_cuts", F.col(c)).cast("int"), F.lit(0))
         placed = both.withColumns({"tb": block("t"), "sb": block("s")}).drop("t_cuts", "s_cuts")
 
     blocks = placed.groupBy("g", "tb").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.sum("w").alias("w"))
     listed = blocks.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("tb", "low", "high", "w"))).alias("blocks"))
     far = lambda x, e, strict: (F.col("t") - x > e) if strict else (F.col("t") - x >= e)
     per_edge = F.explode(F.array(*(F.struct(
-        F.lit(i).alias("edge"), _steps_below(F.col("highs"), lambda x, e=e, st=st: far(x, e, st)).alias("whole"), _steps_below(F.col("lows"), lambda x, e=e, st=st: far(x, e, st)).alias("begun"))
+        F.lit(i).alias("edge"), steps_below(F.col("highs"), lambda x, e=e, st=st: far(x, e, st)).alias("whole"), steps_below(F.col("lows"), lambda x, e=e, st=st: far(x, e, st)).alias("begun"))
         for i, (e, st) in enumerate(edges))))
     asked = placed.join(listed.select("g", "blocks", F.col("blocks.high").alias("highs"), F.col("blocks.low").alias("lows")), "g").select("g", "t", "s", "w", "sb", "blocks", per_edge.alias("q")).select(
         "g", "t", "s", "w", "sb", "q.*", F.get(F.col("blocks"), F.col("q.whole"))["tb"].alias("cut"), F.coalesce(F.get(F.col("blocks"), F.col("q.whole") - 1)["tb"], F.lit(-1)).alias("last"))
 
-    def streamed(held: DataFrame, queries: DataFrame, keys: Sequence[str], coordinate: str, prefix_of: Callable) -> DataFrame:
+    def streamed(held: DataFrame, queries: DataFrame, keys: Sequence[str], prefix_of: PrefixOf) -> DataFrame:
         dealt = held.withColumn("kind", F.lit(0)).unionByName(queries.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-        return dealt.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(_by_group(keys, _counter(coordinate, prefix_of)), "g long, edge long, pairs long, right long, tied long")
+        return dealt.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(_by_group(keys, prefix_of), "g long, edge long, pairs long, right long, tied long")
 
     # the block that the prefix ends in
     own = placed.join(blocks.where("low < high").select("g", "tb"), ["g", "tb"], "left_semi").select("g", "tb", "t", "s", "w")
     ends = asked.where("begun > whole").select("g", F.col("cut").alias("tb"), "t", "s", "w", "edge")
-    found = streamed(own, ends, ("g", "tb"), "t", lambda t, q, i: _prefix(t, q["t"].to_numpy(), *edges[i]))
+    found = streamed(own, ends, ("g", "tb"), lambda t, own, i: _prefix(t, own, *edges[i]))
     # whole blocks: all weights, then the row's own range of scores, then the ranges below
     before = Window.partitionBy("g").orderBy("tb").rowsBetween(Window.unboundedPreceding, 0)
     running = blocks.select("g", F.col("tb").alias("last"), F.sum("w").over(before).alias("held"))
@@ -185,7 +187,7 @@ def concordance(rows: DataFrame, groups: Sequence[str], target: str, score: str,
         zero = F.lit(0).cast("long")
         found = found.unionByName(pairs.select("g", F.col("edge").cast("long"), "pairs", zero.alias("right"), zero.alias("tied")))
         like = streamed(placed.select("g", "sb", F.col("tb").cast("double").alias("t"), "s", "w"), whole.select("g", "sb", F.col("last").cast("double").alias("t"), "s", "w", "edge"),
-                        ("g", "sb"), "t", lambda t, q, i: np.searchsorted(t, q["t"].to_numpy(), side="right"))
+                        ("g", "sb"), lambda t, own, i: np.searchsorted(t, own, side="right"))
         found = found.unionByName(like.withColumn("pairs", zero))
         cells = placed.groupBy("g", "tb", "sb").agg(F.sum("w").alias("w")).withColumn("edge", F.lit(-1)).unionByName(
             whole.groupBy("g", F.col("last").alias("tb"), "sb", "edge").agg(F.sum("w").alias("w")))

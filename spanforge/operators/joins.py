@@ -143,12 +143,13 @@ def group_pairs(rows: DataFrame, group: str, id_col: str, value: str, min_gap: f
 
 def compare_score_sets(left: DataFrame, right: DataFrame, id_col: str, score: str, top: int = 10) -> DataFrame:
     """One row: Spearman correlation of two score sets on common ids, overlap and Jaccard index of their top ``top``, mean rank gap."""
-    from .ranks import average_rank, pearson
+    from .order import average_ranks, dense_numbers
+    from .ranks import pearson
 
     both = left.select(id_col, F.col(score).alias("x")).join(right.select(id_col, F.col(score).alias("y")), id_col).where("x is not null and y is not null")
-    ranked = both.withColumns({"rx": average_rank("x"), "ry": average_rank("y")})
-    placed = ranked.withColumns({
-        "px": F.row_number().over(Window.orderBy(F.desc("x"), id_col)), "py": F.row_number().over(Window.orderBy(F.desc("y"), id_col))})
+    placed = average_ranks(both, {"rx": "x", "ry": "y"})
+    for c in ("x", "y"):
+        placed = dense_numbers(placed, [c, id_col], f"p{c}", descending=True)
     common = F.count_if((F.col("px") <= top) & (F.col("py") <= top))
     either = F.count_if((F.col("px") <= top) | (F.col("py") <= top))
     return placed.agg(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .audit import grouped_folds
+from .order import dense_numbers
 from .ranks import average_rank, ecdf_percentile, pearson
 from .rollups import hash_scores
 
@@ -129,12 +130,23 @@ def control_predictions(rows: DataFrame, kind: str, fold: str, target: str, sour
     if kind == "random":
         return hash_scores(rows, id_col, 1, seed).withColumnRenamed("random_score", "prediction").drop("simulation")
     keys = {"constant": [], "source": [source]}[kind]
-    w, own = Window.partitionBy(*keys), Window.partitionBy(fold, *keys)
-    everywhere, here = Window.partitionBy(), Window.partitionBy(fold)
     y = F.col(target).cast("double")
-    other = lambda c, a, b: c.over(a) - c.over(b)
-    mean = lambda a, b: other(F.sum(y), a, b) / F.nullif(other(F.count(y), a, b), F.lit(0))
-    return rows.withColumn("prediction", F.coalesce(mean(w, own), mean(everywhere, here)))
+    small = rows.groupBy(fold, *keys).agg(F.sum(y).alias("_s"), F.count(y).alias("_c"))  # a row for each fold and source
+
+    def others(by: list[str], name: str) -> DataFrame:
+        own = small.groupBy(fold, *by).agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+        total = own.groupBy(*by).agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
+        both = own.join(total, [own[k].eqNullSafe(total[k]) for k in by]) if by else own.join(F.broadcast(total))
+        mean = (F.coalesce("_ts", F.lit(0.0)) - F.coalesce("_s", F.lit(0.0))) / F.nullif(F.col("_tc") - F.col("_c"), F.lit(0))
+        return both.select(own[fold].alias("_f"), *(own[k].alias(f"_k{i}") for i, k in enumerate(by)), mean.alias(name))
+
+    every = others([], "_every").withColumnRenamed("_f", "_g")
+    out = rows.join(every, rows[fold].eqNullSafe(every["_g"]), "left")
+    if keys:
+        near = others(keys, "_near")
+        out = out.join(near, [rows[fold].eqNullSafe(near["_f"]), *(rows[k].eqNullSafe(near[f"_k{i}"]) for i, k in enumerate(keys))], "left")
+    value = F.coalesce("_near", "_every") if keys else F.col("_every")
+    return out.withColumn("prediction", value).select(*rows.columns, "prediction")
 
 
 def rank_ensemble(members: DataFrame, id_col: str, model: str, score: str) -> DataFrame:
@@ -189,9 +201,9 @@ def score_new(rows: DataFrame, fit: DataFrame, reference: DataFrame, features: S
     return batch_rank(placed, "percentile", ordinal).withColumn("status", F.lit("accepted" if accepted else "research_only"))
 
 
-def batch_rank(rows: DataFrame, score: str, ordinal: str | Column) -> DataFrame:
-    """``rows`` with ``batch_rank``: 1 for the best score, equal ones in input order. The order is over one batch of scores."""
-    return rows.withColumn("batch_rank", F.row_number().over(Window.orderBy(F.desc(score), ordinal)))
+def batch_rank(rows: DataFrame, score: str, ordinal: str) -> DataFrame:
+    """``rows`` with ``batch_rank``: 1 for the best score, equal ones in input order. Rows are numbered by ranges of the score."""
+    return dense_numbers(rows, [score, ordinal], "batch_rank", descending=True)
 
 
 def ensemble_scores(rows: DataFrame, members: Mapping[str, float], reference: DataFrame, ordinal: str) -> DataFrame:

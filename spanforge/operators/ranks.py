@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import average_ranks, dense_numbers
+
 
 def average_rank(value: str, groups: Sequence[str] = ()) -> Column:
     """1-based rank in which ties share the mean of their places."""
@@ -43,7 +45,7 @@ def pearson(x: str | Column, y: str | Column, min_rows: int = 2) -> Column:
 def spearman(rows: DataFrame, x: str, y: str, groups: Sequence[str] = (), min_rows: int = 2) -> DataFrame:
     """(groups, n, spearman): correlation of average ranks within each group."""
     known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = known.withColumns({"_rx": average_rank(x, groups), "_ry": average_rank(y, groups)})
+    ranked = known.withColumns({"_rx": average_rank(x, groups), "_ry": average_rank(y, groups)}) if groups else average_ranks(known, {"_rx": x, "_ry": y})
     return ranked.groupBy(*groups).agg(F.count("*").alias("n"), pearson("_rx", "_ry", min_rows).alias("spearman"))
 
 
@@ -54,7 +56,8 @@ def macro_spearman(rows: DataFrame, x: str, y: str, group: str, min_rows: int =
 
 def roc_auc(rows: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
     """(groups, positives, negatives, auc): chance that a positive outscores a negative, ties half; null for one class only."""
-    ranked = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn("_r", average_rank(score, groups))
+    known = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    ranked = known.withColumn("_r", average_rank(score, groups)) if groups else average_ranks(known, {"_r": score})
     pos = F.count_if(F.col(label) == 1)
     neg = F.count_if(F.col(label) == 0)
     ranks = F.sum(F.when(F.col(label) == 1, F.col("_r")))
@@ -191,9 +194,9 @@ def fuse_ranks(rows: DataFrame, pool: str, first: str, second: str, weight: floa
 def rank_classes(rows: DataFrame, score: str, id_col: str, low: tuple[int, int] = (30, 94), middle: tuple[int, int] = (64, 94)) -> DataFrame:
     """``rows`` with ``class`` 0, 1, 2 by order of (score, id): the first round(n * 30/94) are 0, up to round(n * 64/94) are 1.
 
-    Rounding is half-even. The order is over all rows, so it is for tables of scores of one evaluation.
+    Rounding is half-even. Rows are numbered by ranges of the score (see :func:`dense_numbers`).
     """
-    w = Window.orderBy(score, id_col)
-    n = F.count("*").over(Window.partitionBy())
-    place = F.row_number().over(w)
-    return rows.withColumn("class", F.when(place <= F.bround(n * low[0] / F.lit(low[1])), 0).when(place <= F.bround(n * middle[0] / F.lit(middle[1])), 1).otherwise(2))
+    total = rows.agg(F.count("*").alias("_n"))
+    place, all_ = F.col("_place"), F.col("_n")
+    placed = dense_numbers(rows, [score, id_col], "_place").join(F.broadcast(total))
+    return placed.withColumn("class", F.when(place <= F.bround(all_ * low[0] / F.lit(low[1])), 0).when(place <= F.bround(all_ * middle[0] / F.lit(middle[1])), 1).otherwise(2)).drop("_place", "_n")

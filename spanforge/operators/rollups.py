@@ -7,7 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import average_rank, pearson, roc_auc, spearman
+from spanforge.sources.shared import once
+
+from .order import average_ranks
+from .ranks import pearson, roc_auc, spearman
 
 
 def weighted_summary(runs: DataFrame, weight: str, metrics: Sequence[str]) -> DataFrame:
@@ -70,7 +73,7 @@ def metric_bundle(rows: DataFrame, target: str, score: str, channel: str) -> Dat
     w = Window.partitionBy(channel)
     known = rows.where(F.col(target).isNotNull() & F.col(score).isNotNull()).withColumns({
         "_ct": F.round(F.col(target) - F.avg(target).over(w), 12), "_cs": F.round(F.col(score) - F.avg(score).over(w), 12)})
-    ranked = known.withColumns({"_rt": average_rank(target), "_rs": average_rank(score), "_rct": average_rank("_ct"), "_rcs": average_rank("_cs"), "_same": F.count("*").over(Window.partitionBy(score))})
+    ranked = average_ranks(known, {"_rt": target, "_rs": score, "_rct": "_ct", "_rcs": "_cs"}).withColumn("_same", F.count("*").over(Window.partitionBy(score)))
     return ranked.agg(
         F.count("*").alias("n"), pearson("_rt", "_rs").alias("pooled"), pearson("_rct", "_rcs").alias("centred"),
         F.count_distinct(score).alias("unique_scores"), F.count_if(F.col("_same") > 1).alias("tied_rows"))
@@ -80,22 +83,24 @@ def performance_metrics(rows: DataFrame, target: str, score: str, channel: str,
     """One row of an evaluation's figures: pooled, channel-centred, source-residual and macro Spearman correlations, pair accuracies over all and over
     local gaps, top-fifth precision, NDCG, and two means of the robust ones: plain, and weighted for selection. A mean with an undefined part is null.
 
-    The pairs over all gaps are those of a channel, so channels are to be of an evaluation's size.
+    Ranks over all rows are taken by ranges, pairs are counted and not listed (see :func:`concordance`).
     """
-    from .joins import group_pairs
-    from .ranks import macro_ndcg, macro_spearman, pair_accuracy, top_share_precision
+    from .concordance import concordance
+    from .ranks import macro_ndcg, macro_spearman, top_share_precision
 
-    known = rows.where(F.col(target).isNotNull() & F.col(score).isNotNull()).select(id_col, channel, source, target, score)
+    known = once(rows.where(F.col(target).isNotNull() & F.col(score).isNotNull()).select(id_col, channel, source, target, score), "metrics")
     by, second = Window.partitionBy(channel), Window.partitionBy(source)
     centred = known.withColumns({f"_c{c}": F.round(F.col(c) - F.avg(c).over(by), 12) for c in (target, score)})
     centred = centred.withColumns({f"_s{c}": F.round(F.col(f"_c{c}") - F.avg(f"_c{c}").over(second), 12) for c in (target, score)})
     kinds = {"pooled": (target, score), "centred": (f"_c{target}", f"_c{score}"), "source_residual": (f"_s{target}", f"_s{score}")}
-    ranked = centred.withColumns({f"_{k}_{i}": average_rank(c) for k, pair in kinds.items() for i, c in enumerate(pair)})
+    ranked = average_ranks(centred, {f"_{k}_{i}": c for k, pair in kinds.items() for i, c in enumerate(pair)})
     out = ranked.agg(F.count("*").alias("n"), *(pearson(f"_{k}_0", f"_{k}_1").alias(k) for k in kinds))
-    pairs = lambda low, high, name: pair_accuracy(group_pairs(known, channel, id_col, target, low, high), target, score).select(
-        F.col("pairs").alias(f"{name}_count"), F.col("accuracy").alias(name))
+    share = lambda band, name: [
+        F.coalesce(F.sum(F.when(F.col("band") == band, F.col("pairs"))), F.lit(0)).alias(f"{name}_count"),
+        (F.sum(F.when(F.col("band") == band, F.col("right") + F.col("tied") / 2.0)) / F.sum(F.when(F.col("band") == band, F.col("pairs")))).alias(name)]
     parts = [
-        macro_spearman(known, target, score, channel).select("macro_spearman"), pairs(min_gap, None, "pair_accuracy"), pairs(*local, "local_pair_accuracy"),
+        macro_spearman(known, target, score, channel).select("macro_spearman"),
+        concordance(known, [channel], target, score, [(min_gap, None), local]).agg(*share(0, "pair_accuracy"), *share(1, "local_pair_accuracy")),
         top_share_precision(known, target, score, channel, id_col).select(F.col("precision").alias("top_fifth")), macro_ndcg(known, target, score, channel).select("ndcg")]
     for part in parts:
         out = out.join(F.broadcast(part))

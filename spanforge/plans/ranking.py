@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.operators import evaluation, joins, ranks
+from spanforge.operators import concordance, evaluation, joins, ranks, resample
 
 from .evaluation import query, rounded
 from .views import judgments, load, pools, texts, with_views
@@ -143,7 +143,8 @@ def d15_banded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{with_views('texts')}, {_BAND} select count(*) as pairs, round(avg(case when sign(s) = 0 then 0.5 when sign(s) = sign(t) then 1.0 else 0 end), 6) as accuracy from p""")
 def h11_pair_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = texts(spark, sf_dir).select("candidate_id", "channel", "target", "score")
-    return rounded(ranks.pair_accuracy(joins.group_pairs(t, "channel", "candidate_id", "target", 0.1, 0.4), "target", "score"))
+    counts = concordance.concordance(t, ["channel"], "target", "score", [(0.1, 0.4)])
+    return rounded(concordance.concordance_share(counts).drop("band"))
 
 
 @query(f"""{with_views('texts')}, r as (select channel, row_number() over (partition by channel order by score desc, candidate_id) as s, row_number() over (partition by channel order by target desc, candidate_id) as t,
@@ -195,3 +196,27 @@ def d14_compare_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = m.select("candidate_id", F.col("x").alias("s")), m.select("candidate_id", F.col("y").alias("s"))
     out = joins.compare_score_sets(left, right, "candidate_id", "s")
     return out.select("n", F.round("spearman", 6).alias("spearman"), "top_overlap", F.round("top_jaccard", 6).alias("top_jaccard"), F.round("mean_rank_gap", 4).alias("mean_rank_gap"))
+
+
+#: Replicates of the bundle bootstrap.
+_REPLICATES = 500
+
+
+@query(f"""{with_views('texts')}, k as (select longform_id, row_number() over (order by longform_id) - 1 as number from (select distinct longform_id from texts)), n as (select count(*) as n from k),
+    d as (select r, ('0x' || substr(md5('17|' || r || '|' || t), 1, 8))::bigint % n.n as number from n, range({_REPLICATES}) a(r), range(n.n) b(t)),
+    x as (select r, channel, target, score from d join k using (number) join texts using (longform_id) union all select -1, channel, target, score from texts),
+    c as (select *, round(target - avg(target) over (partition by r, channel), 12) as ct, round(score - avg(score) over (partition by r, channel), 12) as cs from x),
+    k2 as (select *, rank() over (partition by r order by ct) + (count(*) over (partition by r, ct) - 1) / 2.0 as a, rank() over (partition by r order by cs) + (count(*) over (partition by r, cs) - 1) / 2.0 as b,
+        rank() over (partition by r, channel order by target) + (count(*) over (partition by r, channel, target) - 1) / 2.0 as u, rank() over (partition by r, channel order by score) + (count(*) over (partition by r, channel, score) - 1) / 2.0 as v,
+        1 / log2(row_number() over (partition by r, channel order by score desc) + 1) as ds, 1 / log2(row_number() over (partition by r, channel order by target desc) + 1) as dt from c),
+    p as (select r, case when stddev_pop(a) > 1e-6 and stddev_pop(b) > 1e-6 then corr(a, b) end as centred from k2 group by r),
+    m as (select r, avg(s) as macro_spearman from (select r, channel, case when stddev_pop(u) > 1e-6 and stddev_pop(v) > 1e-6 then corr(u, v) end as s from k2 group by all) group by r),
+    q as (select a.r, a.target - b.target as gap, case when a.score > b.score then 1.0 when a.score = b.score then 0.5 else 0 end as hit from x a join x b on a.r = b.r and a.channel = b.channel and a.target - b.target >= 0.01),
+    h as (select r, avg(hit) as pair_accuracy, avg(hit) filter (gap >= 0.1 and gap <= 0.4) as local_pair_accuracy from q group by r),
+    g1 as (select r, channel, sum(g * d) as dcg, sum(n) as n from (select r, channel, score, avg(target) as g, sum(ds) as d, count(*) as n from k2 group by all) group by all), g2 as (select r, channel, sum(target * dt) as ideal from k2 group by all),
+    g as (select r, avg(case when ideal > 0 then dcg / ideal else 0 end) as ndcg from g1 join g2 using (r, channel) where n >= 2 group by r),
+    w as (select *, (centred + macro_spearman + 2 * pair_accuracy - 1 + 2 * local_pair_accuracy - 1) / 4 as robust from p join m using (r) join h using (r) join g using (r)),
+    l as (unpivot (select * from w) on centred, macro_spearman, pair_accuracy, local_pair_accuracy, ndcg, robust into name metric value v)
+    select metric, round(max(v) filter (r = -1), 5) as value, round(quantile_cont(v, 0.025) filter (r >= 0), 5) as low, round(quantile_cont(v, 0.5) filter (r >= 0), 5) as median, round(quantile_cont(v, 0.975) filter (r >= 0), 5) as high, count(v) filter (r >= 0) as valid from l group by metric""")
+def l1_bundle_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample.bundle_bootstrap(texts(spark, sf_dir), "longform_id", "channel", "target", "score", _REPLICATES, 17), 5)

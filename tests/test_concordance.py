@@ -45,9 +45,26 @@ def test_shares_and_empty_tables(spark):
         concordance(df, [], "t", "s", [(0.0, None)])
 
 
+def test_queries_of_a_large_group_are_counted_in_pieces():
+    import pyarrow as pa
+    from spanforge.operators.concordance import _by_group
+
+    rng = np.random.default_rng(6)
+    rows = [(g, kind, float(rng.integers(9)), float(rng.integers(9)), int(rng.integers(1, 4)), 0 if kind else None) for g in range(5) for kind in (0, 1) for _ in range(40 if g == 2 else 6)]
+    table = pa.table(dict(zip(("g", "kind", "t", "s", "w", "edge"), (pa.array(c) for c in zip(*rows)))))
+    got = defaultdict(lambda: np.zeros(3, int))
+    for batch in _by_group(["g"], lambda t, own, i: np.searchsorted(t, own), at_once=5)(iter(table.to_batches(max_chunksize=7))):
+        for r in batch.to_pylist():
+            got[r["g"]] += [r["pairs"], r["right"], r["tied"]]
+    for g in range(5):
+        held, asked = ([r for r in rows if r[0] == g and r[1] == k] for k in (0, 1))
+        pairs = [(h[4] * q[4], h[3] < q[3], h[3] == q[3]) for q in asked for h in held if h[2] < q[2]]
+        assert got[g].tolist() == [sum(p[0] for p in pairs), sum(p[0] for p in pairs if p[1]), sum(p[0] for p in pairs if p[2])]
+
+
 def test_count_tree():
     rng = np.random.default_rng(3)
     ranks, weights = rng.integers(0, 9, 70), rng.integers(0, 5, 70)
-    prefix, rank = rng.integers(0, 71, 300), rng.integers(0, 10, 300)
-    want = [int(weights[:p][ranks[:p] < r].sum()) for p, r in zip(prefix, rank)]
-    assert CountTree(ranks, weights).below(prefix, rank).tolist() == want
+    start, length, rank = rng.integers(0, 40, 300), rng.integers(0, 31, 300), rng.integers(0, 10, 300)
+    want = [int(weights[a:a + n][ranks[a:a + n] < r].sum()) for a, n, r in zip(start, length, rank)]
+    assert CountTree(ranks, weights).below(start, start + length, rank).tolist() == want
