@@ -8,24 +8,47 @@ from pyspark.sql import functions as F
 from spanforge.functions.intervals import overlap, prediction_scores
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, bin_ms: int = 60_000, left_cols: tuple[str, str] = ("start_ms", "end_ms"),
+#: Widths of the bins of interval joins: powers of this many milliseconds.
+BASE = 4
+
+
+def length_class(start: Column, end: Column) -> Column:
+    """The least n so that BASE ** n is the interval's length or more: it touches two bins of that width at most, as does any shorter one."""
+    steps = [F.when(end - start <= BASE ** n, n) for n in range(31)]
+    return F.coalesce(*steps, F.lit(31))
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, left_cols: tuple[str, str] = ("start_ms", "end_ms"),
                   right_cols: tuple[str, str] = ("start_ms", "end_ms"), how: str = "inner") -> DataFrame:
     """Pairs of rows of one ``key`` whose half-open intervals overlap: structs ``l`` and ``r``.
 
-    Both sides are dealt to the bins of ``bin_ms`` that they touch, so the join
-    is on (key, bin) however long a recording is; a pair counts in the bin of
-    its later start alone and so comes once. ``how`` is inner, left_semi or left_anti
-    (columns of ``left`` for the last two; rows must have no null bounds to match). Empty intervals
-    overlap nothing.
+    Intervals are classed by length, a power of BASE. A pair meets in a bin as wide as the class of its longer interval, in the one that holds its later start, and so comes
+    once. A row goes to the at most two bins that it touches in its own class, and in each longer class that the other table has (up to 31;
+    those that there are reach the driver). So an interval of a week costs no more rows than one of a second, a recording of any length is dealt to
+    many bins, and the join is on (key, class, bin), which adaptive execution can split where a bin is hot.
+
+    ``how`` is inner, left_semi or left_anti
+    (columns of ``left`` for the last two; rows must have no null bounds to match). Empty intervals overlap nothing.
     """
-    def binned(df: DataFrame, cols: tuple[str, str], name: str) -> DataFrame:
-        s, e = F.col(cols[0]), F.col(cols[1])
-        bins = F.sequence(F.floor(s / bin_ms), F.floor((e - 1) / bin_ms))
-        return df.where(s < e).select(F.struct(*df.columns).alias(name), F.col(key).alias(key), s.alias(f"{name}s"), e.alias(f"{name}e"), F.explode(bins).alias("bin"))
-
-    hit = (F.col("ls") < F.col("re")) & (F.col("rs") < F.col("le"))
-    first = F.col("bin") == F.floor(F.greatest("ls", "rs") / bin_ms)
-    pairs = binned(left, left_cols, "l").join(binned(right, right_cols, "r"), [key, "bin"]).where(hit & first)
+    def classed(df: DataFrame, cols: tuple[str, str], name: str) -> DataFrame:
+        s, e = F.col(cols[0]).cast("long"), F.col(cols[1]).cast("long")
+        return df.where(s < e).select(F.struct(*df.columns).alias(name), F.col(key).alias(key), F.col(cols[0]).alias(f"{name}s"), F.col(cols[1]).alias(f"{name}e"), length_class(s, e).alias(f"{name}c"))
+
+    ours, theirs = classed(left, left_cols, "l"), classed(right, right_cols, "r")
+    levels = {n: sorted(r[0] for r in df.select(f"{n}c").distinct().collect()) for n, df in (("l", ours), ("r", theirs))}
+    width = lambda c: F.pow(F.lit(float(BASE)), c).cast("long")
+
+    def binned(df: DataFrame, name: str, others: list[int]) -> DataFrame:
+        own = F.col(f"{name}c")
+        at = F.filter(F.array(*(F.lit(x) for x in others)).cast("array<int>"), lambda x: x > own) if others else F.array().cast("array<int>")
+        dealt = df.withColumn("class", F.explode(F.concat(F.array(own), at)))
+        w = width(F.col("class"))
+        first, last = F.floor(F.col(f"{name}s") / w), F.floor((F.col(f"{name}e") - 1) / w)
+        return dealt.withColumn("bin", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
+
+    hit = (F.col("ls") < F.col("re")) & (F.col("rs") < F.col("le")) & (F.col("class") == F.greatest("lc", "rc"))
+    first = F.col("bin") == F.floor(F.greatest("ls", "rs") / width(F.col("class")))
+    pairs = binned(ours, "l", levels["r"]).join(binned(theirs, "r", levels["l"]), [key, "class", "bin"]).where(hit & first)
     if how == "inner":
         return pairs.select("l", "r")
     met = pairs.select("l.*").distinct()
@@ -43,13 +66,19 @@ def evidence(candidates: DataFrame, speeches: DataFrame, key: str = "longform_id
     wide = candidates.withColumns({"pad_start": F.greatest(F.lit(0), s - pad_ms), "pad_end": e + pad_ms})
     pairs = interval_join(wide, speeches, key, left_cols=("pad_start", "pad_end"))
     met = lambda a, b: overlap(a, b, "r.start_ms", "r.end_ms") > 0
-    said = F.struct("r.start_ms", "r.end_ms", "r.speech_id", "r.text")
-    joined = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_set(F.when(cond, said))), lambda x: x.text), "\n")
-    grouped = pairs.groupBy(F.col(f"l.{id_col}").alias(id_col)).agg(
-        joined(met("l.pad_start", "l.start_ms")).alias("before"), joined(met("l.start_ms", "l.end_ms")).alias("core"),
-        joined(met("l.end_ms", "l.pad_end")).alias("after"))
+    sides = {"before": met("l.pad_start", "l.start_ms"), "core": met("l.start_ms", "l.end_ms"), "after": met("l.end_ms", "l.pad_end")}
+    side = F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in sides.items()))))
+    told = pairs.select(F.col(f"l.{id_col}").alias(id_col), "r.start_ms", "r.end_ms", "r.speech_id", "r.text", side.alias("_side")).distinct()
+    # what starts beyond the cap isn't gathered
+    earlier = Window.partitionBy(id_col, "_side").orderBy("start_ms", "end_ms", "speech_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") + 1)
+    cap = F.coalesce(*(F.when(F.col("_side") == n, c) for n, c in zip(sides, caps)))
+    short = told.withColumn("_upto", F.coalesce(F.sum(length).over(earlier), F.lit(0))).where(F.col("_upto") < cap)
+    said = F.struct("start_ms", "end_ms", "speech_id", "text")
+    joined = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == n, said))), lambda x: x.text), "\n").alias(n)
+    grouped = short.groupBy(id_col).agg(*(joined(n) for n in sides))
     text = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c)
-    return candidates.select(id_col).join(grouped, id_col, "left").select(id_col, *(text(c, n) for c, n in zip(("before", "core", "after"), caps)))
+    return candidates.select(id_col).join(grouped, id_col, "left").select(id_col, *(text(c, n) for c, n in zip(sides, caps)))
 
 
 def overlapping_scenes(candidates: DataFrame, scenes: DataFrame, key: str = "longform_id", id_col: str = "candidate_id") -> DataFrame:

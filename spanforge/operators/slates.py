@@ -16,8 +16,10 @@ from spanforge.functions.intervals import interval_key
 from spanforge.functions.scores import trim_components, trim_score
 from spanforge.functions.text import detect_language, genre, seconds_to_clock
 
+from spanforge.sources.shared import once
+
 from .generate import top_k
-from .joins import evidence
+from .joins import evidence, interval_join
 from .select import _ratio, bins_then_fill, relevance_and_diversity, source_bands, suppress_overlaps
 from .windows import unique_candidates
 
@@ -48,14 +50,19 @@ def cluster_events(rows: DataFrame, threshold: float = 0.55, key: str = "longfor
     """A row per event of a recording: place, id of its representative, score, support, start, end, score_norm and support_norm.
 
     From the best score down, an interval joins the event with the closest
-    member if their relation is ``threshold`` or more, else it begins one. The relation is the largest of the
+    earlier member if their relation is ``threshold`` (0.55 or more) or more, of equally close ones that of the event begun first, else it begins one. The relation is the largest of the
     overlap over the shorter, .75 for the same scenes, and .55 of the nearness of the centres over 1.5 times the longer.
     The representative has the best score, of equal ones the duration nearest to 45 seconds. Both norms are over the
     recording's events, 1 where they are flat.
+
+    A relation of 0.55 needs an overlap, the same scenes or the same centre, so those it can be with come from joins. Each interval keeps its closest earlier ones alone; its event is that of the first interval
+    that these lead to, found by pointer jumping, in rounds that grow with the logarithm of the longest chain.
     """
-    item = F.struct((-F.round(F.col(score), 9)).alias("cost"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("id"),
-                    (F.coalesce(F.col(scenes), F.lit("")) if scenes else F.lit("")).alias("k"))
-    items = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    if threshold < 0.55:
+        raise ValueError("events have a threshold of 0.55 or more")
+    cost = -F.round(F.col(score), 9)
+    flat = rows.select(key, cost.alias("cost"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("id"), (F.coalesce(F.col(scenes), F.lit("")) if scenes else F.lit("")).alias("k"))
+    items = once(flat.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("cost", "s", "e", "id", "k"))), "event-items")
 
     def relation(x: Column, y: Column) -> Column:
         scale = F.greatest(x["e"] - x["s"], y["e"] - y["s"], F.lit(second)) * 1.5
@@ -63,17 +70,27 @@ def cluster_events(rows: DataFrame, threshold: float = 0.55, key: str = "longfor
         same = F.when((x["k"] != "") & (x["k"] == y["k"]), 0.75).otherwise(0.0)
         return F.round(F.greatest(_ratio(x, y), same, 0.55 * near), 9)
 
-    def step(acc: Column, x: Column) -> Column:
-        links = F.transform(acc, lambda c: F.array_max(F.transform(c, lambda y: relation(x, y))))
-        return _let(links, lambda found: _let(F.array_max(found), lambda best: F.when(
-            best >= threshold, _let(F.array_position(found, best), lambda at: F.transform(
-                acc, lambda c, i: F.when(i == at - 1, F.concat(c, F.array(x))).otherwise(c)))
-        ).otherwise(F.concat(acc, F.array(F.array(x))))))
-
-    clusters = F.aggregate("items", F.slice(F.array(F.col("items")), 1, 0), step)
-    rep = lambda c: F.array_min(F.transform(c, lambda y: F.struct(
-        y["cost"].alias("cost"), F.abs((y["e"] - y["s"]) / second - 45.0).alias("off"), y["s"].alias("s"), y["e"].alias("e"), y["id"].alias("id"))))
-    events = items.select(key, F.posexplode(F.transform(clusters, lambda c: F.struct(rep(c).alias("r"), F.size(c).alias("support")))).alias("place", "x"))
+    side = lambda df, name, *more: df.select(key, *more, F.struct("n", "s", "e", "k").alias(name))
+    met = interval_join(items, items, key, left_cols=("s", "e"), right_cols=("s", "e")).select(F.col(f"l.{key}").alias(key), "l", "r")
+    met = met.select(key, *(F.struct(*(F.col(f"{x}.{c}").alias(c) for c in ("n", "s", "e", "k"))).alias(x) for x in ("l", "r")))
+    middle = (F.col("s") + F.col("e")).alias("m")
+    empty = side(items, "l", middle).join(side(items, "r", middle), [key, "m"]).where("l.s >= l.e or r.s >= r.e").drop("m")
+    pairs = met.unionByName(empty)
+    if scenes:
+        pairs = pairs.unionByName(side(items, "l", "k").join(side(items.where("k <> ''"), "r", "k"), [key, "k"]).drop("k"))
+    linked = pairs.where("r.n < l.n").select(key, F.col("l.n").alias("x"), F.col("r.n").alias("y"), relation(F.col("l"), F.col("r")).alias("rel")).where(F.col("rel") >= threshold)
+    closest = F.max("rel").over(Window.partitionBy(key, "x"))
+    up = once(linked.withColumn("_best", closest).where("rel = _best").select(key, "x", "y").distinct(), "event-links")
+    while True:
+        over = up.select(key, F.col("x").alias("y"), F.col("y").alias("z"))
+        jumped = up.join(over, [key, "y"], "left")
+        if jumped.where("z is not null").isEmpty():
+            break
+        up = once(jumped.select(key, "x", F.coalesce("z", "y").alias("y")).distinct(), "event-links")
+    roots = up.groupBy(key, F.col("x").alias("n")).agg(F.min("y").alias("root"))
+    member = F.struct("cost", F.abs((F.col("e") - F.col("s")) / second - 45.0).alias("off"), "s", "e", "id")
+    found = items.join(roots, [key, "n"], "left").groupBy(key, F.coalesce("root", "n").alias("root")).agg(F.min(member).alias("r"), F.count("*").cast("int").alias("support"))
+    events = found.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("root")) - 1).alias("place"), F.struct("r", "support").alias("x"))
     w = Window.partitionBy(key)
     norm = lambda c: F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(1.0)
     flat = events.select(key, (F.col("place") + 1).alias("place"), F.col("x.r.id").alias(id_col), (-F.col("x.r.cost")).alias("score"), F.col("x.support").alias("support"),
@@ -220,10 +237,10 @@ def left_bridges(selected: DataFrame, candidates: DataFrame, reserve: int = 0, k
     longer = candidates.where(F.size("scene_ids") > 1).join(selected.select(key, id_col), [key, id_col], "left_anti").withColumn("_ids", F.expr("slice(scene_ids, 2, size(scene_ids) - 1)"))
     pairs = longer.join(full, [key, "_ids"]).where((F.abs(F.col("end_ms") - F.col("_e")) <= tolerance_ms) & (F.col("start_ms") < F.col("_s")))
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_source").orderBy(F.desc("score"), "start_ms", id_col))).where("_n = 1")
-    once = best.withColumn("_n", F.row_number().over(Window.partitionBy(key, id_col).orderBy("place"))).where("_n = 1")
+    single = best.withColumn("_n", F.row_number().over(Window.partitionBy(key, id_col).orderBy("place"))).where("_n = 1")
     if reserve > 0:
-        once = once.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("_n") <= reserve)
-    both = selected.select(key, "place", id_col, F.lit(0).alias("_bridge")).union(once.select(key, "place", id_col, F.lit(1)))
+        single = single.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("_n") <= reserve)
+    both = selected.select(key, "place", id_col, F.lit(0).alias("_bridge")).union(single.select(key, "place", id_col, F.lit(1)))
     return both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("place", "_bridge"))).select(key, "place", id_col)
 
 

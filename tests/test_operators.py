@@ -65,16 +65,35 @@ def test_ranked_dedupe(spark):
     assert (a.removed, a.top_unique, a.underfilled) == (2, 3, False)
 
 
-def test_interval_join_finds_each_pair_once_in_any_bin(spark):
+def overlapping(rows):
+    return sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[3] and b[2] < a[3] and a[3] > a[2] and b[3] > b[2])
+
+
+def test_interval_join_finds_each_pair_once(spark):
     import random
     rng = random.Random(1)
-    rows = [(rng.randrange(3), i, s := rng.randrange(-5000, 5000), s + rng.choice([0, 1, 700, 5000])) for i in range(120)]
+    rows = [(rng.randrange(3), i, s := rng.randrange(-5000, 5000), s + rng.choice([0, 1, 4, 700, 5000, 10**6])) for i in range(160)]
     df = spark.createDataFrame(rows, "k int, id int, start_ms long, end_ms long")
-    want = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[3] and b[2] < a[3] and a[3] > a[2] and b[3] > b[2])
-    for bin_ms in (100, 1000, 10**6):
-        pairs = joins.interval_join(df, df, "k", bin_ms)
-        assert sorted((r.l.id, r.r.id) for r in pairs.collect()) == want
+    want = overlapping(rows)
+    assert sorted((r.l.id, r.r.id) for r in joins.interval_join(df, df, "k").collect()) == want
     assert "CartesianProduct" not in joins.interval_join(df, df, "k")._jdf.queryExecution().executedPlan().toString()
+    met, apart = (sorted(r.id for r in joins.interval_join(df, df.where("id % 2 = 0"), "k", how=h).collect()) for h in ("left_semi", "left_anti"))
+    assert met == sorted({a for a, b in want if b % 2 == 0}) and sorted(met + apart) == list(range(160))
+    assert joins.interval_join(df, df.limit(0), "k").collect() == []
+
+
+def test_interval_join_deals_long_intervals_and_a_hot_recording_evenly(spark):
+    import random
+    from pyspark.sql import functions as F
+    rng = random.Random(2)
+    week, lengths = 604_800_000, [1000, 30_000, 3_600_000, 86_400_000, 604_800_000]
+    rows = [(rng.choice([0, *range(1, 3)]) if i % 3 else 0, i, s := rng.randrange(week), s + rng.choices(lengths, [90, 60, 8, 1, 1])[0]) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, id int, start_ms long, end_ms long")
+    assert sorted((r.l.id, r.r.id) for r in joins.interval_join(df, df, "k").collect()) == overlapping(rows)
+    dealt = joins.interval_join(df.where("id % 2 = 0"), df, "k").select(F.col("l.id"))._jdf.queryExecution().optimizedPlan()
+    assert "Generate" in dealt.toString()
+    classes = df.select(joins.length_class(F.col("start_ms"), F.col("end_ms")).alias("c")).distinct().count()
+    assert classes == len(lengths)
 
 
 def test_union_length_merges_touching_intervals(spark):

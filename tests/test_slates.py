@@ -85,6 +85,40 @@ def test_events(spark):
     assert have == {g: [(r[1], n, round(a, 9), round(b, 9)) for r, n, a, b in events_of(items)] for g, items in by_group(rows).items()}
 
 
+def test_events_of_many_like_intervals_with_scenes_and_empty_ones(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(220):
+        s = rng.randrange(120) * 500
+        rows.append((i % 2, i, float(rng.randrange(4)), s, s + rng.choice([0, 0, 1000, 1000, 8000, 40_000]), rng.choice(["", "", "a", "b", "c|d"])))
+    want = {}
+    for g in (0, 1):
+        clusters = []
+        for x in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[3], r[4], r[1])):
+            def relation(y, x=x):
+                near = max(0.0, 1 - abs(center(x) - center(y)) / (max(x[4] - x[3], y[4] - y[3], 1000) * 1.5))
+                return round(max(ratio(x, y), 0.75 if x[5] and x[5] == y[5] else 0.0, 0.55 * near), 9)
+            links = [max(map(relation, c)) for c in clusters]
+            if links and max(links) >= 0.55:
+                clusters[links.index(max(links))].append(x)
+            else:
+                clusters.append([x])
+        want[g] = [(min(c, key=lambda y: (-y[2], abs((y[4] - y[3]) / 1000 - 45), y[3], y[4], y[1]))[1], len(c)) for c in clusters]
+    df = spark.createDataFrame(rows, "longform_id int, scene_id int, score double, start_ms long, end_ms long, ids string")
+    have = {}
+    for r in sorted(slates.cluster_events(df, scenes="ids").collect(), key=lambda r: r.place):
+        have.setdefault(r.longform_id, []).append((r.scene_id, r.support))
+    assert have == want
+
+
+def test_slate_numbers_go_beyond_99(spark):
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame([("v", i, 1000 * i, 1000 * i + 900, i, -i) for i in range(1, 151)], "longform_id string, scene_id int, start_ms long, end_ms long, rank int, value int")
+    said = rows.select("longform_id", F.col("scene_id").alias("speech_id"), F.lit("x").alias("text"), "start_ms", "end_ms")
+    found = slates.slate(rows, said, 150, lambda df, k: slates.select_by(df, "rank", k)).collect()
+    assert sorted(r.candidate_id for r in found) == sorted(f"v_cand_{i:02d}" for i in range(1, 151))
+
+
 def test_adaptive_events(spark):
     rows, k, want = sample(), 6, {}
     for g, items in by_group(rows).items():
