@@ -1,11 +1,14 @@
-"""Greedy selection of diverse intervals, as folds over one sorted array per recording.
+"""Greedy selection of diverse intervals, in rounds that carry each row's state along.
 
 Candidates are ordered by (score descending, start, end, id), so ties have a
-defined winner. The fold runs in the JVM; its state is the chosen items alone.
+defined winner. A round is one window over the recording: it finds the best open row and
+tells every row of it. All windows share one shuffle, so a recording of any length may spill.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,46 +20,62 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(short > 0, both / short).otherwise(0.0)
 
 
-def _items(rows: DataFrame, key: str, id_col: str, score: str, start: str, end: str) -> DataFrame:
-    item = F.struct((-F.col(score)).alias("cost"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("id"))
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+def in_rounds(items: DataFrame, key: str, rounds: Sequence[tuple[Column, Column]], limit: int | Column, max_overlap: float) -> DataFrame:
+    """``items`` (key, struct x of s, e, id and more, and other columns) with ``place``, the number of the row in the order of choice, and ``n``, how many were chosen.
+
+    Each round (test, order) chooses the least ``order`` among the rows that pass ``test``, overlap no chosen one by more than
+    ``max_overlap`` of the shorter and share no chosen one's id, if fewer than ``limit`` are chosen. ``order`` ends in what tells rows apart. Tests and orders may use
+    ``near``, the distance of centres to the nearest chosen row (null before the first), and ``most``, the greatest overlap with one.
+    """
+    w = Window.partitionBy(key)
+    kept = [c for c in items.columns if c != key]
+    state = items.select("*", F.lit(None).cast("double").alias("near"), F.lit(0.0).alias("most"), F.lit(True).alias("open"), F.lit(None).cast("int").alias("place"), F.lit(0).alias("n"))
+    x, best = F.col("x"), F.col("best.x")
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    for test, order in rounds:
+        can = F.col("open") & test & (F.col("most") <= max_overlap) & (F.col("n") < limit)
+        state = state.withColumn("best", F.min(F.when(can, F.struct(order.alias("v"), x.alias("x")))).over(w))
+        some = F.col("best").isNotNull()
+        chosen = some & F.col("open") & (x == best)
+        apart = F.abs((x["s"] + x["e"]) - (best["s"] + best["e"])) / 2.0
+        state = state.select(
+            key, *kept, F.when(some, F.least("near", apart)).otherwise(F.col("near")).alias("near"), F.when(some, F.greatest("most", _ratio(x, best))).otherwise(F.col("most")).alias("most"),
+            (F.col("open") & ~F.coalesce(x["id"] == best["id"], F.lit(False))).alias("open"), F.when(F.coalesce(chosen, F.lit(False)), F.col("n") + 1).otherwise(F.col("place")).alias("place"),
+            (F.col("n") + F.when(some, 1).otherwise(0)).alias("n"))
+    return state
 
 
-def _numbered(chosen: DataFrame, key: str, id_col: str) -> DataFrame:
-    return chosen.select(key, F.posexplode("chosen").alias("place", "x")).select(key, (F.col("place") + 1).alias("place"), F.col("x.id").alias(id_col), (-F.col("x.cost")).alias("score"))
+def filled(state: DataFrame, key: str, order: Sequence[Column], limit: int | Column) -> DataFrame:
+    """The chosen rows of :func:`in_rounds`, and after them those that share no chosen one's id, in ``order``, up to ``limit``."""
+    rest = F.row_number().over(Window.partitionBy(key, F.col("place").isNull() & F.col("open")).orderBy(*order)) + F.col("n")
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    placed = F.when(F.col("place").isNotNull(), F.col("place")).when(F.col("open"), rest)
+    return state.withColumn("place", placed).where(F.col("place") <= limit)
 
 
-def _none(items: Column) -> Column:
-    return F.slice(items, 1, 0)
+def _items(rows: DataFrame, key: str, id_col: str, score: str, start: str, end: str, *more: Column) -> DataFrame:
+    item = F.struct((-F.col(score)).alias("cost"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("id"))
+    return rows.select(F.col(key), item.alias("x"), *more)
+
+
+def _numbered(state: DataFrame, key: str, id_col: str) -> DataFrame:
+    return state.where("place is not null").select(key, "place", F.col("x.id").alias(id_col), (-F.col("x.cost")).alias("score"))
 
 
 def suppress_overlaps(rows: DataFrame, k: int, max_overlap: float, key: str = "longform_id", id_col: str = "scene_id", score: str = "value",
                       start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """(key, place, id, score): best first, each kept if it overlaps no kept one by more than ``max_overlap`` of the shorter, up to ``k``."""
-    def step(acc: Column, x: Column) -> Column:
-        free = ~F.exists(acc, lambda y: _ratio(x, y) > max_overlap)
-        return F.when((F.size(acc) < k) & free, F.concat(acc, F.array(x))).otherwise(acc)
-
-    items = _items(rows, key, id_col, score, start, end)
-    return _numbered(items.select(key, F.aggregate("items", _none(F.col("items")), step).alias("chosen")), key, id_col)
+    """(key, place, id, score): best first, each kept if it overlaps no kept one by more than ``max_overlap`` of the shorter, up to ``k``. Rows of one id count once."""
+    state = in_rounds(_items(rows, key, id_col, score, start, end), key, [(F.lit(True), F.col("x"))] * k, k, max_overlap)
+    return _numbered(state, key, id_col)
 
 
 def bins_then_fill(rows: DataFrame, k: int, bins: int, max_overlap: float, key: str = "longform_id", id_col: str = "scene_id", score: str = "value",
                    start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """The best allowed candidate of each of ``bins`` equal parts of the timeline by centre, in their order, then others by score, up to ``k``."""
-    items = _items(rows, key, id_col, score, start, end).withColumn("length", F.array_max(F.transform("items", lambda x: x["e"])))
-    allowed = lambda acc, x: ~F.exists(acc, lambda y: (_ratio(x, y) > max_overlap) | (y["id"] == x["id"]))
-    bin_of = lambda x: F.least(F.lit(bins - 1), F.floor((x["s"] + x["e"]) * bins / (2 * F.greatest(F.col("length"), F.lit(1)))))
-
-    def pick(acc: Column, b: Column) -> Column:
-        first = F.get(F.filter("items", lambda x: (bin_of(x) == b) & allowed(acc, x)), F.lit(0))
-        return F.when((F.size(acc) < k) & first.isNotNull(), F.concat(acc, F.array(first))).otherwise(acc)
-
-    def fill(acc: Column, x: Column) -> Column:
-        return F.when((F.size(acc) < k) & allowed(acc, x), F.concat(acc, F.array(x))).otherwise(acc)
-
-    picked = items.withColumn("picked", F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), _none(F.col("items")), pick))
-    return _numbered(picked.select(key, F.aggregate("items", F.col("picked"), fill).alias("chosen")), key, id_col)
+    length = F.max(end).over(Window.partitionBy(key))
+    part = F.least(F.lit(bins - 1), F.floor((F.col(start) + F.col(end)) * bins / (2 * F.greatest(length, F.lit(1))))).alias("part")
+    rounds = [(F.col("part") == b, F.col("x")) for b in range(bins)] + [(F.lit(True), F.col("x"))] * k
+    return _numbered(in_rounds(_items(rows, key, id_col, score, start, end, part), key, rounds, k, max_overlap), key, id_col)
 
 
 def relevance_and_diversity(rows: DataFrame, k: int, max_overlap: float, diversity: float, penalty: float, key: str = "longform_id", id_col: str = "scene_id",
@@ -88,20 +107,8 @@ def relevance_and_diversity(rows: DataFrame, k: int, max_overlap: float, diversi
 def source_bands(rows: DataFrame, k: int, bands: int, max_overlap: float, source_rank: str, key: str = "longform_id", id_col: str = "scene_id",
                  score: str = "value", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """One best allowed candidate per band of source ranks, then the best allowed overall, then the best left whatever its overlap, up to ``k``."""
-    top = rows.groupBy(key).agg(F.max(source_rank).alias("_top"))
-    banded = rows.join(top, key).withColumn("_band", F.least(F.lit(bands - 1), F.floor((F.col(source_rank) - 1) * bands / F.greatest(F.col("_top"), F.lit(1)))))
-    item = F.struct((-F.col(score)).alias("cost"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(id_col).alias("id"), F.col("_band").alias("band"))
-    items = banded.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    fresh = lambda acc, x: ~F.exists(acc, lambda y: y["id"] == x["id"])
-    allowed = lambda acc, x: ~F.exists(acc, lambda y: (_ratio(x, y) > max_overlap) | (y["id"] == x["id"]))
-
-    def pick(acc: Column, b: Column) -> Column:
-        first = F.get(F.filter("items", lambda x: (x["band"] == b) & allowed(acc, x)), F.lit(0))
-        return F.when((F.size(acc) < k) & first.isNotNull(), F.concat(acc, F.array(first))).otherwise(acc)
-
-    def fill(test):  # noqa: ANN001, ANN202
-        return lambda acc, x: F.when((F.size(acc) < k) & test(acc, x), F.concat(acc, F.array(x))).otherwise(acc)
-
-    one = items.withColumn("one", F.aggregate(F.sequence(F.lit(0), F.lit(bands - 1)), _none(F.col("items")), pick))
-    two = one.withColumn("two", F.aggregate("items", F.col("one"), fill(allowed)))
-    return _numbered(two.select(key, F.aggregate("items", F.col("two"), fill(fresh)).alias("chosen")), key, id_col)
+    top = F.max(source_rank).over(Window.partitionBy(key))
+    band = F.least(F.lit(bands - 1), F.floor((F.col(source_rank) - 1) * bands / F.greatest(top, F.lit(1)))).alias("band")
+    rounds = [(F.col("band") == b, F.col("x")) for b in range(bands)] + [(F.lit(True), F.col("x"))] * k
+    state = in_rounds(_items(rows, key, id_col, score, start, end, band), key, rounds, k, max_overlap)
+    return _numbered(filled(state, key, [F.col("x")], k), key, id_col)

@@ -1,6 +1,6 @@
 """Slates of a recording: events made of like intervals, and their selection over the timeline.
 
-Folds run over one sorted array per recording, as in :mod:`spanforge.operators.select`.
+Selection goes in rounds of windows, as in :mod:`spanforge.operators.select`.
 Values that are compared are rounded to nine decimals, so that equal ones tie; ties go to the
 first in order of (score descending, start, end, id).
 """
@@ -20,31 +20,14 @@ from spanforge.sources.shared import once
 
 from .generate import top_k
 from .joins import evidence, interval_join
-from .select import _ratio, bins_then_fill, relevance_and_diversity, source_bands, suppress_overlaps
+from .select import _ratio, bins_then_fill, filled, in_rounds, relevance_and_diversity, source_bands, suppress_overlaps
 from .windows import unique_candidates
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _center(x: Column) -> Column:
     return (x["s"] + x["e"]) / 2.0
 
 
-def _free(acc: Column, x: Column, most: float) -> Column:
-    return ~F.exists(acc, lambda y: (y["id"] == x["id"]) | (_ratio(x, y) > most))
-
-
-def _listed(chosen: DataFrame, key: str, id_col: str, by_center: bool = True) -> DataFrame:
-    """(key, place, id) of the arrays ``chosen``, in order of centres or as they are."""
-    x = F.col("chosen")
-    if by_center:
-        x = F.transform(F.array_sort(F.transform(x, lambda y: F.struct(_center(y).alias("c"), y["cost"].alias("cost"), y["id"].alias("id")))), lambda y: y)
-    return chosen.select(key, F.posexplode(x).alias("place", "x")).select(key, (F.col("place") + 1).alias("place"), F.col("x.id").alias(id_col))
-
-
 def cluster_events(rows: DataFrame, threshold: float = 0.55, key: str = "longform_id", id_col: str = "scene_id", score: str = "score",
                    start: str = "start_ms", end: str = "end_ms", scenes: str | None = None, second: float = 1000.0) -> DataFrame:
     """A row per event of a recording: place, id of its representative, score, support, start, end, score_norm and support_norm.
@@ -98,32 +81,33 @@ def cluster_events(rows: DataFrame, threshold: float = 0.55, key: str = "longfor
     return flat.withColumns({"score_norm": norm("score"), "support_norm": norm("support")})
 
 
-def _greedy(events: Column, acc: Column, rounds: int, value: Callable[[Column, Column], Column], most: float) -> Column:
-    """``acc`` with the best allowed event added in each round, as long as there is one and fewer than ``rounds`` are chosen."""
-    def step(acc: Column, _: Column) -> Column:
-        ranked = F.transform(F.filter(events, lambda x: _free(acc, x, most)), lambda x: F.struct((-F.round(value(acc, x), 9)).alias("v"), x["place"].alias("p"), x.alias("x")))
-        return _let(F.array_min(ranked), lambda best: F.when((F.size(acc) < rounds) & best.isNotNull(), F.concat(acc, F.array(best["x"]))).otherwise(acc))
+def _events(rows: DataFrame, key: str, id_col: str, **names) -> DataFrame:  # noqa: ANN003
+    """(key, x, score_norm, support_norm, value, low, span, total): the events of a recording, ``x`` with their place, the range of their centres and their number."""
+    found = cluster_events(rows, key=key, id_col=id_col, **names)
+    value = 0.74 * F.col("score_norm") + 0.16 * F.col("support_norm") + 0.10 * F.greatest(F.lit(0.0), 1 - F.abs((F.col("end_ms") - F.col("start_ms")) / 1000.0 - 45.0) / 45.0)
+    w, center = Window.partitionBy(key), (F.col("start_ms") + F.col("end_ms")) / 2.0
+    item = F.struct("place", (-F.col("score")).alias("cost"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col(id_col).alias("id"))
+    return found.select(key, item.alias("x"), "score_norm", "support_norm", F.round(value, 9).alias("value"), F.min(center).over(w).alias("low"),
+                        F.greatest(F.lit(1000.0), F.max(center).over(w) - F.min(center).over(w)).alias("span"), F.count("*").over(w).alias("total"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), acc, step)
 
+def _in_time(chosen: DataFrame, key: str, id_col: str) -> DataFrame:
+    """(key, place, id) of the structs ``x``, in order of centres."""
+    x = F.col("x")
+    return chosen.select(key, F.row_number().over(Window.partitionBy(key).orderBy(_center(x), x["cost"], x["id"])).alias("place"), x["id"].alias(id_col))
 
-def _filled(events: Column, acc: Column, k: int) -> Column:
-    """``acc`` with the events that aren't in it yet, in order, up to ``k``."""
-    return F.slice(F.concat(acc, F.filter(events, lambda x: ~F.exists(acc, lambda y: y["id"] == x["id"]))), 1, k)
 
+def _whole(rows: DataFrame, key: str, id_col: str, score: str) -> DataFrame:
+    return rows.select(key, F.struct((-F.col(score)).alias("cost"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col(id_col).alias("id")).alias("x"))
 
-def _event_arrays(rows: DataFrame, key: str, id_col: str, **names) -> DataFrame:  # noqa: ANN003
-    """(key, events, low, span): the events of a recording by their place, and the range of their centres."""
-    found = cluster_events(rows, key=key, id_col=id_col, **names)
-    value = 0.74 * F.col("score_norm") + 0.16 * F.col("support_norm") + 0.10 * F.greatest(F.lit(0.0), 1 - F.abs((F.col("end_ms") - F.col("start_ms")) / 1000.0 - 45.0) / 45.0)
-    item = F.struct("place", (-F.col("score")).alias("cost"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col(id_col).alias("id"),
-                    "score_norm", "support_norm", F.round(value, 9).alias("value"))
-    center = (F.col("start_ms") + F.col("end_ms")) / 2.0
-    return found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("events"), F.min(center).alias("low"), F.greatest(F.lit(1000.0), F.max(center) - F.min(center)).alias("span"))
+
+def _apart(steps: int) -> Column:
+    """Distance to the nearest chosen row over an even step of the timeline, at most 1; 0 before the first is chosen."""
+    return F.coalesce(F.least(F.lit(1.0), F.col("near") / (F.col("span") / float(max(2, steps - 1)))), F.lit(0.0))
 
 
-def _nearest(acc: Column, x: Column) -> Column:
-    return F.array_min(F.transform(acc, lambda y: F.abs(_center(x) - _center(y))))
+def _worth(value: Column) -> Column:
+    return F.struct((-F.round(value, 9)).alias("v"), F.col("x.place").alias("p"))
 
 
 def adaptive_events(rows: DataFrame, k: int, key: str = "longform_id", id_col: str = "scene_id", score: str = "score") -> DataFrame:
@@ -132,18 +116,11 @@ def adaptive_events(rows: DataFrame, k: int, key: str = "longform_id", id_col: s
     An event overlaps no chosen one by more than .62 of the shorter; open places are filled by score. Recordings of ``k`` rows or fewer keep all of them.
     """
     counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    few = counted.where(F.col("_n") <= k).groupBy(key).agg(F.collect_list(F.struct((-F.col(score)).alias("cost"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col(id_col).alias("id"))).alias("chosen"))
-    many = _event_arrays(counted.where(F.col("_n") > k), key, id_col, score=score)
-    events = F.col("events")
-
-    def value(acc: Column, x: Column) -> Column:
-        apart = F.coalesce(F.least(F.lit(1.0), _nearest(acc, x) / (F.col("span") / float(max(2, k - 1)))), F.lit(0.0))
-        return 0.72 * x["score_norm"] + 0.22 * apart + 0.06 * x["support_norm"]
-
-    picked = many.withColumn("picked", _greedy(events, F.slice(events, 1, 0), k, value, 0.62))
-    by_score = F.transform(F.array_sort(F.transform(events, lambda x: F.struct(x["cost"].alias("c"), x["place"].alias("p"), x.alias("x")))), lambda t: t["x"])
-    chosen = F.when(F.size("events") <= k, events).otherwise(_filled(by_score, F.col("picked"), k))
-    return _listed(few, key, id_col).union(_listed(picked.select(key, chosen.alias("chosen")), key, id_col))
+    events = _events(counted.where(F.col("_n") > k).drop("_n"), key, id_col, score=score)
+    value = 0.72 * F.col("score_norm") + 0.22 * _apart(k) + 0.06 * F.col("support_norm")
+    state = in_rounds(events, key, [(F.lit(True), _worth(value))] * k, k, 0.62)
+    chosen = filled(state, key, [F.col("x.cost"), F.col("x.place")], k)
+    return _in_time(_whole(counted.where(F.col("_n") <= k), key, id_col, score), key, id_col).union(_in_time(chosen, key, id_col))
 
 
 def coverage_bins(end_minutes: Column) -> Column:
@@ -165,28 +142,14 @@ def adaptive_coverage(rows: DataFrame, k: int, bins: int | None = None, per_bin:
     placed = rows.withColumns({"_c": center}).withColumns({"_n": F.count("*").over(w), "_lo": F.min("_c").over(w), "_hi": F.max("_c").over(w)})
     late = F.col("_c") >= F.greatest(F.lit(120_000.0), F.col("_lo") + 0.08 * F.greatest(F.lit(1000.0), F.col("_hi") - F.col("_lo")))
     kept = placed.withColumn("_late", F.count_if(late).over(w)).where((F.col("_n") > target) & (late | (F.col("_late") < target)))
-    few = placed.where(F.col("_n") <= target).groupBy(key).agg(F.collect_list(F.struct((-F.col(score)).alias("cost"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col(id_col).alias("id"))).alias("chosen"))
-    many = _event_arrays(kept.select(*rows.columns), key, id_col, score=score)
-    by_value = F.transform(F.array_sort(F.transform("events", lambda x: F.struct((-x["value"]).alias("v"), x["place"].alias("p"), x.alias("x")))), lambda t: t["x"])
-    many = many.withColumn("events", by_value)
-    bin_of = lambda x: F.least(F.lit(count - 1), F.floor((_center(x) - F.col("low")) * count / F.col("span")).cast("int"))
-
-    def in_bin(acc: Column, b: Column) -> Column:
-        def add(acc: Column, x: Column) -> Column:
-            room = (F.size(acc) < target) & (F.size(F.filter(acc, lambda y: bin_of(y) == b)) < per_bin)
-            return F.when((bin_of(x) == b) & room & _free(acc, x, 0.58), F.concat(acc, F.array(x))).otherwise(acc)
-
-        return F.aggregate("events", acc, add)
-
-    def value(acc: Column, x: Column) -> Column:
-        apart = F.coalesce(F.least(F.lit(1.0), _nearest(acc, x) / (F.col("span") / float(max(2, count - 1)))), F.lit(0.0))
-        return 0.68 * x["value"] + 0.32 * apart
-
-    events = F.col("events")
-    spread = many.withColumn("spread", F.aggregate(F.sequence(F.lit(0), F.lit(count - 1)), F.slice(events, 1, 0), in_bin))
-    picked = spread.withColumn("picked", _greedy(events, F.col("spread"), target, value, 0.58))
-    chosen = F.when(F.size("events") <= target, events).otherwise(_filled(events, F.col("picked"), target))
-    return _listed(few, key, id_col).union(_listed(picked.select(key, chosen.alias("chosen")), key, id_col))
+    few = _whole(placed.where(F.col("_n") <= target), key, id_col, score)
+    events = _events(kept.select(*rows.columns), key, id_col, score=score)
+    part = F.least(F.lit(count - 1), F.floor((_center(F.col("x")) - F.col("low")) * count / F.col("span")).cast("int"))
+    value = 0.68 * F.col("value") + 0.32 * _apart(count)
+    rounds = [(F.col("part") == b, _worth(F.col("value"))) for b in range(count) for _ in range(per_bin)] + [(F.lit(True), _worth(value))] * target
+    state = in_rounds(events.withColumn("part", part), key, rounds, target, 0.58)
+    chosen = filled(state, key, [F.desc("value"), F.col("x.place")], target)
+    return _in_time(few, key, id_col).union(_in_time(chosen, key, id_col))
 
 
 def timeline_diverse(rows: DataFrame, k: int, rank: str = "rank", score: str = "score", key: str = "longform_id", id_col: str = "scene_id") -> DataFrame:
@@ -208,23 +171,18 @@ def timeline_score(rows: DataFrame, k: int, min_center_ms: float = 0.0, late_quo
     Rows before ``min_center_ms`` are left out if ``k`` others are there. With
     ``late_quota`` that bound is the intro's end (120 seconds or 8 % of the range) and a place is kept for the last 18 % of the timeline.
     """
+    w, x = Window.partitionBy(key), F.col("x")
     item = F.struct((-F.col(score)).alias("cost"), F.col(rank).alias("r"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col(id_col).alias("id"))
-    items = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    centers = lambda c: F.transform(c, _center)
-    bound = F.greatest(F.lit(120_000.0), F.array_min(centers("items")) + 0.08 * (F.array_max(centers("items")) - F.array_min(centers("items")))) if late_quota else F.lit(float(min_center_ms))
-    items = items.withColumn("bound", bound).withColumn("late", F.filter("items", lambda x: _center(x) >= F.col("bound")))
-    items = items.withColumn("items", F.when(F.size("late") >= k, F.col("late")).otherwise(F.col("items"))).withColumn("low", F.array_min(centers("items")))
-    items = items.withColumn("span", F.greatest(F.lit(1000.0), F.array_max(centers("items")) - F.col("low")))
-    bin_of = lambda x: F.least(F.lit(k - 1), F.floor((_center(x) - F.col("low")) * k / F.col("span")).cast("int"))
-    add = lambda acc, x: F.when((F.size(acc) < k) & x.isNotNull(), F.concat(acc, F.array(x))).otherwise(acc)
-    first = lambda acc, test: F.get(F.filter("items", lambda x: test(x) & _free(acc, x, max_overlap)), F.lit(0))
-    none = F.slice("items", 1, 0)
-    tail = F.filter("items", lambda x: _center(x) >= F.col("low") + 0.82 * F.col("span"))
-    start = F.when(F.lit(late_quota and k > 1), F.slice(tail, 1, 1)).otherwise(none)
-    items = items.withColumn("tail", start)
-    binned = items.withColumn("binned", F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.col("tail"), lambda acc, b: _let(first(acc, lambda x: bin_of(x) == b), lambda x: add(acc, x))))
-    full = F.aggregate("items", F.col("binned"), lambda acc, x: F.when((F.size(acc) < k) & _free(acc, x, max_overlap), F.concat(acc, F.array(x))).otherwise(acc))
-    return _listed(binned.select(key, F.when(F.size("items") <= k, F.col("items")).otherwise(full).alias("chosen")), key, id_col)
+    placed = rows.select(key, item.alias("x")).withColumn("c", _center(x))
+    low, high = F.min("c").over(w), F.max("c").over(w)
+    bound = F.greatest(F.lit(120_000.0), low + 0.08 * (high - low)) if late_quota else F.lit(float(min_center_ms))
+    kept = placed.withColumn("late", F.col("c") >= bound).withColumn("lates", F.count_if("late").over(w)).where(F.col("late") | (F.col("lates") < k))
+    kept = kept.select(key, "x", "c", low.alias("low"), F.greatest(F.lit(1000.0), high - low).alias("span"), F.count("*").over(w).alias("total"))
+    part = F.least(F.lit(k - 1), F.floor((F.col("c") - F.col("low")) * k / F.col("span")).cast("int"))
+    rounds = [(F.col("c") >= F.col("low") + 0.82 * F.col("span"), x)] if late_quota and k > 1 else []
+    rounds += [(F.col("part") == b, x) for b in range(k)] + [(F.lit(True), x)] * k
+    state = in_rounds(kept.where(F.col("total") > k).withColumn("part", part), key, rounds, k, max_overlap)
+    return _in_time(kept.where(F.col("total") <= k), key, id_col).union(_in_time(state.where("place is not null"), key, id_col))
 
 
 def left_bridges(selected: DataFrame, candidates: DataFrame, reserve: int = 0, key: str = "longform_id", id_col: str = "candidate_id", tolerance_ms: int = 10) -> DataFrame:

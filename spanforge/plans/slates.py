@@ -12,7 +12,7 @@ from spanforge.operators.joins import group_pairs
 from spanforge.operators.learning import pair_weights
 
 from .evaluation import query, rounded
-from .views import gold, load, predictions, speeches, texts, timeline, with_views
+from .views import SQL, gold, load, predictions, speeches, texts, timeline, with_views
 
 #: Greedy clusters as a recursive query: each interval, from the best, joins the cluster with the closest member or begins one.
 _CLUSTERS = f"""{with_views('timeline').replace('with ', 'with recursive ', 1)},
@@ -40,14 +40,48 @@ def g10_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("longform_id", "place", "scene_id", "score", "support", "score_norm", "support_norm"))
 
 
-@query()
+#: Overlap of x and y over the shorter, centres, and whether x may join the chosen list ``acc``, in SQL.
+_OVER = "case when least(x.e - x.s, y.e - y.s) > 0 then greatest(0, least(x.e, y.e) - greatest(x.s, y.s)) / least(x.e - x.s, y.e - y.s) else 0 end"
+_MAY = lambda most: f"len(list_filter(acc, lambda y: y.id = x.id or {_OVER} > {most})) = 0"
+_NEAR = "coalesce(least(1.0, list_min(list_transform(acc, lambda y: abs((x.s + x.e) / 2.0 - (y.s + y.e) / 2.0))) / (span / {steps})), 0.0)"
+
+
+def _rounds(name: str, source: str, rounds: list[tuple[str, str]], limit: int, most: float) -> str:
+    """A recursive query: each round (test, order) appends the allowed ``x`` of ``xs`` that is first in order to ``acc``."""
+    case = lambda at: " ".join(f"when {i} then {r[at]}" for i, r in enumerate(rounds))
+    return f"""{name} as (
+        select longform_id, 0 as round, list_filter(xs, lambda x: false) as acc, xs, low, span from {source}
+        union all
+        select longform_id, round + 1, case when len(acc) < {limit} and len(can) > 0 then list_append(acc, list_sort(can)[1].x) else acc end, xs, low, span from (
+            select *, list_transform(list_filter(xs, lambda x: case round {case(0)} end and {_MAY(most)}), lambda x: {{'v': case round {case(1)} end, 'p': x.place, 'x': x}}) as can
+            from {name} where round < {len(rounds)})),"""
+
+
+_EVENT_LISTS = """ev2 as (select longform_id, place, r, support, round(case when max(-r.cost) over w > min(-r.cost) over w then (-r.cost - min(-r.cost) over w) / (max(-r.cost) over w - min(-r.cost) over w) else 1 end, 12) as sn,
+        round(case when max(support) over w > min(support) over w then (support - min(support) over w) / (max(support) over w - min(support) over w) else 1 end, 12) as un from ev window w as (partition by longform_id)),
+    lists as (select longform_id, list({'place': place, 'id': r.id, 's': r.s, 'e': r.e, 'cost': r.cost, 'sn': sn, 'un': un, 'value': round(0.74 * sn + 0.16 * un + 0.10 * greatest(0.0, 1 - abs((r.e - r.s) / 1000.0 - 45.0) / 45.0), 9)} order by place) as xs,
+        min((r.s + r.e) / 2.0) as low, greatest(1000.0, max((r.s + r.e) / 2.0) - min((r.s + r.e) / 2.0)) as span from ev2 group by longform_id),"""
+_FILLED = lambda order, k, rounds: f"""done2 as (select longform_id, unnest(list_concat(acc, list_transform(list_sort(list_transform(list_filter(xs, lambda x: not list_contains(list_transform(acc, lambda y: y.id), x.id)), lambda x: {{'v': {order}, 'p': x.place, 'x': x}})), lambda t: t.x))[1:{k}]) as x from picks where round = {rounds})"""
+_LISTED = "select longform_id, cast(row_number() over (partition by longform_id order by (x.s + x.e) / 2.0, x.cost, x.id) as integer) as place, x.id as scene_id from"
+_SMALL = lambda k: f"select longform_id, {{'place': 0::bigint, 'id': scene_id, 's': start_ms, 'e': end_ms, 'cost': -value, 'sn': 0.0, 'un': 0.0, 'value': 0.0}} as x from timeline where longform_id in (select longform_id from timeline group by longform_id having count(*) <= {k})"
+_G11 = [("true", f"-round(0.72 * x.sn + 0.22 * {_NEAR.format(steps=7.0)} + 0.06 * x.un, 9)")] * 8
+
+
+@query(f"""{_CLUSTERS}, {_EVENT_LISTS} big as (select * from lists where longform_id in (select longform_id from timeline group by longform_id having count(*) > 8)), {_rounds('picks', 'big', _G11, 8, 0.62)} {_FILLED('x.cost', 8, 8)},
+    al as (select * from done2 union all {_SMALL(8)}) {_LISTED} al""")
 def g11_adaptive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slates.adaptive_events(timeline(spark, sf_dir), 8, score="value")
 
 
-@query()
+_G12 = [(f"least(9, floor(((x.s + x.e) / 2.0 - low) * 10 / span)) = {b}", "-x.value") for b in range(10)] + [("true", f"-round(0.68 * x.value + 0.32 * {_NEAR.format(steps=9.0)}, 9)")] * 10
+_LATE = """timeline0 as (TIMELINE), mid as (select *, (start_ms + end_ms) / 2.0 as c0, count(*) over w as n0, min((start_ms + end_ms) / 2.0) over w as lo0, max((start_ms + end_ms) / 2.0) over w as hi0 from timeline0 window w as (partition by longform_id)),
+    mid2 as (select *, c0 >= greatest(120000.0, lo0 + 0.08 * greatest(1000.0, hi0 - lo0)) as late from mid), timeline as (select * exclude (c0, n0, lo0, hi0, late, lates) from (select *, count(*) filter (late) over (partition by longform_id) as lates from mid2) where n0 <= 10 or late or lates < 10)"""
+
+
+@query(f"""{_CLUSTERS.replace(SQL['timeline'], _LATE.replace('TIMELINE', SQL['timeline'].partition('(')[2].rpartition(')')[0]))}, {_EVENT_LISTS} big as (select * from lists where longform_id in (select longform_id from timeline0 group by longform_id having count(*) > 10)), {_rounds('picks', 'big', _G12, 10, 0.58)} {_FILLED('-x.value', 10, 20)},
+    al as (select * from done2 union all {_SMALL(10).replace('from timeline group', 'from timeline0 group')}) {_LISTED} al""")
 def g12_adaptive_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slates.adaptive_coverage(timeline(spark, sf_dir), 10, score="value")
+    return slates.adaptive_coverage(timeline(spark, sf_dir), 10, 10, score="value")
 
 
 @query(f"""{with_views('timeline', 'pred')}, p as (select *, (start_ms + end_ms) / 2.0 as c from pred), q as (select *, min(c) over (partition by longform_id) as lo, greatest(1000.0, max(c) over (partition by longform_id) - min(c) over (partition by longform_id)) as span from p),
@@ -58,12 +92,21 @@ def g13_timeline_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slates.timeline_diverse(predictions(spark, sf_dir), 10, score="value")
 
 
-@query()
+_G13_BINS = [(f"least(7, floor(((x.s + x.e) / 2.0 - low) * 8 / span)) = {b}", "0") for b in range(8)] + [("true", "0")] * 8
+_G13 = lambda bound, rounds: f"""{with_views('timeline', 'pred').replace('with ', 'with recursive ', 1)}, c as (select *, (start_ms + end_ms) / 2.0 as c from pred), b as (select *, min(c) over w as lo, max(c) over w as hi from c window w as (partition by longform_id)),
+    l as (select *, count(*) filter (c >= {bound}) over (partition by longform_id) as lates from b), kept as (select * from l where c >= {bound} or lates < 8),
+    o as (select *, row_number() over (partition by longform_id order by value desc, rank, start_ms, end_ms, scene_id) as place from kept),
+    lists as (select longform_id, list({{'place': place, 'id': scene_id, 's': start_ms, 'e': end_ms, 'cost': -value}} order by place) as xs, min(c) as low, greatest(1000.0, max(c) - min(c)) as span from o group by longform_id),
+    big as (select * from lists where len(xs) > 8), {_rounds('picks', 'big', rounds, 8, 0.45)}
+    al as (select longform_id, unnest(acc) as x from picks where round = {len(rounds)} union all select longform_id, unnest(xs) from lists where len(xs) <= 8) {_LISTED} al"""
+
+
+@query(_G13("0", _G13_BINS))
 def g13_timeline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slates.timeline_score(predictions(spark, sf_dir), 8, score="value")
 
 
-@query()
+@query(_G13("greatest(120000.0, lo + 0.08 * (hi - lo))", [("(x.s + x.e) / 2.0 >= low + 0.82 * span", "0"), *_G13_BINS]))
 def g13_late_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slates.timeline_score(predictions(spark, sf_dir), 8, late_quota=True, score="value")
 
