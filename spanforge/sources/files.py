@@ -111,17 +111,17 @@ def named_sources(sources: Mapping[str, DataFrame], key: str, k: int) -> DataFra
 
 
 def read_assets(spark: SparkSession, path: str, key: str = "longform_id") -> DataFrame:
-    """(key, duration_ms, resolution, person_count, fallback_count) from a JSON object per recording in files named ``<key>_asset.json``."""
+    """(key, duration_ms, resolution, person_count, fallback_count) from a JSON object per recording in files, or folders of one file, named ``<key>_asset.json``."""
     schema = "duration_ms double, resolution double, fallback_count double, persons array<struct<person_id:string>>"
-    named = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_asset\.json$", 1)
+    named = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)_asset\.json(/[^/]+)?$", 1)
     rows = spark.read.schema(schema).json(path, multiLine=True).select("*", named.alias(key)).where(F.col(key) != "")
     return rows.select(key, "duration_ms", "resolution", F.greatest(F.lit(0), F.coalesce(F.size("persons"), F.lit(0))).alias("person_count"), F.coalesce("fallback_count", F.lit(0.0)).alias("fallback_count"))
 
 
 def ready_accounts(spark: SparkSession, path: str, key: str = "longform_id") -> DataFrame:
-    """(key, accounts): for each recording the sorted accounts whose inventory, ``<account>/inventory.csv``, has it with the status READY."""
+    """(key, accounts): for each recording the sorted accounts whose inventory, a CSV in the folder ``<account>`` (or ``name=<account>``), has it with the status READY."""
     rows = spark.read.csv(path, header=True, schema=f"{key} string, status string")
-    placed = rows.select(key, "status", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\.csv$", 1).alias("account"))
+    placed = rows.select(key, "status", F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]+\.csv$", 1).alias("account"))
     return placed.where("status = 'READY'").groupBy(key).agg(F.array_sort(F.collect_set("account")).alias("accounts"))
 
 
