@@ -150,22 +150,23 @@ def concordance(rows: DataFrame, groups: Sequence[str], target: str, score: str,
     sizes = flat.groupBy("g").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
     many = sizes.where(F.col("n") > block_rows)
-    if many.isEmpty():
+    most = many.agg(F.max(parts)).first()[0]
+    if not most:
         placed = flat.withColumns({"tb": F.lit(0), "sb": F.lit(0)})
     else:
-        most = many.agg(F.max(parts)).first()[0]
         cuts = [i / most for i in range(1, most)]
         big = flat.join(F.broadcast(many.select("g")) if many.count() <= 10_000 else many.select("g"), "g")
         bounds = big.groupBy("g").agg(*(F.array_sort(F.array_distinct(F.percentile_approx(c, cuts, 100 * most))).alias(f"{c}_cuts") for c in ("t", "s")))
         both = flat.join(bounds, "g", "left")
-        block = lambda c: F.coalesce(2 * steps_below(F.col(f"{c}_cuts"), lambda x: x < F.col(c)) + F.array_contains(f"{c}_cuts", F.col(c)).cast("int"), F.lit(0))
+        block = lambda c: F.coalesce(2 * steps_below(F.col(f"{c}_cuts"), lambda x: x < F.col(c), most) + F.array_contains(f"{c}_cuts", F.col(c)).cast("int"), F.lit(0))
         placed = both.withColumns({"tb": block("t"), "sb": block("s")}).drop("t_cuts", "s_cuts")
 
+    at_most = 2 * (most or 0) + 1
     blocks = placed.groupBy("g", "tb").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.sum("w").alias("w"))
     listed = blocks.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("tb", "low", "high", "w"))).alias("blocks"))
     far = lambda x, e, strict: (F.col("t") - x > e) if strict else (F.col("t") - x >= e)
     per_edge = F.explode(F.array(*(F.struct(
-        F.lit(i).alias("edge"), steps_below(F.col("highs"), lambda x, e=e, st=st: far(x, e, st)).alias("whole"), steps_below(F.col("lows"), lambda x, e=e, st=st: far(x, e, st)).alias("begun"))
+        F.lit(i).alias("edge"), steps_below(F.col("highs"), lambda x, e=e, st=st: far(x, e, st), at_most).alias("whole"), steps_below(F.col("lows"), lambda x, e=e, st=st: far(x, e, st), at_most).alias("begun"))
         for i, (e, st) in enumerate(edges))))
     asked = placed.join(listed.select("g", "blocks", F.col("blocks.high").alias("highs"), F.col("blocks.low").alias("lows")), "g").select("g", "t", "s", "w", "sb", "blocks", per_edge.alias("q")).select(
         "g", "t", "s", "w", "sb", "q.*", F.get(F.col("blocks"), F.col("q.whole"))["tb"].alias("cut"), F.coalesce(F.get(F.col("blocks"), F.col("q.whole") - 1)["tb"], F.lit(-1)).alias("last"))
@@ -182,7 +183,7 @@ def concordance(rows: DataFrame, groups: Sequence[str], target: str, score: str,
     before = Window.partitionBy("g").orderBy("tb").rowsBetween(Window.unboundedPreceding, 0)
     running = blocks.select("g", F.col("tb").alias("last"), F.sum("w").over(before).alias("held"))
     whole = asked.where("whole > 0")
-    if not many.isEmpty():
+    if most:
         pairs = whole.groupBy("g", "edge", "last").agg(F.sum("w").alias("w")).join(running, ["g", "last"]).groupBy("g", "edge").agg(F.sum(F.col("w") * F.col("held")).alias("pairs"))
         zero = F.lit(0).cast("long")
         found = found.unionByName(pairs.select("g", F.col("edge").cast("long"), "pairs", zero.alias("right"), zero.alias("tied")))

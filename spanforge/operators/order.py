@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def steps_below(bounds: Column, test: Callable[[Column], Column]) -> Column:
-    """How many of the sorted ``bounds`` pass ``test``, which a prefix of them does, by halving."""
-    return F.aggregate(F.expr("array(" + ",".join(str(1 << b) for b in range(24, -1, -1)) + ")"), F.lit(0),
+def steps_below(bounds: Column, test: Callable[[Column], Column], most: int = (1 << 25) - 1) -> Column:
+    """How many of the sorted ``bounds``, at most ``most``, pass ``test``, which a prefix of them does, by halving."""
+    return F.aggregate(F.expr("array(" + ",".join(str(1 << b) for b in range(most.bit_length() - 1, -1, -1)) + ")"), F.lit(0),
                        lambda acc, step: F.when(F.coalesce(test(F.get(bounds, acc + step - 1)), F.lit(False)), acc + step).otherwise(acc))
 
 
@@ -29,7 +29,7 @@ def in_ranges(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = {}
     for i, c in enumerate(columns):
         bounds = F.array(*(F.lit(float(b)) for b in sorted(set(found[i] or [])))).cast("array<double>")
-        out[f"_range_{c}"] = F.when(F.col(c).isNull(), -1).otherwise(steps_below(bounds, lambda b, c=c: b < _number(rows, c)))
+        out[f"_range_{c}"] = F.when(F.col(c).isNull(), -1).otherwise(steps_below(bounds, lambda b, c=c: b < _number(rows, c), max(1, parts)))
     return rows.withColumns(out)
 
 
