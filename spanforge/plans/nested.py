@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.operators import nested
+from spanforge.operators import nested, trees
 from spanforge.operators.audit import grouped_folds
 
 from .evaluation import query, rounded
@@ -39,6 +39,28 @@ def k6_ridge_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nested.out_of_fold(rows, "fold", "y", FEATURES, [1.0, 100.0]).select("id", "fold", "alpha", "prediction"), 5)
 
 
+_DRAW = lambda kind, i: f"('0x' || substr(md5('7|{kind}|' || held || '|' || tree || '|' || node || '|{i}'), 1, 8))::bigint / 4294967296.0"
+_GAIN = lambda i: f"case when n{i} between 5 and n - 5 then round(s{i} * s{i} / n{i} + (s - s{i}) * (s - s{i}) / (n - n{i}) - s * s / n, 9) end"
+
+
+def _level(k: int) -> str:
+    """One level of all trees in SQL: ranges, cuts, sums, and the rows of both sides; of two features each node draws one."""
+    return f"""r{k} as (select held, tree, node, min(a) as la, max(a) as ha, min(b) as lb, max(b) as hb from s{k} where train and open group by all),
+    c{k} as (select held, tree, node, round(la + {_DRAW('cut', 0)} * (ha - la), 9) as ca, round(lb + {_DRAW('cut', 1)} * (hb - lb), 9) as cb, {_DRAW('pick', 0)} <= {_DRAW('pick', 1)} as first from r{k}),
+    m{k} as (select held, tree, node, any_value(ca) as ca, any_value(cb) as cb, any_value(first) as first, count(*) as n, sum(y) as s, count(*) filter (a <= ca) as n0, coalesce(sum(y) filter (a <= ca), 0) as s0, count(*) filter (b <= cb) as n1, coalesce(sum(y) filter (b <= cb), 0) as s1
+        from s{k} join c{k} using (held, tree, node) where train and open group by all),
+    b{k} as (select held, tree, node, case when first then 0 else 1 end as feature, case when first then ca else cb end as cut from m{k} where case when first then {_GAIN(0)} else {_GAIN(1)} end > 0),
+    s{k + 1} as (select held, tree, case when feature is null then node else 2 * node + (case when feature = 0 then a else b end > cut)::int end as node, open and feature is not null as open, train, id, fold, y, a, b from s{k} left join b{k} using (held, tree, node)),"""
+
+
+@query(f"""with {_ROWS}, s0 as (select held, tree, 1::bigint as node, true as open, fold <> held as train, id, fold, y, a, b from fr, range(1, 6) h(held), range(12) t(tree)), {_level(0)} {_level(1)}
+    v as (select held, tree, node, avg(y) as v from s2 where train group by all)
+    select id, fold, round(avg(v), 5) as prediction from s2 join v using (held, tree, node) where not train group by id, fold""")
+def k6_randomised_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grouped_folds(price_rows(spark, sf_dir), "grp", 5, 3)
+    return rounded(trees.trees_out_of_fold(rows, "id", "fold", "y", FEATURES, trees=12, depth=2, min_leaf=5, seed=7), 5)
+
+
 @query(f"""with {_ROWS}, t as (select g.source, 1.0 as al, sums.* from (select distinct source from rows) g, lateral (select {_SUMS} from rows x where x.source <> g.source) sums), {_SOLVE}
     select id, rows.source, round(my - ca * ma - cb * mb + ca * rows.a + cb * rows.b, 5) as prediction from rows join f on f.source = rows.source""")
 def s11_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
