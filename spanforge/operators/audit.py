@@ -141,6 +141,21 @@ def gate_report(metrics: DataFrame, gates: DataFrame) -> DataFrame:
     return joined.select("metric", "kind", "minimum", value.alias("value"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
+def acceptance(metrics: DataFrame, gates: DataFrame, fresh: bool) -> DataFrame:
+    """One row: whether the size gates and the statistical gates pass, whether the holdout is fresh, the names of gates that fail, and the status.
+
+    Gates are as in :func:`gate_report`; those of kind size are minimum numbers of rows. Too few rows are insufficient; a failed gate is rejected; all passed on rows that were
+    seen before is an internal_pass, and accepted takes a holdout that is confirmed fresh. Without gates of a kind, that kind passes; without any, nothing is accepted.
+    """
+    report = gate_report(metrics, gates)
+    sizes = F.coalesce(F.bool_and(F.when(F.col("kind") == "size", F.col("passed"))), F.lit(True))
+    others = F.coalesce(F.bool_and(F.when(F.col("kind") != "size", F.col("passed"))), F.lit(True))
+    failed = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.concat_ws(":", "kind", "metric")))), ",")
+    one = report.agg(F.count("*").alias("_gates"), sizes.alias("sizes_passed"), others.alias("gates_passed"), failed.alias("failed")).withColumn("fresh", F.lit(fresh))
+    status = F.when(F.col("_gates") == 0, "rejected").when(~F.col("sizes_passed"), "insufficient").when(~F.col("gates_passed"), "rejected").when(~F.col("fresh"), "internal_pass").otherwise("accepted")
+    return one.withColumn("status", status).drop("_gates")
+
+
 def bootstrap_draws(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, slot, group): each replicate draws as many groups as there are, with replacement, by hashes that any engine can repeat.
 

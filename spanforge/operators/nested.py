@@ -135,10 +135,9 @@ def control_predictions(rows: DataFrame, kind: str, fold: str, target: str, sour
 
     def others(by: list[str], name: str) -> DataFrame:
         own = small.groupBy(fold, *by).agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
-        total = own.groupBy(*by).agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
-        both = own.join(total, [own[k].eqNullSafe(total[k]) for k in by]) if by else own.join(F.broadcast(total))
-        mean = (F.coalesce("_ts", F.lit(0.0)) - F.coalesce("_s", F.lit(0.0))) / F.nullif(F.col("_tc") - F.col("_c"), F.lit(0))
-        return both.select(own[fold].alias("_f"), *(own[k].alias(f"_k{i}") for i, k in enumerate(by)), mean.alias(name))
+        w = Window.partitionBy(*by)  # over a row for each fold
+        left = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)) - F.coalesce(c, F.lit(0))
+        return own.select(F.col(fold).alias("_f"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), (left("_s") / F.nullif(left("_c"), F.lit(0))).alias(name))
 
     every = others([], "_every").withColumnRenamed("_f", "_g")
     out = rows.join(every, rows[fold].eqNullSafe(every["_g"]), "left")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.operators import nested, trees
+from spanforge.operators import artifact, nested, trees
 from spanforge.operators.audit import grouped_folds
+from spanforge.sources.shared import shared_folder
 
 from .evaluation import query, rounded
 from .views import load
@@ -137,6 +140,18 @@ def k12_final_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nested.batch_rank(placed, "percentile", "id").select("id", "percentile", "batch_rank", F.lit("accepted").alias("status")), 4)
 
 
+@query(f"""with {_ROWS}, t as (select 10.0 as al, {_SUMS} from rows), {_SOLVE}, p as (select id, round(my - ca * ma - cb * mb + ca * rows.a + cb * rows.b, 7) as p from rows, f),
+    q as (select id, p, (count(*) over (order by p range unbounded preceding) + 0.5) / (count(*) over () + 1) as e from p)
+    select id, round(p, 5) as prediction, round(round(100 * e, 6), 4) as percentile, cast(row_number() over (order by round(100 * e, 6) desc, id) as integer) as batch_rank, 'validated' as status from q""")
+def k12_stored_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit that is written as a bundle, loaded from it and put to the rows."""
+    rows = price_rows(spark, sf_dir)
+    path = f"{shared_folder(spark).rstrip('/')}/fit-{uuid.uuid4().hex}"
+    artifact.save_artifact(rows, "y", FEATURES, 10.0, path, accepted=True, forbidden=["views", "percentile"], decimals=7)
+    scored = artifact.score_with(rows.select("id", *FEATURES), artifact.load_artifact(spark, path), "id")
+    return scored.select("id", F.round("prediction", 5).alias("prediction"), F.round("percentile", 4).alias("percentile"), "batch_rank", "status")
+
+
 @query("""select s_suppkey, cast(row_number() over (order by round(cast(s_acctbal as double) / 1000, 0) desc, s_suppkey) as integer) as batch_rank from supplier""")
 def i6_batch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = load(spark, sf_dir, "supplier").withColumn("score", F.round(F.col("s_acctbal").cast("double") / 1000, 0))

@@ -174,6 +174,20 @@ def l7_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.gate_report(metrics, gates))
 
 
+@query(f"""{with_views('judge')}, m as (select 'mean' as metric, avg(score) as value from judge union all select 'rows', count(*) from judge union all select 'mid', count(*) filter (score between 30 and 60) from judge),
+    g as (select * from (values ('rows', 'size', 10.0), ('mid', 'size', 5.0), ('mean', 'observed', 40.0), ('mean', 'lower_bound', 20.0)) v(metric, kind, minimum)),
+    r as (select *, coalesce(case when kind = 'lower_bound' then value > minimum else value >= minimum end, false) as passed from g left join m using (metric)),
+    x as (select bool_and(passed) filter (kind = 'size') as sizes_passed, bool_and(passed) filter (kind <> 'size') as gates_passed, coalesce(string_agg(kind || ':' || metric, ',' order by kind || ':' || metric) filter (not passed), '') as failed from r)
+    select sizes_passed, gates_passed, failed, fresh, case when not sizes_passed then 'insufficient' when not gates_passed then 'rejected' when not fresh then 'internal_pass' else 'accepted' end as status from x, (values (true), (false)) f(fresh)""")
+def l7_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates of an evaluation, as they stand for rows that were seen before and for a fresh holdout."""
+    j = judgments(spark, sf_dir)
+    metrics = j.agg(F.avg("score").alias("mean"), F.count("*").cast("double").alias("rows"), F.count_if(F.col("score").between(30, 60)).cast("double").alias("mid")).select(F.inline(F.array(
+        *(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mean", "rows", "mid")))))
+    gates = spark.createDataFrame([("rows", "size", 10.0), ("mid", "size", 5.0), ("mean", "observed", 40.0), ("mean", "lower_bound", 20.0)], "metric string, kind string, minimum double")
+    return audit.acceptance(metrics, gates, True).union(audit.acceptance(metrics, gates, False))
+
+
 @query("""select event_id, case when value > 8 then null else round(value, 6) end as known from events""")
 def b14_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.when(F.col("value") > 9, F.lit(float("nan"))).when(F.col("value") > 8, F.lit(float("-inf"))).otherwise(F.col("value"))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -104,3 +105,43 @@ def test_bundles_must_match(spark):
     with pytest.raises(Exception, match="isn't uniform"):
         pools.require_uniform(a, "x").collect()
     assert pools.require_uniform(b, "z").count() == 1
+
+
+def test_stored_fits_refuse_what_they_must(spark, tmp_path):
+    from spanforge.operators import artifact
+    rng = random.Random(2)
+    rows = [(i, rng.random(), rng.random() if i % 5 else None) for i in range(40)]
+    df = spark.createDataFrame([(i, 2 * a + (b or 0.5), a, b) for i, a, b in rows], "id int, y double, a double, b double")
+    path = str(tmp_path / "fit")
+    with pytest.raises(ValueError, match="isn't accepted"):
+        artifact.save_artifact(df, "y", ["a", "b"], 1.0, path, accepted=False)
+    with pytest.raises(ValueError, match="forbidden inputs"):
+        artifact.save_artifact(df, "y", ["a", "b"], 1.0, path, accepted=True, forbidden=["b"])
+    artifact.save_artifact(df, "y", ["a", "b"], 1.0, path, accepted=False, forbidden=["percentile_PRIVATE"], allow_rejected=True)
+    with pytest.raises(ValueError, match="experimental_rejected"):
+        artifact.load_artifact(spark, path)
+    held = artifact.load_artifact(spark, path, allow_rejected=True)
+    scored = artifact.score_with(df.select("id", "a", "b"), held, "id").collect()
+    assert sorted(r.batch_rank for r in scored) == list(range(1, 41)) and {r.status for r in scored} == {"experimental_rejected"}
+    median = statistics.median(b for _, _, b in rows if b is not None)
+    assert held.medians["b"] == median and all(r.b == median for r in scored if r.id % 5 == 0)
+    with pytest.raises(ValueError, match="percentile_PRIVATE"):
+        artifact.score_with(df.withColumn("Percentile_private", df.y), held, "id")
+    with pytest.raises(ValueError, match="missing features"):
+        artifact.score_with(df.select("id", "a"), held, "id")
+    held.reference.limit(3).write.mode("overwrite").parquet(str(tmp_path / "other"))
+    spark.read.parquet(str(tmp_path / "other")).write.mode("overwrite").parquet(f"{path}/reference")
+    with pytest.raises(ValueError, match="digest"):
+        artifact.load_artifact(spark, path, allow_rejected=True)
+
+
+def test_acceptance_takes_size_gates_and_a_fresh_holdout(spark):
+    from spanforge.operators import audit
+    metrics = spark.createDataFrame([("n", 12.0), ("rho", 0.4), ("odd", float("nan"))], "metric string, value double")
+    gates = lambda *g: spark.createDataFrame(list(g), "metric string, kind string, minimum double")
+    status = lambda fresh, *g: audit.acceptance(metrics, gates(*g), fresh).first().status
+    good = [("n", "size", 12.0), ("rho", "observed", 0.4), ("rho", "lower_bound", 0.0)]
+    assert status(True, *good) == "accepted" and status(False, *good) == "internal_pass"
+    assert status(True, *good, ("n", "size", 13.0)) == "insufficient"
+    assert status(True, *good, ("odd", "observed", 0.0)) == status(True, *good, ("rho", "lower_bound", 0.4)) == "rejected"
+    assert status(True) == "rejected"
