@@ -99,6 +99,15 @@ def best_spec(scores: DataFrame, keys: Sequence[str], spec: str = "alpha") -> Da
     return scores.groupBy(*keys).agg(F.min_by(spec, order).alias(spec))
 
 
+def inner_folds(placed: DataFrame, group: str, outer: int, inner: int, seed: int) -> DataFrame:
+    """The rows (with ``outer``) once for each outer fold ``held`` that isn't theirs, with an ``inner`` fold of whole groups, shuffled by hashes of the seed."""
+    groups = placed.select(group, "outer").distinct()
+    rest = groups.withColumn("held", F.explode(F.sequence(F.lit(1), F.lit(outer)))).where("held <> outer")
+    position = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("held").cast("string"), F.col(group).cast("string")), 256)
+    inside = rest.withColumn("inner", F.ntile(inner).over(Window.partitionBy("held").orderBy(position, group))).select(group, "held", "inner")
+    return placed.join(inside, group)
+
+
 def nested_predictions(rows: DataFrame, group: str, target: str, features: Sequence[str], alphas: Sequence[float], outer: int = 5, inner: int = 4, seed: int = 0) -> DataFrame:
     """``rows`` with outer fold, chosen alpha and ``prediction``: each row is predicted by a fit on the other outer folds.
 
@@ -106,12 +115,7 @@ def nested_predictions(rows: DataFrame, group: str, target: str, features: Seque
     predictions are pooled for the score. Folds hold whole groups and are shuffled by hashes of the seed.
     """
     placed = grouped_folds(rows, group, outer, seed).withColumnRenamed("fold", "outer")
-    groups = placed.select(group, "outer").distinct()
-    folds = F.explode(F.sequence(F.lit(1), F.lit(outer)))
-    rest = groups.withColumn("held", folds).where("held <> outer")
-    position = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("held").cast("string"), F.col(group).cast("string")), 256)
-    inside = rest.withColumn("inner", F.ntile(inner).over(Window.partitionBy("held").orderBy(position, group))).select(group, "held", "inner")
-    training = placed.join(inside, group)
+    training = inner_folds(placed, group, outer, inner, seed)
     tried = out_of_fold(training, "inner", target, features, alphas, within=["held"])
     chosen = best_spec(selection_score(tried, ["held", "alpha"], target), ["held"]).withColumnRenamed("held", "outer")
     sums = without_own(moments(placed, ["outer"], target, features), [], len(features))
@@ -155,22 +159,60 @@ def rank_ensemble(members: DataFrame, id_col: str, model: str, score: str) -> Da
     return members.withColumn("_share", share).groupBy(id_col).agg(F.avg("_share").alias("prediction"))
 
 
-def stack_weights(rows: DataFrame, target: str, members: Sequence[str], alpha: float = 1.0, rounds: int = 500) -> dict[str, float]:
-    """Weights, none below zero, of a ridge regression of the target on standardised member scores: projected steps on the few sums that reach the driver."""
-    sums = moments(rows, [], target, members).first()
-    p, n = len(members), sums.n
+def _nonnegative(n: float, y: float, x: Sequence[float], xy: Sequence[float], xx: Sequence[float], alpha: float, rounds: int) -> tuple[float, np.ndarray]:
+    """Intercept and weights, none below zero, of a ridge regression on standardised members, from its sums: projected steps of one over the trace."""
+    p = len(x)
     full = np.zeros((p, p))
-    full[np.triu_indices(p)] = sums.xx
+    full[np.triu_indices(p)] = xx
     full = full + np.triu(full, 1).T
-    mean = np.asarray(sums.x) / n
+    mean = np.asarray(x) / n
     cov = full - n * np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(cov) / n, 1e-18))
     z = cov / np.outer(scale, scale) + alpha * np.eye(p)
-    zy = (np.asarray(sums.xy) - np.asarray(sums.x) * sums.y / n) / scale
-    b, step = np.zeros(p), 1 / np.linalg.norm(z, 2)
+    zy = (np.asarray(xy) - np.asarray(x) * y / n) / scale
+    b, step = np.zeros(p), 1 / np.trace(z)
     for _ in range(rounds):
         b = np.maximum(0.0, b - step * (z @ b - zy))
-    return {m: float(v) for m, v in zip(members, b / scale)}
+    return float(y / n - (b / scale) @ mean), b / scale
+
+
+def stack_weights(rows: DataFrame, target: str, members: Sequence[str], alpha: float = 1.0, rounds: int = 500) -> dict[str, float]:
+    """Weights, none below zero, of a ridge regression of the target on standardised member scores: the few sums of the rows reach the driver."""
+    sums = moments(rows, [], target, members).first()
+    _, weights = _nonnegative(sums.n, sums.y, sums.x, sums.xy, sums.xx, alpha, rounds)
+    return dict(zip(members, map(float, weights)))
+
+
+def stacked_predictions(rows: DataFrame, group: str, target: str, members: Mapping[str, Sequence[str]], alpha: float = 1.0, outer: int = 5, inner: int = 4, seed: int = 0,
+                        meta_alpha: float = 1.0, rounds: int = 500) -> DataFrame:
+    """``rows`` with outer fold, a column of each member (name: features) and ``prediction``, the members' sum by weights that are none below zero.
+
+    The weights of an outer fold come from predictions that its training rows get out of inner folds, so no row has a part in the weights
+    that it is predicted by. Members are ridge regressions of strength ``alpha``. Fits and weights are small tables from sums; the rows are joined with those alone.
+    """
+    placed = grouped_folds(rows, group, outer, seed).withColumnRenamed("fold", "outer")
+    training = inner_folds(placed, group, outer, inner, seed)
+
+    def with_members(df: DataFrame, source: DataFrame, fold: str, within: list[str]) -> DataFrame:
+        for name, features in members.items():
+            sums = without_own(moments(source, [*within, fold], target, features), within, len(features))
+            fits = ridge(sums, [*within, fold], features, [alpha])
+            df = predict(df, fits, [*within, fold], features).drop("alpha").withColumnRenamed("prediction", name)
+        return df
+
+    sums = moments(with_members(training, training, "inner", ["held"]), ["held"], target, list(members))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(r.held, *_nonnegative(r.n, r.y, r.x, r.xy, r.xx, meta_alpha, rounds)) for r in batch.itertuples(index=False) if r.n >= 1]
+            yield pd.DataFrame([(h, i, w.tolist()) for h, i, w in found], columns=["outer", "intercept", "weights"])
+
+    weights = sums.mapInPandas(weigh, "outer int, intercept double, weights array<double>")
+    both = with_members(placed, placed, "outer", []).join(F.broadcast(weights), "outer")
+    value = F.col("intercept")
+    for i, name in enumerate(members):
+        value = value + F.col("weights")[i] * F.col(name)
+    return both.withColumn("prediction", value).drop("intercept", "weights")
 
 
 def select_models(log: DataFrame, predictions: DataFrame, id_col: str) -> DataFrame:

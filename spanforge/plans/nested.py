@@ -99,15 +99,53 @@ def k9_inner_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nested.selection_score(tried, ["held", "alpha"], "y"), 4)
 
 
-@query()
+#: Ridge on the first feature alone.
+_SOLVE_FIRST = "f as (select *, sa / n as ma, 0.0 as mb, sy / n as my, (say - sa * sy / n) / ((saa - sa * sa / n) / n) / (n + al) as ca, 0.0 as cb from t)"
+
+
+def _nested_sql(seed: int = 3, alphas: str = "[1.0, 100.0, 10000.0]", features: str = "ab") -> str:
+    """(id, y, prediction) of nested selection: the best strength of an outer fold, then the fit on all other outer folds."""
+    solve = _SOLVE if features == "ab" else _SOLVE_FIRST
+    text = f"""{_NESTED}, best as (select held, first(al order by -coalesce(score, -2), abs(log10(al)), al) as al from scored group by held),
+        fo as (with t as (select b.held, b.al, sums.* from best b, lateral (select {_SUMS} from fr x where x.fold <> b.held) sums), {_SOLVE} select * from f)
+        select id, y, my - ca * ma - cb * mb + ca * fr.a + cb * fr.b as prediction from fr join fo on fo.held = fr.fold"""
+    text = text.replace(_SOLVE, solve).replace("[1.0, 100.0, 10000.0]", alphas).replace("'3|'", f"'{seed}|'")
+    return "with " + (text if features != "b" else text.replace("coalesce(a, 0) as a, coalesce(b, 0) as b", "coalesce(b, 0) as a, coalesce(a, 0) as b"))
+
+
+@query(f"""select id, round(avg(prediction), 5) as prediction, count(*) as repeats from (({_nested_sql(3)}) union all ({_nested_sql(4)})) group by id""")
 def k10_nested_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order predicted by nested selection under two seeds."""
-    return nested.repeated_predictions(price_rows(spark, sf_dir), "id", "grp", "y", FEATURES, [1.0, 100.0, 10000.0], [3, 4])
+    return rounded(nested.repeated_predictions(price_rows(spark, sf_dir), "id", "grp", "y", FEATURES, [1.0, 100.0, 10000.0], [3, 4]), 5)
+
+
+_SPECS = " union all ".join(f"select '{name}' as spec, * from ({_nested_sql(3, '[1.0, 100.0]', f)})" for name, f in (("both", "ab"), ("lines", "a"), ("quantity", "b")))
 
 
-@query()
+@query(f"""with p as ({_SPECS}), r as (select spec, rank() over (partition by spec order by prediction) + (count(*) over (partition by spec, prediction) - 1) / 2.0 as x, rank() over (partition by spec order by y) + (count(*) over (partition by spec, y) - 1) / 2.0 as z from p)
+    select spec, round(round(covar_pop(x, z) / (stddev_pop(x) * stddev_pop(z)), 9), 4) as score, count(*) as n from r group by spec""")
 def k13_compared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.compare_specs(price_rows(spark, sf_dir), "grp", "y", {"both": ["a", "b"], "lines": ["a"], "quantity": ["b"]}, [1.0, 100.0], seed=3)
+    return rounded(nested.compare_specs(price_rows(spark, sf_dir), "grp", "y", {"both": ["a", "b"], "lines": ["a"], "quantity": ["b"]}, [1.0, 100.0], seed=3), 4)
+
+
+_ONE = lambda x: f"my_{x} + c_{x} * ({x} - m_{x})"
+#: Ridge of strength 1 on one feature from sums, by Cramer's rule of one.
+_FIT_ONE = lambda x: f"sy / n as my_{x}, s{x} / n as m_{x}, (s{x}y - s{x} * sy / n) / sqrt((s{x}{x} - s{x} * s{x} / n) / n) / ((s{x}{x} - s{x} * s{x} / n) / ((s{x}{x} - s{x} * s{x} / n) / n) + 1) / sqrt((s{x}{x} - s{x} * s{x} / n) / n) as c_{x}"
+
+
+@query(f"""with recursive {_ROWS}, ig as (select held, grp, ntile(4) over (partition by held order by sha256('3|' || held || '|' || grp), grp) as ifold from fg, range(1, 6) h(held) where held <> fg.fold),
+    tr as (select rows.*, held, ifold from rows join ig using (grp)),
+    fi as (select g.held, g.ifold, {_FIT_ONE('a')}, {_FIT_ONE('b')} from (select distinct held, ifold from tr) g, lateral (select {_SUMS} from tr x where x.held = g.held and x.ifold <> g.ifold) sums),
+    oof as (select held, y, {_ONE('a')} as p, {_ONE('b')} as q from tr join fi using (held, ifold)),
+    ms as (select held, count(*)::double as n, sum(y) as sy, sum(p) as sp, sum(q) as sq, sum(p * p) - sum(p) * sum(p) / count(*) as cpp, sum(p * q) - sum(p) * sum(q) / count(*) as cpq, sum(q * q) - sum(q) * sum(q) / count(*) as cqq, sum(p * y) - sum(p) * sum(y) / count(*) as cpy, sum(q * y) - sum(q) * sum(y) / count(*) as cqy from oof group by held),
+    mz as (select *, sqrt(cpp / n) as dp, sqrt(cqq / n) as dq, cpp / (cpp / n) + 1 as zpp, cqq / (cqq / n) + 1 as zqq, cpq / (sqrt(cpp / n) * sqrt(cqq / n)) as zpq, cpy / sqrt(cpp / n) as zp, cqy / sqrt(cqq / n) as zq from ms),
+    it as (select held, 0 as k, 0.0::double as u, 0.0::double as v from mz union all select it.held, k + 1, greatest(0.0, u - (zpp * u + zpq * v - zp) / (zpp + zqq)), greatest(0.0, v - (zpq * u + zqq * v - zq) / (zpp + zqq)) from it join mz on mz.held = it.held where k < 500),
+    wt as (select held, u / dp as wp, v / dq as wq, sy / n - u / dp * sp / n - v / dq * sq / n as w0 from it join mz using (held) where k = 500),
+    fo as (select g.fold, {_FIT_ONE('a')}, {_FIT_ONE('b')} from (select distinct fold from fr) g, lateral (select {_SUMS} from fr x where x.fold <> g.fold) sums)
+    select id, fr.fold as outer, round({_ONE('a')}, 5) as lines, round({_ONE('b')}, 5) as quantity, round(w0 + wp * ({_ONE('a')}) + wq * ({_ONE('b')}), 5) as prediction from fr join fo on fo.fold = fr.fold join wt on wt.held = fr.fold""")
+def k7_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nested.stacked_predictions(price_rows(spark, sf_dir), "grp", "y", {"lines": ["a"], "quantity": ["b"]}, seed=3)
+    return rounded(out.select("id", "outer", "lines", "quantity", "prediction"), 5)
 
 
 @query("""with m as (select o_orderkey as id, 'price' as model, cast(o_totalprice as double) as s from orders union all select o_orderkey, 'date', cast(epoch(o_orderdate) as double) from orders),

@@ -145,3 +145,17 @@ def test_acceptance_takes_size_gates_and_a_fresh_holdout(spark):
     assert status(True, *good, ("n", "size", 13.0)) == "insufficient"
     assert status(True, *good, ("odd", "observed", 0.0)) == status(True, *good, ("rho", "lower_bound", 0.4)) == "rejected"
     assert status(True) == "rejected"
+
+
+def test_stacking_leaves_its_own_rows_out(spark):
+    rng = random.Random(5)
+    rows = [(i, i // 3, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(120)]
+    df = spark.createDataFrame([(i, g, 2 * a + rng.gauss(0, 0.1), a, b) for i, g, a, b in rows], "id int, grp int, y double, a double, b double")
+    out = nested.stacked_predictions(df, "grp", "y", {"good": ["a"], "noise": ["b"], "both": ["a", "b"]}, seed=1).collect()
+    assert len(out) == 120 and len({(r.grp, r.outer) for r in out}) == 40
+    assert sum((r.prediction - r.y) ** 2 for r in out) < 0.1 * sum(r.y ** 2 for r in out)
+    changed = df.withColumn("y", df.y + (df.grp == 0).cast("double") * 1000)
+    fold = next(r.outer for r in out if r.grp == 0)
+    again = {r.id: r.prediction for r in nested.stacked_predictions(changed, "grp", "y", {"good": ["a"], "noise": ["b"], "both": ["a", "b"]}, seed=1).collect()}
+    assert all(abs(again[r.id] - r.prediction) < 1e-9 for r in out if r.outer == fold)
+    assert any(abs(again[r.id] - r.prediction) > 1 for r in out if r.outer != fold)
