@@ -133,20 +133,29 @@ def adaptive_coverage(rows: DataFrame, k: int, bins: int | None = None, per_bin:
 
     The intro (before 120 seconds or 8 % of the range) is left out if enough
     rows are beyond it. Each bin gives its best ``per_bin`` events that overlap no chosen one by over .58; then the best by .68 of the
-    event's value and .32 of the distance to the chosen ones follow, then the rest by value.
+    event's value and .32 of the distance to the chosen ones follow, then the rest by value. Without ``bins`` there are ``k``, or with
+    more than one event a bin as many as the end of the recording's last row gives (see :func:`coverage_bins`).
     """
-    count = bins or k
-    target = min(k, count * per_bin)
+    by_length = bins is None and per_bin > 1
     w = Window.partitionBy(key)
+    count = coverage_bins(F.max("end_ms").over(w) / 60_000.0) if by_length else F.lit(bins or k)
     center = (F.col("start_ms") + F.col("end_ms")) / 2.0
-    placed = rows.withColumns({"_c": center}).withColumns({"_n": F.count("*").over(w), "_lo": F.min("_c").over(w), "_hi": F.max("_c").over(w)})
+    sized = rows.withColumns({"_c": center, "_bins": count}).withColumn("_target", F.least(F.lit(k), F.col("_bins") * per_bin))
+    placed = sized.withColumns({"_n": F.count("*").over(w), "_lo": F.min("_c").over(w), "_hi": F.max("_c").over(w)})
     late = F.col("_c") >= F.greatest(F.lit(120_000.0), F.col("_lo") + 0.08 * F.greatest(F.lit(1000.0), F.col("_hi") - F.col("_lo")))
-    kept = placed.withColumn("_late", F.count_if(late).over(w)).where((F.col("_n") > target) & (late | (F.col("_late") < target)))
-    few = _whole(placed.where(F.col("_n") <= target), key, id_col, score)
+    kept = placed.withColumn("_late", F.count_if(late).over(w)).where((F.col("_n") > F.col("_target")) & (late | (F.col("_late") < F.col("_target"))))
+    few = _whole(placed.where(F.col("_n") <= F.col("_target")), key, id_col, score)
     events = _events(kept.select(*rows.columns), key, id_col, score=score)
-    part = F.least(F.lit(count - 1), F.floor((_center(F.col("x")) - F.col("low")) * count / F.col("span")).cast("int"))
-    value = 0.68 * F.col("value") + 0.32 * _apart(count)
-    rounds = [(F.col("part") == b, _worth(F.col("value"))) for b in range(count) for _ in range(per_bin)] + [(F.lit(True), _worth(value))] * target
+    if by_length:
+        events = events.join(rows.groupBy(key).agg(coverage_bins(F.max("end_ms") / 60_000.0).alias("bins")), key)
+    else:
+        events = events.withColumn("bins", F.lit(bins or k))
+    target, most = F.least(F.lit(k), F.col("bins") * per_bin), 13 if by_length else bins or k
+    part = F.least(F.col("bins") - 1, F.floor((_center(F.col("x")) - F.col("low")) * F.col("bins") / F.col("span")).cast("int"))
+    steps = F.greatest(F.lit(2), F.col("bins") - 1)
+    apart = F.coalesce(F.least(F.lit(1.0), F.col("near") / (F.col("span") / steps)), F.lit(0.0))
+    value = 0.68 * F.col("value") + 0.32 * apart
+    rounds = [(F.col("part") == b, _worth(F.col("value"))) for b in range(most) for _ in range(per_bin)] + [(F.lit(True), _worth(value))] * min(k, most * per_bin)
     state = in_rounds(events.withColumn("part", part), key, rounds, target, 0.58)
     chosen = filled(state, key, [F.desc("value"), F.col("x.place")], target)
     return _in_time(few, key, id_col).union(_in_time(chosen, key, id_col))

@@ -181,6 +181,15 @@ def test_adaptive_coverage(spark):
     assert got(slates.adaptive_coverage(spark.createDataFrame(rows, SCHEMA), k)) == want
 
 
+def test_coverage_bins_follow_the_duration(spark):
+    rows = [(0, i, 1.0, 10_000 * i, 10_000 * i + 5000, i) for i in range(60)] + [(1, i, 1.0, 40_000 * i, 40_000 * i + 5000, i) for i in range(60)]
+    found = got(slates.adaptive_coverage(spark.createDataFrame(rows, SCHEMA), 40, per_bin=2))
+    assert {g: len(ids) for g, ids in found.items()} == {0: 10, 1: 26}  # ten minutes: 5 bins, nearly forty: 13
+    for g, step in ((0, 10), (1, 40)):
+        late = [i for i in range(60) if i * step + 2.5 >= max(120, 2.5 + 0.08 * 59 * step)]
+        assert min(found[g]) >= min(late)
+
+
 def test_timeline_scores(spark):
     rows, k = sample(), 5
     for quota in (False, True):
