@@ -146,7 +146,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Whole texts are encoded, each match of ``pattern`` separately, by a
     sentencepiece model made from the rank file; the ids are then decoded. A
     match that is itself a token is that token, as in the rank file's library.
-    Null and empty texts have no ids; repeated rows stay as many; other columns are ignored.
+    Null and empty texts have no ids; very long texts are encoded whole, match by match; repeated rows stay as many; other columns are ignored.
     Tasks keep a bounded memo and need no shuffle.
     """
 

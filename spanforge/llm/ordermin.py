@@ -154,7 +154,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The texts are shuffled once, by ranges of ids: ``bucket_rows`` rows a range, or
     more of them where there would be over ``most_buckets`` ranges, which bound what the
-    driver holds; Spark's window keeps the rows of a larger range on disk. Null texts count as empty,
+    driver holds; Spark's window keeps the rows of a larger range on disk. Very long texts are signed whole, by sorts of their own words. Null texts count as empty,
     which have a fingerprint of their own; rows of equal id follow each other by
     text, those without id come last; a single row is its own next. Other columns are
     ignored and an empty table gives no rows.

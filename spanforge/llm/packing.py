@@ -226,7 +226,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     padded. ``step_group`` deals the sequences to training steps of equal cost.
 
     Null and empty texts are the end id alone. Repeated rows and rows without
-    doc_id are packed like any other. Further columns are ignored. An empty
+    doc_id are packed like any other. Very long texts are tokenised whole and
+    cut into windows of 4096. Documents of equal length take their places in the order of the task's rows, and
+    so do sequences of equal cost in ``step_group``. Further columns are ignored. An empty
     table gives no rows.
     """
 

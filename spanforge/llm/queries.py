@@ -52,7 +52,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near copies are texts whose sets of five-word shingles have a Jaccard index
     of 0.8 or more, directly or through others. Texts without words (null, empty, white space) are one
-    group. Of rows with equal doc_id and text one stays; rows of one doc_id with different texts are judged by
+    group; very long texts are compared whole. Of rows with equal doc_id and text one stays; rows of one doc_id with different texts are judged by
     the id, and rows without an id always stay. Other columns, of whatever names, are kept as they are; an empty table stays empty.
     """
     set_batches(spark)

@@ -222,7 +222,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts and those of white space alone have fingerprint zero
     and link like any other. Repeated rows stay as many. A row without doc_id
-    gets the component of its fingerprint. Columns besides id and text are
+    gets the component of its fingerprint. Very long texts are fingerprinted whole, in one task each. Columns besides id and text are
     ignored, whatever their names. An empty table gives no rows.
     """
     fps = save(fingerprints(docs, id_col, text_col, shingle), "simhash")
@@ -316,7 +316,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     .2 % (sets of under 40 shingles are taken within 40 bits).
 
     Equal texts are one class. Texts without words form one group too; null texts
-    count as such. Rows without id get their class's component; no rows give none.
+    count as such. Very long texts are taken whole: their shingle hashes go to at most ``n_keys`` shards. Rows without id get their class's component; no rows give none.
     """
     mixers = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1) for k in range(n_keys)]
 

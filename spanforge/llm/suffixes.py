@@ -456,7 +456,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     Texts are UTF-8 bytes. Every byte is removed that lies in a string of
     ``length`` bytes which also starts anywhere else, in this or another
-    document, judged on the input. Null texts count as empty. Repeated rows
+    document, judged on the input. Null texts count as empty; very long texts are
+    taken whole, their windows dealt to shards like those of many short ones. Repeated rows
     count as other documents, so they remove each other if they are long enough. Other columns are
     ignored; an empty table gives no rows.
     """

@@ -220,6 +220,43 @@ def counter(model_path: str) -> Counter:
     return Counter(vocabulary(model_path))
 
 
+#: Kinds of models by their number in a sentencepiece file (fixed values); a file that names none is of the first kind.
+UNIGRAM, MERGES = 1, 2
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised message: numbers, or the bytes of texts and messages."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if kind == 2 else 8 if kind == 1 else 4
+            yield key >> 3, data[at:at + size]
+            at += size
+
+
+def model_type(data: bytes) -> int:
+    """The kind of model that a sentencepiece file says it is: field 3 of the trainer's description, which is field 2."""
+    found = UNIGRAM
+    for number, value in _fields(data):
+        if number == 2 and isinstance(value, bytes):
+            found = next((v for n, v in _fields(value) if n == 3 and isinstance(v, int)), UNIGRAM)
+    return found
+
+
 def vocabulary(model_path: str) -> list[tuple[str, float]]:
     import sentencepiece
 
@@ -229,8 +266,9 @@ def vocabulary(model_path: str) -> list[tuple[str, float]]:
         if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
     ]
     scores = [model.get_score(i) for i in plain]
-    if all(s.is_integer() for s in scores):
-        scores = rank_scores(len(plain))
+    with open(model_path, "rb") as file:
+        if model_type(file.read()) == MERGES:
+            scores = rank_scores(len(plain))
     return [(model.id_to_piece(i), s) for i, s in zip(plain, scores)]
 
 

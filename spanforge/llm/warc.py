@@ -198,7 +198,8 @@ def warc_round_trip(pages: DataFrame, path: str, min_revisit_bytes: int = 0, com
 
     Size and digest are those of the full payload: a revisit takes them from
     the block of the response that it refers to. Repeated rows stay as many; null html is an
-    empty payload; other columns are ignored; an empty table gives no rows.
+    empty payload; a very long one is a record like any other, held whole by the tasks that write and hash it;
+    other columns are ignored; an empty table gives no rows.
     """
     write_warc(pages, path, min_revisit_bytes, compression=compression)
     page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, 'page:(-?[0-9]+)>', 1), '') as bigint)")

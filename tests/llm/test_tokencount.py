@@ -62,3 +62,15 @@ def test_table(spark):
     own = counter(PATH)
     assert sorted((r.doc_id or 0, r.n_chars, r.n_tokens) for r in got) == sorted((d or 0, len(t or ""), own.count(t)[1]) for d, t, _ in rows)
     assert count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_scores_are_replaced_by_the_kind_of_model_alone():
+    import public_tokenizers
+    from spanforge.llm.tokencount import MERGES, UNIGRAM, model_type
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        assert model_type(file.read()) == MERGES
+    piece = b"\x0a\x08\x0a\x01a\x15\x00\x00\x80\xbf"  # "a" with the score -1.0, a whole number
+    assert model_type(piece + b"\x12\x02\x18\x01") == UNIGRAM
+    assert model_type(piece + b"\x12\x05\x0a\x01x\x18\x02") == MERGES
+    assert model_type(piece) == model_type(b"") == UNIGRAM
