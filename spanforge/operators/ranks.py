@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import average_ranks, dense_numbers
+from .order import average_ranks, dense_numbers, steps_below
 
 
 def average_rank(value: str, groups: Sequence[str] = ()) -> Column:
@@ -174,7 +174,7 @@ def ecdf_percentile(values: DataFrame, reference: DataFrame, value: str, smoothe
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = reference.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     cut = F.array(*(F.lit(float(b)) for b in sorted(set(bounds)))).cast("array<double>")
-    placed = both.withColumn("_part", F.size(F.filter(cut, lambda b: b < F.col(value))))
+    placed = both.withColumn("_part", F.coalesce(steps_below(cut, lambda b: b < F.col(value), max(1, parts)), F.lit(0)))
     own = F.sum("_ref").over(Window.partitionBy("_part").orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
     sizes = placed.groupBy("_part").agg(F.sum("_ref").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

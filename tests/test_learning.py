@@ -75,3 +75,14 @@ def test_shortcut_and_gates(spark):
     metrics = spark.createDataFrame([("m", float("nan")), ("n", 2.0)], "metric string, value double")
     gates = spark.createDataFrame([("m", "observed", 0.0), ("n", "lower_bound", 2.0), ("n", "observed", 2.0)], "metric string, kind string, minimum double")
     assert sorted((r.metric, r.kind, r.passed) for r in audit.gate_report(metrics, gates).collect()) == [("m", "observed", False), ("n", "lower_bound", False), ("n", "observed", True)]
+
+
+def test_calibration_without_keys_and_of_flat_or_missing_training(spark):
+    from spanforge.operators import learning
+    scores = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("c", 5.0)], "fit string, s double")
+    training = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 4.0)], "fit string, s double")
+    got = lambda kind, keys: sorted((r.fit, r.s, None if r.calibrated is None else round(r.calibrated, 6)) for r in learning.calibrated(scores, training, "s", kind, keys).collect())
+    assert got("raw", []) == [("a", 1.0, 1.0), ("a", 3.0, 3.0), ("b", 5.0, 5.0), ("c", 5.0, 5.0)]
+    assert got("zscore", ["fit"]) == [("a", 1.0, -1.224745), ("a", 3.0, 1.224745), ("b", 5.0, 0.0), ("c", 5.0, None)]
+    assert got("ecdf", ["fit"]) == [("a", 1.0, 0.375), ("a", 3.0, 0.875), ("b", 5.0, 0.75), ("c", 5.0, 0.5)]
+    assert got("ecdf", []) == [("a", 1.0, 0.3), ("a", 3.0, 0.7), ("b", 5.0, 0.9), ("c", 5.0, 0.9)]
