@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 from spanforge.functions.intervals import overlap, prediction_scores
 
 
-#: Widths of the bins of interval joins: powers of this many milliseconds.
-BASE = 4
+#: Widths of the bins of interval joins: powers of 2 ** BITS milliseconds.
+BITS = 3
+
+
+def _width(c: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), BITS * c)
 
 
 def length_class(start: Column, end: Column) -> Column:
-    """The least n so that BASE ** n is the interval's length or more: it touches two bins of that width at most, as does any shorter one."""
-    steps = [F.when(end - start <= BASE ** n, n) for n in range(31)]
-    return F.coalesce(*steps, F.lit(31))
+    """The least n so that (2 ** BITS) ** n is the interval's length or more: it touches two bins of that width at most, as does any shorter one."""
+    length = F.greatest(end - start, F.lit(1)).cast("long")
+    near = F.greatest(F.lit(0), F.ceil(F.log2(length) / BITS).cast("int"))
+    # what rounding puts on the other side of a power
+    return F.when(_width(near) < length, near + 1).when((near > 0) & (_width(near - 1) >= length), near - 1).otherwise(near)
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_cols: tuple[str, str] = ("start_ms", "end_ms"),
                   right_cols: tuple[str, str] = ("start_ms", "end_ms"), how: str = "inner") -> DataFrame:
     """Pairs of rows of one ``key`` whose half-open intervals overlap: structs ``l`` and ``r``.
 
-    Intervals are classed by length, a power of BASE. A pair meets in a bin as wide as the class of its longer interval, in the one that holds its later start, and so comes
-    once. A row goes to the at most two bins that it touches in its own class, and in each longer class that the other table has (up to 31;
+    Intervals are classed by length, a power of eight. A pair meets in a bin as wide as the class of its longer interval, in the one that holds its later start, and so comes
+    once. A row goes to the at most two bins that it touches in its own class, and in each longer class that the other table has (up to 21;
     those that there are reach the driver). So an interval of a week costs no more rows than one of a second, a recording of any length is dealt to
     many bins, and the join is on (key, class, bin), which adaptive execution can split where a bin is hot.
 
@@ -35,19 +41,18 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_cols: tuple[
         return df.where(s < e).select(F.struct(*df.columns).alias(name), F.col(key).alias(key), F.col(cols[0]).alias(f"{name}s"), F.col(cols[1]).alias(f"{name}e"), length_class(s, e).alias(f"{name}c"))
 
     ours, theirs = classed(left, left_cols, "l"), classed(right, right_cols, "r")
-    levels = {n: sorted(r[0] for r in df.select(f"{n}c").distinct().collect()) for n, df in (("l", ours), ("r", theirs))}
-    width = lambda c: F.pow(F.lit(float(BASE)), c).cast("long")
+    there = ours.select(F.lit("l"), "lc").union(theirs.select(F.lit("r"), "rc")).distinct().collect()
+    levels = {n: sorted(c for side, c in there if side == n) for n in ("l", "r")}
 
     def binned(df: DataFrame, name: str, others: list[int]) -> DataFrame:
         own = F.col(f"{name}c")
-        at = F.filter(F.array(*(F.lit(x) for x in others)).cast("array<int>"), lambda x: x > own) if others else F.array().cast("array<int>")
-        dealt = df.withColumn("class", F.explode(F.concat(F.array(own), at)))
-        w = width(F.col("class"))
+        dealt = df.withColumn("class", F.explode(F.array(own, *(F.when(own < x, x) for x in others)))).where("class is not null")
+        w = _width(F.col("class"))
         first, last = F.floor(F.col(f"{name}s") / w), F.floor((F.col(f"{name}e") - 1) / w)
-        return dealt.withColumn("bin", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
+        return dealt.withColumn("bin", F.explode(F.array(first, F.when(last > first, last)))).where("bin is not null")
 
     hit = (F.col("ls") < F.col("re")) & (F.col("rs") < F.col("le")) & (F.col("class") == F.greatest("lc", "rc"))
-    first = F.col("bin") == F.floor(F.greatest("ls", "rs") / width(F.col("class")))
+    first = F.col("bin") == F.floor(F.greatest("ls", "rs") / _width(F.col("class")))
     pairs = binned(ours, "l", levels["r"]).join(binned(theirs, "r", levels["l"]), [key, "class", "bin"]).where(hit & first)
     if how == "inner":
         return pairs.select("l", "r")
