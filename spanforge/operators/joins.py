@@ -74,11 +74,11 @@ def evidence(candidates: DataFrame, speeches: DataFrame, key: str = "longform_id
     sides = {"before": met("l.pad_start", "l.start_ms"), "core": met("l.start_ms", "l.end_ms"), "after": met("l.end_ms", "l.pad_end")}
     side = F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in sides.items()))))
     told = pairs.select(F.col(f"l.{id_col}").alias(id_col), "r.start_ms", "r.end_ms", "r.speech_id", "r.text", side.alias("_side")).distinct()
-    # what starts beyond the cap isn't gathered
+    # what starts beyond the cap isn't gathered; the line end before what starts at it is the last character within
     earlier = Window.partitionBy(id_col, "_side").orderBy("start_ms", "end_ms", "speech_id", "text").rowsBetween(Window.unboundedPreceding, -1)
     length = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") + 1)
     cap = F.coalesce(*(F.when(F.col("_side") == n, c) for n, c in zip(sides, caps)))
-    short = told.withColumn("_upto", F.coalesce(F.sum(length).over(earlier), F.lit(0))).where(F.col("_upto") < cap)
+    short = told.withColumn("_upto", F.coalesce(F.sum(length).over(earlier), F.lit(0))).where(F.col("_upto") <= cap)
     said = F.struct("start_ms", "end_ms", "speech_id", "text")
     joined = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == n, said))), lambda x: x.text), "\n").alias(n)
     grouped = short.groupBy(id_col).agg(*(joined(n) for n in sides))

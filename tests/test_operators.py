@@ -132,3 +132,9 @@ def test_context_and_rubric(spark):
     assert one(spark, tx.rubric_score({"a": F.lit(None).cast("int"), "b": F.lit(2)}, {"a": 0.5, "b": 0.5})) is None
     with pytest.raises(ValueError):
         tx.rubric_score({"a": F.lit(1)}, {"a": 0.5})
+
+
+def test_evidence_cut_at_a_line_end_keeps_it(spark):
+    c = spark.createDataFrame([("x", 1, 0, 1000)], "candidate_id string, longform_id int, start_ms long, end_ms long")
+    s = spark.createDataFrame([(1, 1, 0, 10, "abcd"), (1, 2, 10, 20, "e"), (1, 3, 20, 30, "f")], "longform_id int, speech_id int, start_ms long, end_ms long, text string")
+    assert [joins.evidence(c, s, caps=(n, n, n)).first().core for n in (4, 5, 6, 7, 8)] == ["abcd", "abcd\n", "abcd\ne", "abcd\ne\n", "abcd\ne\nf"]
