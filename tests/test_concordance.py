@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from spanforge.operators.concordance import CountTree, concordance, concordance_share
+from spanforge.operators.concordance import CountTree, concordance, concordance_share, later_in_band
 
 BANDS = [(0.1, 0.4), (0.01, None), (0.3, 0.3)]
 SCHEMA = "g string, t double, s double, w int"
@@ -68,3 +68,17 @@ def test_count_tree():
     start, length, rank = rng.integers(0, 40, 300), rng.integers(0, 31, 300), rng.integers(0, 10, 300)
     want = [int(weights[a:a + n][ranks[a:a + n] < r].sum()) for a, n, r in zip(start, length, rank)]
     assert CountTree(ranks, weights).below(start, start + length, rank).tolist() == want
+
+
+@pytest.mark.parametrize("block_rows", [1 << 18, 16])
+def test_rows_in_bands_equal_those_of_all_pairs(spark, block_rows):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abc"), rng.choice([rng.random(), rng.randrange(20) / 20])) for i in range(150)] + [(150, "a", None), (151, None, 0.5), (None, "b", 0.4), (7, "c", 0.25)]
+    got = {r.i: (r.own, r.other) for r in later_in_band(spark.createDataFrame(rows, "i long, g string, v double"), "g", "i", "v", 0.05, 0.15, block_rows).collect()}
+    want = defaultdict(lambda: [0, 0])
+    known = [r for r in rows if None not in r]
+    for i, g, v in known:
+        for j, h, w in known:
+            if i < j and 0.05 <= abs(v - w) <= 0.15:
+                want[i][g != h] += 1
+    assert {i: n for i, n in got.items() if any(n)} == {i: tuple(n) for i, n in want.items()}
