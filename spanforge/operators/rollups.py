@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from spanforge.sources.shared import once
 
 from .order import average_ranks
-from .ranks import pearson, roc_auc, spearman
+from .ranks import pearson, spearman
 
 
 def weighted_summary(runs: DataFrame, weight: str, metrics: Sequence[str]) -> DataFrame:
@@ -117,9 +118,93 @@ def hash_scores(rows: DataFrame, id_col: str, simulations: int, seed: int) -> Da
     return rows.withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).withColumn("random_score", draw)
 
 
-def null_control(rows: DataFrame, id_col: str, label: str, simulations: int, seed: int) -> DataFrame:
+#: Draws of a simulation that are ranked at once, about.
+PART_ROWS = 1 << 18
+
+
+def draw_ranks(rows: DataFrame, id_col: str, simulations: int, seed: int, spans: Mapping[int, tuple[float, float]], part_rows: int = PART_ROWS) -> DataFrame:
+    """(simulation, kind, n, x, xx, xy): for each simulation sums over its rows of the average rank x of a random value, from the middle of all ranks, its square, and its product with ``y``.
+
+    ``rows`` have a class ``c`` and a whole number ``y``, at most their number, besides the id. Kind 0 ranks low + (high - low) u of the span of the row's class, u its uniform draw (see :func:`hash_scores`),
+    kind 1, with several classes, class + u. Draws go to parts of the value of kind 0, packed by the hundreds: nine bytes each, not a row. In a part each class has one range of u,
+    so both ranks are those within it and offsets, which are sums of numbers of rows.
+    """
+    from hashlib import md5
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = rows.count()
+    top = max(high for _, high in spans.values())
+    parts = max(1, -(-n // part_rows))
+    low, wide = (np.array([f(*spans[c]) for c in sorted(spans)]) for f in (lambda a, b: a, lambda a, b: b - a))
+    cell = [("u", "<u4"), ("y", "<i4" if n < 1 << 31 else "<i8"), ("c", "u1")]
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * simulations // (1 << 23)))
+    tail = F.concat(F.lit("|"), F.col(id_col).cast("string"))
+    dealt = rows.repartition(tasks, id_col).select(F.encode(F.coalesce(tail, F.lit("")), "utf-8").alias("tail"), F.col("c").cast("int").alias("c"), F.col("y").cast("long").alias("y"))
+    at_once = max(1, (1 << 20) // simulations)
+
+    def pack(batches):  # noqa: ANN001, ANN202
+        def out(tails, c, y):  # noqa: ANN001, ANN202
+            # the same draws as those of hash_scores
+            digests = b"".join([md5(head + x).digest() for head in (f"{seed}|{i}".encode() for i in range(simulations)) for x in tails])
+            u = np.frombuffer(digests, ">u4")[::4] / float(1 << 32)
+            sim, c, y = np.repeat(np.arange(simulations), len(tails)), np.tile(c, simulations), np.tile(y, simulations)
+            part = np.minimum((low[c] + wide[c] * u) / top * parts, parts - 1).astype(np.int64)
+            key = sim * parts + part
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            cells = np.empty(len(key), cell)
+            cells["u"], cells["y"], cells["c"] = (u[order] * (1 << 32)).astype(np.uint32), y[order], c[order]
+            data, ends = cells.tobytes(), np.append(heads[1:], len(key)) * cells.itemsize
+            packed = [data[a:b] for a, b in zip((heads * cells.itemsize).tolist(), ends.tolist())]
+            for i in range(0, len(heads), 10_000):
+                k = key[heads[i:i + 10_000]]
+                yield pa.RecordBatch.from_arrays([pa.array((k // parts).astype(np.int32)), pa.array((k % parts).astype(np.int32)), pa.array(packed[i:i + 10_000], pa.binary())], ["simulation", "part", "cells"])
+
+        for batch in batches:
+            tails, c, y = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            for i in range(0, len(tails), at_once):
+                yield from out(*(x[i:i + at_once] for x in (tails, c, y)))
+
+    def ranked(v):  # noqa: ANN001, ANN202
+        order = np.argsort(v, kind="stable")
+        s = v[order]
+        heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        sizes = np.diff(np.append(heads, len(s)))
+        ranks = np.empty(len(v))
+        ranks[order] = np.repeat(heads + (sizes + 1) / 2.0, sizes)
+        return ranks
+
+    sums = "n long, x double, xx double, y double, xy double"
+
+    def local(table: pa.Table) -> pa.Table:
+        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), cell)
+        u, y, c = cells["u"] / float(1 << 32), cells["y"].astype(np.float64), cells["c"]
+        found = []
+        for kind, group, x in [(0, 0, (low[c] + wide[c] * u, y))] + [(1, k, (u[c == k], y[c == k])) for k in (np.unique(c).tolist() if len(spans) > 1 else [])]:
+            r = ranked(x[0])
+            found.append((table["simulation"][0].as_py(), table["part"][0].as_py(), kind, group, len(r), r.sum(), (r * r).sum(), x[1].sum(), (r * x[1]).sum()))
+        return pa.table(dict(zip(("simulation", "part", "kind", "c", "n", "x", "xx", "y", "xy"), map(list, zip(*found)))), pa.schema(
+            [("simulation", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("c", pa.int32()), ("n", pa.int64()), *((k, pa.float64()) for k in ("x", "xx", "y", "xy"))]))
+
+    found = dealt.mapInArrow(pack, "simulation int, part int, cells binary").groupBy("simulation", "part").applyInArrow(local, f"simulation int, part int, kind int, c int, {sums}")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("simulation", "kind").orderBy("c", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    o = F.col("_o")
+    placed = found.withColumn("_o", before - F.lit((n + 1) / 2.0)).select(
+        "simulation", "kind", "n", (F.col("x") + o * F.col("n")).alias("x"), (F.col("xx") + 2 * o * F.col("x") + o * o * F.col("n")).alias("xx"), (F.col("xy") + o * F.col("y")).alias("xy"))
+    return placed.groupBy("simulation", "kind").agg(*(F.sum(k).alias(k) for k in ("n", "x", "xx", "xy")))
+
+
+def null_control(rows: DataFrame, id_col: str, label: str, simulations: int, seed: int, part_rows: int = PART_ROWS) -> DataFrame:
     """One row: mean and 2.5 and 97.5 % quantiles of the AUC of random scores."""
-    aucs = roc_auc(hash_scores(rows.select(id_col, label), id_col, simulations, seed), label, "random_score", ["simulation"])
+    known = once(rows.where(F.col(label).isNotNull()).select(id_col, F.lit(0).alias("c"), (F.col(label) == 1).cast("int").alias("y"), (F.col(label) == 0).cast("int").alias("_neg")), "control")
+    counts = known.agg(F.count("*").alias("_n"), F.sum("y").cast("double").alias("_p"), F.sum("_neg").alias("_q"))
+    p, q = F.col("_p"), F.col("_q")
+    ranks = F.col("xy") + p * (F.col("_n") + 1) / 2.0
+    sums = draw_ranks(known, id_col, simulations, seed, {0: (0.0, 1.0)}, part_rows).join(F.broadcast(counts))
+    aucs = sums.select(F.when((p > 0) & (q > 0), (ranks - p * (p + 1) / 2) / (p * q)).alias("auc"))
     return aucs.agg(F.avg("auc").alias("mean"), F.percentile("auc", [0.025, 0.975]).alias("q"), F.count("auc").alias("valid")).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "valid")
 
 
@@ -129,14 +214,40 @@ def control_distribution(rows: DataFrame, id_col: str, label: str, target: str,
     ``kind`` is random; oracle (the class of neg, mid, pos plus a uniform number); polar (neg in 0 to 1, pos in 2 to 3, mid anywhere); or
     duration, which is the same in every simulation.
     """
-    drawn = hash_scores(rows, id_col, 1 if kind == "duration" else simulations, seed)
-    u, c = F.col("random_score"), F.col(label)
-    value = {
-        "random": u, "oracle": F.when(c == "neg", 0.0).when(c == "mid", 1.0).when(c == "pos", 2.0) + u,
-        "polar": F.when(c == "neg", u).when(c == "pos", 2.0 + u).when(c == "mid", 3.0 * u), "duration": F.col(duration).cast("double") if duration else F.lit(None).cast("double")}[kind]
-    found = spearman(drawn.withColumn("_v", value), "_v", target, ["simulation"])
-    return found.agg(F.avg("spearman").alias("mean"), F.percentile("spearman", [0.025, 0.975]).alias("q"), F.count("spearman").alias("valid")).select(
-        "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "valid")
+    if kind == "duration":
+        found = spearman(hash_scores(rows, id_col, 1, seed).withColumn("_v", F.col(duration).cast("double")), "_v", target, ["simulation"])
+        return _spread(found.withColumn("kind", F.lit(kind)), [kind]).drop("kind")
+    return control_distributions(rows, id_col, label, target, [kind], simulations, seed).drop("kind")
+
+
+def _spread(found: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """(kind, mean, low, high, valid) of (kind, spearman), a row for each of the kinds."""
+    of = [F.when(F.col("kind") == k, F.col("spearman")) for k in kinds]
+    one = found.agg(*(F.struct(F.lit(k).alias("kind"), F.avg(c).alias("mean"), F.percentile(c, [0.025, 0.975]).alias("q"), F.count(c).alias("valid")).alias(k) for k, c in zip(kinds, of)))
+    return one.select(F.inline(F.array(*kinds))).select("kind", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "valid")
+
+
+def control_distributions(rows: DataFrame, id_col: str, label: str, target: str, kinds: Sequence[str], simulations: int, seed: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """(kind, mean, low, high, valid): :func:`control_distribution` of several random kinds, polar and oracle from the same draws.
+
+    The target is ranked once, as its ranks are the same in every simulation; those of the controls are summed by parts (see :func:`draw_ranks`).
+    """
+    if odd := set(kinds) - {"random", "oracle", "polar"}:
+        raise ValueError(f"unknown kinds {sorted(odd)}")
+    c = F.when(F.col(label) == "neg", 0).when(F.col(label) == "mid", 1).when(F.col(label) == "pos", 2)
+    out = []
+    for spans, names in (({0: (0.0, 1.0), 1: (0.0, 3.0), 2: (2.0, 3.0)}, {0: "polar", 1: "oracle"}), ({0: (0.0, 1.0)}, {0: "random"})):
+        if wanted := {i: k for i, k in names.items() if k in kinds}:
+            known = rows.select(id_col, F.col(target).alias("_t"), (c if len(spans) > 1 else F.lit(0)).alias("c")).where("_t is not null and c is not null")
+            size = known.agg(F.count("*").alias("_all"))
+            place = (2 * F.col("_rank") - F.col("_all") - 1).cast("long")
+            ranked = once(average_ranks(known, {"_rank": "_t"}).join(F.broadcast(size)).select(id_col, "c", place.alias("y")), "control")
+            sums = draw_ranks(ranked, id_col, simulations, seed, spans, part_rows).join(F.broadcast(ranked.agg(F.var_pop("y").alias("_vy"))))
+            v = F.col("xx") / F.col("n") - F.pow(F.col("x") / F.col("n"), 2)
+            r = F.when((F.col("n") >= 2) & (F.sqrt(v) > 1e-12) & (F.sqrt("_vy") > 1e-12), F.col("xy") / F.col("n") / F.sqrt(v * F.col("_vy")))
+            name = F.coalesce(*(F.when(F.col("kind") == i, k) for i, k in wanted.items()))
+            out.append(sums.select(name.alias("kind"), r.alias("spearman")).where("kind is not null"))
+    return _spread(reduce(DataFrame.union, out), kinds)
 
 
 def dataset_audit(rows: DataFrame, key: str, channel: str, allowed: DataFrame, label: str) -> DataFrame:

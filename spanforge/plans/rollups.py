@@ -84,8 +84,7 @@ _SPREAD = lambda value: f"""v as (select sim, y, {value} as v from s), k as (sel
 def l5_label_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("o_orderpriority")
     rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("y"), F.when(p == "1-URGENT", "neg").when(p == "5-LOW", "pos").otherwise("mid").alias("label"))
-    one = lambda kind: rollups.control_distribution(rows, "id", "label", "y", kind, 100, 9).select(F.lit(kind).alias("kind"), "*")
-    return rounded(one("polar").union(one("oracle")), 5)
+    return rounded(rollups.control_distributions(rows, "id", "label", "y", ["polar", "oracle"], 100, 9), 5)
 
 
 @query("""with x as (select l.doc_id, l.quality as y, sim, ('0x' || substr(md5('9|' || sim || '|' || l.doc_id), 1, 8))::bigint / 4294967296.0 as s from labels l, range(500) r(sim)),

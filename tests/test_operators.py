@@ -138,3 +138,20 @@ def test_evidence_cut_at_a_line_end_keeps_it(spark):
     c = spark.createDataFrame([("x", 1, 0, 1000)], "candidate_id string, longform_id int, start_ms long, end_ms long")
     s = spark.createDataFrame([(1, 1, 0, 10, "abcd"), (1, 2, 10, 20, "e"), (1, 3, 20, 30, "f")], "longform_id int, speech_id int, start_ms long, end_ms long, text string")
     assert [joins.evidence(c, s, caps=(n, n, n)).first().core for n in (4, 5, 6, 7, 8)] == ["abcd", "abcd\n", "abcd\ne", "abcd\ne\n", "abcd\ne\nf"]
+
+
+def test_controls_by_parts_equal_ranks_of_all_draws(spark):
+    from spanforge.operators import rollups
+
+    rows = spark.createDataFrame([(i if i else None, "neg mid pos".split()[i % 7 % 3] if i % 11 else None, float(i * 7919 % 53)) for i in range(130)], "id long, label string, y double")
+    drawn = rollups.hash_scores(rows, "id", 6, 3)
+    u, c = F.col("random_score"), F.col("label")
+    value = {"random": u, "oracle": F.when(c == "neg", 0).when(c == "mid", 1).when(c == "pos", 2) + u, "polar": F.when(c == "neg", u).when(c == "mid", 3 * u).when(c == "pos", 2 + u)}
+    got = {r.kind: r for r in rollups.control_distributions(rows, "id", "label", "y", list(value), 6, 3, part_rows=20).collect()}
+    for kind, v in value.items():
+        found = [r.spearman for r in ranks.spearman(drawn.withColumn("v", v), "v", "y", ["simulation"]).collect()]
+        assert got[kind].mean == pytest.approx(sum(found) / 6, abs=1e-12) and got[kind].valid == 6
+    labels = rows.select("id", (F.col("y") % 2).cast("int").alias("z"))
+    aucs = [r.auc for r in ranks.roc_auc(rollups.hash_scores(labels, "id", 6, 3), "z", "random_score", ["simulation"]).collect()]
+    assert rollups.null_control(labels, "id", "z", 6, 3, part_rows=20).first().mean == pytest.approx(sum(aucs) / 6, abs=1e-12)
+    assert rollups.control_distribution(rows.where("false"), "id", "label", "y", "polar", 6, 3).first().valid == 0
