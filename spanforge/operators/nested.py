@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.sources.shared import once
+
 from .audit import grouped_folds
 from .order import dense_numbers
 from .ranks import average_rank, ecdf_percentile, pearson
@@ -258,6 +262,85 @@ def ensemble_scores(rows: DataFrame, members: Mapping[str, float], reference: Da
     return batch_rank(ecdf_percentile(scored, reference, "score"), "percentile", ordinal)
 
 
+def _drawn_aucs(strata: DataFrame, channel: str, replicates: int, seed: int, draws_at_once: int = 1 << 22, codes_at_once: int = 1 << 16) -> DataFrame:
+    """(_r, channel, auc): AUC of each channel in each replicate, from rows (channel, _y, _i, _n, _code), the code being the place of the score among those of the channel.
+
+    Draws go, packed, to the block of rows that they draw from, and from there as counts of codes to blocks of replicates and codes of their channel, whose
+    sums over the lower blocks are added. A task holds about ``draws_at_once`` of them, not a channel.
+    """
+    rows_at_once, chunk, width = max(1, draws_at_once // replicates), max(1, (1 << 20) // replicates), max(1, draws_at_once // (2 * codes_at_once))
+    keys = (channel, "_y", "_b")
+    tail = F.encode(F.concat_ws("|", F.lit(""), F.col(channel).cast("string"), F.col("_y").cast("string"), F.col("_i").cast("string")), "utf-8")
+    kinds = {channel: strata.schema[channel].dataType.simpleString()}
+    spark = strata.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-strata.count() * replicates // (1 << 23)))
+    slots = strata.repartition(tasks, channel, "_y", "_i").sortWithinPartitions(channel, "_y").select(channel, "_y", F.col("_n").cast("long").alias("_n"), tail.alias("tail"))
+    drawn = [("r", "<u4"), ("i", "<u4")]
+    heads_ = [f"{seed}|{r}".encode() for r in range(replicates)]
+
+    def cut(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return first, np.append(first[1:], len(key))
+
+    def draw(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            y, n, tails = (batch[c].to_numpy(zero_copy_only=False) for c in ("_y", "_n", "tail"))
+            names = batch[channel].to_numpy(zero_copy_only=False)
+            bounds = np.flatnonzero((names[1:] != names[:-1]) | (y[1:] != y[:-1])) + 1
+            for lo, hi in zip([0, *bounds.tolist()], [*bounds.tolist(), len(y)]):
+                for at in range(lo, hi, chunk):
+                    mine = tails[at:min(at + chunk, hi)]
+                    u = np.frombuffer(b"".join([md5(h + x).digest() for h in heads_ for x in mine]), ">u4")[::4].astype(np.int64) % n[at]
+                    block = u // rows_at_once
+                    order = np.argsort(block, kind="stable")
+                    cells = np.empty(len(u), drawn)
+                    cells["r"], cells["i"] = np.repeat(np.arange(replicates), len(mine))[order], (u % rows_at_once)[order]
+                    a, b = cut(block[order])
+                    where = pa.array(np.full(len(a), at))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch[channel].take(where), batch["_y"].take(where), pa.array(block[order][a].astype(np.int32)), pa.array([cells[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())], pa.binary())],
+                        [*keys, "cells"])
+
+    coded = [("r", "<u4"), ("code", "<u4"), ("n", "<u4")]
+
+    def code(packs: pa.Table, rows: pa.Table) -> pa.Table:
+        cells = np.frombuffer(b"".join(packs["cells"].to_pylist()), drawn)
+        lookup = np.zeros(rows_at_once, np.int64)
+        lookup[rows["_i"].to_numpy() % rows_at_once] = rows["_code"].to_numpy()
+        codes = lookup[cells["i"]]
+        span = int(codes.max(initial=0)) + 1
+        key, n = np.unique(cells["r"] * np.int64(span) + codes, return_counts=True)
+        out = np.empty(len(key), coded)
+        out["r"], out["code"], out["n"] = key // span, key % span, n
+        part = (out["r"] // width) * np.int64(span) + out["code"] // codes_at_once
+        order = np.argsort(part, kind="stable")
+        out, part = out[order], part[order]
+        a, b = cut(part) if len(part) else (np.zeros(0, int),) * 2
+        where = pa.array(np.zeros(len(a), np.int64))
+        return pa.table([packs[channel].take(where), packs["_y"].take(where), pa.array((out["r"][a] // width).astype(np.int32)), pa.array((out["code"][a] // codes_at_once).astype(np.int32)),
+                         pa.array([out[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())], pa.binary())], [channel, "_y", "_rb", "_cb", "cells"])
+
+    def sums(packs: pa.Table) -> pa.Table:
+        held = np.zeros((2, width, codes_at_once))
+        for y, cells in zip(packs["_y"].to_pylist(), packs["cells"].to_pylist()):
+            c = np.frombuffer(cells, coded)
+            np.add.at(held[y], (c["r"] % width, c["code"] % codes_at_once), c["n"])
+        q, p = held
+        known = np.flatnonzero(p.sum(axis=1) + q.sum(axis=1))
+        won = (p * (q.cumsum(axis=1) - q / 2)).sum(axis=1)
+        where = pa.array(np.zeros(len(known), np.int64))
+        return pa.table([packs[channel].take(where), packs["_cb"].take(where), pa.array((known + width * packs["_rb"][0].as_py()).astype(np.int32)), *(pa.array(v[known]) for v in (p.sum(axis=1), q.sum(axis=1), won))],
+                        [channel, "_cb", "_r", "p", "q", "won"])
+
+    name = f"`{channel}` {kinds[channel]}"
+    packs = slots.mapInArrow(draw, f"{name}, _y int, _b int, cells binary")
+    table = strata.select(channel, "_y", F.expr(f"int(_i div {rows_at_once})").alias("_b"), F.col("_i").cast("long").alias("_i"), F.col("_code").cast("long").alias("_code"))
+    counts = packs.groupBy(*keys).cogroup(table.groupBy(*keys)).applyInArrow(code, f"{name}, _y int, _rb int, _cb int, cells binary")
+    found = counts.groupBy(channel, "_rb", "_cb").applyInArrow(sums, f"{name}, _cb int, _r int, p double, q double, won double")
+    lower = F.coalesce(F.sum("q").over(Window.partitionBy(channel, "_r").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return found.withColumn("won", F.col("won") + F.col("p") * lower).groupBy("_r", channel).agg((F.sum("won") / (F.sum("p") * F.sum("q"))).alias("auc"))
+
+
 def stratified_bootstrap(rows: DataFrame, channel: str, label: str, score: str, id_col: str, replicates: int, seed: int, least: int = 3) -> DataFrame:
     """One row: mean AUC over channels with ``least`` rows of both classes, and the quantiles of it over replicates that resample both classes of each.
 
@@ -268,11 +351,6 @@ def stratified_bootstrap(rows: DataFrame, channel: str, label: str, score: str,
     numbered = known.withColumns({"_i": F.row_number().over(stratum.orderBy(id_col)) - 1, "_n": F.count("*").over(stratum)})
     w = Window.partitionBy(channel)
     stable = numbered.withColumns({"_pos": F.count_if(F.col("_y") == 1).over(w), "_neg": F.count_if(F.col("_y") == 0).over(w)}).where((F.col("_pos") >= least) & (F.col("_neg") >= least))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("_r").cast("string"), F.col(channel).cast("string"), F.col("_y").cast("string"), F.col("_i").cast("string"))
-    draw = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    slots = stable.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select("_r", channel, "_y", (draw % F.col("_n")).cast("int").alias("_i"))
-    drawn = slots.join(stable.select(channel, "_y", "_i", "_s"), [channel, "_y", "_i"])
-
     def macro(df: DataFrame, keys: list[str]) -> DataFrame:
         counted = df.groupBy(*keys, channel, "_s").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count_if(F.col("_y") == 0).alias("q"))
         below = F.sum("q").over(Window.partitionBy(*keys, channel).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
@@ -280,5 +358,7 @@ def stratified_bootstrap(rows: DataFrame, channel: str, label: str, score: str,
             (F.sum(F.col("p") * (F.col("b") + F.col("q") / 2.0)) / (F.sum("p") * F.sum("q"))).alias("auc"))
         return by.groupBy(*keys).agg(F.avg("auc").alias("m"), F.count("*").alias("channels"))
 
-    out = macro(drawn, ["_r"]).agg(F.percentile("m", [0.025, 0.5, 0.975]).alias("q"), F.count("m").alias("valid"))
+    stable = once(stable.withColumn("_code", F.dense_rank().over(w.orderBy("_s")) - 1), "strata")
+    by = _drawn_aucs(stable.where(F.col(channel).isNotNull()), channel, replicates, seed)
+    out = by.groupBy("_r").agg(F.avg("auc").alias("m")).agg(F.percentile("m", [0.025, 0.5, 0.975]).alias("q"), F.count("m").alias("valid"))
     return macro(stable, []).crossJoin(F.broadcast(out)).select(F.col("m").alias("macro_auc"), "channels", F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), "valid")

@@ -159,3 +159,33 @@ def test_stacking_leaves_its_own_rows_out(spark):
     again = {r.id: r.prediction for r in nested.stacked_predictions(changed, "grp", "y", {"good": ["a"], "noise": ["b"], "both": ["a", "b"]}, seed=1).collect()}
     assert all(abs(again[r.id] - r.prediction) < 1e-9 for r in out if r.outer == fold)
     assert any(abs(again[r.id] - r.prediction) > 1 for r in out if r.outer != fold)
+
+
+def test_drawn_aucs_by_small_blocks_equal_brute_force(spark):
+    from hashlib import md5
+
+    rows = [("a", y, i, n, (i * 7 + 3 * y) % 5) for y, n in ((0, 9), (1, 4)) for i in range(n)] + [("b", y, i, n, (i * 5 + y) % 3) for y, n in ((0, 3), (1, 11)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "ch string, _y int, _i int, _n int, _code int")
+    got = {(r._r, r.ch): r.auc for r in nested._drawn_aucs(frame, "ch", 7, 5, draws_at_once=14, codes_at_once=2).collect()}
+    code = {(ch, y, i): c for ch, y, i, _, c in rows}
+    for r in range(7):
+        for ch in "ab":
+            side = [[code[ch, y, int(md5(f"5|{r}|{ch}|{y}|{i}".encode()).hexdigest()[:8], 16) % n] for c, y, i, n, _ in rows if c == ch and y == k] for k in (0, 1)]
+            won = sum((q < p) + (q == p) / 2 for p in side[1] for q in side[0])
+            assert abs(got.pop((r, ch)) - won / (len(side[0]) * len(side[1]))) < 1e-12
+    assert not got
+
+
+def test_rank_ensemble_takes_ranges_of_each_model(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, m, rng.choice([rng.random() * k, float(rng.randrange(4))])) for m, k in (("x", 1), ("y", 1000)) for i in range(200)] + [(200, "x", None)]
+    got = {r.i: r.prediction for r in nested.rank_ensemble(spark.createDataFrame(rows, "i int, m string, s double"), "i", "m", "s").collect()}
+    by = {m: [-1.0 if s is None else s for _, n, s in rows if n == m] for m in "xy"}
+    shares = {}
+    for i, m, s in rows:
+        shares.setdefault(i, []).append(sum(v <= (-1.0 if s is None else s) for v in by[m]) / len(by[m]))
+    assert all(abs(got[i] - sum(v) / len(v)) < 1e-12 for i, v in shares.items())
+    plan = nested.rank_ensemble(spark.createDataFrame(rows, "i int, m string, s double"), "i", "m", "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range_" in plan
