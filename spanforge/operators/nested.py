@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spanforge.sources.shared import once
 
 from .audit import grouped_folds
-from .order import dense_numbers
+from .order import dense_numbers, in_ranges
 from .ranks import average_rank, ecdf_percentile, pearson
 from .rollups import hash_scores
 
@@ -157,10 +157,16 @@ def control_predictions(rows: DataFrame, kind: str, fold: str, target: str, sour
 
 
 def rank_ensemble(members: DataFrame, id_col: str, model: str, score: str) -> DataFrame:
-    """(id, prediction): the mean over models of a score's share of scores at or below it."""
+    """(id, prediction): the mean over models of a score's share of scores at or below it, counted by ranges of the score."""
+    placed = in_ranges(members, [score])
+    part = f"_range_{score}"
+    own = F.count("*").over(Window.partitionBy(model, part).orderBy(score).rangeBetween(Window.unboundedPreceding, 0))
+    sizes = placed.groupBy(model, part).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(model)
-    share = F.count("*").over(w.orderBy(score).rangeBetween(Window.unboundedPreceding, 0)) / F.count("*").over(w)
-    return members.withColumn("_share", share).groupBy(id_col).agg(F.avg("_share").alias("prediction"))
+    offsets = sizes.select(F.col(model).alias("_m"), F.col(part).alias("_p"), (F.sum("_n").over(w.orderBy(part)) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    counted = placed.withColumn("_own", own)
+    joined = counted.join(offsets, counted[model].eqNullSafe(offsets["_m"]) & (counted[part] == offsets["_p"]))
+    return joined.groupBy(id_col).agg(F.avg((F.col("_own") + F.col("_before")) / F.col("_all")).alias("prediction"))
 
 
 def _nonnegative(n: float, y: float, x: Sequence[float], xy: Sequence[float], xx: Sequence[float], alpha: float, rounds: int) -> tuple[float, np.ndarray]:
