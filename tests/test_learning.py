@@ -30,6 +30,19 @@ def test_banded_pairs_equal_all_pairs_within_the_band(spark):
     assert got == want
 
 
+def test_weights_of_pairs_are_summed_without_listing_pairs(spark, monkeypatch):
+    rows = [(g, i, (i * 37 % 101) / 100) for g in "abc" for i in range(60 if g != "c" else 1)] + [("a", 3, 0.5), ("b", None, 0.5), (None, 1, 0.5), ("a", 70, None)]
+    df = spark.createDataFrame(rows, "g string, id int, y double")
+    for low, high in ((0.03, 0.15), (0.05, 0.9), (0.01, 0.05)):
+        spec = dict(local_boost=2.0, middle_boost=1.5, extreme=0.25)
+        w = learning.pair_weights(joins.group_pairs(df, "g", "id", "y", low, high), "g", "y", **spec)
+        want = sorted(w.groupBy("g").agg(F.count("*"), F.round(F.sum("weight"), 6), F.round(F.max("weight"), 9)).collect())
+        with monkeypatch.context() as m:
+            m.setattr(joins, "group_pairs", None)
+            found = learning.pair_weight_totals(df, "g", "id", "y", low, high, **spec)
+            assert sorted(found.select("g", "pairs", F.round("total", 6), F.round("largest", 9)).collect()) == want
+
+
 def test_ranker_learns_an_order(spark):
     rows = [(i, "g", " ".join(["good"] * (i % 5) + ["dull"] * (4 - i % 5)), (i % 5) / 4) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, g string, text string, y double")
