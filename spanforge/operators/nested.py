@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from spanforge.sources.shared import once
 
 from .audit import grouped_folds
-from .order import dense_numbers, in_ranges
-from .ranks import average_rank, ecdf_percentile, pearson
+from .order import dense_numbers, in_ranges, numbers_within, ranks_within, tile
+from .ranks import ecdf_percentile
 from .rollups import hash_scores
 
 
@@ -91,10 +91,31 @@ def out_of_fold(rows: DataFrame, fold: str, target: str, features: Sequence[str]
     return predict(rows, fits, [*within, fold], features)
 
 
-def selection_score(predictions: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
-    """(keys, score): Spearman correlation of predictions with the target, at nine decimals."""
-    ranked = predictions.withColumns({"_rp": average_rank("prediction", keys), "_rt": average_rank(target, keys)})
-    return ranked.groupBy(*keys).agg(F.round(pearson("_rp", "_rt"), 9).alias("score"))
+def selection_score(predictions: DataFrame, keys: Sequence[str], target: str, ranks: str | None = None) -> DataFrame:
+    """(keys, score): Spearman correlation of predictions with the target, at nine decimals. ``ranks`` names a column of the target's average ranks within the keys, if there is one.
+
+    Rows of one prediction are added up first; both sides are ranked by ranges of the value. The deviation of
+    ranks from their mean, known from the number of rows, is what is summed.
+    """
+    if not ranks:
+        ranks = "_rt"
+        predictions = ranks_within(once(predictions.select(*keys, "prediction", target), "scored"), keys, target, ranks)
+    x = F.col(ranks)
+    ties = once(predictions.groupBy(*keys, "prediction").agg(F.count("*").alias("_n"), F.sum(x).alias("_x"), F.sum(x * x).alias("_xx")), "ties")
+    placed = in_ranges(ties, ["prediction"])
+    part = "_range_prediction"
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    sizes = placed.groupBy(*keys, part).agg(F.sum("_n").alias("_rows"))
+    w = Window.partitionBy(*keys)
+    offsets = sizes.select(*named, F.col(part).alias("_p"), (F.sum("_rows").over(w.orderBy(part)) - F.col("_rows")).alias("_before"), F.sum("_rows").over(w).alias("_all"))
+    upto = placed.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, part).orderBy("prediction")))
+    both = upto.join(offsets, [*(upto[k].eqNullSafe(offsets[f"_k{i}"]) for i, k in enumerate(keys)), upto[part] == offsets["_p"]])
+    n, mean = F.col("_n"), (F.col("_all") + 1) / 2.0
+    p = F.col("_before") + F.col("_upto") - (n - 1) / 2.0 - mean
+    t, tt = F.col("_x") - n * mean, F.col("_xx") - 2 * mean * F.col("_x") + n * mean * mean
+    sums = both.groupBy(*keys).agg(F.first("_all").alias("_all"), F.sum(p * t).alias("_pt"), F.sum(n * p * p).alias("_pp"), F.sum(tt).alias("_tt"))
+    known = (F.col("_all") >= 2) & (F.col("_pp") > 1e-12) & (F.col("_tt") > 1e-12)
+    return sums.select(*keys, F.when(known, F.round(F.col("_pt") / F.sqrt(F.col("_pp")) / F.sqrt(F.col("_tt")), 9)).alias("score"))
 
 
 def best_spec(scores: DataFrame, keys: Sequence[str], spec: str = "alpha") -> DataFrame:
@@ -108,8 +129,16 @@ def inner_folds(placed: DataFrame, group: str, outer: int, inner: int, seed: int
     groups = placed.select(group, "outer").distinct()
     rest = groups.withColumn("held", F.explode(F.sequence(F.lit(1), F.lit(outer)))).where("held <> outer")
     position = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("held").cast("string"), F.col(group).cast("string")), 256)
-    inside = rest.withColumn("inner", F.ntile(inner).over(Window.partitionBy("held").orderBy(position, group))).select(group, "held", "inner")
-    return placed.join(inside, group)
+    numbered = numbers_within(rest.withColumn("_position", position), ["held"], ["_position", group], "_place")
+    return placed.join(numbered.select(group, "held", tile(F.col("_place"), F.col("_size"), inner).alias("inner")), group)
+
+
+def inner_scores(training: DataFrame, target: str, features: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+    """(held, alpha, score) of predictions out of the inner folds of :func:`inner_folds`, pooled. The target is ranked once for all strengths."""
+    sums = without_own(moments(training, ["held", "inner"], target, features), ["held"], len(features))
+    fits = ridge(sums, ["held", "inner"], features, alphas)
+    ranked = ranks_within(training.select("held", "inner", target, *features), ["held"], target, "_rank")
+    return selection_score(predict(ranked, fits, ["held", "inner"], features), ["held", "alpha"], target, "_rank")
 
 
 def nested_predictions(rows: DataFrame, group: str, target: str, features: Sequence[str], alphas: Sequence[float], outer: int = 5, inner: int = 4, seed: int = 0) -> DataFrame:
@@ -118,10 +147,17 @@ def nested_predictions(rows: DataFrame, group: str, target: str, features: Seque
     The alpha of an outer fold is the best over its inner folds, whose
     predictions are pooled for the score. Folds hold whole groups and are shuffled by hashes of the seed.
     """
-    placed = grouped_folds(rows, group, outer, seed).withColumnRenamed("fold", "outer")
-    training = inner_folds(placed, group, outer, inner, seed)
-    tried = out_of_fold(training, "inner", target, features, alphas, within=["held"])
-    chosen = best_spec(selection_score(tried, ["held", "alpha"], target), ["held"]).withColumnRenamed("held", "outer")
+    return _nested(*_placed_and_training(rows, group, outer, inner, seed), target, features, alphas)
+
+
+def _placed_and_training(rows: DataFrame, group: str, outer: int = 5, inner: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their outer fold, and the rows of :func:`inner_folds`, both written once."""
+    placed = once(grouped_folds(rows, group, outer, seed).withColumnRenamed("fold", "outer"), "placed")
+    return placed, once(inner_folds(placed, group, outer, inner, seed), "training")
+
+
+def _nested(placed: DataFrame, training: DataFrame, target: str, features: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+    chosen = best_spec(inner_scores(training, target, features, alphas), ["held"]).withColumnRenamed("held", "outer")
     sums = without_own(moments(placed, ["outer"], target, features), [], len(features))
     fits = ridge(sums, ["outer"], features, alphas).join(chosen, ["outer", "alpha"])
     return predict(placed, fits, ["outer"], features)
@@ -129,6 +165,7 @@ def nested_predictions(rows: DataFrame, group: str, target: str, features: Seque
 
 def repeated_predictions(rows: DataFrame, id_col: str, group: str, target: str, features: Sequence[str], alphas: Sequence[float], seeds: Sequence[int], **folds) -> DataFrame:  # noqa: ANN003
     """(id, prediction, repeats): the mean of nested predictions over seeds."""
+    rows = once(rows.select(*dict.fromkeys([id_col, group, target, *features])), "repeated")
     parts = [nested_predictions(rows, group, target, features, alphas, seed=s, **folds).select(id_col, "prediction") for s in seeds]
     return reduce(DataFrame.union, parts).groupBy(id_col).agg(F.avg("prediction").alias("prediction"), F.count("*").alias("repeats"))
 
@@ -233,8 +270,10 @@ def select_models(log: DataFrame, predictions: DataFrame, id_col: str) -> DataFr
 
 def compare_specs(rows: DataFrame, group: str, target: str, specs: Mapping[str, Sequence[str]], alphas: Sequence[float], **folds) -> DataFrame:  # noqa: ANN003
     """(spec, score, n): the score of nested predictions for each named set of features, best first."""
-    parts = [nested_predictions(rows, group, target, features, alphas, **folds).select(F.lit(name).alias("spec"), F.col(target).alias("_t"), "prediction") for name, features in specs.items()]
-    every = reduce(DataFrame.unionByName, parts)
+    used = dict.fromkeys([group, target, *(f for features in specs.values() for f in features)])
+    placed, training = _placed_and_training(rows.select(*used), group, **folds)
+    parts = [_nested(placed, training, target, features, alphas).select(F.lit(name).alias("spec"), F.col(target).alias("_t"), "prediction") for name, features in specs.items()]
+    every = once(reduce(DataFrame.unionByName, parts), "compared")
     scores = selection_score(every, ["spec"], "_t").join(every.groupBy("spec").agg(F.count("*").alias("n")), "spec")
     return scores.orderBy(F.desc_nulls_last("score"), "spec")
 

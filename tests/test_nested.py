@@ -46,6 +46,33 @@ def spearman(x, y):
     return np.corrcoef(rank(np.array(x)), rank(np.array(y)))[0, 1]
 
 
+def test_ranks_and_tiles_of_a_key_are_taken_by_ranges(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from spanforge.operators import order, ranks
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, 1.5, 2.0, round(rng.gauss(0, 3), 2)])) for i in range(400)] + [("one", 900, 1.0)]
+    df = spark.createDataFrame(rows, "k string, id int, x double")
+    got = order.ranks_within(df, ["k"], "x", "r")
+    assert sorted(got.collect(), key=lambda r: r.id) == sorted(df.withColumn("r", ranks.average_rank("x", ["k"])).collect(), key=lambda r: r.id)
+    sizes = order.in_ranges(df, ["x"]).groupBy("k", "_range_x").count()
+    assert sizes.where("k = 'a'").count() > 2  # so no task holds a key
+    known = df.where("k is not null").withColumn("h", F.sha2(F.col("id").cast("string"), 256))
+    tiled = order.numbers_within(known, ["k"], ["h", "id"], "place").select("id", order.tile(F.col("place"), F.col("_size"), 7).alias("t"))
+    want = known.select("id", F.ntile(7).over(Window.partitionBy("k").orderBy("h", "id")).alias("t"))
+    assert sorted(tiled.collect()) == sorted(want.collect())
+
+
+def test_score_of_predictions_with_ties_and_of_flat_ones(spark):
+    rng = random.Random(4)
+    rows = [("a", float(rng.randrange(9)), float(rng.randrange(5))) for _ in range(90)] + [("flat", 1.0, float(i)) for i in range(5)] + [("one", 1.0, 1.0)]
+    got = {r.k: r.score for r in nested.selection_score(spark.createDataFrame(rows, "k string, prediction double, y double"), ["k"], "y").collect()}
+    mine = [r for r in rows if r[0] == "a"]
+    assert abs(got["a"] - spearman([r[1] for r in mine], [r[2] for r in mine])) < 2e-9 and got["flat"] is None and got["one"] is None
+
+
 def test_nested_selection_matches_plain_loops(spark):
     rows, seed = sample(), 5
     sha = lambda *parts: hashlib.sha256("|".join(parts).encode()).hexdigest()
