@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.intervals import overlap, prediction_scores
+from spanforge.sources.shared import once
 
 
 #: Widths of the bins of interval joins: powers of 2 ** BITS milliseconds.
@@ -176,19 +177,22 @@ def group_pairs(rows: DataFrame, group: str, id_col: str, value: str, min_gap: f
 
 
 def compare_score_sets(left: DataFrame, right: DataFrame, id_col: str, score: str, top: int = 10) -> DataFrame:
-    """One row: Spearman correlation of two score sets on common ids, overlap and Jaccard index of their top ``top``, mean rank gap."""
-    from .order import average_ranks, dense_numbers
+    """One row: Spearman correlation of two score sets on common ids, overlap and Jaccard index of their top ``top``, mean rank gap.
+
+    The common ids are written once; of each side's order only the first ``top`` rows, a small number, are taken.
+    """
+    from .order import average_ranks
     from .ranks import pearson
 
     both = left.select(id_col, F.col(score).alias("x")).join(right.select(id_col, F.col(score).alias("y")), id_col).where("x is not null and y is not null")
-    placed = average_ranks(both, {"rx": "x", "ry": "y"})
-    for c in ("x", "y"):
-        placed = dense_numbers(placed, [c, id_col], f"p{c}", descending=True)
-    common = F.count_if((F.col("px") <= top) & (F.col("py") <= top))
-    either = F.count_if((F.col("px") <= top) | (F.col("py") <= top))
-    return placed.agg(
-        F.count("*").alias("n"), pearson("rx", "ry").alias("spearman"), common.alias("top_overlap"),
-        (common / F.nullif(either, F.lit(0))).alias("top_jaccard"), F.avg(F.abs(F.col("rx") - F.col("ry"))).alias("mean_rank_gap"))
+    both = once(both, "compared")
+    placed = average_ranks(both, {"rx": "x", "ry": "y"}).agg(F.count("*").alias("n"), pearson("rx", "ry").alias("spearman"), F.avg(F.abs(F.col("rx") - F.col("ry"))).alias("mean_rank_gap"))
+    first = lambda c: both.orderBy(F.desc(c), id_col).limit(top).withColumn("side", F.lit(c))
+    side = lambda c: F.count_if(F.col("side") == c)
+    common, either = F.sum(F.least("_x", "_y")), F.sum(F.greatest("_x", "_y"))
+    tops = first("x").union(first("y")).groupBy(id_col, "x", "y").agg(side("x").alias("_x"), side("y").alias("_y")).agg(
+        F.coalesce(common, F.lit(0)).alias("top_overlap"), (common / F.nullif(either, F.lit(0))).alias("top_jaccard"))
+    return placed.join(F.broadcast(tops)).select("n", "spearman", "top_overlap", "top_jaccard", "mean_rank_gap")
 
 
 def union_length(intervals: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.operators import concordance, evaluation, joins, ranks, resample
+from spanforge.sources.shared import once
 
 from .evaluation import query, rounded
 from .views import judgments, load, pools, texts, with_views
@@ -192,7 +193,7 @@ def h20_score_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     select count(*) as n, round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 6) as spearman, count(*) filter (px <= 10 and py <= 10) as top_overlap,
            round(count(*) filter (px <= 10 and py <= 10) / (count(*) filter (px <= 10 or py <= 10)), 6) as top_jaccard, round(avg(abs(rx - ry)), 4) as mean_rank_gap from r""")
 def d14_compare_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = judgments(spark, sf_dir).groupBy("candidate_id").agg(F.avg("score").alias("x"), F.avg("second").alias("y"))
+    m = once(judgments(spark, sf_dir).groupBy("candidate_id").agg(F.avg("score").alias("x"), F.avg("second").alias("y")), "judged")
     left, right = m.select("candidate_id", F.col("x").alias("s")), m.select("candidate_id", F.col("y").alias("s"))
     out = joins.compare_score_sets(left, right, "candidate_id", "s")
     return out.select("n", F.round("spearman", 6).alias("spearman"), "top_overlap", F.round("top_jaccard", 6).alias("top_jaccard"), F.round("mean_rank_gap", 4).alias("mean_rank_gap"))

@@ -155,3 +155,17 @@ def test_controls_by_parts_equal_ranks_of_all_draws(spark):
     aucs = [r.auc for r in ranks.roc_auc(rollups.hash_scores(labels, "id", 6, 3), "z", "random_score", ["simulation"]).collect()]
     assert rollups.null_control(labels, "id", "z", 6, 3, part_rows=20).first().mean == pytest.approx(sum(aucs) / 6, abs=1e-12)
     assert rollups.control_distribution(rows.where("false"), "id", "label", "y", "polar", 6, 3).first().valid == 0
+
+
+def test_score_sets_are_compared_by_ranges_and_their_first_rows(spark):
+    rows = [(i, float(i % 7), float(i % 5) if i % 11 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    out = joins.compare_score_sets(df.select("id", F.col("x").alias("s")), df.select("id", F.col("y").alias("s")), "id", "s", top=10)
+    known = [r for r in rows if r[2] is not None]
+    tops = [{r[0] for r in sorted(known, key=lambda r: (-r[c], r[0]))[:10]} for c in (1, 2)]
+    got = out.first()
+    assert (got.n, got.top_overlap, got.top_jaccard) == (len(known), len(tops[0] & tops[1]), len(tops[0] & tops[1]) / len(tops[0] | tops[1]))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "row_number" not in plan  # ids aren't numbered, of either order only the first ones are taken
+    none = joins.compare_score_sets(df.where("id < 0").select("id", F.col("x").alias("s")), df.select("id", F.col("y").alias("s")), "id", "s").first()
+    assert (none.n, none.top_overlap, none.top_jaccard) == (0, 0, None)
