@@ -52,3 +52,15 @@ def test_forest_equals_plain_recursion(spark, depth, min_leaf, share):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "id int, fold int, y double, a double, b double, c double")
     assert trees_out_of_fold(df, "id", "fold", "y", FEATURES, 2, 1).collect() == []
+
+
+def test_rows_arent_shuffled_to_meet_their_cuts(spark, monkeypatch):
+    from spanforge.operators import trees
+
+    written = []
+    once = trees.once
+    monkeypatch.setattr(trees, "once", lambda df, name: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or once(df, name))
+    df = spark.createDataFrame([(i, i % 3, float(i % 7), float(i % 5), float(i % 4), 1.0) for i in range(60)], "id int, fold int, y double, a double, b double, c double")
+    trees_out_of_fold(df, "id", "fold", "y", FEATURES, 2, 2).collect()
+    plans = [plan for name, plan in written if name == "forest-splits"]
+    assert len(plans) == 2 and all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
