@@ -237,8 +237,7 @@ def stacked_predictions(rows: DataFrame, group: str, target: str, members: Mappi
     The weights of an outer fold come from predictions that its training rows get out of inner folds, so no row has a part in the weights
     that it is predicted by. Members are ridge regressions of strength ``alpha``. Fits and weights are small tables from sums; the rows are joined with those alone.
     """
-    placed = grouped_folds(rows, group, outer, seed).withColumnRenamed("fold", "outer")
-    training = inner_folds(placed, group, outer, inner, seed)
+    placed, training = _placed_and_training(rows, group, outer, inner, seed)
 
     def with_members(df: DataFrame, source: DataFrame, fold: str, within: list[str]) -> DataFrame:
         for name, features in members.items():
@@ -293,7 +292,7 @@ def score_new(rows: DataFrame, fit: DataFrame, reference: DataFrame, features: S
 
 def batch_rank(rows: DataFrame, score: str, ordinal: str) -> DataFrame:
     """``rows`` with ``batch_rank``: 1 for the best score, equal ones in input order. Rows are numbered by ranges of the score."""
-    return dense_numbers(rows, [score, ordinal], "batch_rank", descending=True)
+    return dense_numbers(once(rows, "batch"), [score, ordinal], "batch_rank", descending=True)
 
 
 def ensemble_scores(rows: DataFrame, members: Mapping[str, float], reference: DataFrame, ordinal: str) -> DataFrame:

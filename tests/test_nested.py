@@ -216,3 +216,20 @@ def test_rank_ensemble_takes_ranges_of_each_model(spark):
     assert all(abs(got[i] - sum(v) / len(v)) < 1e-12 for i, v in shares.items())
     plan = nested.rank_ensemble(spark.createDataFrame(rows, "i int, m string, s double"), "i", "m", "s")._jdf.queryExecution().optimizedPlan().toString()
     assert "_range_" in plan
+
+
+def test_rows_that_several_steps_read_are_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(x):
+        seen.add(1)
+        return x
+
+    marked = F.udf(mark, "double").asNondeterministic()
+    df = frame(spark, sample()[:40])
+    nested.batch_rank(df.select("id", marked("y").alias("y")), "y", "id").collect()
+    assert seen.value == 40
+    nested.stacked_predictions(df.withColumn("y", marked("y")), "grp", "y", {"first": ["a"], "second": ["b"]}, seed=3).collect()
+    assert seen.value <= 160
