@@ -1,9 +1,11 @@
 import itertools
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import scores
-from spanforge.operators import audit, joins, learning, ranks
+from spanforge.operators import audit, joins, learning, pairwise, ranks
 
 
 def test_region_weights(spark):
@@ -53,6 +55,23 @@ def test_ranker_learns_an_order(spark):
     assert ranks.pair_accuracy(joins.group_pairs(scored, "g", "id", "y", 0.2), "y", "score").first().accuracy == 1.0
 
 
+@pytest.mark.parametrize("spec", [{}, {"local": (0.1, 0.2), "local_boost": 2.0, "middle_boost": 1.5, "extreme": 0.25, "middle": (0.45, 0.55)}])
+def test_banded_ranker_is_that_of_listed_pairs_and_lists_none(spark, monkeypatch, spec):
+    rng = random.Random(5)
+    words = ["good", "dull", "fine", "odd", "long", "bare"]
+    rows = [(i, "g" if i % 3 else "h", " ".join(rng.choices(words, k=rng.randint(1, 6))), rng.random()) for i in range(120)] + [(200, None, "good", 0.5), (201, "g", "dull", None), (202, "alone", "fine", 0.5)]
+    df = spark.createDataFrame(rows, "id int, g string, text string, y double")
+    features = learning.tf_idf(df, "id", "text", 2, 3, max_share=1.0)
+    listed = learning.pair_weights(joins.group_pairs(df.select("id", "g", "y"), "g", "id", "y", 0.1, 0.3), "g", "y", **spec)
+    want = {r.term: r.coefficient for r in learning.fit_pairwise(learning.pair_differences(listed, features, "id", "y"), features, iterations=200).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(joins, "group_pairs", None)
+        m.setattr(pairwise, "BLOCK_ROWS", (16, 16))
+        m.setattr(pairwise, "CELLS", 64)
+        found = {r.term: r.coefficient for r in pairwise.fit_banded(df, features, "g", "id", "y", 0.1, 0.3, iterations=200, **spec).collect()}
+    assert found.keys() == want.keys() and max(abs(found[t] - want[t]) for t in want) < 0.02 * max(map(abs, want.values()))
+
+
 def test_exact_position_tail(spark):
     df = spark.createDataFrame([(3, 1, 1)], "n long, g long, hit int")
     assert abs(learning.exact_position_tail(df, "n", "g", "hit", 1).first().p_value - 1 / 3) < 1e-12
