@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.sources.shared import once
 
+from . import replicates as replicates_
 from .audit import bootstrap_draws
 from .concordance import concordance
 
@@ -74,8 +75,11 @@ def bundle_metrics(rows: DataFrame, keys: Sequence[str], channel: str, target: s
     ndcg = got.join(ideal, same).where("_got_n >= 2").select(*(got[k] for k in keys), "_got", "_ideal").groupBy(*keys).agg(
         F.avg(F.when(F.col("_ideal") > 0, F.col("_got") / F.col("_ideal")).otherwise(0.0)).alias("ndcg"))
     out = out.join(pairs, keys, "left").join(ndcg, keys, "left") if keys else out.join(F.broadcast(pairs), how="left").join(F.broadcast(ndcg), how="left")
-    robust = (F.col("centred") + F.col("macro_spearman") + 2 * F.col("pair_accuracy") - 1 + 2 * F.col("local_pair_accuracy") - 1) / 4.0
-    return out.withColumn("robust", robust).select(*keys, *BUNDLE)
+    return _with_robust(out).select(*keys, *BUNDLE)
+
+
+def _with_robust(metrics: DataFrame) -> DataFrame:
+    return metrics.withColumn("robust", (F.col("centred") + F.col("macro_spearman") + 2 * F.col("pair_accuracy") - 1 + 2 * F.col("local_pair_accuracy") - 1) / 4.0)
 
 
 def bundle_bootstrap(rows: DataFrame, group: str, channel: str, target: str, score: str, replicates: int = 2000, seed: int = 0, **gaps) -> DataFrame:  # noqa: ANN003
@@ -83,10 +87,19 @@ def bundle_bootstrap(rows: DataFrame, group: str, channel: str, target: str, sco
 
     A replicate is how often each group is drawn (see :func:`spanforge.operators.audit.bootstrap_draws`): its rows carry that number, so a
     group that is drawn thrice is no three copies, and one that isn't drawn takes no part. ``valid`` counts the replicates that define the metric.
+
+    Replicates are worked out side by side (:func:`spanforge.operators.replicates.replicate_bundles`), unless a channel has over ``CHANNEL_ROWS`` rows or a value
+    is NaN: then each one's rows are ordered by windows.
     """
     held = once(rows.select(F.col(group), F.col(channel).alias("_channel"), F.col(target).alias("_target"), F.col(score).alias("_score")), "bootstrap")
-    drawn = bootstrap_draws(held.select(group), group, replicates, seed).groupBy("replicate", group).agg(F.count("*").alias("_times"))
-    found = bundle_metrics(held.join(drawn, group), ["replicate"], "_channel", "_target", "_score", "_times", **gaps)
+    known = held.where("_target is not null and _score is not null").select(F.col(group).alias("_group"), "_channel", F.col("_target").cast("double").alias("_t"), F.col("_score").cast("double").alias("_s"))
+    sizes = known.groupBy("_channel").agg(F.count("*").alias("n"), F.max(F.isnan("_t") | F.isnan("_s")).alias("nan")).agg(F.max("n").alias("n"), F.max("nan").alias("nan")).first()
+    if (sizes.n or 0) <= replicates_.CHANNEL_ROWS and not sizes.nan:
+        min_gap, local = gaps.get("min_gap", 0.01), gaps.get("local", (0.10, 0.40))
+        found = _with_robust(replicates_.replicate_bundles(known, held.select(F.col(group).alias("_group")).distinct(), replicates, seed, min_gap, local)).select("replicate", *BUNDLE)
+    else:
+        drawn = bootstrap_draws(held.select(group), group, replicates, seed).groupBy("replicate", group).agg(F.count("*").alias("_times"))
+        found = bundle_metrics(held.join(drawn, group), ["replicate"], "_channel", "_target", "_score", "_times", **gaps)
     whole = bundle_metrics(held.withColumn("_times", F.lit(1)), [], "_channel", "_target", "_score", "_times", **gaps)
     spread = found.agg(*(c for m in BUNDLE for c in (F.percentile(m, [0.025, 0.5, 0.975]).alias(f"{m}_q"), F.count(m).alias(f"{m}_n"))))
     line = lambda m: F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), *(F.col(f"{m}_q")[i].alias(c) for i, c in enumerate(("low", "median", "high"))), F.col(f"{m}_n").alias("valid"))

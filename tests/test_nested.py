@@ -233,3 +233,18 @@ def test_rows_that_several_steps_read_are_worked_out_once(spark):
     assert seen.value == 40
     nested.stacked_predictions(df.withColumn("y", marked("y")), "grp", "y", {"first": ["a"], "second": ["b"]}, seed=3).collect()
     assert seen.value <= 160
+
+
+def test_replicates_side_by_side_are_those_one_by_one(spark, monkeypatch):
+    from spanforge.operators import replicates, resample
+    rng = random.Random(8)
+    rows = [(i // 3 if i % 11 else None, "abc"[i * i % 7 % 3] if i % 13 else None, rng.choice([None, 0.5, round(rng.random(), 2)]), float(rng.randint(0, 9))) for i in range(150)]
+    df = spark.createDataFrame([*rows, (900, "alone", 0.25, 3.0)], "g int, c string, y double, s double")
+    found = lambda: sorted((r.metric, *(None if v is None else round(v, 9) for v in r[1:])) for r in resample.bundle_bootstrap(df, "g", "c", "y", "s", 20, 3).collect())
+    with monkeypatch.context() as m:
+        m.setattr(replicates, "CHANNEL_ROWS", 0)
+        want = found()
+    with monkeypatch.context() as m:
+        m.setattr(replicates, "CELLS", 700)
+        m.setattr(resample, "bootstrap_draws", None)
+        assert found() == want
