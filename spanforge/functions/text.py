@@ -11,6 +11,8 @@ from .intervals import C, col
 
 #: Unicode white space for Java's regular expressions, whose \s is ASCII alone.
 SPACE = r"(?U)\s"
+#: Replacement characters, question marks and CJK ideographs.
+GARBLED = "\ufffd?\u3400-\u4dbf\u4e00-\u9fff"
 
 
 def clock_to_seconds(text: C, strict: bool = False) -> Column:
@@ -68,7 +70,7 @@ def token_estimate(text: C) -> Column:
 
 def count_class(text: C, characters: str) -> Column:
     """Characters of ``text`` in a class such as ``a-z``."""
-    return F.char_length(F.regexp_replace(col(text), f"[^{characters}]", ""))
+    return F.char_length(col(text)) - F.char_length(F.regexp_replace(col(text), f"[{characters}]+", ""))
 
 
 def class_share(text: C, characters: str) -> Column:
@@ -79,7 +81,7 @@ def class_share(text: C, characters: str) -> Column:
 
 def garbled_share(text: C) -> Column:
     """Share of replacement characters, question marks and CJK ideographs among the characters that aren't white space."""
-    return class_share(text, "\ufffd?\u3400-\u4dbf\u4e00-\u9fff")
+    return class_share(text, GARBLED)
 
 
 def detect_language(text: C, scripts: Sequence[tuple[str, str, int, float]], default: str) -> Column:

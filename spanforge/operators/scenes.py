@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, StringType, StructField, StructType
 
 from spanforge.functions.intervals import C, col, overlap, ratio
-from spanforge.functions.text import SPACE, class_share, garbled_share, seconds_to_clock
+from spanforge.functions.text import GARBLED, SPACE, class_share, count_class, garbled_share, seconds_to_clock, solid_length
 
 from .joins import interval_join, nearest_boundaries, union_length
 
@@ -120,6 +120,13 @@ def text_usable(text: C, script: str, least_chars: int = 8, least_share: float =
     return (F.char_length(F.trim(col(text))) >= least_chars) & (class_share(text, script) >= least_share) & (garbled_share(text) <= most_garbled)
 
 
+def text_quality(rows: DataFrame, id_col: str, text: str, script: str, least_chars: int = 8, least_share: float = 0.10, most_garbled: float = 0.35) -> DataFrame:
+    """(id, garbled, usable, solid): :func:`spanforge.functions.text.garbled_share`, :func:`text_usable` and :func:`spanforge.functions.text.solid_length`, from counts that are each taken once."""
+    counted = rows.select(F.col(id_col), F.char_length(F.trim(col(text))).alias("_chars"), solid_length(text).alias("_solid"), count_class(text, script).alias("_script"), count_class(text, GARBLED).alias("_odd"))
+    share = lambda c: F.when(F.col("_solid") > 0, F.col(c) / F.col("_solid")).otherwise(0.0)
+    return counted.select(id_col, share("_odd").alias("garbled"), ((F.col("_chars") >= least_chars) & (share("_script") >= least_share) & (share("_odd") <= most_garbled)).alias("usable"), F.col("_solid").alias("solid"))
+
+
 def transcript_usable(text: C, speeches: C, script: str) -> Column:
     """Whether a transcript has two speeches, 40 solid characters, the wanted script, and isn't garbled."""
     solid = F.char_length(F.regexp_replace(col(text), SPACE, ""))

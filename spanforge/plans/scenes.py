@@ -72,8 +72,7 @@ def a5_provider_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
       and case when length(regexp_replace(text, '\\s', '', 'g')) > 0 then length(regexp_replace(text, '[^\\x{FFFD}?\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]', '', 'g')) / length(regexp_replace(text, '\\s', '', 'g')) else 0 end <= 0.35 as usable,
     length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) as solid from documents""")
 def c5_c17_usable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(load(spark, sf_dir, "documents").select(
-        "doc_id", tx.garbled_share("text").alias("garbled"), scenes.text_usable("text", "A-Za-z").alias("usable"), tx.solid_length("text").alias("solid")))
+    return rounded(scenes.text_quality(load(spark, sf_dir, "documents"), "doc_id", "text", "A-Za-z"))
 
 
 _TOLD = """told as (select conv_id, string_agg('[' || (turn // 60) || ':' || lpad((turn % 60)::varchar, 2, '0') || '-' || ((turn + 1) // 60) || ':' || lpad(((turn + 1) % 60)::varchar, 2, '0') || '] S' || left(role, 1) || ': ' || text, chr(10) order by turn) as t, count(*) as n,

@@ -169,3 +169,17 @@ def test_score_sets_are_compared_by_ranges_and_their_first_rows(spark):
     assert "row_number" not in plan  # ids aren't numbered, of either order only the first ones are taken
     none = joins.compare_score_sets(df.where("id < 0").select("id", F.col("x").alias("s")), df.select("id", F.col("y").alias("s")), "id", "s").first()
     assert (none.n, none.top_overlap, none.top_jaccard) == (0, 0, None)
+
+
+def test_text_quality_takes_each_count_once(spark):
+    from spanforge.functions import text as tx
+    from spanforge.operators import scenes
+    texts = [None, "", "  　\n", "Plain words?", "中文??�� a", "x\U0001f600鿿ꀀ", "1234567 [89]", "abcdefgh", "  ab cdef "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = scenes.text_quality(df, "doc_id", "text", "A-Za-z")
+    want = df.select("doc_id", tx.garbled_share("text").alias("garbled"), scenes.text_usable("text", "A-Za-z").alias("usable"), tx.solid_length("text").alias("solid"))
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 3
+    odd = df.select("text", tx.count_class("text", tx.GARBLED).alias("n"), tx.count_class("text", r"\[\]()").alias("b")).collect()
+    assert [r.n for r in odd] == [None if t is None else sum(c in "�?" or "㐀" <= c <= "䶿" or "一" <= c <= "鿿" for c in t) for t in texts]
+    assert [r.b for r in odd] == [None if t is None else sum(c in "[]()" for c in t) for t in texts]
