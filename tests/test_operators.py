@@ -183,3 +183,18 @@ def test_text_quality_takes_each_count_once(spark):
     odd = df.select("text", tx.count_class("text", tx.GARBLED).alias("n"), tx.count_class("text", r"\[\]()").alias("b")).collect()
     assert [r.n for r in odd] == [None if t is None else sum(c in "�?" or "㐀" <= c <= "䶿" or "一" <= c <= "鿿" for c in t) for t in texts]
     assert [r.b for r in odd] == [None if t is None else sum(c in "[]()" for c in t) for t in texts]
+
+
+def test_tasks_over_lines_grow_with_their_rows(spark, tmp_path, monkeypatch):
+    from spanforge.plans import slates, views
+    lines = [(i // 4, i % 4, i // 3, float(i % 50), "NRAS"[i % 4] if i % 9 else None, 0.05) for i in range(1000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, i // 5, 1.0) for i in range(250)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(views, "TASK_ROWS", 50)
+    found = views.judgments(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 20
+    want = {(a, b): None if flag is None or flag == "R" else 2 * q for a, b, _, q, flag, _ in lines}
+    assert {(r.candidate_id, r.repeat): r.score for r in found.collect()} == want
+    with monkeypatch.context() as m:
+        m.setattr(slates.pl, "gold_pools", lambda golds, edits: edits)
+        assert slates._pools(spark, str(tmp_path)).rdd.getNumPartitions() == 20
