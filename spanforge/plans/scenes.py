@@ -10,7 +10,7 @@ from spanforge.functions import text as tx
 from spanforge.operators import pools, scenes, windows
 
 from .evaluation import query, rounded
-from .views import load, speeches, timeline, with_views
+from .views import load, speeches, tasks_for, timeline, with_views
 
 #: Scenes of a conversation: four turns each.
 _SCENE = """scene as (select longform_id, scene_id, min(start_ms) as start_ms, max(end_ms) as end_ms, any_value(scene_id % 5 = 0) as is_fallback, left(arg_min(text, speech_id), 60) as description
@@ -24,8 +24,8 @@ def placed_speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"scene_start_ms": F.min("start_ms").over(w), "scene_end_ms": F.max("end_ms").over(w)})
 
 
-def scene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = speeches(spark, sf_dir).withColumn("scene_id", F.expr("speech_id div 4"))
+def scene_rows(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
+    s = speeches(spark, sf_dir, tasks).withColumn("scene_id", F.expr("speech_id div 4"))
     return s.groupBy("longform_id", "scene_id").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), (F.first("scene_id") % 5 == 0).alias("is_fallback"),
         F.substring(F.min_by("text", "speech_id"), 1, 60).alias("description")).withColumns({"name": F.lit(""), "person_ids": F.array().cast("array<string>")})
@@ -197,8 +197,8 @@ _WINDOWS = f"""runs as (select t.longform_id, target_ms, a.start_ms, b.end_ms, 1
     win as (select longform_id, target_ms, start_ms, end_ms, max(strength) as strength from (select * from runs union all select longform_id, target_ms, start_ms, start_ms + size, 0.65 from edges) group by all)"""
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scene_rows(spark, sf_dir).select("longform_id").distinct().withColumn("target_ms", (9000 + 1000 * (F.col("longform_id") % 7)).cast("long"))
+def targets(spark: SparkSession, sf_dir: str, tasks: int = 0) -> DataFrame:
+    return scene_rows(spark, sf_dir, tasks).select("longform_id").distinct().withColumn("target_ms", (9000 + 1000 * (F.col("longform_id") % 7)).cast("long"))
 
 
 @query(f"""{with_views('speech')}, {_SCENE}, {_TARGETS}, {_WINDOWS} select longform_id, target_ms, start_ms, end_ms, cast(strength as double) as boundary_strength from win""")
@@ -207,9 +207,11 @@ def e8_evaluation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hard_negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scene_rows(spark, sf_dir)
+    # texts meet several times in one task, so they go to as many tasks as the rows need, which Spark doesn't join again
+    tasks = tasks_for(load(spark, sf_dir, "conversations"))
+    s = scene_rows(spark, sf_dir, tasks)
     known = s.where("scene_id = 0").select("longform_id", "start_ms", "end_ms")
-    return windows.hard_negatives(targets(spark, sf_dir), s, speeches(spark, sf_dir), known)
+    return windows.hard_negatives(targets(spark, sf_dir, tasks), s, speeches(spark, sf_dir, tasks), known)
 
 
 @query(f"""{with_views('speech')}, {_SCENE}, {_TARGETS}, {_WINDOWS}, known as (select longform_id, greatest(0, start_ms - 2000) as ks, end_ms + 2000 as ke from scene where scene_id = 0),

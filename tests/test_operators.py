@@ -198,3 +198,12 @@ def test_tasks_over_lines_grow_with_their_rows(spark, tmp_path, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(slates.pl, "gold_pools", lambda golds, edits: edits)
         assert slates._pools(spark, str(tmp_path)).rdd.getNumPartitions() == 20
+
+
+def test_hard_negatives_go_to_as_many_tasks_as_conversations_need(spark, monkeypatch):
+    from spanforge.plans import scenes, views
+
+    monkeypatch.setattr(views, "TASK_ROWS", 5)
+    tasks = views.tasks_for(views.load(spark, "/root/testdata/sf0.001", "conversations"))
+    plan = scenes.hard_negative_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan
