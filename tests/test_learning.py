@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +74,38 @@ def test_banded_ranker_is_that_of_listed_pairs_and_lists_none(spark, monkeypatch
     assert found.keys() == want.keys() and max(abs(found[t] - want[t]) for t in want) < 0.02 * max(map(abs, want.values()))
 
 
+def test_grams_are_made_where_their_text_is(spark):
+    rng = random.Random(6)
+    rows = [(i % 50 if i % 17 else None, " ".join(rng.choices(["Good", "d\u00fcll", "o", "\U0001d49cx"], k=rng.randint(0, 6))) if i % 13 else None, i % 4 > 0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, text string, known boolean")
+    for kind, low, high in (("char", 2, 4), ("word", 1, 2)):
+        found = learning.tf_idf(df, "id", "text", low, high, most_terms=30, train=F.col("known"), **({"kind": kind} if kind == "word" else {}))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "hashpartitioning(id" in plan
+        counts, train = {}, {}
+        for i, text, known in rows:
+            words = (text or "").lower().split()
+            for w in words if kind == "char" else [""]:
+                w = f" {w} "
+                grams = [w[j:j + n] for n in range(low, min(high, len(w)) + 1) for j in range(len(w) - n + 1)] if kind == "char" else [" ".join(words[j:j + n]) for n in (1, 2) for j in range(len(words) - n + 1)]
+                for g in grams:
+                    counts.setdefault((i, known), Counter())[g] += 1
+        for (_, known), tf in counts.items():
+            for g, k in tf.items():
+                a, b = train.get(g, (0, 0))
+                train[g] = (a + known, b + known * k)
+        n = sum(known for *_, known in rows)
+        kept = sorted((g for g, (d, _) in train.items() if 2 <= d <= 0.98 * n), key=lambda g: (-train[g][1], g.encode()))[:30]
+        idf = {g: math.log((1 + n) / (1 + train[g][0])) + 1 for g in kept}
+        raw = [(i, g, (1 + math.log(k)) * idf[g]) for (i, _), tf in counts.items() for g, k in tf.items() if g in idf]
+        norm = {}
+        for i, _, w in raw:
+            norm[i] = norm.get(i, 0.0) + w * w
+        order = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+        want = sorted(((i, g, round(w / math.sqrt(norm[i]), 9)) for i, g, w in raw), key=order)
+        assert sorted(((r.id, r.term, round(r.weight, 9)) for r in found.collect()), key=order) == want and want
+
+
 def test_exact_position_tail(spark):
     df = spark.createDataFrame([(3, 1, 1)], "n long, g long, hit int")
     assert abs(learning.exact_position_tail(df, "n", "g", "hit", 1).first().p_value - 1 / 3) < 1e-12
