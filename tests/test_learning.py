@@ -74,6 +74,25 @@ def test_banded_ranker_is_that_of_listed_pairs_and_lists_none(spark, monkeypatch
     assert found.keys() == want.keys() and max(abs(found[t] - want[t]) for t in want) < 0.02 * max(map(abs, want.values()))
 
 
+def test_features_of_the_banded_ranker_are_kept_once(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "g", " ".join(rng.choices(["good", "dull", "fine", "odd"], k=4)), rng.random()) for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, g string, text string, y double")
+    features = learning.tf_idf(df, "id", "text", 2, 3, max_share=1.0)
+    kept = []
+
+    def first_step(value_of, start, *_):
+        value_of(start)
+        kept.append(sum(r.diskSize() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo()))
+        return start
+
+    monkeypatch.setattr(pairwise, "BLOCK_ROWS", (16, 16))
+    monkeypatch.setattr(pairwise, "minimised", first_step)
+    for low, high in ((0.1, 0.11), (0.01, 0.9)):
+        pairwise.fit_banded(df, features, "g", "id", "y", low, high)
+    assert 0 < kept[1] < 1.2 * kept[0]
+
+
 def test_grams_are_made_where_their_text_is(spark):
     rng = random.Random(6)
     rows = [(i % 50 if i % 17 else None, " ".join(rng.choices(["Good", "d\u00fcll", "o", "\U0001d49cx"], k=rng.randint(0, 6))) if i % 13 else None, i % 4 > 0) for i in range(90)]
