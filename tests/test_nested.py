@@ -248,3 +248,22 @@ def test_replicates_side_by_side_are_those_one_by_one(spark, monkeypatch):
         m.setattr(replicates, "CELLS", 700)
         m.setattr(resample, "bootstrap_draws", None)
         assert found() == want
+
+
+def test_values_and_not_rows_of_a_channel_are_ranked_over_all_channels(spark, monkeypatch):
+    from spanforge.operators import replicates, resample
+    rows = [(i // 3, "ab"[i % 2], (i * i % 5) / 4, float(i % 7 % 4)) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, c string, y double, s double")
+    sizes, plain = [], replicates.once
+
+    def once(table, name):
+        out = plain(table, name)
+        if "cells" in out.columns:
+            sizes.append(out.selectExpr("sum(length(cells))").first()[0])
+        return out
+
+    monkeypatch.setattr(replicates, "once", once)
+    assert resample.bundle_bootstrap(df, "g", "c", "y", "s", 20, 3).count() == 6
+    # 5 and 4 values of 2 channels in 20 replicates
+    assert sizes and sum(sizes) <= 20 * 2 * (5 + 4) * 24
+    assert replicates.CHANNEL_ROWS >= 5_000_000
